@@ -27,7 +27,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from .common import map_arrow, slices, utf8
 
 #: Different matches a worker remembers; beyond it the memory starts afresh.
-MEMO = 150_000
+MEMO = 400_000
 
 #: A match longer than this many characters is not remembered.
 MEMO_CHARS = 64
