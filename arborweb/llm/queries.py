@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, main_text, mixing, oracles, quality, url_filter, warc
+from . import bpe, langid, main_text, mixing, oracles, quality, simhash, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(lines, "\n"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_poisson_mixing": op3_poisson_mixing,
         "op5_warc_revisits": op5_warc_revisits,
+        "op6_simhash": op6_simhash,
         "op7_language_id": op7_language_id,
         "op8_html_extraction": op8_html_extraction,
         "op9_url_filter": op9_url_filter,
