@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, main_text, mixing, oracles, ppm, quality, simhash, url_filter, warc
+from . import bpe, embed_dedup, langid, main_text, mixing, oracles, ppm, quality, simhash, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.crawl_records(table(spark, sf_dir, "pages")))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op1_ppm_scoring": op1_ppm_scoring,
         "op2_quality_rules": op2_quality_rules,
         "op3_poisson_mixing": op3_poisson_mixing,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_warc_revisits": op5_warc_revisits,
         "op6_simhash": op6_simhash,
         "op7_language_id": op7_language_id,
@@ -78,6 +83,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_poisson_mixing": oracles.MIXING,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_warc_revisits": oracles.WARC,
         "op9_url_filter": oracles.URL_FILTER,
     }
