@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.grammar import Selector, guess_grammar
 
@@ -65,7 +66,7 @@ def _gathered(pairs: object) -> dict[str, object] | None:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _full_key(method: pd.Series, url: pd.Series, params: pd.Series, data: pd.Series, body: pd.Series) -> pd.Series:
     rows = zip(method, url, params, data, body, strict=True)
     return pd.Series([None if u is None else dedup_key(m, u, _gathered(p), _gathered(d), None if b is None else json.loads(b)) for m, u, p, d, b in rows], dtype=object)

@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters that are never escaped, and those that a whole URL keeps as they are.
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
@@ -34,12 +35,12 @@ def requote_text(url: str) -> str:
     return "".join(c if c in KEPT else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def requote(url: pd.Series) -> pd.Series:
     return url.map(requote_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _join(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else urljoin(b or "", u) for b, u in zip(base, url, strict=True)], dtype=object)
 

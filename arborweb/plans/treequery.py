@@ -39,7 +39,8 @@ class Query:
 
     def __init__(self, nodes: DataFrame, key: str = "page_id"):
         self.key = key
-        self.nodes = nodes.select(key, *NODE_COLUMNS)
+        self.columns = [*NODE_COLUMNS, *(["url"] if "url" in nodes.columns else [])]
+        self.nodes = nodes.select(key, *self.columns)
         self.made = 0
 
     def fresh(self, name: str) -> str:
@@ -61,7 +62,7 @@ class Query:
             rows = rows.filter("parent is null")
         elif step.axis not in ("descendant", "descendant-or-self"):
             raise ConfigError(f"the document has no {step.axis}")
-        return rows.select(self.key, F.lit(DOCUMENT).alias("ctx"), F.lit(DOCUMENT).alias("step"), *NODE_COLUMNS)
+        return rows.select(self.key, F.lit(DOCUMENT).alias("ctx"), F.lit(DOCUMENT).alias("step"), *self.columns)
 
     def along(self, now: DataFrame, step: Step) -> DataFrame:
         """A step from each row of ``now``; ``step`` holds the row it was taken from."""
@@ -82,11 +83,11 @@ class Query:
             "preceding-sibling": (F.col("parent") == F.col("c_parent")) & (F.col("pre") < F.col("c_pre")),
         }[step.axis]
         met = n.join(c, (F.col(self.key) == F.col("c_page")) & on)
-        return met.select(self.key, "ctx", F.col("c_pre").alias("step"), *NODE_COLUMNS)
+        return met.select(self.key, "ctx", F.col("c_pre").alias("step"), *self.columns)
 
     def once(self, rows: DataFrame) -> DataFrame:
         """A node counts once for each context."""
-        return rows.dropDuplicates([self.key, "ctx", "pre"]).select(self.key, "ctx", *NODE_COLUMNS)
+        return rows.dropDuplicates([self.key, "ctx", "pre"]).select(self.key, "ctx", *self.columns)
 
     def filtered(self, rows: DataFrame, where: tuple, within: list[str], reverse: bool = False) -> DataFrame:
         for e in where:
@@ -118,8 +119,8 @@ class Query:
                 s = steps[0]
                 rows = self.nodes.filter(self.test(s))
                 rows = rows.filter("parent is not null") if s.axis == "descendant" else rows
-                rows = rows.select(self.key, F.lit(0).alias("ctx"), F.lit(0).alias("step"), *NODE_COLUMNS)
-                now = self.filtered(rows, s.where, [self.key, "step"]).select(self.key, "ctx", *NODE_COLUMNS)
+                rows = rows.select(self.key, F.lit(0).alias("ctx"), F.lit(0).alias("step"), *self.columns)
+                now = self.filtered(rows, s.where, [self.key, "step"]).select(self.key, "ctx", *self.columns)
                 steps = steps[1:]
         for k, s in enumerate(steps):
             if s.axis == "attribute" or s.test == "text()":
@@ -133,7 +134,7 @@ class Query:
             else:
                 rows = self.along(now, s)
             rows = self.filtered(rows, s.where, [self.key, "ctx", "step"], s.axis in REVERSE)
-            now = rows.select(self.key, "ctx", *NODE_COLUMNS) if now is None or s.axis == "self" else self.once(rows)
+            now = rows.select(self.key, "ctx", *self.columns) if now is None or s.axis == "self" else self.once(rows)
         return now, None
 
     def union(self, contexts: DataFrame | None, u: Union) -> DataFrame:
@@ -143,10 +144,10 @@ class Query:
             now, last = self.path(contexts, p)
             if last is not None or now is None:
                 continue
-            now = now.select(self.key, "ctx", *NODE_COLUMNS)
+            now = now.select(self.key, "ctx", *self.columns)
             out = now if out is None else out.unionByName(now)
         if out is None:
-            return self.nodes.filter("false").select(self.key, F.lit(DOCUMENT).alias("ctx"), *NODE_COLUMNS)
+            return self.nodes.filter("false").select(self.key, F.lit(DOCUMENT).alias("ctx"), *self.columns)
         return self.once(out) if len(u.paths) > 1 else out
 
     def strings(self, contexts: DataFrame | None, u: Union, elements: bool = False) -> DataFrame:
@@ -205,7 +206,7 @@ class Query:
                 return rows, Value("attr", F.col("attrs")[name])
             if len(e.paths) == 1 and e.paths[0] == Path("here", (Step("self", "node()"),)):
                 return rows, Value("str", F.coalesce("content", F.lit("")))
-            inner = rows.select(self.key, F.col("pre").alias("ctx"), *NODE_COLUMNS).dropDuplicates([self.key, "pre"])
+            inner = rows.select(self.key, F.col("pre").alias("ctx"), *self.columns).dropDuplicates([self.key, "pre"])
             own = Union(tuple(p for p in e.paths if not absolute(p)))
             found = self.strings(inner, own, elements=True)
             if len(own.paths) < len(e.paths):  # the same for every node of a page
@@ -364,7 +365,7 @@ def absolute(p: Path) -> bool:
 def _contexts(q: Query, contexts: DataFrame | None) -> DataFrame | None:
     if contexts is None:
         return None
-    return contexts.select(q.key, F.col("pre").alias("ctx"), *NODE_COLUMNS).dropDuplicates([q.key, "pre"])
+    return contexts.select(q.key, F.col("pre").alias("ctx"), *q.columns).dropDuplicates([q.key, "pre"])
 
 
 def query(nodes: DataFrame, selector: Selector, contexts: DataFrame | None = None, *, key: str = "page_id") -> DataFrame:
@@ -391,7 +392,7 @@ def query_strings(nodes: DataFrame, selector: Selector, contexts: DataFrame | No
     if isinstance(e, Union):
         rows = q.strings(own, e)
     else:
-        base = (q.roots() if own is None else own).select(key, "ctx", *NODE_COLUMNS)
+        base = (q.roots() if own is None else own).select(key, "ctx", *q.columns)
         rows, v = q.value(base, e)
         rows = rows.filter("true" if v.kind == "str" else "false").select(key, "ctx", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("ord"), v.column.cast("string").alias("value"))
     return rows.select(key, "ctx", F.row_number().over(Window.partitionBy(key, "ctx").orderBy("ord")).alias("pos"), "value")
@@ -403,7 +404,7 @@ def scalar(nodes: DataFrame, selector: Selector, contexts: DataFrame | None = No
     e = read(selector)
     q = Query(nodes, key)
     own = _contexts(q, contexts)
-    base = (q.roots() if own is None else own).select(key, "ctx", *NODE_COLUMNS)
+    base = (q.roots() if own is None else own).select(key, "ctx", *q.columns)
     rows, v = q.value(base, e if not isinstance(e, Union) else Call("string", (e,)))
     rows, s = q.text_of(rows, v)
     return rows.select(key, "ctx", s.alias("value"))
