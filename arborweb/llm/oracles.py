@@ -62,10 +62,10 @@ WITH base AS (SELECT page_id, url, md5(page_id::VARCHAR) AS h, coalesce(html, ''
 times AS (SELECT *, 1700000000 + ('0x' || substr(h, 1, 6))::BIGINT % 1000000 AS first, ('0x' || substr(h, 11, 2))::BIGINT % 8 AS e, ('0x' || substr(h, 13, 2))::BIGINT % 5 AS m FROM base),
 paired AS (SELECT *, first + 500000 + ('0x' || substr(h, 7, 4))::BIGINT % 1000 AS second,
   regexp_replace(url, '#.*$', '') AS plain FROM times),
-split AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(plain, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)), '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1') AS site,
+split AS (SELECT *, lower(regexp_extract(plain, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS site,
   regexp_replace(plain, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM paired),
-query AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(rest, '\\?(.*)$', 1), '(^|&)utm_[^&]*', '', 'g'), '^&+', '') AS q FROM split),
-known AS (SELECT *, site || regexp_extract(rest, '^([^?]*)', 1) || CASE WHEN q = '' THEN '' ELSE '?' || q END AS curl FROM query),
+known AS (SELECT *, regexp_replace(regexp_replace(site, '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1')
+  || regexp_replace(regexp_replace(rest, '([?&])utm_[^&]*(&|$)', '\\1', 'g'), '[?&]+$', '') AS curl FROM split),
 response AS (
   SELECT page_id * 5 AS source_id, curl AS url, first AS captured, etag AS s_etag, first::VARCHAR AS s_modified, md5(body) AS s_digest, '100' AS len, etag AS h_etag, first::VARCHAR AS h_modified FROM known
   UNION ALL SELECT page_id * 5 + 1, curl, second, NULL, second::VARCHAR, md5(body || '2'), '200', NULL, second::VARCHAR FROM known),

@@ -39,11 +39,10 @@ def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, default port, fragment and ``utm_`` parameters gone."""
     plain = F.regexp_replace(url, r"#.*$", "")
     site = lower_ascii(F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    site = F.regexp_replace(F.regexp_replace(site, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    site = F.regexp_replace(site, r"(?<=^http://.{0,300}):80$|(?<=^https://.{0,300}):443$", "")
     rest = F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
-    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"\?(.*)$", 1)
-    query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), r"^&+", "")
-    return F.concat(site, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    rest = F.regexp_replace(rest, r"(?<=[?&])utm_[^&]*(&|$)", "")
+    return F.concat(site, F.regexp_replace(rest, r"[?&]+$", ""))
 
 
 def lower_names(headers: Column) -> Column:
@@ -82,7 +81,7 @@ def as_of(responses: DataFrame, revisits: DataFrame, bucket_seconds: int = BUCKE
 def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """``record_id, url, captured, source_id, status, payload_digest, headers`` of each
     revisit in ``records``; ``status`` is resolved, mismatch, no_validator or no_response."""
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), "captured", "kind", "status", "etag", "last_modified", "headers", "payload_digest")
+    rows = stored(records.select("record_id", canonical_url(F.col("url")).alias("url"), "captured", "kind", "status", "etag", "last_modified", "headers", "payload_digest"))
     full = rows.filter("kind = 'response' and status = 200 and url is not null and captured is not null and record_id is not null")
     revisits = rows.filter("kind = 'revisit'").select("record_id", "url", "captured", "etag", "last_modified", "headers")
     found = stored(as_of(full, revisits.filter("url is not null and captured is not null"), bucket_seconds))
@@ -110,16 +109,23 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl log made of ``pages``: of each page two full responses and three revisits at
     hashed times, one with an ETag (for one page in eight a different one), one with a
     modification time (for one in five none), one before the first response."""
+    body = F.coalesce(F.col("html"), F.lit(""))
     h = F.md5(F.col("page_id").cast("string").cast("binary"))
+    base = pages.select(
+        "page_id",
+        "url",
+        h.alias("h"),
+        F.concat(F.lit('"'), F.substring(F.md5(F.col("html").cast("binary")), 1, 16), F.lit('"')).alias("one"),
+        F.md5(body.cast("binary")).alias("digest"),
+        F.md5(F.concat(body, F.lit("2")).cast("binary")).alias("two"),
+    )
 
     def number(at: int, n: int) -> Column:
-        return F.conv(F.substring(h, at, n), 16, 10).cast("long")
+        return F.conv(F.substring("h", at, n), 16, 10).cast("long")
 
-    first = F.lit(1_700_000_000) + number(1, 6) % 1_000_000
-    second = first + 500_000 + number(7, 4) % 1000
-    one = F.concat(F.lit('"'), F.substring(F.md5(F.col("html").cast("binary")), 1, 16), F.lit('"'))
-    digest = F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    two = F.md5(F.concat(F.coalesce(F.col("html"), F.lit("")), F.lit("2")).cast("binary"))
+    base = base.withColumn("first", F.lit(1_700_000_000) + number(1, 6) % 1_000_000)
+    base = base.withColumn("second", F.col("first") + 500_000 + number(7, 4) % 1000)
+    first, second, one, digest, two = (F.col(c) for c in ("first", "second", "one", "digest", "two"))
     none = F.lit(None).cast("string")
 
     def record(n: int, kind: str, at: Column, etag: Column, modified: Column, payload: Column, extra: str) -> Column:
@@ -148,4 +154,4 @@ def crawl_records(pages: DataFrame) -> DataFrame:
         record(3, "revisit", second + 250_000, none, F.when(number(13, 2) % 5 != 0, second.cast("string")), none, "0"),
         record(4, "revisit", first - 10, one, none, none, "0"),
     )
-    return pages.select("url", F.explode(rows).alias("r")).select("url", "r.*")
+    return base.select("url", F.explode(rows).alias("r")).select("url", "r.*")
