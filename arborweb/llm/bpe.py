@@ -16,8 +16,9 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,10 +28,11 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from .common import map_arrow, slices, utf8
 
 #: Different matches a worker remembers; beyond it the memory starts afresh.
-MEMO = 400_000
+MEMO = 250_000
 
-#: A match longer than this many characters is not remembered.
-MEMO_CHARS = 64
+#: After a match longer than this the memory starts afresh: such matches are rare, and
+#: would fill it if kept.
+MEMO_CHARS = 256
 
 
 def byte_chars() -> list[str]:
@@ -60,25 +62,62 @@ class Codec:
         merges = [(said[t[:k]], said[t[k:]]) for t in sorted(tokens, key=tokens.get) for k in range(1, len(t)) if t[:k] in said and t[k:] in said]
         self.tokenizer = Tokenizer(models.BPE({said[t]: r for t, r in tokens.items()}, merges))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_of = [b""] * (max(tokens.values(), default=-1) + 1)
+        spelled = [b""] * (max(tokens.values(), default=-1) + 1)
         for word, r in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.bytes_of[r] = bytes([self.back[c] for c in word])
-        self.memo: dict[str, tuple[int, ...]] = {}
+            spelled[r] = bytes([self.back[c] for c in word])
+        # the bytes of all ids in a row, and where those of each begin
+        self.table = np.frombuffer(b"".join(spelled), np.uint8)
+        self.sizes = np.array([len(w) for w in spelled], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the memory of matches: ``memo`` numbers them, and the ids of match k are
+        ``pool[start[k] : start[k] + count[k]]``."""
+        self.full = False
+        self.memo: dict[str, int] = {}
+        self.pool = np.zeros(0, np.int32)
+        self.start = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids): all ids of the texts in a row, and where those of each text end."""
+        cut = [self.find(t) if t else [] for t in texts]
+        parts = list(chain.from_iterable(cut))
+        if self.full or len(self.memo) > MEMO:
+            self._forget()
+        match = np.fromiter(map(self.memo.get, parts, repeat(-1)), np.int64, len(parts))
+        missed = np.flatnonzero(match < 0)
+        if len(missed):
+            unknown = [parts[k] for k in missed.tolist()]
+            new = list(dict.fromkeys(unknown))
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.count = np.concatenate([self.count, sizes])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))])
+            match[missed] = np.fromiter(map(self.memo.__getitem__, unknown), np.int64, len(unknown))
+            if max(map(len, new)) > MEMO_CHARS:
+                self.full = True
+        counts = self.count[match]
+        done = np.cumsum(counts)
+        ids = self.pool[_gather(self.start[match], counts, done)]
+        last = np.cumsum([len(x) for x in cut])
+        return np.concatenate([[0], done])[last], ids
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each text, given as from ``encode``."""
+        counts = self.sizes[ids]
+        done = np.cumsum(counts)
+        data = self.table[_gather(self.begins[ids], counts, done)].tobytes()
+        stops = np.concatenate([[0], done])[ends].tolist()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def ids(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text."""
-        cut = [self.find(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts}.difference(self.memo))
-        fresh = dict(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo = {p: self.memo[p] for parts in cut for p in parts if p in self.memo}
-        self.memo.update(fresh)
-        get = self.memo.__getitem__
-        out = [list(chain.from_iterable(map(get, parts))) for parts in cut]
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del self.memo[p]
-        return out
+        ends, ids = self.encode(texts)
+        return [x.tolist() for x in np.split(ids, ends[:-1])] if len(ends) else []
 
     def spans(self, text: str | None, ids: list[int]) -> list[tuple[int, int]]:
         """For each id, the characters [start, end) that its bytes touch; a character split
@@ -89,13 +128,19 @@ class Codec:
             at += 1
         out, b = [], 0
         for i in ids:
-            n = len(self.bytes_of[i])
+            n = int(self.sizes[i])
             out.append((starts[b], starts[b + n - 1] + 1))
             b += n
         return out
 
     def text_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode(np.array(ids, np.int64), np.array([len(ids)]))[0]
+
+
+def _gather(start: np.ndarray, counts: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """The places start[k] to start[k] + counts[k] - 1 for each k in turn; ``done`` is the
+    running sum of ``counts``."""
+    return np.repeat(start - (done - counts), counts) + np.arange(done[-1] if len(done) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -117,10 +162,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*sent.value)
         for batch in slices(batches, 64):
-            ids = codec.ids(batch.column(1).to_pylist())
-            columns = [batch.column(0), pa.array(ids, fields[0].type)]
+            ends, ids = codec.encode(batch.column(1).to_pylist())
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))]
             if decoded:
-                columns.append(pa.array([codec.text_bytes(i) for i in ids], pa.binary()))
+                columns.append(pa.array(codec.decode(ids, ends), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(0), *fields]))
 
     schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded)
