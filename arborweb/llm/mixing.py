@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import stored, unit_hash
 
 #: Sources whose rates are broadcast; with more, documents and rates meet by a salted join.
 BROADCAST_SOURCES = 100_000
@@ -30,9 +30,10 @@ def _label(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
 
 
-def rates(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, source: str = "source") -> DataFrame:
-    """``label, n, rate`` of each source. Shares follow ``weights``, or else the source's
-    number of rows to the power ``alpha`` (1: as they are, 0: all alike)."""
+def rates(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, source: str = "source") -> tuple[DataFrame, int]:
+    """(``label, n, rate`` of each source, the number of sources). Shares follow ``weights``,
+    or else the source's number of rows to the power ``alpha`` (1: as they are, 0: all
+    alike). Only sums reach the driver."""
     counted = docs.groupBy(_label(F.col(source)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         share = F.pow("n", F.lit(alpha))
@@ -40,15 +41,10 @@ def rates(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: fl
         share = F.coalesce(F.create_map(*[F.lit(v) for k, w in weights.items() for v in (f"+{k}", float(w))])[F.col("label")], F.lit(0.0))
     else:
         share = F.lit(0.0)
-    counted = counted.withColumn("share", share)
-    # one row of sums, told from the counts by its key alone
-    sums = counted.agg(F.sum("n").alias("all_n"), F.sum("share").alias("all_share")).withColumn("one", F.lit(1))
-    return (
-        counted.withColumn("one", F.lit(1))
-        .join(F.broadcast(sums), "one")
-        .select("label", "n", (F.col("share") / F.col("all_share") * F.col("all_n") * F.lit(float(epochs)) / F.col("n")).alias("rate"))
-        .filter("rate > 0")
-    )
+    counted = stored(counted.withColumn("share", share))
+    sums = counted.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"), F.sum("share").alias("share")).first()
+    rate = F.col("share") / F.lit(sums["share"] or 1.0) * F.lit(sums["n"] or 0) * F.lit(float(epochs)) / F.col("n")
+    return counted.select("label", "n", rate.alias("rate")).filter("rate > 0"), sums["sources"]
 
 
 def distributions(rate: DataFrame) -> DataFrame:
@@ -67,14 +63,14 @@ def distributions(rate: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 42, key: str = "doc_id", source: str = "source") -> DataFrame:
     """All columns of ``docs``, with ``copy`` (from 1) and ``shuffle_key``, replicated and
     shuffled: rows are dealt by ``shuffle_key`` and ordered by it in each partition."""
-    drawn = distributions(rates(docs, weights=weights, alpha=alpha, epochs=epochs, source=source))
-    few = docs.select(_label(F.col(source)).alias("label")).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    rate, sources = rates(docs, weights=weights, alpha=alpha, epochs=epochs, source=source)
+    drawn = distributions(rate)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("row"), _label(F.col(source)).alias("label"), F.col(key).alias("id"))
-    if few:
+    if sources <= BROADCAST_SOURCES:
         met = rows.join(F.broadcast(drawn), "label")
     else:
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALT))
-        met = rows.withColumn("salt", salt).join(drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long")), ["label", "salt"])
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
+        met = rows.withColumn("salt", salt).join(drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["label", "salt"])
     u = unit_hash(F.lit(seed), F.col("id"))
     count = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
     met = met.withColumn("u", u).select("row", "id", count.alias("count")).filter("count > 0")
