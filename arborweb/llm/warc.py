@@ -86,7 +86,10 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     revisits = rows.filter("kind = 'revisit'").select("record_id", "url", "captured", "etag", "last_modified", "headers")
     found = stored(as_of(full, revisits.filter("url is not null and captured is not null"), bucket_seconds))
     source = full.select(F.col("record_id").alias("source_id"), F.col("etag").alias("s_etag"), F.col("last_modified").alias("s_modified"), F.col("headers").alias("s_headers"), F.col("payload_digest").alias("s_digest")).dropDuplicates(["source_id"])
-    met = revisits.join(found, ["url", "captured"], "left").join(source, "source_id", "left")
+    pointed = stored(revisits.join(found, ["url", "captured"], "left"))
+    met = pointed.filter("source_id is not null").join(source, "source_id", "left")
+    # those that point nowhere meet nothing: as nulls of one join key they would all go to one task
+    met = met.unionByName(pointed.filter("source_id is null"), allowMissingColumns=True)
     status = (
         F.when(F.col("source_id").isNull(), "no_response")
         .when(F.col("etag").isNotNull() & F.col("s_etag").isNotNull(), F.when(_weak(F.col("etag")) == _weak(F.col("s_etag")), "resolved").otherwise("mismatch"))
