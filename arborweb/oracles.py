@@ -40,7 +40,7 @@ SQL = {
     "attribute_strings": f"SELECT page_id, pos, href AS value FROM ({_A})",
     "scalar_query": "SELECT page_id, len(regexp_extract_all(html, '<li>'))::VARCHAR AS n_items FROM pages",
     "union_query": "SELECT page_id, 2::BIGINT AS n FROM pages",
-    "inner_html": "SELECT page_id, regexp_extract(html, '<nav>(.*)</nav>', 1) AS inner FROM pages",
+    "inner_html": "SELECT page_id, regexp_extract(html, '<nav>(.*)</nav>', 1) AS inner_html FROM pages",
     "preceding_count": f"SELECT page_id, count(*)::VARCHAR AS n FROM ({_A}) GROUP BY 1",
     "native_xpath": "SELECT s_suppkey AS suppkey, s_name AS name, s_nationkey AS nationkey FROM supplier",
     "form_fields": f"SELECT c_custkey AS page_id, 'http://forms.example.org/find' AS action, method, pos::BIGINT AS pos, name, field_type, value FROM ({_FORM})",

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from .grammar import Binary, Call, Literal, Path, Selector, Step, Union, positional, read, simplify
+from .grammar import Binary, Call, Literal, Path, Selector, Step, Union, numeric, positional, read, simplify
 
 NODE_COLUMNS = ("pre", "size", "level", "parent", "tag", "attrs", "text", "tail", "content", "inner")
 REVERSE = ("ancestor", "ancestor-or-self", "preceding", "preceding-sibling", "parent")
@@ -91,7 +91,7 @@ class Query:
 
     def filtered(self, rows: DataFrame, where: tuple, within: list[str], reverse: bool = False) -> DataFrame:
         for e in where:
-            if isinstance(e, Literal) and isinstance(e.value, float):
+            if numeric(e):
                 e = Binary("=", Call("position"), e)
             before = rows.columns
             if positional(e):

@@ -90,7 +90,7 @@ def q_union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_inner_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = dom.shred(table(spark, sf_dir, "pages"), tags={"nav"}, inner={"nav"})
-    return query(nodes, Selector.xpath("//nav")).select("page_id", "inner")
+    return query(nodes, Selector.xpath("//nav")).select("page_id", F.col("inner").alias("inner_html"))
 
 
 def q_preceding_count(spark: SparkSession, sf_dir: str) -> DataFrame:

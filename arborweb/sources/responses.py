@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def charset(encoding: str) -> str:
+    """A Python encoding's name as Spark knows it."""
+    return codecs.lookup(encoding).name.upper().replace("ISO8859-1", "ISO-8859-1").replace("ASCII", "US-ASCII").replace("US-US-", "US-")
+
+
 def text_of(responses: DataFrame, encoding: str = "utf-8") -> Column:
     """The text, or else the content in ``encoding``; malformed bytes fail the plan."""
-    return F.coalesce(F.when(F.col("text") != "", F.col("text")), F.decode("content", encoding))
+    return F.coalesce(F.when(F.col("text") != "", F.col("text")), F.decode("content", charset(encoding)))
 
 
 def readable_text(responses: DataFrame, encoding: str = "utf-8") -> DataFrame:
     """``responses`` with ``text`` filled and ``error``: content that cannot be decoded is an
     error row, not a failure. UTF-8 only is checked in the JVM."""
     bad = F.coalesce(F.col("text"), F.lit("")) == ""
-    if encoding.lower().replace("-", "") == "utf8":
+    if charset(encoding) == "UTF-8":
         bad = bad & ~F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(True))
         found = F.coalesce(F.when(F.col("text") != "", F.col("text")), F.make_valid_utf8(F.col("content").cast("string")))
     else:
