@@ -1,10 +1,7 @@
-"""Helpers shared by the operators: stored tables, hold-out remainders, text batches."""
+"""Helpers shared by the operators: tables, hold-out remainders, hashes, text batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..storage import stored
+
+__all__ = ["lower_ascii", "map_arrow", "remainder", "slices", "stored", "table", "unit_hash", "utf8"]
 
 #: Documents handled together inside a Python worker, whatever Arrow batch Spark sends.
 ROWS_AT_ONCE = 256
@@ -27,47 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` if the session
-    names one; a new local folder only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="arborweb-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-_made: dict[str, SparkSession] = {}
-
-
-def _clean() -> None:
-    for root, spark in _made.items():
-        try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session is gone; its folder stays for whoever owns the store
-            pass
-
-
-atexit.register(_clean)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back.
-
-    Cuts the lineage: a lost executor costs no recomputation of what stands
-    above, and each later use reads the same rows. The folder of this
-    application is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/arborweb-{spark.sparkContext.applicationId}"
-    _made[root] = spark
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
