@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.grammar import Selector, guess_grammar
+from ..shipping import series_udf
 
 
 def key_text(method: str, url: str, params: object = None, data: object = None, body: object = None) -> str:
@@ -66,8 +67,7 @@ def _gathered(pairs: object) -> dict[str, object] | None:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def _full_key(method: pd.Series, url: pd.Series, params: pd.Series, data: pd.Series, body: pd.Series) -> pd.Series:
+def _full_keys(method: pd.Series, url: pd.Series, params: pd.Series, data: pd.Series, body: pd.Series) -> pd.Series:
     rows = zip(method, url, params, data, body, strict=True)
     return pd.Series([None if u is None else dedup_key(m, u, _gathered(p), _gathered(d), None if b is None else json.loads(b)) for m, u, p, d, b in rows], dtype=object)
 
@@ -75,7 +75,7 @@ def _full_key(method: pd.Series, url: pd.Series, params: pd.Series, data: pd.Ser
 def request_key(method: Column, url: Column, params: Column, data: Column, body: Column) -> Column:
     """The key of each request row; only rows with parameters, data or a body leave the JVM."""
     bare = (F.coalesce(F.size(params), F.lit(0)) <= 0) & (F.coalesce(F.size(data), F.lit(0)) <= 0) & body.isNull()
-    return F.when(bare, bare_key(method, url)).otherwise(_full_key(method, url, params, data, body))
+    return F.when(bare, bare_key(method, url)).otherwise(series_udf(_full_keys, T.StringType())(method, url, params, data, body))
 
 
 def link_json(selector: Column, grammar: Column, description: Column) -> Column:

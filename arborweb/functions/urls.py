@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import series_udf
+
 # Characters that are never escaped, and those that a whole URL keeps as they are.
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 KEPT = frozenset(UNRESERVED + "!#$%&'()*+,/:;=?@[]~")
@@ -35,16 +37,22 @@ def requote_text(url: str) -> str:
     return "".join(c if c in KEPT else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
 
 
-@F.pandas_udf(T.StringType())
-def requote(url: pd.Series) -> pd.Series:
+def _requoted(url: pd.Series) -> pd.Series:
     return url.map(requote_text, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _join(base: pd.Series, url: pd.Series) -> pd.Series:
+def requote(url: Column | str) -> Column:
+    return series_udf(_requoted, T.StringType())(url)
+
+
+def _joined(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else urljoin(b or "", u) for b, u in zip(base, url, strict=True)], dtype=object)
 
 
+def _join(base: Column, url: Column) -> Column:
+    return series_udf(_joined, T.StringType())(base, url)
+
+
 #: A path without dot segments, and a base with a host, join without Python.
 _ROOTED = r"^/(?!/)(?!.*(?:^|/)\.\.?(?:[/?#]|$)).*$"
 

@@ -8,7 +8,9 @@ PAIRS = "ARRAY<STRUCT<k: STRING, v: STRING>>"
 
 REQUESTS = (
     f"request_id STRING, parent_id STRING, method STRING, url STRING, params {PAIRS}, data {PAIRS}, json STRING, "
-    "headers MAP<STRING, STRING>, cookies MAP<STRING, STRING>, continuation STRING, current_location STRING, "
+    "headers MAP<STRING, STRING>, cookies MAP<STRING, STRING>, files STRING, auth STRUCT<user: STRING, password: STRING>, "
+    "connect_timeout DOUBLE, read_timeout DOUBLE, allow_redirects BOOLEAN, proxies MAP<STRING, STRING>, verify STRING, stream BOOLEAN, "
+    "cert STRUCT<cert: STRING, key: STRING>, data_bytes BINARY, incidental STRING, continuation STRING, current_location STRING, "
     "accumulated_data STRING, permanent STRING, priority INT, dedup_key STRING, skip_dedup BOOLEAN, is_speculative BOOLEAN, "
     "speculation_id STRUCT<entry: STRING, param_index: INT, n: BIGINT>, via_json STRING, archive BOOLEAN, nonnavigating BOOLEAN, "
     "bypass_rate_limit BOOLEAN, reseedable BOOLEAN, expected_type STRING, archive_hash_header STRING"
@@ -34,3 +36,6 @@ PERSISTENT = (
 )
 
 STATUSES = ("in_development", "active", "retired")
+
+#: What a scraper may ask of its transport. At most one of the two browser profiles.
+DRIVER_REQUIREMENTS = ("js_eval", "ff_alike", "chrome_alike", "hcap_handler", "rcap_handler", "cfcap_handler", "h11_header_fixes", "follow_redirects", "strictly_serial")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,23 +116,44 @@ def merge_override(default: Column, override: str | list[str | None]) -> Column:
     return F.filter(F.array(*kept), lambda v: v.isNotNull())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A column that is used inside a lambda would
+    else be computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sent(fields: Column, on: Column) -> Column:
+    """(k, v) of the fields that are submitted when control ``on`` is."""
+    each = F.transform(fields, lambda f, i: F.struct(f["name"].alias("k"), F.coalesce(f["value"], F.lit("")).alias("v"), (~f["field_type"].isin("submit", "image") | (i == on)).alias("goes")))
+    return F.filter(each, lambda f: f["goes"])
+
+
+def _by_name(sent: Column) -> Column:
+    """(k, vs) of each name in the order of its first field."""
+    names = F.array_distinct(F.transform(sent, lambda f: f["k"]))
+    return let(names, lambda ns: F.transform(ns, lambda n: F.struct(n.alias("k"), F.transform(F.filter(sent, lambda f: f["k"] == n), lambda f: f["v"]).alias("vs"))))
+
+
+def _overridden(values: Column, name: str, override: str | list[str | None]) -> Column:
+    def body(vs: Column) -> Column:
+        default = F.coalesce(F.get(F.filter(vs, lambda x: x["k"] == name), F.lit(0))["vs"], F.expr("cast(array() as array<string>)"))
+        new = F.struct(F.lit(name).alias("k"), merge_override(default, override).alias("vs"))
+        there = F.exists(vs, lambda x: x["k"] == name)
+        return let(new, lambda n: F.when(there, F.transform(vs, lambda x: F.when(x["k"] == name, n).otherwise(x))).otherwise(F.concat(vs, F.array(n))))
+
+    return let(values, body)
+
+
 def submit(forms: DataFrame, continuation: str, *, data: Mapping[str | Selector, str | list[str | None]] | None = None, submit_selector: str | Selector | None = None, key: str = "page_id") -> DataFrame:
     """A request for each form. Names keep the order in which they first stand in the form,
     repeated ones have all their values; overrides come in place or, for new names, last.
     POST only if the form says so; a GET carries ``params``, a POST ``data``."""
     if not continuation:
         raise ValueError("a request needs a continuation")
-    rows = forms.withColumn("_on", activated(F.col("fields"), submit_selector))
-    rows = rows.withColumn("_sent", F.filter(F.transform("fields", lambda f, i: F.struct(i.alias("i"), f["name"].alias("k"), F.coalesce(f["value"], F.lit("")).alias("v"), f["field_type"].alias("t"))), lambda f: ~f["t"].isin("submit", "image") | (f["i"] == F.col("_on"))))
-    rows = rows.withColumn("_names", F.array_distinct(F.transform("_sent", lambda f: f["k"])))
-    values = F.transform("_names", lambda n: F.struct(n.alias("k"), F.transform(F.filter("_sent", lambda f: f["k"] == n), lambda f: f["v"]).alias("vs")))
-    rows = rows.withColumn("_values", values)
+    values = let(activated(F.col("fields"), submit_selector), lambda on: let(_sent(F.col("fields"), on), _by_name))
     for name, override in (data or {}).items():
-        name = name.value if isinstance(name, Selector) else name
-        default = F.coalesce(F.get(F.filter("_values", lambda x: x["k"] == name), F.lit(0))["vs"], F.expr("cast(array() as array<string>)"))
-        rows = rows.withColumn("_new", F.struct(F.lit(name).alias("k"), merge_override(default, override).alias("vs")))
-        there = F.exists("_values", lambda x: x["k"] == name)
-        rows = rows.withColumn("_values", F.when(there, F.transform("_values", lambda x: F.when(x["k"] == name, F.col("_new")).otherwise(x))).otherwise(F.concat("_values", F.array("_new"))))
+        values = _overridden(values, name.value if isinstance(name, Selector) else name, override)
+    rows = forms.withColumn("_values", values)
     pairs = F.flatten(F.transform("_values", lambda x: F.transform(x["vs"], lambda v: F.struct(x["k"].alias("k"), v.alias("v")))))
     none = F.expr("cast(null as array<struct<k: string, v: string>>)")
     post = F.col("method") == "POST"

@@ -8,15 +8,48 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import identity, urls
-from ..model import ARCHIVE_PRIORITY, DEFAULT_PRIORITY
+from ..model import ARCHIVE_PRIORITY, DEFAULT_PRIORITY, DEFAULT_TIMEOUT, METHODS, REQUESTS
+from ..shipping import series_udf
 from ..storage import stored
 
 
+def build(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Requests from mappings of their fields. ``params`` and ``data`` may be mappings (a list
+    for repeated names) or (name, value) pairs; what is left out gets its default."""
+    made = []
+    for r in rows:
+        r = {"method": "GET", "allow_redirects": True, "stream": False, "verify": "true", **r}
+        if r["method"] not in METHODS:
+            raise ValueError(f"unknown method {r['method']!r}")
+        timeout = r.pop("timeout", DEFAULT_TIMEOUT)
+        both = timeout if isinstance(timeout, tuple) else (timeout, timeout)
+        r["connect_timeout"], r["read_timeout"] = map(float, both)
+        for name in ("params", "data"):
+            given = r.get(name)
+            if isinstance(given, dict):
+                given = [(k, x) for k, v in given.items() for x in (v if isinstance(v, list) else [v])]
+            if given is not None:
+                r[name] = [{"k": str(k), "v": str(v)} for k, v in given]
+        for name in ("json", "permanent", "accumulated_data"):
+            if r.get(name) is not None and not isinstance(r[name], str):
+                r[name] = json.dumps(r[name])
+        made.append(json.dumps(r))
+    return spark.createDataFrame(made, "string").select(F.from_json("value", REQUESTS).alias("r")).select("r.*")
+
+
+def with_default_headers(requests: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """A site's default headers under those of each request, names compared in any case."""
+    base = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]) if defaults else F.expr("cast(map() as map<string, string>)")
+    own = F.coalesce("headers", F.expr("cast(map() as map<string, string>)"))
+    names = F.transform(F.map_keys(own), lambda k: F.lower(k))
+    return requests.withColumn("headers", F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(names, F.lower(k))), own))
+
+
 def merge_permanent_text(parent: str | None, child: str | None) -> str | None:
     """What holds for a whole chain of requests: the child's over the parent's, headers and
     cookies name by name."""
@@ -30,13 +63,12 @@ def merge_permanent_text(parent: str | None, child: str | None) -> str | None:
     return json.dumps(out, sort_keys=True)
 
 
-@F.pandas_udf(T.StringType())
 def _merged(parent: pd.Series, child: pd.Series) -> pd.Series:
     return pd.Series([merge_permanent_text(p, c) for p, c in zip(parent, child, strict=True)], dtype=object)
 
 
 def merge_permanent(parent: Column, child: Column) -> Column:
-    return F.when(parent.isNull(), child).when(child.isNull(), parent).otherwise(_merged(parent, child))
+    return F.when(parent.isNull(), child).when(child.isNull(), parent).otherwise(series_udf(_merged, T.StringType())(parent, child))
 
 
 def with_permanent(permanent: Column, name: str, own: Column) -> Column:

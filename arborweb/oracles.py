@@ -83,6 +83,12 @@ SQL = {
         (1, 'request', '{"url": "/record/' || c_custkey || '", "continuation": "parse_form", "method": "GET", "priority": 3}')) v(seq, kind, payload)""",
     "step_catalog": """SELECT 'CustomerSite' AS scraper, 'parse_form' AS name, 3::BIGINT AS priority, 'utf-8' AS encoding, '["page", "response"]' AS wants""",
     "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey IN (id * 16 + 1, id * 16 + 2)) SELECT id AS o_orderkey FROM r""",
+    "reseed_points": "SELECT conv_id || '/' || turn AS failed_id, conv_id || '/' || (turn - turn % 3) AS reseed_id FROM conversations WHERE role = 'assistant'",
+    "speculative_requests": "SELECT '/s/' || s_suppkey AS url, true AS is_speculative, 'by_number' AS entry, s_suppkey AS n FROM supplier",
+    "deferred_fields": "SELECT s_suppkey, 'captcha=solved&id=' || s_suppkey AS body FROM supplier",
+    "default_headers": "SELECT s_suppkey, 'Accept: text/html, user-agent: ' || s_name AS headers FROM supplier",
+    "json_api_join": "SELECT s_suppkey AS suppkey, s_name AS name, s_nationkey AS nationkey FROM supplier",
+    "split_outputs": "SELECT c_custkey::VARCHAR AS parent_id, '/record/' || c_custkey AS url, 'parse_form' AS continuation, 3::BIGINT AS priority FROM customer",
 }
 
 

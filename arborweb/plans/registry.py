@@ -17,6 +17,7 @@ from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import AssumptionError, ConfigError
 from ..model import DEFAULT_PRIORITY
@@ -71,6 +72,32 @@ class Follow:
         return {"url": self.url, "continuation": name, "method": self.method, "priority": priority, **self.fields}
 
 
+@dataclass(frozen=True)
+class WaitForSelector:
+    """Conditions that a browser transport waits for before a page is read; others ignore them."""
+
+    selector: str
+    state: str = "visible"
+    timeout: int | None = None
+
+
+@dataclass(frozen=True)
+class WaitForLoadState:
+    state: str = "load"
+    timeout: int | None = None
+
+
+@dataclass(frozen=True)
+class WaitForURL:
+    url: str
+    timeout: int | None = None
+
+
+@dataclass(frozen=True)
+class WaitForTimeout:
+    timeout: int
+
+
 def step(fn: Callable | None = None, *, priority: int = DEFAULT_PRIORITY, encoding: str = "utf-8", preprocess: Callable[[str], str] | None = None, await_list: tuple = (), auto_await_timeout: float | None = None) -> Callable:
     """Declares a step."""
 
@@ -180,6 +207,7 @@ class Scraper:
     requires_auth = False
     rate_limits: list | None = None
     default_headers: dict[str, str] | None = None
+    #: Of ``model.DRIVER_REQUIREMENTS``.
     driver_requirements: list[str] = []
     http_code_types: dict[int, str] | None = None
 
@@ -249,7 +277,7 @@ class Scraper:
     # the catalogue as tables
 
     def steps_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(type(self).__name__, s.name, s.priority, s.encoding, json.dumps(list(s.wants)), json.dumps([str(a) for a in s.await_list]), s.auto_await_timeout) for s in self.list_steps()]
+        rows = [(type(self).__name__, s.name, s.priority, s.encoding, json.dumps(list(s.wants)), json.dumps([{'type': type(a).__name__, **vars(a)} for a in s.await_list]), s.auto_await_timeout) for s in self.list_steps()]
         return spark.createDataFrame(rows, "scraper STRING, name STRING, priority INT, encoding STRING, wants STRING, await_list STRING, auto_await_timeout DOUBLE")
 
     def entries_table(self, spark: SparkSession) -> DataFrame:
@@ -316,6 +344,16 @@ def execute(scraper: Scraper, name: str, response: dict) -> Iterator[dict]:
         yield {"seq": seq, "kind": "error", "payload": None, "error_class": "AssumptionError", "error": f"{type(e).__name__}: {e}"}
 
 
+def split_outputs(outputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(data, requests, errors) of the rows of ``run_step``. Store the rows first: else each
+    part runs the step again."""
+    data = outputs.filter("kind = 'data'").select("request_id", "seq", F.col("payload").alias("data"))
+    fields = F.from_json("payload", "url STRING, continuation STRING, method STRING, priority INT, archive BOOLEAN, dedup_key STRING, permanent STRING, accumulated_data STRING")
+    more = outputs.filter("kind = 'request'").select(F.col("request_id").alias("parent_id"), "seq", fields.alias("r")).select("parent_id", "seq", "r.*")
+    errors = outputs.filter("kind = 'error'").select("request_id", F.col("error_class").alias("class"), F.col("error").alias("message"))
+    return data, more, errors
+
+
 def run_step(responses: DataFrame, scraper: type[Scraper], name: str) -> DataFrame:
     """``request_id, seq, kind (data, request, error), payload (JSON), error_class, error``
     of ``responses`` in a step. An unknown step is a fault of the scraper, found at once."""

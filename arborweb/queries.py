@@ -16,6 +16,7 @@ from .plans.frontier import crawl
 from .plans.grammar import Selector
 from .plans.treequery import query, query_strings, scalar
 from .sources import dom, responses
+from .storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 ANCHORS = Selector.xpath("//a")
@@ -58,7 +59,8 @@ def q_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_nested_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom.shred(table(spark, sf_dir, "pages"), content={"a"})
+    # read more than once: parsed once
+    nodes = stored(dom.shred(table(spark, sf_dir, "pages"), tags={"nav", "ul", "li", "a"}, content={"a"}))
     menus = query(nodes, Selector.xpath("//nav//ul"))
     found = query(nodes, Selector.xpath(".//li/a"), menus)
     return found.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("content").alias("text"))
@@ -94,7 +96,7 @@ def q_inner_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_preceding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom.shred(table(spark, sf_dir, "pages"))
+    nodes = stored(dom.shred(table(spark, sf_dir, "pages"), tags={"a", "footer"}))
     feet = query(nodes, Selector.xpath("//footer"))
     return scalar(nodes, Selector.xpath("string(count(preceding::a))"), feet).select("page_id", F.col("value").alias("n"))
 
@@ -103,7 +105,7 @@ def q_native_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows rendered as well-formed markup and read back: suppliers' names and countries."""
     s = table(spark, sf_dir, "supplier")
     html = F.format_string("<html><body><div class='row'><b>%s</b><i>%s</i></div></body></html>", F.col("s_name"), F.col("s_nationkey").cast("string"))
-    nodes = dom.shred(s.select(F.col("s_suppkey").alias("page_id"), html.alias("html")), url=None, content={"b", "i"})
+    nodes = stored(dom.shred(s.select(F.col("s_suppkey").alias("page_id"), html.alias("html")), url=None, content={"b", "i"}))
     name = query(nodes, Selector.css("div.row > b")).select("page_id", F.col("content").alias("name"))
     nation = query(nodes, Selector.css("div.row > i")).select("page_id", F.col("content").cast("int").alias("nationkey"))
     return name.join(nation, "page_id").select(F.col("page_id").alias("suppkey"), "name", "nationkey")
@@ -130,7 +132,7 @@ def _form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom.shred(_form_pages(spark, sf_dir), content={"option", "textarea"})
+    nodes = stored(dom.shred(_form_pages(spark, sf_dir), tags={"form", *forms.CONTROLS, "option"}, content={"option", "textarea"}))
     return forms.find_forms(nodes, Selector.css("form#f"))
 
 
@@ -185,6 +187,63 @@ def q_ancestor_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.chains(r).select("request_id", F.col("depth").cast("long").alias("depth"))
 
 
+def q_reseed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed requests are the turns of assistants; every third turn may be sent again."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    up = F.when(F.col("turn") > 0, F.concat(F.col("conv_id").cast("string"), F.lit("/"), (F.col("turn") - 1).cast("string")))
+    r = c.select(name.alias("request_id"), up.alias("parent_id"), F.when(F.col("turn") % 3 == 0, F.lit(True)).alias("reseedable"), "role")
+    return requests.reseed_points(r, r.filter("role = 'assistant'"))
+
+
+def q_speculative_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/s/"), F.col("s_suppkey").cast("string")).alias("url"), "s_suppkey")
+    r = requests.speculative(s, "by_number", 0, F.col("s_suppkey"))
+    return r.select("url", "is_speculative", F.col("speculation_id.entry").alias("entry"), F.col("speculation_id.n").alias("n"))
+
+
+def q_deferred_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of each form is given by a service that is asked once."""
+
+    async def solve() -> str:
+        return "solved"
+
+    s = table(spark, sf_dir, "supplier")
+    none = F.lit(None).cast("string")
+    pairs = F.array(F.struct(F.lit("captcha").alias("k"), F.lit(requests.deferred("solve")).alias("v")), F.struct(F.lit("id").alias("k"), F.col("s_suppkey").cast("string").alias("v")))
+    r = s.select("s_suppkey", F.lit("POST").alias("method"), F.lit("http://x/f").alias("url"), F.lit(None).cast("array<struct<k:string,v:string>>").alias("params"), pairs.alias("data"), none.alias("json"), none.alias("via_json"), none.alias("dedup_key"))
+    done = requests.resolve_deferred(r, {"solve": solve})
+    return done.select("s_suppkey", F.array_join(F.transform("data", lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&").alias("body"))
+
+
+def q_default_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.create_map(F.lit("user-agent"), F.col("s_name")).alias("headers"))
+    r = requests.with_default_headers(s, {"User-Agent": "default", "Accept": "text/html"})
+    return r.select("s_suppkey", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), ", ").alias("headers"))
+
+
+def q_json_api_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of pages joined to the JSON that an interface gives for the same key."""
+    s = table(spark, sf_dir, "supplier")
+    nodes = dom.shred(s.select(F.col("s_suppkey").alias("page_id"), F.format_string("<p id='k'>%s</p>", F.col("s_name")).alias("html")), url=None, tags={"p"}, content={"p"})
+    left = query(nodes, Selector.xpath("//p[@id='k']")).select(F.col("page_id").alias("suppkey"), F.col("content").alias("name"))
+    api = s.select(F.to_json(F.struct(F.col("s_suppkey").alias("key"), F.struct(F.col("s_nationkey").alias("nation")).alias("meta"))).alias("text"), F.lit(None).cast("binary").alias("content"))
+    read = responses.json_of(api).filter("error is null").select(F.try_variant_get("json", "$.key", "bigint").alias("suppkey"), F.try_variant_get("json", "$.meta.nation", "int").alias("nationkey"))
+    return left.join(read, "suppkey")
+
+
+def q_rate_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return rates.admit(e, 2, 3600, keys=["user_id"]).select("event_id", "admitted")
+
+
+def q_split_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _form_pages(spark, sf_dir)
+    given = pages.select(F.col("page_id").cast("string").alias("request_id"), F.lit(200).alias("status_code"), F.col("html").alias("text"), "url")
+    data, more, errors = registry.split_outputs(stored(registry.run_step(given, CustomerSite, "parse_form")))
+    return more.select("parent_id", "url", "continuation", F.col("priority").cast("long").alias("priority"))
+
+
 def q_archive_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     asked = p.select(F.col("page_id").cast("string").alias("request_id"), "url", F.lit(True).alias("archive"))
@@ -200,7 +259,7 @@ def q_accum_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.format_string("<html><body><h1 id='%s'>%s</h1><a class='up' href='%s'>up</a></body></html>", key.cast("string"), name, up.cast("string"))
 
     def read(pages: DataFrame, prefix: str) -> DataFrame:
-        nodes = dom.shred(pages, url=None, content={"h1"})
+        nodes = stored(dom.shred(pages, url=None, tags={"h1", "a"}, content={"h1"}))
         head = query(nodes, Selector.xpath("//h1[@id]")).select("page_id", F.col("content").alias(f"{prefix}_name"))
         up = query(nodes, Selector.css("a.up")).select("page_id", F.col("attrs")["href"].cast("int").alias(f"{prefix}_up"))
         return head.join(up, "page_id").withColumnRenamed("page_id", f"{prefix}_id")
@@ -295,7 +354,6 @@ def q_spec_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_speculation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States after a stream of the probes, as a table."""
-    from .storage import shared_dir, stored
     from .streaming.speculation import stream_speculation
 
     probes = stored(_probes(spark, sf_dir).withColumn("entry", F.col("entry").cast("string")))
@@ -308,7 +366,6 @@ def q_speculation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_frontier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .storage import shared_dir, stored
     from .streaming.frontier import stream_dedup
 
     found = stored(links.follow(links.find_links(table(spark, sf_dir, "pages"), ANCHORS), "parse_page").select("url", "dedup_key", F.lit(False).alias("skip_dedup")))
@@ -324,7 +381,7 @@ def q_frontier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_observer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom.shred(table(spark, sf_dir, "pages"), content={"li", "p"})
+    nodes = stored(dom.shred(table(spark, sf_dir, "pages"), tags={"li", "p"}, content={"li", "p"}))
     found = None
     for s in ("//li", "//p"):
         rows = query(nodes, Selector.xpath(s)).select("page_id", F.lit(s).alias("selector"), F.col("pre").alias("seq"), F.col("content").alias("text"))
@@ -405,7 +462,7 @@ NAMES = (
     "union_query", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
     "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step",
-    "schema_json", "step_catalog", "crawl",
+    "schema_json", "step_catalog", "crawl", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
 )
 
 

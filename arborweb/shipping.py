@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _sent: set[str] = set()
 
@@ -26,3 +29,12 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
     _sent.add(app)
+
+
+def series_udf(fn: Callable, returns: T.DataType) -> Callable[..., Column]:
+    """``fn`` over pandas series as a column function of the session at hand. Made anew for
+    each use: a function that is kept would belong to the session it was first used in."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+    return F.pandas_udf(fn, returns)

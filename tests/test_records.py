@@ -227,3 +227,39 @@ def test_steps(spark):
     assert got["2"]["error_class"] == "AssumptionError" and got["3"]["kind"] == "error"
     with pytest.raises(ConfigError):
         registry.run_step(df, Site, "gone")
+
+
+def test_checks(monkeypatch):
+    from arborweb import checks
+
+    def half(n):
+        return n // 2
+
+    assert checks.require(lambda n: n > 0, "n is positive")(half) is half
+    monkeypatch.setenv("ARBORWEB_CHECKS", "1")
+    strict = checks.ensure(lambda n, result: result * 2 == n, "n is even")(checks.require(lambda n: n > 0, "n is positive")(half))
+    assert strict(4) == 2
+    with pytest.raises(AssertionError, match="precondition of half: n is positive"):
+        strict(0)
+    with pytest.raises(AssertionError, match="postcondition of half: n is even"):
+        strict(3)
+
+
+def test_building_requests(spark):
+    from arborweb.operators import requests
+
+    r = requests.build(spark, [{"url": "u", "continuation": "s", "params": {"a": ["1", "2"], "b": 3}, "timeout": (1, 2), "permanent": {"headers": {"x": "1"}}}]).first()
+    assert [(p["k"], p["v"]) for p in r["params"]] == [("a", "1"), ("a", "2"), ("b", "3")]
+    assert (r["method"], r["connect_timeout"], r["read_timeout"], r["allow_redirects"], r["verify"]) == ("GET", 1.0, 2.0, True, "true")
+    assert json.loads(r["permanent"]) == {"headers": {"x": "1"}}
+    with pytest.raises(ValueError):
+        requests.build(spark, [{"url": "u", "method": "get"}])
+
+
+def test_wait_conditions(spark):
+    class Waiting(registry.Scraper):
+        @registry.step(await_list=(registry.WaitForSelector("#a"), registry.WaitForTimeout(5)))
+        def one(self, page):
+            yield None
+
+    assert json.loads(Waiting().steps_table(spark).first()["await_list"]) == [{"type": "WaitForSelector", "selector": "#a", "state": "visible", "timeout": None}, {"type": "WaitForTimeout", "timeout": 5}]
