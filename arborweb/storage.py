@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
@@ -35,10 +36,18 @@ def _clean() -> None:
             pass
 
 
-def stored(df: DataFrame) -> DataFrame:
+def spooled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept on the executors' disks, for a table that is read more
+    than once and cheap to make again: what a lost executor held is computed anew."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet and read back: the lineage is cut, and a lost executor costs
-    no recomputation of what stands above. This application's folder goes when the driver
-    ends."""
+    no recomputation of what stands above. With ``rows``, at most how many there are, it is
+    written in files of a million. This application's folder goes when the driver ends."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 1_000_000)))
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/arborweb-{spark.sparkContext.applicationId}"
     _made[root] = spark
