@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from ..storage import stored
+from ..storage import spooled, stored
 
-__all__ = ["lower_ascii", "map_arrow", "remainder", "slices", "stored", "table", "unit_hash", "utf8"]
+__all__ = ["lower_ascii", "map_arrow", "remainder", "slices", "spooled", "stored", "table", "unit_hash", "utf8"]
 
 #: Documents handled together inside a Python worker, whatever Arrow batch Spark sends.
 ROWS_AT_ONCE = 256

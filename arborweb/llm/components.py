@@ -21,23 +21,24 @@ def components(edges: DataFrame) -> DataFrame:
     replaces the ends of all edges; edges inside one node vanish. Every node but a local
     minimum goes in each round, so rounds grow with the logarithm of the longest path.
     Minima are taken before the shuffle, and the side of a join that a hub can swell is
-    always one that Spark may split. Nothing reaches the driver but whether edges are left.
+    always one that Spark may split. Nothing reaches the driver but how many edges are left.
     """
     left = stored(edges.filter("a != b").select(*_between("a", "b")).distinct())
-    labels = None
-    while not left.isEmpty():
+    labels, nodes = None, 0
+    while n := left.count():
+        nodes = nodes or 2 * n
         both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+        up = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), 2 * n)
         hook = up.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        up = stored(up.join(hook, "label").select("node", F.col("above").alias("label")))
+        up = stored(up.join(hook, "label").select("node", F.col("above").alias("label")), 2 * n)
         ends = left.join(up.select(F.col("node").alias("a"), F.col("label").alias("c")), "a").select("b", "c")
         ends = ends.join(up.select(F.col("node").alias("b"), F.col("label").alias("d")), "b")
-        left = stored(ends.filter("c != d").select(*_between("c", "d")).distinct())
+        left = stored(ends.filter("c != d").select(*_between("c", "d")).distinct(), n)
         if labels is None:
             labels = up
         else:
             above = up.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            labels = stored(labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")))
+            labels = stored(labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")), nodes)
     return left.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 

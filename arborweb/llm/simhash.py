@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, stored, utf8
+from .common import map_arrow, slices, spooled, stored, utf8
 from .components import components, roots
 
 SHINGLE = 4
@@ -166,16 +166,16 @@ def classes(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
     smallest fingerprint reachable, ``component_id`` the smallest key."""
     fps = stored(rows.groupBy("fp").agg(F.min(key).alias("first")))
     named = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
-    linked = stored(fps.join(named, "fp"))
-    groups = stored(linked.groupBy("label").agg(F.min("first").alias("component_id")))
-    moved = stored(linked.join(groups, "label").select("fp", "label", "component_id"))
+    linked = fps.join(named, "fp")
+    groups = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    moved = linked.join(groups, "label").select("fp", "label", "component_id")
     each = fps.join(moved, "fp", "left")
     return stored(each.select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fingerprint (hex), component_id, label, text_hash`` of each row."""
-    rows = stored(fingerprints(docs, key=key, text=text))
+    rows = spooled(fingerprints(docs, key=key, text=text))
     met = rows.join(classes(rows, key=key), "fp")
     return met.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "label", "text_hash")
 
@@ -184,7 +184,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs``, all columns, with the smallest key of each group of near
     duplicates. Of repeated rows one stays; rows of a group without keys are told apart by
     a hash of the text."""
-    rows = stored(near_duplicates(docs, key=key, text=text).select(F.col(key).alias("k"), "component_id", "label", "text_hash"))
+    rows = near_duplicates(docs, key=key, text=text).select(F.col(key).alias("k"), "component_id", "label", "text_hash")
     first = rows.filter(F.col("k").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("k", "text_hash")).alias("one"), F.count(F.lit(1)).alias("n"))
     chosen = stored(first.select(F.col("one.k").alias("_kept_key"), F.col("one.text_hash").alias("_kept_hash"), "n"))
     on = F.col(key).eqNullSafe(F.col("_kept_key")) & F.xxhash64(text).eqNullSafe(F.col("_kept_hash"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored
+from .common import lower_ascii, spooled, stored
 
 BUCKET_SECONDS = 3600
 
@@ -69,7 +69,7 @@ def as_of(responses: DataFrame, revisits: DataFrame, bucket_seconds: int = BUCKE
     latest of ``responses`` (url, captured, record_id) strictly before it, if any."""
     points = responses.select("url", "captured", "record_id", F.lit(False).alias("asks")).unionByName(revisits.select("url", "captured", F.lit(None).cast(responses.schema["record_id"].dataType).alias("record_id"), F.lit(True).alias("asks")))
     points = points.groupBy("url", "captured").agg(F.max("record_id").alias("record_id"), F.max("asks").alias("asks"))
-    points = stored(points.withColumn("bucket", F.floor(F.col("captured") / bucket_seconds)))
+    points = spooled(points.withColumn("bucket", F.floor(F.col("captured") / bucket_seconds)))
     inside = Window.partitionBy("url", "bucket").orderBy("captured").rowsBetween(Window.unboundedPreceding, -1)
     own = points.withColumn("own", F.last("record_id", ignorenulls=True).over(inside)).filter("asks")
     across = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,12 +81,12 @@ def as_of(responses: DataFrame, revisits: DataFrame, bucket_seconds: int = BUCKE
 def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """``record_id, url, captured, source_id, status, payload_digest, headers`` of each
     revisit in ``records``; ``status`` is resolved, mismatch, no_validator or no_response."""
-    rows = stored(records.select("record_id", canonical_url(F.col("url")).alias("url"), "captured", "kind", "status", "etag", "last_modified", "headers", "payload_digest"))
+    rows = spooled(records.select("record_id", canonical_url(F.col("url")).alias("url"), "captured", "kind", "status", "etag", "last_modified", "headers", "payload_digest"))
     full = rows.filter("kind = 'response' and status = 200 and url is not null and captured is not null and record_id is not null")
     revisits = rows.filter("kind = 'revisit'").select("record_id", "url", "captured", "etag", "last_modified", "headers")
     found = stored(as_of(full, revisits.filter("url is not null and captured is not null"), bucket_seconds))
     source = full.select(F.col("record_id").alias("source_id"), F.col("etag").alias("s_etag"), F.col("last_modified").alias("s_modified"), F.col("headers").alias("s_headers"), F.col("payload_digest").alias("s_digest")).dropDuplicates(["source_id"])
-    pointed = stored(revisits.join(found, ["url", "captured"], "left"))
+    pointed = spooled(revisits.join(found, ["url", "captured"], "left"))
     met = pointed.filter("source_id is not null").join(source, "source_id", "left")
     # those that point nowhere meet nothing: as nulls of one join key they would all go to one task
     met = met.unionByName(pointed.filter("source_id is null"), allowMissingColumns=True)
