@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spooled, stored
 
 
 def _between(a: str, b: str) -> tuple:
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are taken before the shuffle, and the side of a join that a hub can swell is
     always one that Spark may split. Nothing reaches the driver but how many edges are left.
     """
-    left = stored(edges.filter("a != b").select(*_between("a", "b")).distinct())
+    left = spooled(edges.filter("a != b").select(*_between("a", "b")).distinct())
     labels, nodes = None, 0
     while n := left.count():
         nodes = nodes or 2 * n

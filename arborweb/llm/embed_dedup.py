@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, stored
+from .common import map_arrow, spooled, stored
 from .components import components, roots
 
 NEAR = 0.93
@@ -163,7 +163,7 @@ def compare(cid: np.ndarray, copies: np.ndarray, v: np.ndarray, codes: list[np.n
 
 def links(routed: DataFrame) -> DataFrame:
     """``a, b, n``: class ``a`` links to ``n`` vectors in a cell and is connected to ``b`` there."""
-    large = stored(routed.groupBy("label", "code", F.size("v").alias("dim")).count().filter(F.col("count") > 2 * CELL))
+    large = spooled(routed.groupBy("label", "code", F.size("v").alias("dim")).count().filter(F.col("count") > 2 * CELL))
     met = routed.withColumn("dim", F.size("v")).join(large, ["label", "code", "dim"], "left")
     blocks = F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1)).cast("int")
     met = met.withColumn("block", F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int"))
@@ -217,14 +217,14 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     valid = rows.filter("valid")
     grouped = valid.groupBy("h", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    found = stored(links(stored(route(classes, fit(classes)))))
+    found = spooled(links(spooled(route(classes, fit(classes)))))
     counts = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     group = components(found.select("a", "b")).withColumnRenamed("node", "cid")
     slim = classes.select("h", "h2", "cid", "copies", "first")
     labelled = slim.join(group, "cid", "left").withColumn("group", F.coalesce("label", "cid")).drop("label")
-    labelled = stored(labelled.join(counts, "cid", "left").select("h", "h2", "group", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    labelled = spooled(labelled.join(counts, "cid", "left").select("h", "h2", "group", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     ids = labelled.groupBy("group").agg(F.min("first").alias("component_id"))
-    known = stored(labelled.join(ids, "group").select("h", "h2", "n_links", "component_id"))
+    known = stored(labelled.join(ids, "group").select("h", "h2", "n_links", "component_id"), classes.count())
     met = rows.select("id", "h", "h2", "valid").join(known.withColumn("valid", F.lit(True)), ["h", "h2", "valid"], "left")
     out = met.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

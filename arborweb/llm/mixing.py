@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, unit_hash
+from .common import spooled, unit_hash
 
 #: Sources whose rates are broadcast; with more, documents and rates meet by a salted join.
 BROADCAST_SOURCES = 100_000
@@ -41,7 +41,7 @@ def rates(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: fl
         share = F.coalesce(F.create_map(*[F.lit(v) for k, w in weights.items() for v in (f"+{k}", float(w))])[F.col("label")], F.lit(0.0))
     else:
         share = F.lit(0.0)
-    counted = stored(counted.withColumn("share", share))
+    counted = spooled(counted.withColumn("share", share))
     sums = counted.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"), F.sum("share").alias("share")).first()
     rate = F.col("share") / F.lit(sums["share"] or 1.0) * F.lit(sums["n"] or 0) * F.lit(float(epochs)) / F.col("n")
     return counted.select("label", "n", rate.alias("rate")).filter("rate > 0"), sums["sources"]

@@ -164,13 +164,13 @@ def links(fps: DataFrame) -> DataFrame:
 def classes(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """``fp, label, component_id`` of each fingerprint in ``rows (key, fp)``: ``label`` is the
     smallest fingerprint reachable, ``component_id`` the smallest key."""
-    fps = stored(rows.groupBy("fp").agg(F.min(key).alias("first")))
+    fps = spooled(rows.groupBy("fp").agg(F.min(key).alias("first")))
     named = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     linked = fps.join(named, "fp")
     groups = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     moved = linked.join(groups, "label").select("fp", "label", "component_id")
     each = fps.join(moved, "fp", "left")
-    return stored(each.select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")))
+    return stored(each.select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), fps.count())
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +186,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     a hash of the text."""
     rows = near_duplicates(docs, key=key, text=text).select(F.col(key).alias("k"), "component_id", "label", "text_hash")
     first = rows.filter(F.col("k").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("k", "text_hash")).alias("one"), F.count(F.lit(1)).alias("n"))
-    chosen = stored(first.select(F.col("one.k").alias("_kept_key"), F.col("one.text_hash").alias("_kept_hash"), "n"))
+    chosen = spooled(first.select(F.col("one.k").alias("_kept_key"), F.col("one.text_hash").alias("_kept_hash"), "n"))
     on = F.col(key).eqNullSafe(F.col("_kept_key")) & F.xxhash64(text).eqNullSafe(F.col("_kept_hash"))
     kept = docs.join(chosen.select("_kept_key", "_kept_hash").distinct().hint("shuffle_hash"), on, "left_semi")
     if chosen.filter("n > 1").isEmpty():

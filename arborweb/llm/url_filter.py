@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored
+from .common import lower_ascii, spooled
 
 ORDER = 4
 #: Characters that the lowest order shares its weight among.
@@ -94,13 +94,13 @@ def judge(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, spam:
         spammy = spammy | F.col("host").contains(word)
     label = F.when(spammy | (F.col("ruled") == "block"), F.lit("r")).when(F.col("ruled") == "allow", F.lit("a"))
     # a URL counts as often as it stands in the table; equal ones are scored once
-    texts = stored(rows.withColumn("label", label).groupBy("text", "label").agg(F.count(F.lit(1)).alias("n")))
+    texts = spooled(rows.withColumn("label", label).groupBy("text", "label").agg(F.count(F.lit(1)).alias("n")))
     exploded = texts.select("text", "label", "n", F.explode(_grams(F.col("text"))).alias("gram"))
     counted = exploded.groupBy("gram").agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(c) for c in ("a", "r")])
-    table = stored(ratios(stored(counted)))
+    table = spooled(ratios(spooled(counted)))
     few = table.count() <= BROADCAST_GRAMS
     met = exploded.select("text", "label", "n", "gram").join(F.broadcast(table) if few else table, "gram")
-    scored = stored(met.groupBy("text", "label", "n").agg(F.avg("llr").alias("score")))
+    scored = spooled(met.groupBy("text", "label", "n").agg(F.avg("llr").alias("score")))
 
     by = {r["label"]: r for r in scored.filter("label is not null").groupBy("label").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("m"), (F.sum(F.col("n") * F.col("score") * F.col("score")) / F.sum("n")).alias("q")).collect()}
     if len(by) == 2:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, spooled, stored
+from .common import lower_ascii, spooled
 
 BUCKET_SECONDS = 3600
 
@@ -84,7 +84,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     rows = spooled(records.select("record_id", canonical_url(F.col("url")).alias("url"), "captured", "kind", "status", "etag", "last_modified", "headers", "payload_digest"))
     full = rows.filter("kind = 'response' and status = 200 and url is not null and captured is not null and record_id is not null")
     revisits = rows.filter("kind = 'revisit'").select("record_id", "url", "captured", "etag", "last_modified", "headers")
-    found = stored(as_of(full, revisits.filter("url is not null and captured is not null"), bucket_seconds))
+    found = spooled(as_of(full, revisits.filter("url is not null and captured is not null"), bucket_seconds))
     source = full.select(F.col("record_id").alias("source_id"), F.col("etag").alias("s_etag"), F.col("last_modified").alias("s_modified"), F.col("headers").alias("s_headers"), F.col("payload_digest").alias("s_digest")).dropDuplicates(["source_id"])
     pointed = spooled(revisits.join(found, ["url", "captured"], "left"))
     met = pointed.filter("source_id is not null").join(source, "source_id", "left")
