@@ -16,7 +16,7 @@ from .plans.frontier import crawl
 from .plans.grammar import Selector
 from .plans.treequery import query, query_strings, scalar
 from .sources import dom, responses
-from .storage import shared_dir, stored
+from .storage import stored, stream_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 ANCHORS = Selector.xpath("//a")
@@ -360,7 +360,7 @@ def q_speculation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(probes.schema).parquet(probes.inputFiles()[0].rsplit("/", 1)[0])
     states = stream_speculation(source, 2)
     name = "speculation_states"
-    run = states.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(states)}").trigger(availableNow=True).start()
+    run = states.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", stream_dir(spark)).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).groupBy("entry").agg(F.max_by("done", "last_n").alias("done"), F.max("last_n").alias("last_n"))
 
@@ -372,7 +372,7 @@ def q_frontier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(found.schema).parquet(found.inputFiles()[0].rsplit("/", 1)[0])
     once = stream_dedup(source)
     name = "frontier_once"
-    run = once.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(once)}").trigger(availableNow=True).start()
+    run = once.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", stream_dir(spark)).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("url", "dedup_key")
 

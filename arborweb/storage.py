@@ -36,6 +36,17 @@ def _clean() -> None:
             pass
 
 
+def _fresh(spark: SparkSession) -> str:
+    root = f"{shared_dir(spark)}/arborweb-{spark.sparkContext.applicationId}"
+    _made[root] = spark
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def stream_dir(spark: SparkSession) -> str:
+    """A new checkpoint location for a stream of this application."""
+    return _fresh(spark)
+
+
 def spooled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept on the executors' disks, for a table that is read more
     than once and cheap to make again: what a lost executor held is computed anew."""
@@ -48,9 +59,6 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     written in files of a million. This application's folder goes when the driver ends."""
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // 1_000_000)))
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/arborweb-{spark.sparkContext.applicationId}"
-    _made[root] = spark
-    path = f"{root}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, _fresh(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
