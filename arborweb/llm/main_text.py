@@ -41,8 +41,8 @@ HINTS = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent
     gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar
     navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist reply replies respond disqus
-    discussion share sharing social related recommended recommendations widget toolbar pagination pager login search
-    skip contentinfo complementary toc hidden""".split()
+    discussion share sharing social related recommended recommendations toolbar pagination pager login search
+    contentinfo complementary hidden""".split()
 )
 READER = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 
