@@ -86,3 +86,12 @@ SELECT record_id, url, captured, source_id, status, CASE WHEN status = 'resolved
     'last-modified: ' || CASE WHEN status = 'resolved' THEN coalesce(modified, s_modified) ELSE modified END) AS headers
 FROM judged
 """
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+first AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN first ON first.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""

@@ -83,7 +83,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_poisson_mixing": oracles.MIXING,
-        "op4_embedding_dedup": op4_embedding_dedup,
+        "op4_embedding_dedup": oracles.EMBEDDINGS,
         "op5_warc_revisits": oracles.WARC,
         "op9_url_filter": oracles.URL_FILTER,
     }

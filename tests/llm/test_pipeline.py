@@ -105,3 +105,4 @@ def test_every_operator_has_its_query():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{n}" for n in range(1, 11)}
     assert set(queries.oracle_sql()) <= set(queries.queries())
+    assert all(isinstance(sql, str) for sql in queries.oracle_sql().values())
