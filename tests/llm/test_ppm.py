@@ -115,3 +115,14 @@ def test_long_text_in_blocks(spark, monkeypatch):
     whole = ppm.code_lengths(trie, keys)
     monkeypatch.setattr(ppm, "BLOCK", 100)
     assert np.allclose(ppm.code_lengths(trie, keys), whole)
+
+
+def test_no_gram_is_dropped(spark, rows, monkeypatch):
+    """Whatever share of the n-grams is sent to the workers, the model is the whole one."""
+    monkeypatch.setattr(ppm, "GRAMS", 20)
+    monkeypatch.setattr(ppm.fit, "__defaults__", (20,))
+    model = Plain([t for (i, t) in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1])
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
+    texts = dict(rows)
+    for r in ppm.score(df).collect():
+        assert r["score"] == pytest.approx(model.log10(texts[r["doc_id"]]), rel=1e-9), r["doc_id"]
