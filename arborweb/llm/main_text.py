@@ -2,8 +2,10 @@
 
 A page is read once into tags and runs of words. Menus, notices, comments, scripts
 and the like are passed over: what is in them scores nothing and is never shown.
-Other words score positive; tags, link words and words outside a page's article
-element score negative. One linear scan finds the contiguous run with the greatest
+Other words score positive, also those of links in an article element or a main heading;
+tags and words outside a page's article element score negative. Elsewhere a link's words
+score as the labelled pages teach, so that a long link pays for its tags and a short one,
+as in a menu, does not. One linear scan finds the contiguous run with the greatest
 sum; its words are the main text, one line for each block.
 
 The weights are log odds of lying inside the marked region of labelled pages
@@ -135,8 +137,9 @@ def tokens(page: str) -> list[Token]:
     """The tags and text runs of a page with their features.
 
     Tags and words in an excluded element are ``never``. Other words are ``word:outside``
-    outside the article or main element of a page that has one, ``word:link`` in a link,
-    else ``word:plain``. An element that a hint excludes counts all the same if it holds a
+    outside the article or main element of a page that has one, ``word:linked`` in a link
+    in such an element, an h1 or an h2, ``word:link`` in any other link, else ``word:plain``.
+    Tags are ``in:name`` where a link is ``word:linked``, else ``tag:name``. An element that a hint excludes counts all the same if it holds a
     main, article or h1 element.
     """
     seen = list(events(page))
@@ -155,16 +158,16 @@ def tokens(page: str) -> list[Token]:
             while stack.pop()[0] != name:
                 pass
     out: list[Token] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, never, in main, in link
-    state = (False, not has_main, False)
+    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, never, in main, in link, in article or heading
+    state = (False, not has_main, False, False)
     for k, (what, name, attrs) in enumerate(seen):
         if what == "text":
             text = entities.unescape(attrs)
-            never, main, link = state
-            kind = "never" if never else "word:outside" if not main else "word:link" if link else "word:plain"
+            never, main, link, own = state
+            kind = "never" if never else "word:outside" if not main else "word:plain" if not link else "word:linked" if own else "word:link"
             out.append(Token(kind, text, len(text.split()), inside=not never and main))
             continue
-        hidden = state[0]
+        hidden, before = state[0], state[3]
         if what == "open":
             if name in ENDS_P:
                 for i in range(len(open_) - 1, -1, -1):
@@ -180,18 +183,19 @@ def tokens(page: str) -> list[Token]:
                         break
                 elif open_[i][0] in SCOPE:
                     break
-            never, main, link = open_[-1][1:] if open_ else (False, not has_main, False)
+            never, main, link, own = open_[-1][1:] if open_ else (False, not has_main, False, False)
             hint = _hints(name, attrs)
             never = never or name in NEVER or (bool(hint) and k not in holds)
             main = main or (name in ("main", "article") and not hint)
+            own = main and (own or has_main or name in ("h1", "h2"))
             if name not in VOID and name not in RAW:
-                open_.append((name, never, main, link or name == "a"))
+                open_.append((name, never, main, link or name == "a", own))
         elif any(x[0] == name for x in open_):
             while open_.pop()[0] != name:
                 pass
-        state = open_[-1][1:] if open_ else (False, not has_main, False)
+        state = open_[-1][1:] if open_ else (False, not has_main, False, False)
         hidden = hidden or state[0] or name in NEVER
-        out.append(Token("never" if hidden else f"tag:{name}", " " if name == "br" and not hidden else "", block=name not in INLINE and name not in RAW))
+        out.append(Token("never" if hidden else f"in:{name}" if before or state[3] else f"tag:{name}", " " if name == "br" and not hidden else "", block=name not in INLINE and name not in RAW))
     return out
 
 
@@ -226,12 +230,24 @@ LABELLED = [
     <p>It was <em>said</em> that <i>this</i> and <strong>that</strong> came about.</p><p>Nobody <span>knows</span> why.</p>
     <ol><li>first</li><li>second</li></ol><dl><dt>term</dt><dd>meaning</dd></dl></section>]]</main><div class="ad"><a
     href="/buy">Buy now for less</a></div><div><a href="/p">Privacy</a> <a href="/t">Terms</a></div></body>""",
+    """<body><div class="bar"><a href="/">Home</a><a href="/n">News</a><a href="/s">Sport</a><a href="/o">Our
+    team</a><a href="/c">Contact us</a></div><div><div class="post">[[<h1>
+    <a href="/w">A title that is a link</a></h1><ul><li><a href="#1">How it all began here</a></li><li><a href="#2">What
+    came of it later</a></li></ul><p>It began with a <a href="/f">few words on paper</a> that somebody had left.</p><p>Much
+    came of them.</p><ol><li><a href="/r1">Smith, On papers and words</a></li><li><a href="/r2">Jones, A history of small
+    things</a></li></ol>]]</div></div><div class="end"><a href="/p">Privacy policy</a><a href="/t">Terms of use</a><a
+    href="/i">Imprint</a><a href="/j">Jobs</a></div></body>""",
+    """<body><div class="top"><a href="/">Start</a><a href="/m">Map</a></div>[[<article><h1><a href="/w">Linked title</a></h1>
+    <ul><li><a href="#a">One</a></li><li><a href="#b">Two</a></li></ul><p>The text of it.</p><h2>References</h2><ul><li><a
+    href="/r1">First source</a></li><li><a href="/r2">Second source</a></li></ul></article>]]<div class="end"><a href="/p">
+    Privacy</a></div></body>""",
 ]
 
 
 def learn(pages: list[str]) -> dict[str, float]:
     """Weights by feature from pages with one ``[[ ... ]]`` region: log odds of lying inside,
-    smoothed by one half. Tags weigh under zero, plain words over it."""
+    smoothed by one half. Tags and words outside the article weigh under zero, plain words
+    and the article's own links over it."""
     inside: dict[str, float] = {}
     outside: dict[str, float] = {}
     for page in pages:
@@ -245,7 +261,7 @@ def learn(pages: list[str]) -> dict[str, float]:
             into = inside if lo <= k < hi else outside
             into[t.kind] = into.get(t.kind, 0) + max(1, t.words)
     out = {k: math.log((inside.get(k, 0) + 0.5) / (outside.get(k, 0) + 0.5)) for k in {*inside, *outside}}
-    return {k: max(0.5, v) if k == "word:plain" else min(-0.01, v) for k, v in out.items()}
+    return {k: max(0.5, v) if k in ("word:plain", "word:linked") else v if k == "word:link" else min(-0.01, v) for k, v in out.items()}
 
 
 WEIGHTS = learn(LABELLED)
@@ -254,7 +270,7 @@ WEIGHTS = learn(LABELLED)
 def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     """The main text of a page."""
     seen = tokens(page or "")
-    scores = [0.0 if t.kind == "never" else weights.get(t.kind, -0.5) * (t.words if t.kind.startswith("word:") else 1) for t in seen]
+    scores = [0.0 if t.kind == "never" else weights.get(t.kind, -0.01 if t.kind.startswith("in:") else -0.5) * (t.words if t.kind.startswith("word:") else 1) for t in seen]
     start, end = best_run(scores)
     blocks: list[str] = []
     parts: list[str] = []

@@ -54,3 +54,18 @@ def test_table(spark):
 def test_whole_article_of_a_page_like_those_stored():
     page = "<!DOCTYPE html><html><body><nav><ul><li><a href='/a'>a</a></li></ul></nav><div class='ad'>Buy this now please it is good.</div><article><h1>T</h1>" + "".join(f"<p>par {i} has words</p>" for i in range(300)) + "</article><footer>&copy; h &middot; Some words here.</footer></body></html>"
     assert M.extract(page) == "T\n" + "\n".join(f"par {i} has words" for i in range(300))
+
+
+REFERENCES = [f"Source {i}" for i in range(12)]
+LINKS = {
+    "<div><a href=/>Home</a> <a href=/n>News</a></div><article><h1><a href=/x>Title</a></h1><p>Body of it.</p></article>": "Title\nBody of it.",
+    "<article><p>Body.</p><ul>" + "".join(f"<li><a href=/r>{r}</a>" for r in REFERENCES) + "</ul></article>": "\n".join(["Body.", *REFERENCES]),
+    "<article><h1>A title of six plain words</h1><ul>" + "".join(f"<li><a href=/r>{r}</a>" for r in REFERENCES) + "</ul><p>Then a text.</p></article>": "\n".join(["A title of six plain words", *REFERENCES, "Then a text."]),
+    "<article><p>One.</p><ul>" + "<li><a href=/r>Link</a>" * 40 + "</ul><p>Two.</p></article>": "\n".join(["One.", *["Link"] * 40, "Two."]),
+    "<div><a href=/>Home</a> <a href=/n>About us</a></div><div class=post><h1><a href=/x>Title</a></h1><p>Body of it.</p><ul>" + "<li><a href=/r>Smith, On papers and words</a>" * 12 + "</ul></div><div><a href=/p>Privacy</a> <a href=/t>Terms</a></div>": "\n".join(["Title", "Body of it.", *["Smith, On papers and words"] * 12]),
+}
+
+
+@pytest.mark.parametrize("page", LINKS)
+def test_link_rich_article_text_is_whole(page):
+    assert M.extract(page) == LINKS[page]
