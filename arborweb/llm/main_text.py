@@ -46,6 +46,8 @@ HINTS = frozenset(
     discussion share sharing social related recommended recommendations toolbar pagination pager login search
     contentinfo complementary hidden""".split()
 )
+#: Elements whose id is an anchor to jump to, not the name of a part of the page.
+ANCHORS = frozenset("section h1 h2 h3 h4 h5 h6 p pre li dt dd blockquote figure table".split())
 READER = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 
 _open = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
@@ -72,11 +74,16 @@ def _tag_end(page: str, at: int) -> int:
         here = shut + 1
 
 
-def _hints(name: str, attrs: str) -> set[str]:
-    """What class, id, role and hidden say about an element."""
+def _hints(name: str, attrs: str, own: bool = False) -> set[str]:
+    """What class, id, role and hidden say about an element. Ids say nothing on ``ANCHORS``,
+    on inline elements and inside the article (``own``); there, the class of an inline
+    element or of a heading or paragraph says nothing either, as it is markup of the text."""
     said: set[str] = set()
+    small = name in INLINE or (name in ANCHORS and name != "section")
     for m in _attribute.finditer(attrs):
         key = m[1].lower()
+        if (key == "id" and (own or name in ANCHORS or name in INLINE)) or (key == "class" and own and small):
+            continue
         if key in ("class", "id", "role"):
             said |= {x.lower() for x in _parts.findall(m[2] or m[3] or m[4] or "")}
         elif key == "hidden":
@@ -140,9 +147,18 @@ def tokens(page: str) -> list[Token]:
     outside the article or main element of a page that has one, ``word:linked`` in a link
     in such an element, an h1 or an h2, ``word:link`` in any other link, else ``word:plain``.
     Tags are ``in:name`` where a link is ``word:linked``, else ``tag:name``. An element that a hint excludes counts all the same if it holds a
-    main, article or h1 element.
+    main, article or h1 element. Where the article elements hold fewer words outside links
+    than the rest of the page, as teasers do, the page counts as one without any.
     """
     seen = list(events(page))
+    out, inner, outer = _tokens(seen, True)
+    return _tokens(seen, False)[0] if outer > inner else out
+
+
+def _tokens(seen: list[tuple[str, str, str]], articles: bool) -> tuple[list[Token], int, int]:
+    """The tokens, and how many words outside links stand inside the article elements and
+    outside of them; without ``articles``, such elements mean nothing."""
+    inner = outer = 0
     # the elements that hold the page's subject: a hint on them excludes nothing
     holds: set[int] = set()
     stack: list[tuple[str, int]] = []
@@ -157,6 +173,7 @@ def tokens(page: str) -> list[Token]:
         elif what == "close" and any(x == name for x, _ in stack):
             while stack.pop()[0] != name:
                 pass
+    has_main &= articles
     out: list[Token] = []
     open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, never, in main, in link, in article or heading
     state = (False, not has_main, False, False)
@@ -166,6 +183,8 @@ def tokens(page: str) -> list[Token]:
             never, main, link, own = state
             kind = "never" if never else "word:outside" if not main else "word:plain" if not link else "word:linked" if own else "word:link"
             out.append(Token(kind, text, len(text.split()), inside=not never and main))
+            if not never and not link:
+                inner, outer = inner + out[-1].words * main, outer + out[-1].words * (not main)
             continue
         hidden, before = state[0], state[3]
         if what == "open":
@@ -184,7 +203,7 @@ def tokens(page: str) -> list[Token]:
                 elif open_[i][0] in SCOPE:
                     break
             never, main, link, own = open_[-1][1:] if open_ else (False, not has_main, False, False)
-            hint = _hints(name, attrs)
+            hint = _hints(name, attrs, main and has_main)
             never = never or name in NEVER or (bool(hint) and k not in holds)
             main = main or (name in ("main", "article") and not hint)
             own = main and (own or has_main or name in ("h1", "h2"))
@@ -196,7 +215,7 @@ def tokens(page: str) -> list[Token]:
         state = open_[-1][1:] if open_ else (False, not has_main, False, False)
         hidden = hidden or state[0] or name in NEVER
         out.append(Token("never" if hidden else f"in:{name}" if before or state[3] else f"tag:{name}", " " if name == "br" and not hidden else "", block=name not in INLINE and name not in RAW))
-    return out
+    return out, inner, outer
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

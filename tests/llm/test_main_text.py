@@ -69,3 +69,22 @@ LINKS = {
 @pytest.mark.parametrize("page", LINKS)
 def test_link_rich_article_text_is_whole(page):
     assert M.extract(page) == LINKS[page]
+
+
+NAMED = {
+    "<article><h1>T</h1><section id=discussion><h2 id='related-work'>Related</h2><p id='search-method'>We looked.</p></section><div id='social-impact'><p>It matters.</p></div><pre>x <span class='comment'># why</span></pre></article>": "T\nRelated\nWe looked.\nIt matters.\nx # why",
+    "<div><h1>T</h1><section id=discussion><p>We talked.</p></section><p id='search-method'>We looked.</p></div>": "T\nWe talked.\nWe looked.",
+    "<article><p>Text of it.</p><div class='comments'>A reader's words.</div><p>End.</p></article>": "Text of it.\nEnd.",
+    "<article><p>Text.</p></article><div class='ad'>Many more words than the text has.</div>": "Text.",
+}
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_anchors_are_no_hints(page):
+    assert M.extract(page) == NAMED[page]
+
+
+def test_text_beside_teasers_is_kept():
+    text = "".join(f"<p>Paragraph {i} of the long text.</p>" for i in range(20))
+    page = f"<div class='post'><h1>T</h1>{text}</div><article class='card'><a href=/a>Other</a> teaser</article>"
+    assert M.extract(page).startswith("T\n" + "\n".join(f"Paragraph {i} of the long text." for i in range(20)))
