@@ -83,3 +83,9 @@ def test_keep(spark, rows, model):
     ids = {r["doc_id"] for r in kept.collect()}
     assert ids == {i for i, _, _ in rows} - {1000, 1001, 1002}
     assert {r["lang"] for r in langid.keep(df, model, langs=["bb"]).collect() if r["lang"]} == {"bb"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i % 70} text", f"l{i % 70:02}") for i in range(700)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"), steps=1)
+    assert sorted(model.langs) == sorted({r[2] for r in rows})
