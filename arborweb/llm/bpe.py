@@ -148,9 +148,10 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
-    """``key, ids ARRAY<INT>`` of each row of ``docs``, and with ``decoded`` also
-    ``decoded BINARY``, the bytes that the ids decode to.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False, offsets: bool = False) -> DataFrame:
+    """``key, ids ARRAY<INT>`` of each row of ``docs``, with ``decoded`` also
+    ``decoded BINARY``, the bytes that the ids decode to, and with ``offsets`` also
+    ``offsets ARRAY<STRUCT<start INT, end INT>>``, the characters that each id touches.
 
     The driver reads the rank file (under 1 MB) and sends it to the workers, which
     need no file of their own.
@@ -158,17 +159,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
     fields = [pa.field("ids", pa.list_(pa.int32()))] + [pa.field("decoded", pa.binary())] * decoded
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    fields += [pa.field("offsets", pa.list_(span))] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*sent.value)
         for batch in slices(batches, 64):
-            ends, ids = codec.encode(batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            ends, ids = codec.encode(texts)
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))]
             if decoded:
                 columns.append(pa.array(codec.decode(ids, ends), pa.binary()))
+            if offsets:
+                parts = np.split(ids, ends[:-1]) if len(ends) else []
+                found = [codec.spans(t, part.tolist()) for t, part in zip(texts, parts, strict=True)]
+                columns.append(pa.array([[{"start": a, "end": b} for a, b in f] for f in found], pa.list_(span)))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(0), *fields]))
 
-    schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded)
+    schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded + [T.StructField("offsets", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))] * offsets)
     return map_arrow(docs.select(key, text), run, schema)
 
 

@@ -67,3 +67,10 @@ def test_table(spark, reference):
     assert bpe.encode(df.limit(0), PATH, PATTERN).collect() == []
     nulls = spark.createDataFrame([(1, None)], "doc_id LONG, ids ARRAY<INT>")
     assert [tuple(r) for r in bpe.decode(nulls, PATH, PATTERN).collect()] == [(1, bytearray(b""), "")]
+
+
+def test_offsets_of_each_row(spark, codec):
+    df = spark.createDataFrame([*enumerate(ODD), (100, None)], "doc_id LONG, text STRING")
+    text = dict([*enumerate(ODD), (100, None)])
+    for r in bpe.encode(df, PATH, PATTERN, offsets=True).collect():
+        assert [(o["start"], o["end"]) for o in r["offsets"]] == codec.spans(text[r["doc_id"]], r["ids"])
