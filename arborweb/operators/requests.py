@@ -215,20 +215,25 @@ def chains(requests: DataFrame, *, most: int = 1 << 20) -> DataFrame:
     return up.select("request_id", "depth", F.coalesce("above", "request_id").alias("root_id"))
 
 
-def reseed_points(requests: DataFrame, failed: DataFrame, *, most: int = 100) -> DataFrame:
+def reseed_points(requests: DataFrame, failed: DataFrame) -> DataFrame:
     """For each failed request, the nearest ancestor, itself included, that may be sent
-    again (``reseedable`` true); a false one stops the search, an open one is passed over."""
-    now = failed.select(F.col("request_id").alias("failed_id"), F.col("request_id"))
-    of = requests.select("request_id", "parent_id", "reseedable")
-    found = None
-    for _ in range(most):
-        met = now.join(of, "request_id")
-        here = met.filter("reseedable").select("failed_id", F.col("request_id").alias("reseed_id"))
-        found = here if found is None else found.unionByName(here)
-        now = met.filter("reseedable is null and parent_id is not null").select("failed_id", F.col("parent_id").alias("request_id"))
-        if now.isEmpty():
+    again (``reseedable`` true); a false one stops the search, an open one is passed over.
+    Each round doubles the reach of every open request, so n open ancestors take log n
+    joins. A failed request below a circle of open ones is an error."""
+    passed = F.col("reseedable").isNull() & F.col("parent_id").isNotNull()
+    up = requests.select("request_id", F.when(passed, F.col("parent_id")).alias("above"), F.when(F.col("reseedable"), F.col("request_id")).alias("reseed_id"))
+    most, reach = requests.count(), 1
+    while True:
+        up = stored(up)
+        if up.filter("above is not null").isEmpty() or reach > most:
             break
-    return failed.select(F.col("request_id").alias("failed_id")).join(found, "failed_id", "left")
+        other = up.select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("reseed_id").alias("found"))
+        up = up.join(other, "above", "left").select("request_id", F.col("next").alias("above"), F.coalesce("reseed_id", "found").alias("reseed_id"))
+        reach *= 2
+    found = failed.select(F.col("request_id").alias("failed_id")).join(up.withColumnRenamed("request_id", "failed_id"), "failed_id", "left")
+    if reach > most and not found.filter("above is not null").isEmpty():
+        raise ValueError("the parents of a failed request run in a circle")
+    return found.select("failed_id", "reseed_id")
 
 
 def numbered(requests: DataFrame, *order: str) -> DataFrame:

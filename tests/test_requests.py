@@ -231,3 +231,12 @@ def test_date_range():
 
     with pytest.raises(ValueError):
         DateRange(date(2024, 2, 1), date(2024, 1, 1))
+
+
+def test_reseed_points_of_deep_chains_and_circles(spark):
+    rows = [("0", None, True)] + [(str(i), str(i - 1), None) for i in range(1, 300)] + [("a", "b", None), ("b", "a", None)]
+    df = spark.createDataFrame(rows, "request_id STRING, parent_id STRING, reseedable BOOLEAN")
+    failed = spark.createDataFrame([("299",), ("none",)], "request_id STRING")
+    assert {r["failed_id"]: r["reseed_id"] for r in requests.reseed_points(df, failed).collect()} == {"299": "0", "none": None}
+    with pytest.raises(ValueError):
+        requests.reseed_points(df, spark.createDataFrame([("a",)], "request_id STRING"))
