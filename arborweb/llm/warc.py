@@ -39,7 +39,7 @@ def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, default port, fragment and ``utm_`` parameters gone."""
     plain = F.regexp_replace(url, r"#.*$", "")
     site = lower_ascii(F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    site = F.regexp_replace(site, r"(?<=^http://.{0,300}):80$|(?<=^https://.{0,300}):443$", "")
+    site = F.regexp_replace(site, r"^(http://.*):80$|^(https://.*):443$", "$1$2")
     rest = F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
     rest = F.regexp_replace(rest, r"(?<=[?&])utm_[^&]*(&|$)", "")
     return F.concat(site, F.regexp_replace(rest, r"[?&]+$", ""))

@@ -69,3 +69,9 @@ def test_canonical_url(spark):
 def test_names_that_differ_in_case(spark):
     m = F.create_map(*[F.lit(x) for x in ("ETag", "1", "Date", "d", "etag", "2")])
     assert spark.range(1).select(warc.lower_names(m).alias("h")).first()["h"] == {"etag": "2", "date": "d"}
+
+
+def test_default_port_of_a_long_authority(spark):
+    name = "a" * 400
+    df = spark.createDataFrame([(f"http://{name}:80/x",), (f"https://{name}:443",), (f"https://{name}:80/",)], "u STRING")
+    assert [r["c"] for r in df.select(warc.canonical_url(F.col("u")).alias("c")).collect()] == [f"http://{name}/x", f"https://{name}", f"https://{name}:80/"]
