@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from ..storage import spooled, stored
 
-__all__ = ["lower_ascii", "map_arrow", "remainder", "slices", "spooled", "stored", "table", "unit_hash", "utf8"]
+__all__ = ["lower_ascii", "map_arrow", "met_by_key", "remainder", "slices", "spooled", "stored", "table", "unit_hash", "utf8"]
 
 #: Documents handled together inside a Python worker, whatever Arrow batch Spark sends.
 ROWS_AT_ONCE = 256
@@ -52,6 +52,28 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
+#: Keys that hold one row in so many or more meet their rows by a broadcast.
+HOT = 1000
+
+
+def met_by_key(rows: DataFrame, known: DataFrame, key: str | list[str], count: str = "n") -> DataFrame:
+    """``rows`` joined to ``known``, which has one row for each value of ``key`` (one column or
+    several) and in ``count`` how many of ``rows`` have it.
+
+    Values with one row in ``HOT`` or more, at most ``HOT`` of them, are broadcast, so that
+    the rows of a hot one stay where they are; all others are shuffled, and none is hot.
+    Both inputs are read twice.
+    """
+    total = known.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = F.col(count) * HOT >= max(total, HOT)
+    keys = [key] if isinstance(key, str) else key
+    columns = [c for c in known.columns if c not in (*keys, count)]
+    few = known.filter(hot).select(*keys, *columns)
+    near = rows.join(F.broadcast(few), keys)
+    far = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(known.filter(~hot).select(*keys, *columns), keys)
+    return near.unionByName(far)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches: long documents never pile up in one worker."""
     for batch in batches:

@@ -35,26 +35,25 @@ def _chain(c: str) -> str:
 
 URL_FILTER = f"""
 WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-ruled AS (SELECT *, CASE
+parts AS (SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+ruled AS (SELECT page_id, host, path, host || substr(rest, length(host) + 1) AS text, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts),
-said AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled, host || path AS text FROM ruled),
-labelled AS (SELECT *, CASE WHEN {_SPAM_HOST} OR ruled = 'block' THEN 'r' WHEN ruled = 'allow' THEN 'a' END AS label FROM said),
-texts AS (SELECT text, label, count(*) AS n FROM labelled GROUP BY 1, 2),
+texts AS (SELECT text, CASE WHEN {_SPAM_HOST} THEN 'r' ELSE 'a' END AS label, ('0x' || substr(md5(text), 1, 6))::BIGINT % 5 = 0 AS held, count(*) AS n FROM ruled GROUP BY 1, 2, 3),
 padded AS (SELECT *, chr(2) || chr(2) || chr(2) || text || chr(3) AS padded FROM texts),
-grams AS (SELECT text, label, n, substr(padded, i, 4) AS gram FROM (SELECT *, unnest(range(1, length(padded) - 2)) AS i FROM padded)),
-counted AS (SELECT gram, sum(CASE WHEN label = 'a' THEN n ELSE 0 END) AS a, sum(CASE WHEN label = 'r' THEN n ELSE 0 END) AS r FROM grams GROUP BY 1),
+grams AS (SELECT text, label, held, n, substr(padded, i, 4) AS gram FROM (SELECT *, unnest(range(1, length(padded) - 2)) AS i FROM padded)),
+counted AS (SELECT gram, sum(CASE WHEN label = 'a' AND NOT held THEN n ELSE 0 END) AS a, sum(CASE WHEN label = 'r' AND NOT held THEN n ELSE 0 END) AS r FROM grams GROUP BY 1),
 {_levels()},
 llr AS (SELECT counted.gram, ln({_chain("a")}) - ln({_chain("r")}) AS llr FROM counted
   {" ".join(f"JOIN o{k} ON o{k}.g = right(counted.gram, {k})" for k in range(1, 5))}),
-scored AS (SELECT text, label, n, avg(llr) AS score FROM grams JOIN llr USING (gram) GROUP BY 1, 2, 3),
-stats AS (SELECT label, sum(n * score) / sum(n) AS m, sqrt(greatest(sum(n * score * score) / sum(n) - (sum(n * score) / sum(n)) ** 2, 0)) + 1e-9 AS s FROM scored WHERE label IS NOT NULL GROUP BY 1),
-threshold AS (SELECT (a.m * r.s + r.m * a.s) / (a.s + r.s) AS t FROM stats a, stats r WHERE a.label = 'a' AND r.label = 'r')
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict
-FROM said JOIN scored USING (text), threshold
+scored AS (SELECT text, label, held, n, avg(llr) AS score FROM grams JOIN llr USING (gram) GROUP BY 1, 2, 3, 4),
+stats AS (SELECT label, sum(n * score) / sum(n) AS m, sqrt(greatest(sum(n * score * score) / sum(n) - (sum(n * score) / sum(n)) ** 2, 0)) + 1e-9 AS s FROM scored WHERE held GROUP BY 1),
+threshold AS (SELECT CASE WHEN (SELECT count(DISTINCT label) FROM scored WHERE NOT held) = 2 THEN
+    (SELECT (a.m * r.s + r.m * a.s) / (a.s + r.s) FROM stats a, stats r WHERE a.label = 'a' AND r.label = 'r') END AS t)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN t IS NULL OR score >= t THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled JOIN scored USING (text), threshold
 """
 
 WARC = """

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -32,12 +33,14 @@ def brute(urls):
     for u in urls:
         h, p = parts(u)
         rule, verdict = rule_of(h, p)
-        label = "r" if any(w in h for w in U.SPAM) or verdict == "block" else "a" if verdict == "allow" else None
-        rows.append((h, p, rule, verdict, label))
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        text = h + rest[len(h) :]
+        held = int(hashlib.md5(text.encode()).hexdigest()[:6], 16) % U.FOLDS == 0
+        rows.append((h, p, rule, verdict, "r" if any(w in h for w in U.SPAM) else "a", held, text))
     counts = {c: [Counter() for _ in range(U.ORDER + 1)] for c in "ar"}
-    for h, p, _, _, label in rows:
-        if label:
-            t = U.START * 3 + h + p + U.END
+    for *_, label, held, text in rows:
+        if not held:
+            t = U.START * 3 + text + U.END
             for i in range(3, len(t)):
                 for k in range(1, U.ORDER + 1):
                     counts[label][k][t[i - k + 1 : i + 1]] += 1
@@ -58,16 +61,16 @@ def brute(urls):
         return math.log(p)
 
     score = []
-    for h, p, *_ in rows:
-        t = U.START * 3 + h + p + U.END
+    for *_, text in rows:
+        t = U.START * 3 + text + U.END
         score.append(sum(logp("a", t, i) - logp("r", t, i) for i in range(3, len(t))) / (len(t) - 3))
     by = defaultdict(list)
     for r, s in zip(rows, score):
-        by[r[4]].append(s)
-    if not by["a"] or not by["r"]:
+        by[r[4], r[5]].append(s)
+    if len(by) < 4:
         return [(*r[:3], r[3] or "allow") for r in rows], [0.0] * len(rows)
-    mean = {c: sum(by[c]) / len(by[c]) for c in "ar"}
-    dev = {c: math.sqrt(max(sum(x * x for x in by[c]) / len(by[c]) - mean[c] ** 2, 0)) + 1e-9 for c in "ar"}
+    mean = {c: sum(by[c, True]) / len(by[c, True]) for c in "ar"}
+    dev = {c: math.sqrt(max(sum(x * x for x in by[c, True]) / len(by[c, True]) - mean[c] ** 2, 0)) + 1e-9 for c in "ar"}
     t = (mean["a"] * dev["r"] + mean["r"] * dev["a"]) / (dev["a"] + dev["r"])
     return [(*r[:3], r[3] or ("allow" if s >= t else "block")) for r, s in zip(rows, score)], score
 
@@ -76,6 +79,7 @@ URLS = [
     "http://Example.net/en/1", "https://www.example.net/en/2?x=/de/", "http://a.net/", "http://a.net", "http://net/x", "http://notnet/x", "http://example.com/de/9#f", "http://sub.example.com/de/",
     "http://example.com/den/", "http://x.org/fr/1", "http://org/fr/", "http://x.org/en/1", "http://x.org/de/2", "http://cheap-pills.example.com/en/1", "http://spam-farm.org/fr/3", "ftp://q.com?u=://b.net/", None, "", "no scheme", "http://",
     "http://x.org/en/1", "http://example.net/en/" + "long/" * 2000, "http://exämple.net/en/ü",
+    *[f"http://{h}.example.{tld}/en/{k}?page={k}" for k in range(12) for h in ("casino-win", "quiet-reading") for tld in ("org", "com")],
 ]
 
 
@@ -93,6 +97,30 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert all(rows[i]["score"] == pytest.approx(score[i], abs=1e-9) for i in range(len(URLS)))
 
 
+def test_hosts_of_one_domain_get_different_verdicts(spark):
+    df = spark.createDataFrame([(i, u, "c", "c") for i, u in enumerate(URLS)], SCHEMA)
+    said = {}
+    for r in U.judge(df).filter("rule is null and host like '%.example.%'").collect():
+        said.setdefault(r["host"], set()).add(r["verdict"])
+    for tld in ("org", "com"):
+        assert said[f"casino-win.example.{tld}"] == {"block"}
+        assert said[f"quiet-reading.example.{tld}"] == {"allow"}
+    error = {r["label"]: (r["n"], r["wrong"]) for r in U.held_out_error(df).collect()}
+    # the one wrong host stands nowhere among the counted URLs
+    assert error["r"][0] >= 10 and error["r"][1] <= 1 and error["a"][0] and error["a"][1] == 0
+
+
+def test_a_hot_url_and_many_others(spark, monkeypatch):
+    from arborweb.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    urls = [None] * 60 + URLS
+    df = spark.createDataFrame([(i, u, "c", "c") for i, u in enumerate(urls)], SCHEMA)
+    want, _ = brute(urls)
+    rows = {r["page_id"]: r for r in U.judge(df).collect()}
+    assert len(rows) == len(urls) and all(tuple(rows[i])[1:5] == w for i, w in enumerate(want))
+
+
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, "http://x.org/en/", "", ""), (2, "http://a.net/x", "", "")], SCHEMA)
     assert {r["page_id"]: r["verdict"] for r in U.judge(df).collect()} == {1: "allow", 2: "block"}
