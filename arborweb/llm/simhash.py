@@ -10,7 +10,10 @@ passed on, never all pairs.
 Defined results: a text is cut into words at space and U+0009 to U+000D after A-Z are
 lower-cased. Fewer than four words make one shingle; none (also null or empty text)
 gives fingerprint zero, which links like any other. A row without an id is compared
-like others but names no group; a group without any id has a null component.
+like others but names no group; a group without any id has a null component. Repeated
+rows are rows of their own, of one class. Texts of any length are read whole. An empty
+table gives an empty result. Columns other than the key and the text are not read,
+whatever their names; ``keep_one`` hands them on.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, spooled, stored, utf8
+from .common import map_arrow, met_by_key, slices, spooled, stored, utf8
 from .components import components, roots
 
 SHINGLE = 4
@@ -35,6 +38,8 @@ NEAR = 4
 CUTS = (0, 22, 43, 64)
 #: A larger bucket is cut into finer buckets before pairs are compared.
 BUCKET = 2048
+#: Hot buckets that are broadcast; with more, they meet the fingerprints by a shuffled join.
+BROADCAST_BUCKETS = 100_000
 #: Rows that are compared together.
 CHUNK = 200_000
 
@@ -134,6 +139,21 @@ def _forest(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": node[moved], "b": node[top[moved]]})
 
 
+def _finer(rows: DataFrame) -> DataFrame:
+    """``fp, bucket`` with the rows of buckets of over ``BUCKET`` dealt over finer ones, once
+    for each of ``NEAR`` + 1 pieces of the fingerprint: of two that differ in ``NEAR`` bits,
+    one piece is equal. So no hot bucket comes to one task."""
+    hot = spooled(rows.groupBy("bucket").count().filter(F.col("count") > BUCKET).select("bucket"))
+    n = hot.count()
+    if not n:
+        return rows
+    hot = F.broadcast(hot) if n <= BROADCAST_BUCKETS else hot
+    bounds = [BITS * k // (NEAR + 1) for k in range(NEAR + 2)]
+    pieces = [F.struct(F.lit(lo).alias("at"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("bits")) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    cut = rows.join(hot, "bucket").select("fp", "bucket", F.explode(F.array(*pieces)).alias("piece"))
+    return rows.join(hot, "bucket", "left_anti").select("fp", "bucket").unionByName(cut.select("fp", F.xxhash64("bucket", "piece").alias("bucket")))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """``a, b``: edges between different fingerprints (``fp``, each once) that connect all
     that differ in at most ``NEAR`` bits."""
@@ -142,7 +162,7 @@ def links(fps: DataFrame) -> DataFrame:
         segment = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
         for bit in range(hi - lo):
             keys.append(F.lit((lo + bit) << 22).cast("long") + segment.bitwiseAND(F.lit(((1 << (hi - lo)) - 1) & ~(1 << bit)).cast("long")))
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+    rows = _finer(fps.select("fp", F.explode(F.array(*keys)).alias("bucket")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -162,21 +182,22 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """``fp, label, component_id`` of each fingerprint in ``rows (key, fp)``: ``label`` is the
-    smallest fingerprint reachable, ``component_id`` the smallest key."""
-    fps = spooled(rows.groupBy("fp").agg(F.min(key).alias("first")))
+    """``fp, n, label, component_id`` of each fingerprint in ``rows (key, fp)``: ``n`` is how
+    many rows have it, ``label`` the smallest fingerprint reachable, ``component_id`` the
+    smallest key."""
+    fps = spooled(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")))
     named = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     linked = fps.join(named, "fp")
     groups = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     moved = linked.join(groups, "label").select("fp", "label", "component_id")
     each = fps.join(moved, "fp", "left")
-    return stored(each.select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), fps.count())
+    return stored(each.select("fp", "n", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), fps.count())
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fingerprint (hex), component_id, label, text_hash`` of each row."""
     rows = spooled(fingerprints(docs, key=key, text=text))
-    met = rows.join(classes(rows, key=key), "fp")
+    met = met_by_key(rows, classes(rows, key=key), "fp")
     return met.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "label", "text_hash")
 
 
@@ -186,10 +207,10 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     a hash of the text."""
     rows = near_duplicates(docs, key=key, text=text).select(F.col(key).alias("k"), "component_id", "label", "text_hash")
     first = rows.filter(F.col("k").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("k", "text_hash")).alias("one"), F.count(F.lit(1)).alias("n"))
-    chosen = spooled(first.select(F.col("one.k").alias("_kept_key"), F.col("one.text_hash").alias("_kept_hash"), "n"))
-    on = F.col(key).eqNullSafe(F.col("_kept_key")) & F.xxhash64(text).eqNullSafe(F.col("_kept_hash"))
-    kept = docs.join(chosen.select("_kept_key", "_kept_hash").distinct().hint("shuffle_hash"), on, "left_semi")
-    if chosen.filter("n > 1").isEmpty():
-        return kept
-    columns = kept.columns
-    return kept.withColumn("_kept_hash", F.xxhash64(text)).dropDuplicates([key, "_kept_hash"]).select(*[F.col(f"`{c}`") for c in columns])
+    chosen = spooled(first.select(F.col("one.k").alias("k"), F.col("one.text_hash").alias("h"), "n"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"))
+    on = F.col("id").eqNullSafe(F.col("k")) & F.col("hash").eqNullSafe(F.col("h"))
+    kept = whole.join(chosen.select("k", "h").distinct().hint("shuffle_hash"), on, "left_semi")
+    if not chosen.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "hash"])
+    return kept.select("row.*")

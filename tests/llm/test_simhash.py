@@ -113,6 +113,23 @@ def test_keep_one_of_each_group(spark, rows):
     assert got == sorted(want.values())
 
 
+def test_hot_buckets_are_dealt_over_finer_ones(spark, rows, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    key = lambda x: (str(x[0]), x[1], str(x[2]))
+    for few in (simhash.BROADCAST_BUCKETS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", few)
+        got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+        assert sorted(got, key=key) == sorted(brute(rows), key=key)
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 7, 8, 9), (1, "a b c d e", 7, 8, 9), (2, "a b c d e", 1, 2, 3)], "doc_id LONG, text STRING, k LONG, h LONG, `row.x` LONG")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert [tuple(r) for r in kept.collect()] == [(1, "a b c d e", 7, 8, 9)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).collect() == []
