@@ -1,26 +1,36 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Each of ``TREES`` trees splits the unit vectors again and again by a random direction
-at the median of a sample; a vector closer to a split than the spill width goes to
-both sides. Vectors that share a leaf and a label are compared in double precision.
-Links are summed and joined into components.
-
-The trees are fitted on a bounded sample of ``SAMPLE`` vectors and index every vector.
-Equal vectors are one class before that. A leaf of over ``CELL`` vectors is dealt over
-cells, one for each pair of its blocks, so no task gets a whole large leaf and each pair
-is compared once; a pair that shares several leaves counts in the first. A cell passes
-on counts and a spanning forest of its links, never all pairs.
+A tree splits vectors again and again by a random direction at the median; a vector
+nearer to a split than the spill width goes to both sides. Vectors that share a leaf and
+a label are compared in double precision. Links are summed and joined into components.
+
+Trees are grown in two parts. The upper part is for labels of over ``BLOCK`` vectors: it
+is fitted on a bounded sample, sent to the workers, and routes ids, not vectors, to blocks
+of about ``BLOCK``. The lower part is grown in the task that holds a block, by the medians
+of the block itself, down to leaves of ``LEAF``; there, what spills over is a copy of a
+row number in memory. So each vector is shuffled once for each block it is in: once for
+a label of one block. A pair that shares several blocks belongs to the first.
+
+Spill of the upper part is bounded: over all its levels a tree sends about ``SPREAD``
+copies of a vector, whatever the depth, and with the depth the number of trees rises
+instead, to keep the recall of pairs at ``NEAR`` (``trees_for``). A node is split as
+long as the sample has ``FEWEST`` vectors there, so the tables that are sent are smaller
+than the sample. A block of over twice ``BLOCK`` vectors is dealt over cells, one for each
+pair of its pieces, so no task gets a whole large one. Equal vectors are one class before
+that. A cell passes on counts and a spanning forest of its links, never all pairs.
 
 Defined results: a vector that is null, empty or zero or has a null or non-finite
 component, or whose label is null, links with nothing. Vectors of different length
 link with nothing. Repeated rows are vectors of their own. A row without an id links
 like any other; a component without any id has a null id, and no row of it is kept
-unless its own id is null too.
+unless its own id is null too. An empty table gives an empty result. Columns other than
+the key, the vector and the label are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +38,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, spooled, stored
+from .common import map_arrow, met_by_key, spooled, stored
 from .components import components, roots
 
 NEAR = 0.93
-TREES = 4
-SAMPLE = 20_000
-#: Vectors of the largest label that a leaf holds on the whole, where they are spread evenly.
-LEAF = 256
-#: A leaf of more vectors is dealt over cells of blocks of about so many.
-CELL = 1024
-#: Half the spill zone, in standard deviations of the difference of two vectors at NEAR.
-SPILL = 0.5
+#: Vectors that the upper parts are fitted on, and numbers they hold at most.
+SAMPLE = 65_536
+SAMPLE_NUMBERS = 1 << 23
+#: Vectors of a label or block that one task grows trees over.
+BLOCK = 2048
+#: Trees of a block, and the vectors of a leaf.
+TREES = 5
+LEAF = 24
+#: Half the spill zone of those trees, in standard deviations of the difference of two vectors at NEAR.
+SPILL = 0.75
+#: Copies of a vector that the upper part of a tree makes, about, and the largest spill zone.
+SPREAD = 2.0
+ZONE = 0.25
+#: Recall of pairs at NEAR that the upper parts are made for, and the most trees.
+RECALL = 0.97
+MOST_TREES = 32
+#: Sample vectors that a node of the upper part needs to be split.
+FEWEST = 8
+#: Labels of several blocks that are broadcast; with more, they meet the vectors by a shuffled join.
+BROADCAST_LABELS = 100_000
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -49,127 +71,199 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def together(share: float) -> float:
+    """How often one split keeps two vectors at ``NEAR`` on a common side, where the spill zone
+    holds ``share`` of the vectors: by the normal distribution of their projections."""
+    x = np.linspace(-6, 6, 2401)
+    density = np.exp(-x * x / 2)
+    zone = np.cumsum(density) / density.sum()
+    width = max(0.0, float(x[np.searchsorted(zone, 0.5 + share / 2)]))
+    side = np.sqrt(1 - NEAR * NEAR)
+    # y = NEAR x + side z: apart if x > width and y < -width, or the other way round
+    below = np.array([zone[min(len(x) - 1, np.searchsorted(x, (-width - NEAR * a) / side))] for a in x])
+    return 1 - 2 * float((density * below)[x > width].sum() / density.sum())
+
+
+def trees_for(depth: int) -> tuple[int, float]:
+    """(trees, share of a spill zone) of the upper part for so many levels."""
+    if not depth:
+        return 1, 0.0
+    share = min(ZONE, SPREAD ** (1 / depth) - 1)
+    found = min(together(share) ** depth, 1 - 1e-9)
+    return min(MOST_TREES, max(2, ceil(log(1 - RECALL) / log(1 - found)))), share
+
+
 class Forest:
-    """Trees over vectors of one length: a direction for each tree and level, a threshold
-    for each node."""
+    """Upper parts of trees over vectors of one length. Nodes are numbered as in a heap: the
+    root is 1, and below k are 2k and 2k + 1. For each tree: a direction for each level,
+    and by level the nodes that are split, in order, with cut and half width."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 42):
+    def __init__(self, sample: np.ndarray, depth: int, seed: int = 42):
         dim = sample.shape[1]
         draw = np.random.default_rng(seed + dim)
         self.depth = depth
-        self.width = SPILL * np.sqrt((2 - 2 * NEAR) / dim)
-        self.directions, self.thresholds = [], []
+        trees, share = trees_for(depth)
+        self.trees: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
         for _ in range(trees):
             directions = unit(draw.standard_normal((max(depth, 1), dim))).T
             projected = sample @ directions
-            node = np.zeros(len(sample), np.int64)
+            node = np.ones(len(sample), np.int64)
             levels = []
             for level in range(depth):
                 p = projected[:, level]
-                cuts = np.full(1 << level, np.median(p))
                 order = np.lexsort((p, node))
                 which, first, size = np.unique(node[order], return_index=True, return_counts=True)
-                cuts[which] = p[order][first + size // 2]
-                levels.append(cuts)
-                node = 2 * node + (p > cuts[node])
-            self.directions.append(directions)
-            self.thresholds.append(levels)
-
-    def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, codes): the leaves of each vector, a tree's number above 40 bits of leaf."""
+                split = size >= FEWEST
+                which, first, size = which[split], first[split], size[split]
+                if not len(which):
+                    break
+                ordered = p[order]
+                cuts = ordered[first + size // 2]
+                low = ordered[first + (size * (0.5 - share / 2)).astype(int)]
+                high = ordered[np.minimum(first + size - 1, first + (size * (0.5 + share / 2)).astype(int))]
+                levels.append((which, cuts, (high - low) / 2))
+                at = np.minimum(np.searchsorted(which, node), len(which) - 1)
+                known = which[at] == node
+                node = np.where(known, 2 * node + (p > cuts[at]), -1)
+            self.trees.append((directions, levels))
+
+    def blocks(self, vectors: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, codes): the blocks of each vector, which goes ``depth`` levels down; a code is
+        the tree's number above 40 bits of node."""
         rows, codes = [], []
-        for tree, (directions, levels) in enumerate(zip(self.directions, self.thresholds, strict=True)):
+        for tree, (directions, levels) in enumerate(self.trees):
             projected = vectors @ directions
-            row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
-            for level in range(self.depth):
-                p = projected[row, level] - levels[level][node]
-                left, right = p <= self.width, p >= -self.width
-                row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+            row, node = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
+            for level, (which, cuts, widths) in enumerate(levels):
+                at = np.minimum(np.searchsorted(which, node), len(which) - 1)
+                split = (which[at] == node) & (depth[row] > level)
+                p = np.where(split, projected[row, level] - cuts[at], 0.0)
+                left, right = split & (p <= widths[at]), split & (p >= -widths[at])
+                row, node = np.concatenate([row[~split], row[left], row[right]]), np.concatenate([node[~split], 2 * node[left], 2 * node[right] + 1])
             rows.append(row)
             codes.append((tree << 40) | node)
         return np.concatenate(rows), np.concatenate(codes)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, Forest]:
-    """A forest by vector length from ``vectors (v, label, h)``: a sample of about ``sample``
-    rows by the hash ``h``, and the size of the largest label."""
-    sizes = vectors.groupBy("label").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
-    if not sizes["n"]:
-        return {}
-    depth = min(30, max(0, int(np.ceil(np.log2(max(1, sizes["most"]) / LEAF)))))
-    share = int(min(1.0, sample / sizes["n"]) * (1 << 40))
-    by: dict[int, list] = {}
-    for r in vectors.filter(F.pmod("h", F.lit(1 << 40)) < share).orderBy("h").select("v").collect():
-        by.setdefault(len(r["v"]), []).append(r["v"])
-    return {dim: Forest(unit(np.array(v)), depth) for dim, v in by.items()}
-
-
-_ROUTED = [("cid", "bigint"), ("label", "string"), ("copies", "bigint"), ("v", "array<double>"), ("codes", "array<bigint>"), ("code", "bigint")]
+def fit(vectors: DataFrame, sizes: DataFrame, sample: int = SAMPLE) -> dict[int, Forest]:
+    """A forest by vector length from ``vectors (label, v, h)`` of the labels in ``sizes (label,
+    dim, n)``, those of several blocks: fitted on about ``sample`` of their rows by the hash
+    ``h``, as deep as the largest needs."""
+    known = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max("dim").alias("dim")).first()
+    depth = min(30, ceil(log2(known["most"] / BLOCK)))
+    share = int(min(1.0, min(sample, SAMPLE_NUMBERS / known["dim"]) / known["n"]) * (1 << 40))
+    rows = vectors.filter(F.pmod("h", F.lit(1 << 40)) < share).orderBy("h").select("v").toArrow().combine_chunks()["v"]
+    dims = np.array(rows.combine_chunks().value_lengths()) if len(rows) else np.zeros(0, int)
+    out = {}
+    for dim in np.unique(dims).tolist():
+        own = rows.filter(pa.array(dims == dim)).combine_chunks()
+        out[dim] = Forest(unit(own.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)), depth)
+    return out
 
 
 def route(vectors: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """``vectors (cid, label, copies, v)`` once for each of their leaves (``code``), with all
-    ``codes``. Vectors of a length that the sample lacks share one leaf."""
+    """``cid, code, before`` once for each block of ``vectors (cid, v, n)``, where ``n`` is the
+    size of the label; ``before`` are the codes of its blocks of lower number. Vectors of a
+    length that the sample lacks share one block."""
     sent = vectors.sparkSession.sparkContext.broadcast(forests)
+    names = ["cid", "code", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 2048):
                 batch = big.slice(lo, 2048)
-                vs = batch.column(3)
-                sizes = np.array(vs.value_lengths())
+                sizes = np.array(batch.column(1).value_lengths())
                 for dim in np.unique(sizes):
                     part = batch.filter(pa.array(sizes == dim))
-                    v = unit(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                    v = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                    depth = np.ceil(np.log2(part.column(2).to_numpy() / BLOCK)).astype(int)
                     forest = sent.value.get(int(dim))
-                    rows, codes = forest.leaves(v) if forest else (np.arange(len(v)), np.zeros(len(v), np.int64))
+                    rows, codes = forest.blocks(v, depth) if forest else (np.arange(len(v)), np.ones(len(v), np.int64))
                     order = np.lexsort((codes, rows))
                     rows, codes = rows[order], codes[order]
-                    ends = np.searchsorted(rows, np.arange(len(v) + 1)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes))
-                    out = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * int(dim)), pa.array(v.reshape(-1)))
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns[:3]), out.take(take), lists.take(take), pa.array(codes)], names=[n for n, _ in _ROUTED])
-
-    return map_arrow(vectors.select("cid", F.col("label").cast("string").alias("label"), "copies", "v"), run, T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in _ROUTED)))
-
-
-def compare(cid: np.ndarray, copies: np.ndarray, v: np.ndarray, codes: list[np.ndarray], code: int, block: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+                    begins = np.searchsorted(rows, rows)
+                    before = [codes[a:b] for a, b in zip(begins.tolist(), range(len(rows)), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(codes), pa.array(before, pa.list_(pa.int64()))], names=names)
+
+    return map_arrow(vectors.select("cid", "v", "n"), run, T.StructType.fromDDL("cid bigint, code bigint, before array<bigint>"))
+
+
+def leaves(v: np.ndarray, seed: int, depth: list[int] | None = None) -> Iterator[np.ndarray]:
+    """The leaves of one tree over the rows of ``v``, as row numbers. ``depth`` gets the level
+    of each leaf."""
+    draw = np.random.default_rng(seed)
+    width = SPILL * sqrt(2 - 2 * NEAR)
+    open_ = [(np.arange(len(v)), 0)]
+    while open_:
+        rows, level = open_.pop()
+        parts = []
+        if len(rows) > LEAF:
+            p = v[rows] @ draw.standard_normal(v.shape[1])
+            cut = np.partition(p, len(p) // 2)[len(p) // 2]
+            parts = [rows[p <= cut + width], rows[p >= cut - width]]
+        # where the spill zone holds nearly all, as among near copies, no split parts them
+        if not parts or max(map(len, parts)) > 0.95 * len(rows):
+            if depth is not None:
+                depth.append(level)
+            yield rows
+        else:
+            open_ += [(x, level + 1) for x in parts]
+
+
+def compare(v: np.ndarray, copies: np.ndarray, before: list[np.ndarray] | None, block: np.ndarray | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(links, root) of each class in a cell: how many vectors of other classes it links to
     here, and the place of the smallest class it is connected to here.
 
-    ``apart``: only classes of different ``block`` are compared. Pairs that share a leaf
-    before ``code`` were compared there.
+    Pairs with an earlier block in common (``before``) belong there. Where ``block`` is
+    given, only classes of different ``block`` are compared.
     """
-    n = len(cid)
-    before = [c[c < code] for c in codes]
-    kinds, at = np.unique(np.concatenate(before), return_inverse=True)
-    shares = np.zeros((n, len(kinds)), np.float32)
-    shares[np.repeat(np.arange(n), [len(b) for b in before]), at] = 1
-    links, pairs = np.zeros(n, np.int64), []
-    for lo in range(0, n, CELL):
-        linked = v[lo : lo + CELL] @ v.T >= NEAR
-        linked &= shares[lo : lo + CELL] @ shares.T < 0.5
-        if apart:
-            linked &= block[lo : lo + CELL, None] != block[None, :]
-        here = np.arange(lo, min(n, lo + CELL))
-        linked[here - lo, here] = False
-        links[here] = linked @ copies
-        a, b = np.nonzero(linked)
-        a = a + lo
-        pairs.append((a[a < b], b[a < b]))
-    return links, roots(n, np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-
-
-def links(routed: DataFrame) -> DataFrame:
+    n = len(v)
+    linked = np.zeros((n, n), bool)
+    for tree in range(TREES):
+        for rows in leaves(v, seed + tree):
+            for lo in range(0, len(rows), BLOCK // 4):
+                some = rows[lo : lo + BLOCK // 4]
+                linked[np.ix_(some, rows)] |= v[some] @ v[rows].T >= NEAR
+    np.fill_diagonal(linked, False)
+    if block is not None:
+        linked &= block[:, None] != block[None, :]
+    if before is not None:
+        kinds, at = np.unique(np.concatenate(before), return_inverse=True)
+        shares = np.zeros((n, len(kinds)), np.float32)
+        shares[np.repeat(np.arange(n), [len(b) for b in before]), at] = 1
+        for lo in range(0, n, BLOCK // 4):
+            linked[lo : lo + BLOCK // 4] &= shares[lo : lo + BLOCK // 4] @ shares.T < 0.5
+    a, b = np.nonzero(np.triu(linked))
+    return linked @ copies, roots(n, a, b)
+
+
+def cells(classes: DataFrame) -> DataFrame:
+    """``cid, copies, v, before, piece, cell``: each of ``classes (cid, label, dim, v, h, copies)``
+    once for each cell it is compared in."""
+    label = F.col("label").cast("string")
+    none = F.lit(None).cast("array<bigint>")
+    large = spooled(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK))
+    labels = large.count()
+    one = F.struct(label.alias("label"), "dim", F.lit(1).cast("long").alias("code"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if not labels:
+        return classes.select("cid", "copies", "v", none.alias("before"), F.lit(0).alias("piece"), one.alias("cell"))
+    known = F.broadcast(large) if labels <= BROADCAST_LABELS else large
+    small = classes.join(known.select("label", "dim"), ["label", "dim"], "left_anti").select("cid", "copies", "v", none.alias("before"), F.lit(0).alias("piece"), one.alias("cell"))
+    big = classes.join(known, ["label", "dim"])
+    ids = spooled(route(big, fit(big, large)))
+    wide = big.select("cid", "label", "dim").join(ids, "cid")
+    counts = wide.groupBy("label", "dim", "code").agg(F.count(F.lit(1)).alias("here")).filter(F.col("here") > 2 * BLOCK)
+    met = wide.join(counts, ["label", "dim", "code"], "left")
+    pieces = F.coalesce(F.ceil(F.col("here") / BLOCK), F.lit(1)).cast("int")
+    met = met.withColumn("piece", F.pmod(F.xxhash64("cid"), pieces.cast("long")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    cell = F.struct(label.alias("label"), "dim", "code", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
+    met = met.select("cid", "before", "piece", cell.alias("cell"))
+    return small.unionByName(met.join(classes.select("cid", "copies", "v"), "cid").select(small.columns))
+
+
+def links(dealt: DataFrame) -> DataFrame:
     """``a, b, n``: class ``a`` links to ``n`` vectors in a cell and is connected to ``b`` there."""
-    large = spooled(routed.groupBy("label", "code", F.size("v").alias("dim")).count().filter(F.col("count") > 2 * CELL))
-    met = routed.withColumn("dim", F.size("v")).join(large, ["label", "code", "dim"], "left")
-    blocks = F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1)).cast("int")
-    met = met.withColumn("block", F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("cid", "copies", "v", "codes", "block", F.struct("label", "code", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("cell"))
-    met = met.withColumn("cell_hash", F.xxhash64("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -177,10 +271,11 @@ def links(routed: DataFrame) -> DataFrame:
         def one(part: pa.Table) -> pa.RecordBatch:
             cell = part["cell"][0].as_py()
             n = part.num_rows
-            v = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in part["v"].chunks]).reshape(n, -1)
-            codes = [np.array(c, np.int64) for c in part["codes"].to_pylist()]
+            v = unit(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in part["v"].chunks]).reshape(n, -1))
+            before = None if cell["code"] == 1 else [np.array(c, np.int64) for c in part["before"].to_pylist()]
             cid = part["cid"].to_numpy()
-            count, root = compare(cid, part["copies"].to_numpy(), v, codes, cell["code"], part["block"].to_numpy(), cell["i"] != cell["j"])
+            apart = part["piece"].to_numpy() if cell["i"] != cell["j"] else None
+            count, root = compare(v, part["copies"].to_numpy(), before, apart, cell["code"] % (1 << 32))
             some = np.flatnonzero(count)
             return pa.RecordBatch.from_pydict({"a": cid[some], "b": cid[root[some]], "n": count[some]})
 
@@ -198,33 +293,34 @@ def links(routed: DataFrame) -> DataFrame:
             held[:] = table.slice(start).to_batches()
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4 * CELL):
-                yield from groups(pa.Table.from_batches([*held, batch.slice(lo, 4 * CELL)]), False)
+            for lo in range(0, batch.num_rows, BLOCK):
+                yield from groups(pa.Table.from_batches([*held, batch.slice(lo, BLOCK)]), False)
         if held:
             yield from groups(pa.Table.from_batches(held), True)
 
-    dealt = met.repartition("cell_hash").sortWithinPartitions("cell_hash", "cell").drop("cell_hash")
-    return map_arrow(dealt, run, T.StructType.fromDDL("a bigint, b bigint, n bigint"))
+    hashed = dealt.withColumn("cell_hash", F.xxhash64("cell"))
+    ordered = hashed.repartition("cell_hash").sortWithinPartitions("cell_hash", "cell").drop("cell_hash")
+    return map_arrow(ordered, run, T.StructType.fromDDL("a bigint, b bigint, n bigint"))
 
 
 def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``key, n_links, component_id, kept`` of each row of ``vectors``."""
     e = F.col(vector)
     finite = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), e.cast("array<double>").alias("v"), (e.isNotNull() & F.col(label).isNotNull() & finite & F.exists(e, lambda x: x != 0)).alias("valid"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), e.alias("v"), (e.isNotNull() & F.col(label).isNotNull() & finite & F.exists(e, lambda x: x != 0)).alias("valid"))
     # equal vectors of a label are one class, known by two hashes
     rows = rows.withColumn("h", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "label"))
     valid = rows.filter("valid")
     grouped = valid.groupBy("h", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    found = spooled(links(spooled(route(classes, fit(classes)))))
+    classes = stored(grouped.withColumn("dim", F.size("v")).withColumn("cid", F.monotonically_increasing_id()))
+    found = spooled(links(cells(classes)))
     counts = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     group = components(found.select("a", "b")).withColumnRenamed("node", "cid")
     slim = classes.select("h", "h2", "cid", "copies", "first")
     labelled = slim.join(group, "cid", "left").withColumn("group", F.coalesce("label", "cid")).drop("label")
-    labelled = spooled(labelled.join(counts, "cid", "left").select("h", "h2", "group", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    labelled = spooled(labelled.join(counts, "cid", "left").select("h", "h2", "copies", "group", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     ids = labelled.groupBy("group").agg(F.min("first").alias("component_id"))
-    known = stored(labelled.join(ids, "group").select("h", "h2", "n_links", "component_id"), classes.count())
-    met = rows.select("id", "h", "h2", "valid").join(known.withColumn("valid", F.lit(True)), ["h", "h2", "valid"], "left")
-    out = met.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    known = stored(labelled.join(ids, "group").select("h", "h2", "copies", "n_links", "component_id"), classes.count())
+    met = met_by_key(valid.select("id", "h", "h2"), known, ["h", "h2"], "copies")
+    out = met.select("id", "n_links", "component_id").unionByName(rows.filter("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -53,14 +53,61 @@ def test_against_brute_force(spark, rows):
     assert result(spark, rows) == want
 
 
-def test_deep_trees_and_split_leaves(spark, rows, monkeypatch):
+def recall(got, want):
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    return sum(g[1] for g in got) / sum(w[1] for w in want)
+
+
+def test_labels_of_several_blocks(spark, rows, monkeypatch):
     want = sorted((i, n, c, i == c) for i, n, c in brute(rows))
-    monkeypatch.setattr(embed_dedup, "CELL", 4)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embed_dedup, "FEWEST", 4)
+    assert recall(result(spark, rows), want) >= 0.9
+    monkeypatch.setattr(embed_dedup, "BROADCAST_LABELS", 0)
+    assert recall(result(spark, rows), want) >= 0.9
+
+
+def test_large_blocks_are_dealt_over_pieces(spark, rows, monkeypatch):
+    want = sorted((i, n, c, i == c) for i, n, c in brute(rows))
+    monkeypatch.setattr(embed_dedup, "BLOCK", 8)
+    # no node is split: each label is one block, in pieces
+    monkeypatch.setattr(embed_dedup, "FEWEST", 1000)
     assert result(spark, rows) == want
-    monkeypatch.setattr(embed_dedup, "LEAF", 16)
-    got = result(spark, rows)
-    assert all(g[1] <= w[1] for g, w in zip(got, want))
-    assert sum(g[1] for g in got) >= 0.9 * sum(w[1] for w in want)
+
+
+def near(n, dim, seed=3):
+    """Unit vectors and partners at a cosine of 0.93 exactly."""
+    draw = np.random.default_rng(seed)
+    x = embed_dedup.unit(draw.standard_normal((n, dim)))
+    z = draw.standard_normal((n, dim))
+    z = embed_dedup.unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    return x, 0.93 * x + np.sqrt(1 - 0.93**2) * z
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5, 8])
+def test_upper_part_keeps_pairs_together_at_a_bounded_spill(depth):
+    x, y = near(20_000, 64)
+    forest = embed_dedup.Forest(x, depth)
+    at = np.full(len(x), depth)
+    rows, codes = forest.blocks(np.concatenate([x, y]), np.concatenate([at, at]))
+    assert len(rows) / (2 * len(x)) <= 1.15 * embed_dedup.SPREAD * len(forest.trees)
+    assert sum(len(c) for _, levels in forest.trees for c, _, _ in levels) <= len(forest.trees) * len(x) / embed_dedup.FEWEST * 2
+    pairs = np.unique(np.stack([rows % len(x), codes, rows // len(x)]), axis=1)
+    both = (pairs[0, 1:] == pairs[0, :-1]) & (pairs[1, 1:] == pairs[1, :-1])
+    assert len(np.unique(pairs[0, 1:][both])) / len(x) >= 0.9
+
+
+def test_trees_of_a_block_are_deep_and_find_the_links():
+    x, y = near(100, 64)
+    v = np.concatenate([x, y])
+    depth = []
+    for _ in embed_dedup.leaves(v, 1, depth):
+        pass
+    assert max(depth) >= 5
+    count, root = embed_dedup.compare(v, np.ones(len(v), int), None, None, 1)
+    want = v @ v.T >= embed_dedup.NEAR
+    np.fill_diagonal(want, False)
+    assert count.sum() >= 0.99 * want.sum()
 
 
 def test_empty_and_all_invalid(spark):
