@@ -8,7 +8,8 @@ count, and all copies are dealt and ordered by another hash.
 
 Defined results: a null source is a source of its own. Rows with equal ids draw equal
 counts; null ids share one draw. A source without a positive share yields nothing.
-Columns of the input named like the ones added are replaced.
+Columns of the input named like the ones added are replaced. An empty table gives an
+empty result. Texts are carried whole and not read.
 """
 
 from __future__ import annotations
@@ -71,9 +72,10 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: floa
     else:
         salt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
         met = rows.withColumn("salt", salt).join(drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["label", "salt"])
-    u = unit_hash(F.lit(seed), F.col("id"))
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
-    met = met.withColumn("u", u).select("row", "id", count.alias("count")).filter("count > 0")
-    copies = met.select("row", "id", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    # the number is drawn once a row, not once for each probability it is held against
+    drawn_once = F.transform(F.array(unit_hash(F.lit(seed), F.col("id"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
+    count = F.get(drawn_once, F.lit(0))
+    copies = met.select("row", "id", F.posexplode(F.array_repeat(F.lit(True), count)).alias("place", "one"))
+    copies = copies.select("row", "id", (F.col("place") + 1).alias("copy"))
     keyed = copies.select("row.*", "copy", unit_hash(F.lit(seed), F.lit("shuffle"), F.col("id"), F.col("copy")).alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
