@@ -15,7 +15,6 @@ go to the language that sorts first. If no row can be learned from, every text i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,11 @@ HIDDEN = 16
 WIDTH = 2048
 UNKNOWN = "und"
 
-_letter = re.compile(r"[^\W\d_]").search
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of Unicode's letter categories: digits, fractions,
+    numerals in circles and Roman numeral signs are none."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -259,7 +262,7 @@ def _judge(m: Model | None, texts: list[str | None]) -> list[tuple[str, float]]:
     out = [(UNKNOWN, 0.0)] * len(texts)
     if m is None:
         return out
-    with_letter = [k for k, t in enumerate(texts) if t and _letter(t)]
+    with_letter = [k for k, t in enumerate(texts) if t and has_letter(t)]
     p = pooled(m, [utf8(texts[k].lower()) for k in with_letter])
     for k, row in zip(with_letter, p, strict=True):
         best = int(row.argmax())

@@ -35,6 +35,12 @@ def test_held_out_accuracy(spark, rows, model):
     assert by[1000]["score"] == 0
 
 
+def test_numeric_characters_are_no_letters(model):
+    texts = ["½", "²", "①", "Ⅷ", "٣", "１２", "_", "½ a", "ª", "Ω", "字"]
+    said = [lang for lang, _ in langid._judge(model, texts)]
+    assert [s == "und" for s in said] == [True] * 7 + [False] * 4
+
+
 def test_a_result_depends_on_the_text_alone(model):
     texts = [b"the and with", b"eine sch\xc3\xb6n " * 30, b"x"]
     together = langid.pooled(model, texts)
