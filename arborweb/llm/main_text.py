@@ -1,60 +1,80 @@
 """Main text of web pages as the maximum-scoring run of tokens.
 
-A page is read once into tags and runs of words. Menus, notices, comments, scripts
-and the like are passed over: what is in them scores nothing and is never shown.
-Other words score positive, also those of links in an article element or a main heading;
-tags and words outside a page's article element score negative. Elsewhere a link's words
-score as the labelled pages teach, so that a long link pays for its tags and a short one,
-as in a menu, does not. One linear scan finds the contiguous run with the greatest
-sum; its words are the main text, one line for each block.
-
-The weights are log odds of lying inside the marked region of labelled pages
-(``learn``). ``LABELLED`` holds such pages; others may be given.
+A page is read into tags and runs of words. Every word and tag has a score, learned from
+labelled pages: a word's comes from what it stands in (elements with a role, names in
+class, id and role, links, the article element of a page that has one), a tag's from its
+name, and is never positive. One linear scan finds the contiguous run with the greatest
+sum; its words are the main text, one line for each block. Words whose surroundings score
+below zero (menus, notices, comments, ...) are no text: the run may cross them, at a
+cost of ``CROSSING`` at most, and leaves them out.
+
+Weights are fitted by logistic regression for words, and are log odds for tags, of lying in
+the marked region of labelled pages (``learn``). The pages are ``LABELLED`` and
+``PAGES`` more that ``labelled`` makes by a rule, so what is learned from is bounded; others
+may be given. Which names mean what is not decided here but learned from where they
+stand in those pages; a name they lack says nothing.
+
+Scripts, styles and the like, whose content is no text of the page, are not read.
 
 Defined results: null, empty or tag-only HTML has an empty text. An unclosed element
 ends where its parent does, an unclosed tag or comment at the end of the page, and an
 undecodable character reference stays as it is. ``<br>`` is white space inside a
-block. Equal sums: the first run, and of those the shortest, wins.
+block. Equal sums: the first run, and of those the shortest, wins. Null ids and URLs stay
+null, repeated rows each give a row, an empty table gives an empty one. Pages of any length
+and depth are read whole, in linear time. Columns other than those named are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import math
+import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_arrow, slices
 
+#: What a stretch of words that are no text costs at most, however long it is.
+CROSSING = 3.0
+#: The largest score of a word.
+MOST = 4.0
+#: Words that a link has at least to be told from a menu's.
+LONG = 4
+#: Labelled pages that are made.
+PAGES = 1200
+
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp script small span strike strong style sub sup time tt u var wbr".split())
-NEVER = frozenset("head nav header footer aside form button select option input menu dialog audio video canvas object".split()) | RAW
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg annotation annotation-xml".split())
+INLINE = frozenset(
+    """a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp script small
+    span strike strong style sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder
+    mover munderover mtable mtr mtd mstyle mpadded mphantom mspace semantics""".split()
+)
+ROLES = frozenset("head nav header footer aside form fieldset button select option menu dialog audio video canvas object".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose id is an anchor to jump to, not the name of a part of the page.
+ANCHORS = frozenset("section p pre li dt dd blockquote figure table".split()) | HEADINGS
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table td th body html article section div".split())
-#: Words in class, id or role that name what is no article text.
-HINTS = frozenset(
-    """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent
-    gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar
-    navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist reply replies respond disqus
-    discussion share sharing social related recommended recommendations toolbar pagination pager login search
-    contentinfo complementary hidden""".split()
-)
-#: Elements whose id is an anchor to jump to, not the name of a part of the page.
-ANCHORS = frozenset("section h1 h2 h3 h4 h5 h6 p pre li dt dd blockquote figure table".split())
-READER = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Words of compound names that say how a part is laid out, not what it is.
+LAYOUT = frozenset("wrap wrapper inner outer inside container box block area section holder list item items row col column group content widget zone slot unit panel region body left right top bottom bar id".split())
 
 _open = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _name = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _quoted = re.compile(r"[^>\"']*")
 _attribute = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_invisible = re.compile(r"display\s*:\s*none", re.I)
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -74,26 +94,6 @@ def _tag_end(page: str, at: int) -> int:
         here = shut + 1
 
 
-def _hints(name: str, attrs: str, own: bool = False) -> set[str]:
-    """What class, id, role and hidden say about an element. Ids say nothing on ``ANCHORS``,
-    on inline elements and inside the article (``own``); there, the class of an inline
-    element or of a heading or paragraph says nothing either, as it is markup of the text."""
-    said: set[str] = set()
-    small = name in INLINE or (name in ANCHORS and name != "section")
-    for m in _attribute.finditer(attrs):
-        key = m[1].lower()
-        if (key == "id" and (own or name in ANCHORS or name in INLINE)) or (key == "class" and own and small):
-            continue
-        if key in ("class", "id", "role"):
-            said |= {x.lower() for x in _parts.findall(m[2] or m[3] or m[4] or "")}
-        elif key == "hidden":
-            said.add("hidden")
-    said &= HINTS
-    if name in ("html", "body", "main"):
-        return set()
-    return said & (READER | {"hidden"}) if name == "article" else said
-
-
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", name, attributes), ("close", name, "") and ("text", "", text) in page order;
     comments, declarations and the inside of scripts and the like are left out."""
@@ -130,92 +130,181 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         at = shut + 1
 
 
-class Token:
-    """A tag (``words`` 0) or a run of text. ``kind``: the feature that is weighed;
-    ``inside``: whether its text may be shown; ``block``: whether it parts blocks."""
-
-    __slots__ = ("block", "inside", "kind", "text", "words")
-
-    def __init__(self, kind: str, text: str = "", words: int = 0, block: bool = False, inside: bool = True):
-        self.kind, self.text, self.words, self.block, self.inside = kind, text, words, block, inside
-
-
-def tokens(page: str) -> list[Token]:
-    """The tags and text runs of a page with their features.
-
-    Tags and words in an excluded element are ``never``. Other words are ``word:outside``
-    outside the article or main element of a page that has one, ``word:linked`` in a link
-    in such an element, an h1 or an h2, ``word:link`` in any other link, else ``word:plain``.
-    Tags are ``in:name`` where a link is ``word:linked``, else ``tag:name``. An element that a hint excludes counts all the same if it holds a
-    main, article or h1 element. Where the article elements hold fewer words outside links
-    than the rest of the page, as teasers do, the page counts as one without any.
-    """
-    seen = list(events(page))
-    out, inner, outer = _tokens(seen, True)
-    return _tokens(seen, False)[0] if outer > inner else out
-
-
-def _tokens(seen: list[tuple[str, str, str]], articles: bool) -> tuple[list[Token], int, int]:
-    """The tokens, and how many words outside links stand inside the article elements and
-    outside of them; without ``articles``, such elements mean nothing."""
-    inner = outer = 0
-    # the elements that hold the page's subject: a hint on them excludes nothing
-    holds: set[int] = set()
-    stack: list[tuple[str, int]] = []
-    has_main = False
-    for k, (what, name, attrs) in enumerate(seen):
-        if what == "open" and name not in VOID and name not in RAW:
-            stack.append((name, k))
-            if name in ("main", "article", "h1") and not _hints(name, attrs):
-                if not any(x in NEVER for x, _ in stack):
-                    has_main |= name != "h1"
-                    holds.update(i for _, i in stack[:-1])
-        elif what == "close" and any(x == name for x, _ in stack):
-            while stack.pop()[0] != name:
-                pass
-    has_main &= articles
-    out: list[Token] = []
-    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, never, in main, in link, in article or heading
-    state = (False, not has_main, False, False)
-    for k, (what, name, attrs) in enumerate(seen):
-        if what == "text":
-            text = entities.unescape(attrs)
-            never, main, link, own = state
-            kind = "never" if never else "word:outside" if not main else "word:plain" if not link else "word:linked" if own else "word:link"
-            out.append(Token(kind, text, len(text.split()), inside=not never and main))
-            if not never and not link:
-                inner, outer = inner + out[-1].words * main, outer + out[-1].words * (not main)
-            continue
-        hidden, before = state[0], state[3]
-        if what == "open":
-            if name in ENDS_P:
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == "p":
-                        del open_[i:]
-                        break
-                    if open_[i][0] in SCOPE:
-                        break
-            for i in range(len(open_) - 1, -1, -1) if name in SIBLINGS else ():
-                if open_[i][0] in SIBLINGS[name]:
-                    del open_[i:]
-                    if name != "tr":
-                        break
-                elif open_[i][0] in SCOPE:
-                    break
-            never, main, link, own = open_[-1][1:] if open_ else (False, not has_main, False, False)
-            hint = _hints(name, attrs, main and has_main)
-            never = never or name in NEVER or (bool(hint) and k not in holds)
-            main = main or (name in ("main", "article") and not hint)
-            own = main and (own or has_main or name in ("h1", "h2"))
-            if name not in VOID and name not in RAW:
-                open_.append((name, never, main, link or name == "a", own))
-        elif any(x[0] == name for x in open_):
-            while open_.pop()[0] != name:
-                pass
-        state = open_[-1][1:] if open_ else (False, not has_main, False, False)
-        hidden = hidden or state[0] or name in NEVER
-        out.append(Token("never" if hidden else f"in:{name}" if before or state[3] else f"tag:{name}", " " if name == "br" and not hidden else "", block=name not in INLINE and name not in RAW))
-    return out, inner, outer
+def features(name: str, attrs: str) -> tuple[str, ...]:
+    """What an element says about the words in it: its name, if HTML gives it a role, and for each
+    name in class, id and role the last word of it that is not about layout, as compounds
+    name a kind of their last word. Ids of ``ANCHORS`` and names on inline elements and
+    headings are told apart; html, body and main say nothing by their names."""
+    said = {f"element:{name}"} if name in ROLES else set()
+    if not attrs or name in ("html", "body"):
+        return tuple(said)
+    for m in _attribute.finditer(attrs):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or (key == "style" and _invisible.search(value)):
+            said.add("hidden")
+        elif key in ("class", "id", "role") and name != "main":
+            if key == "id" and (name in ANCHORS or name in INLINE):
+                continue
+            kind = "inline" if name in INLINE or name in HEADINGS else "name"
+            for compound in value.split():
+                words = [w.lower() for w in _parts.findall(compound)]
+                named = [w for w in words if w not in LAYOUT]
+                if named:
+                    said.add(f"{kind}:{named[-1]}")
+    return tuple(sorted(said))
+
+
+class Stack:
+    """The open elements by number and name. Each of its questions is answered at once,
+    however deep the page is nested."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.numbers: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, name: str, number: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in SCOPE:
+            self.scopes.append(len(self.names))
+        self.names.append(name)
+        self.numbers.append(number)
+
+    def cut(self, depth: int) -> None:
+        """Ends the elements from ``depth`` on."""
+        while len(self.names) > depth:
+            name = self.names.pop()
+            self.numbers.pop()
+            self.places[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name, -1 for none."""
+        found = self.places.get(name)
+        return found[-1] if found else -1
+
+    def starts(self, name: str) -> None:
+        """Ends the elements that a start tag ends."""
+        if name in ENDS_P and (at := self.last("p")) >= 0 and at > (self.scopes[-1] if self.scopes else -1):
+            self.cut(at)
+        # a tr ends its cells, which are in scope themselves, and then the row
+        while name in SIBLINGS and (at := max(map(self.last, SIBLINGS[name]))) >= 0:
+            below = [k for k in self.scopes[-2:] if k > at]
+            if below:
+                break
+            self.cut(at)
+            if name != "tr":
+                break
+
+    @property
+    def top(self) -> int:
+        return self.numbers[-1] if self.numbers else 0
+
+
+class Page:
+    """The elements and tokens of a page. Element 0 is the page itself; ``parent``, ``names``
+    and ``said`` are by element. A token is (element, text, words) of a run of words, or
+    (element, tag name, -1) of a tag."""
+
+    def __init__(self, page: str):
+        self.parent, self.names, self.said = [0], [""], [()]
+        self.tokens: list[tuple[int, str, int]] = []
+        stack = Stack()
+        for what, name, rest in events(page):
+            if what == "text":
+                text = entities.unescape(rest)
+                self.tokens.append((stack.top, text, len(text.split())))
+            elif what == "open":
+                stack.starts(name)
+                up = stack.top
+                self.parent.append(up)
+                self.names.append(name)
+                self.said.append(features(name, rest))
+                number = len(self.names) - 1
+                if name not in VOID and name not in RAW:
+                    stack.push(name, number)
+                self.tokens.append((number, name, -1))
+            elif (at := stack.last(name)) >= 0:
+                number = stack.numbers[at]
+                stack.cut(at)
+                self.tokens.append((number, name, -1))
+            else:
+                self.tokens.append((stack.top, name, -1))
+
+
+@dataclass(frozen=True)
+class Weights:
+    """``words``: by feature, ``bias`` for every word; ``tags``: by feature."""
+
+    words: dict[str, float]
+    bias: float
+    tags: dict[str, float]
+
+
+NOTHING = Weights({}, 1.0, {})
+
+
+class State:
+    """What holds for the words of each element under ``weights``: ``sure`` (the score of its
+    surroundings; below zero they are no text), ``link``, ``own`` (its links belong to the
+    text: in the article, or in a main heading), and ``place`` (inside or outside of the
+    article, if the page has one)."""
+
+    def __init__(self, page: Page, weights: Weights):
+        n = len(page.names)
+        parent, names = page.parent, page.names
+        own = [sum(weights.words.get(f, 0.0) for f in said) for said in page.said]
+        role = [weights.words.get(f"element:{x}", 0.0) if x in ROLES else 0.0 for x in names]
+        # a part that holds the page's heading, or main element, says nothing against it by its names
+        under = [0.0] * n
+        heads, articles = [], []
+        for k in range(1, n):
+            under[k] = under[parent[k]] + role[k]
+            if names[k] in ("main", "h1") and under[k] >= 0:
+                heads.append(k)
+            elif names[k] == "article" and under[k] >= 0 and own[k] >= 0:
+                articles.append(k)
+        holds = [False] * n
+        for k in heads or articles:
+            k = parent[k]
+            while k and not holds[k]:
+                holds[k] = True
+                k = parent[k]
+        self.names_sum = total = [0.0] * n
+        main = [False] * n
+        for k in range(1, n):
+            total[k] = total[parent[k]] + (max(role[k], own[k]) if holds[k] else own[k])
+            main[k] = main[parent[k]] or (names[k] in ("main", "article") and total[k] >= 0)
+        inner = outer = 0
+        for e, _, words in page.tokens:
+            if words > 0 and total[e] >= 0:
+                inner, outer = (inner + words, outer) if main[e] else (inner, outer + words)
+        # articles of fewer words than what is around them are teasers
+        self.has_main = any(main) and inner >= outer
+        place = (weights.words.get("place:outside", 0.0), weights.words.get("place:inside", 0.0)) if self.has_main else (0.0, 0.0)
+        self.main = main
+        self.sure = [weights.bias + total[k] + place[main[k]] for k in range(n)]
+        self.link, self.own = [False] * n, [False] * n
+        for k in range(1, n):
+            self.link[k] = self.link[parent[k]] or names[k] == "a"
+            self.own[k] = self.own[parent[k]] or (self.has_main and main[k]) or names[k] in ("h1", "h2")
+
+    def linked(self, e: int, words: int) -> str | None:
+        """What a run of so many words in an element is as a link's."""
+        if not self.link[e]:
+            return None
+        return "link:own" if self.own[e] else "link:long" if words >= LONG else "link:short"
+
+    def features(self, page: Page, e: int, words: int) -> list[str]:
+        """All features of a run of so many words in an element."""
+        out = ["place:inside" if self.main[e] else "place:outside"] if self.has_main else []
+        out += [x] if (x := self.linked(e, words)) else []
+        while e:
+            out += page.said[e]
+            e = page.parent[e]
+        return out
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -230,7 +319,51 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-# Labelled pages: what stands between [[ and ]] is the main text's region.
+def scored(page: Page, weights: Weights) -> tuple[list[float], list[bool]]:
+    """(score, whether it is text) of each token."""
+    state = State(page, weights)
+    scores, shown, spent = [], [], 0.0
+    for e, name, words in page.tokens:
+        sure = state.sure[e]
+        if words < 0:
+            up = page.parent[e]
+            text = sure >= 0 and state.sure[up] >= 0
+            score = weights.tags.get(f"{'own' if state.own[e] or state.own[up] else 'tag'}:{name}", -0.01 if state.own[e] else -0.5)
+        else:
+            text = sure >= 0
+            score = max(-MOST, min(MOST, sure + (weights.words.get(state.linked(e, words), 0.0) if text else 0.0))) * words
+        if text:
+            spent = 0.0 if words > 0 else spent
+        else:
+            score = -min(-score, CROSSING - spent) if score < 0 else 0.0
+            spent -= score
+        scores.append(score)
+        shown.append(text)
+    return scores, shown
+
+
+def extract(html: str | None, weights: Weights | None = None) -> str:
+    """The main text of a page."""
+    weights = weights or known()
+    page = Page(html or "")
+    scores, shown = scored(page, weights)
+    start, end = best_run(scores)
+    blocks: list[str] = []
+    parts: list[str] = []
+    for (_, text, words), text_here in zip(page.tokens[start:end], shown[start:end], strict=True):
+        if words >= 0:
+            if text_here:
+                parts.append(text)
+        elif text == "br":
+            parts.append(" ")
+        elif text not in INLINE and text not in RAW:
+            blocks.append(" ".join("".join(parts).split()))
+            parts = []
+    blocks.append(" ".join("".join(parts).split()))
+    return "\n".join(b for b in blocks if b)
+
+
+# Labelled pages: what stands between [[ and ]] is the main text's region, less what stands in it between {{ and }}.
 LABELLED = [
     """<html><head><title>T</title></head><body><div class="top"><a href="/">Home</a> <a href="/n">News</a></div>
     <nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>[[<article><h1>A title of the page</h1>
@@ -262,50 +395,166 @@ LABELLED = [
     Privacy</a></div></body>""",
 ]
 
+# What parts of pages are called in class, id and role, by where they stand.
+AROUND = """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent
+    gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar
+    navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist reply replies respond disqus
+    share sharing social buttons related recommended recommendations toolbar pagination pager login search
+    contentinfo complementary copyright imprint""".split()
+WITHIN = "post entry article story text main lead intro abstract summary chapter caption code note quote table figure heading title paragraph".split()
+ON_WORDS = "comment keyword string number name highlight term math".split()
+
+
+def labelled(pages: int = PAGES, seed: int = 42) -> list[str]:
+    """Labelled pages made by a rule: a region of headings, paragraphs, lists, tables and links
+    in an article, a main element or a box with one of the names ``WITHIN`` or none; around
+    it, and now and then within, parts with roles, with names of ``AROUND`` or none, of links,
+    of words, or of both. The same seed gives the same pages."""
+    draw = random.Random(seed)
+
+    def words(least: int, most: int) -> str:
+        return " ".join(["word"] * draw.randint(least, most))
+
+    def links(least: int, most: int, tag: str = "", longest: int = 3) -> str:
+        each = [f'<a href="/">{words(1, longest)}</a>' for _ in range(draw.randint(least, most))]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>" if tag else " ".join(each)
+
+    def called(name: str) -> str:
+        name = draw.choice([name, name, f"site-{name}", f"{name}-{draw.choice(sorted(LAYOUT))}", f"page{name.title()}"])
+        return f'{draw.choice(["class", "class", "id"])}="{name}"'
+
+    def filling() -> str:
+        return draw.choice([lambda: links(2, 8, "ul"), lambda: links(2, 6), lambda: f"<p>{words(2, 40)}</p>", lambda: words(1, 30), lambda: f"<h3>{words(1, 4)}</h3><p>{words(2, 20)}</p>{links(1, 4, 'ul', 8)}", lambda: f"<ul><li>{words(2, 9)}</li><li>{words(2, 9)}</li></ul>"])()
+
+    def part(bare: bool) -> str:
+        kind = draw.random()
+        if kind < 0.4:
+            name = draw.choice(sorted(ROLES - {"head", "option", "fieldset"}))
+            return f"<{name}>{filling()}</{name}>"
+        if kind < 0.8 or not bare:
+            name = draw.choice(AROUND)
+            tag = draw.choice(["div", "div", "section", "ul", "p", "span"])
+            where = f'role="{name}"' if name in ("navigation", "banner", "contentinfo", "complementary", "search") else called(name)
+            return draw.choice([f"<{tag} {where}>{filling() if tag in ('div', 'section') else words(1, 20)}</{tag}>", f"<div hidden>{words(1, 20)}</div>", f"<div {where}>{filling()}</div>", f"<div {where}>{filling()}</div>"])
+        return draw.choice([f"<div>{links(2, 6)}</div>", f"<p>{links(2, 5)}</p>", f"<div>{words(1, 4)}</div>", f"<div>{words(1, 3)} {links(1, 3)}</div>"])
+
+    def block() -> str:
+        one = draw.choice(["p", "p", "p", "p", "list", "links", "quote", "table", "code", "figure", "box", "heading", "section", "terms", "lines", "nested"])
+        if one == "p":
+            return f"<p>{words(3, 80)} <a href='/'>{words(1, 6)}</a> <em>{words(1, 3)}</em> {words(0, 30)}</p>"
+        if one == "list":
+            return f"<ul><li>{words(1, 12)}</li><li>{words(1, 12)}<ul><li>{words(1, 6)}</li></ul></li></ul>"
+        if one == "links":
+            return f"<h2>{words(1, 3)}</h2>" + links(2, 9, "ul", 12)
+        if one == "quote":
+            return f"<blockquote><p>{words(4, 30)}</p></blockquote>"
+        if one == "table":
+            return f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 3)}</td></tr><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>"
+        if one == "code":
+            return f"<pre><code>{words(2, 20)} <span class='{draw.choice(ON_WORDS)}'>{words(1, 6)}</span></code></pre>"
+        if one == "figure":
+            return f"<figure><img src='i'><figcaption>{words(2, 12)}</figcaption></figure>"
+        if one == "box":
+            return f"<div {called(draw.choice(WITHIN))}><p>{words(3, 40)}</p></div>"
+        if one == "lines":
+            return "".join(f"<div>{words(1, 12)}</div>" for _ in range(draw.randint(2, 5)))
+        if one == "nested":
+            return f"<div><div><p>{words(3, 40)}</p></div><div>{words(1, 20)}<br>{words(1, 20)}</div></div>"
+        if one == "heading":
+            return f"<{(h := draw.choice(['h2', 'h3']))} id='{draw.choice(AROUND)}'>{words(1, 6)}</{h}>"
+        if one == "section":
+            return f"<section id='{draw.choice(AROUND)}'><h2>{words(1, 4)}</h2><p>{words(5, 50)}</p></section>"
+        return f"<dl><dt>{words(1, 3)}</dt><dd>{words(2, 12)}</dd></dl>"
+
+    def region() -> str:
+        title = words(2, 10)
+        parts = [f"<h1><a href='/'>{title}</a></h1>" if draw.random() < 0.2 else f"<h1>{title}</h1>" if draw.random() < 0.9 else ""]
+        parts += [block() for _ in range(draw.randint(2, 14))]
+        for _ in range(draw.choice([0, 0, 1, 2, 3])):
+            parts.insert(draw.randint(1, len(parts)), "{{" + part(False) + "}}")
+        if draw.random() < 0.1:
+            parts[0] = "{{<header>" + words(2, 6) + "</header>}}" + parts[0]
+        return "".join(parts)
+
+    def page() -> str:
+        frame = draw.choice(["article", "article", "main", "main article", "named", "named", "none"])
+        text = region()
+        if frame == "article":
+            text = f"[[<article>{text}</article>]]"
+        elif frame == "main":
+            text = f"<main>[[{text}]]</main>"
+        elif frame == "main article":
+            text = f"<main>[[<article>{text}</article>]]</main>"
+        elif frame == "named":
+            text = f"<div {called(draw.choice(WITHIN))}>[[{text}]]</div>"
+        else:
+            text = f"<div>[[{text}]]</div>"
+        # beside an article, any text may stand outside of it
+        bare = [f"<div><p>{words(2, 30)}</p></div>", f"<p>{words(2, 20)}</p>"] if "a" in frame.split()[0] and frame != "named" else []
+        before = [part(True) for _ in range(draw.randint(0, 4))] + ([draw.choice(bare)] if bare and draw.random() < 0.4 else [])
+        after = [part(True) for _ in range(draw.randint(0, 4))] + ([draw.choice(bare)] if bare and draw.random() < 0.4 else [])
+        draw.shuffle(before)
+        draw.shuffle(after)
+        return "<html><body>" + "".join(before) + text + "".join(after) + "</body></html>"
 
-def learn(pages: list[str]) -> dict[str, float]:
-    """Weights by feature from pages with one ``[[ ... ]]`` region: log odds of lying inside,
-    smoothed by one half. Tags and words outside the article weigh under zero, plain words
-    and the article's own links over it."""
-    inside: dict[str, float] = {}
-    outside: dict[str, float] = {}
-    for page in pages:
-        before, rest = page.split("[[")
-        region, after = rest.split("]]")
-        parts = tokens(before), tokens(before + region), tokens(before + region + after)
-        lo, hi, full = len(parts[0]), len(parts[1]), parts[2]
-        for k, t in enumerate(full):
-            if t.kind == "never":
-                continue
-            into = inside if lo <= k < hi else outside
-            into[t.kind] = into.get(t.kind, 0) + max(1, t.words)
-    out = {k: math.log((inside.get(k, 0) + 0.5) / (outside.get(k, 0) + 0.5)) for k in {*inside, *outside}}
-    return {k: max(0.5, v) if k in ("word:plain", "word:linked") else v if k == "word:link" else min(-0.01, v) for k, v in out.items()}
-
-
-WEIGHTS = learn(LABELLED)
+    return [page() for _ in range(pages)]
 
 
-def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
-    """The main text of a page."""
-    seen = tokens(page or "")
-    scores = [0.0 if t.kind == "never" else weights.get(t.kind, -0.01 if t.kind.startswith("in:") else -0.5) * (t.words if t.kind.startswith("word:") else 1) for t in seen]
-    start, end = best_run(scores)
-    blocks: list[str] = []
-    parts: list[str] = []
-    for t in seen[start:end]:
-        if t.block:
-            blocks.append(" ".join("".join(parts).split()))
-            parts = []
-        elif t.inside:
-            parts.append(t.text)
-    blocks.append(" ".join("".join(parts).split()))
-    return "\n".join(b for b in blocks if b)
+_marks = re.compile(r"(\[\[|\]\]|\{\{|\}\})")
 
 
-def main_text(pages: DataFrame, weights: dict[str, float] | None = None, *, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
+def learn(pages: list[str], ridge: float = 0.05, rounds: int = 12) -> Weights:
+    """Weights from labelled pages. Words: logistic regression, by Newton's method, of
+    lying in the text on the features of each run of words. Tags: log odds of lying in the
+    region, smoothed by one half, and not above -0.01."""
+    rows: list[tuple[list[str], bool]] = []
+    inside: dict[str, float] = {}
+    outside: dict[str, float] = {}
+    # which elements are articles does not hang on weights, except for what is learned of their names
+    for html in pages:
+        page = Page(html)
+        state = State(page, NOTHING)
+        within = hole = False
+        for e, text, n in page.tokens:
+            if n < 0:
+                if not hole:
+                    into = inside if within else outside
+                    kind = f"{'own' if state.own[e] or state.own[page.parent[e]] else 'tag'}:{text}"
+                    into[kind] = into.get(kind, 0) + 1
+                continue
+            for piece in _marks.split(text):
+                if piece in ("[[", "]]"):
+                    within = piece == "[["
+                elif piece in ("{{", "}}"):
+                    hole = piece == "{{"
+                elif piece.split():
+                    rows.append((state.features(page, e, n), within and not hole))
+    kinds = {f: k for k, f in enumerate(sorted({f for fs, _ in rows for f in fs}))}
+    x = np.zeros((len(rows), len(kinds) + 1))
+    x[:, -1] = 1
+    for k, (fs, _) in enumerate(rows):
+        for f in fs:
+            x[k, kinds[f]] += 1
+    y = np.array([float(t) for _, t in rows])
+    w, penalty = np.zeros(len(kinds) + 1), np.full(len(kinds) + 1, ridge)
+    penalty[-1] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        w = w + np.linalg.solve(step, x.T @ (y - p) - penalty * w)
+    tags = {k: min(-0.01, math.log((inside.get(k, 0) + 0.5) / (outside.get(k, 0) + 0.5))) for k in {*inside, *outside}}
+    return Weights({f: float(w[k]) for f, k in kinds.items()}, float(w[-1]), tags)
+
+
+@lru_cache(maxsize=1)
+def known() -> Weights:
+    """The weights of ``LABELLED`` and the pages that are made."""
+    return learn([*LABELLED, *labelled()])
+
+
+def main_text(pages: DataFrame, weights: Weights | None = None, *, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """The columns ``keep``, ``text`` and ``n_chars`` (its code points) of each page."""
-    weights = weights or WEIGHTS
+    weights = weights or known()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

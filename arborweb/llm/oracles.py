@@ -94,3 +94,13 @@ first AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN first ON first.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
+
+#: The stored pages' text stands in one article element of paragraphs and headings, which
+#: regular expressions find as well; titles are cut in the middle of a reference now and then.
+MAIN_TEXT = r"""
+WITH body AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '&(amp|quot)</', '&\1;</', 'g') AS body FROM pages),
+blocks AS (SELECT page_id, url, regexp_split_to_array(replace(replace(replace(replace(replace(regexp_replace(body, '</?b>', '', 'g'),
+  '<br>', ' '), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '</?(?:p|h1)>') AS blocks FROM body),
+lines AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(replace(x, '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM blocks)
+SELECT page_id, url, coalesce(array_to_string(lines, chr(10)), '') AS text, length(coalesce(array_to_string(lines, chr(10)), '')) AS n_chars FROM lines
+"""

@@ -85,5 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_poisson_mixing": oracles.MIXING,
         "op4_embedding_dedup": oracles.EMBEDDINGS,
         "op5_warc_revisits": oracles.WARC,
+        "op8_html_extraction": oracles.MAIN_TEXT,
         "op9_url_filter": oracles.URL_FILTER,
     }

@@ -1,3 +1,8 @@
+import html
+import random
+import re
+import time
+
 import pytest
 
 from arborweb.llm import main_text as M
@@ -88,3 +93,81 @@ def test_text_beside_teasers_is_kept():
     text = "".join(f"<p>Paragraph {i} of the long text.</p>" for i in range(20))
     page = f"<div class='post'><h1>T</h1>{text}</div><article class='card'><a href=/a>Other</a> teaser</article>"
     assert M.extract(page).startswith("T\n" + "\n".join(f"Paragraph {i} of the long text." for i in range(20)))
+
+
+MEANT = {
+    "<article><p>Up.</p><div class='share-price'>4.20</div><div class='share-buttons'>Share it</div><p>Down.</p></article>": "Up.\n4.20\nDown.",
+    "<article><p>It is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>": "It is x=2 here.",
+    "<article><section id=discussion><h2 id=related-work>Related</h2><p>Work.</p></section></article>": "Related\nWork.",
+    "<div class='entry'><h1>T</h1><p>Words of the text.</p><div style='display: none'>unseen</div><p>More of it.</p></div><div class='newsletter-signup'><p>Get our letter each and every day of the week</p></div>": "T\nWords of the text.\nMore of it.",
+    "<article><p>One.</p><aside>" + "far too many words " * 60 + "</aside><p>Two.</p></article>": "One.\nTwo.",
+}
+
+
+@pytest.mark.parametrize("page", MEANT)
+def test_names_mean_their_last_word(page):
+    assert M.extract(page) == MEANT[page]
+
+
+@pytest.mark.parametrize("page", ["<div>" + "<b>" * 50000 + "x" + "</i>" * 50000, "<p><td>" + "<b>" * 30000 + "<div></div>" * 30000, "<li>" * 50000, "<div class=ad>" * 50000 + "x", "<table>" + "<tr><td>x" * 30000])
+def test_deep_nesting_takes_linear_time(page):
+    began = time.perf_counter()
+    M.extract(page)
+    assert time.perf_counter() - began < 5
+
+
+def slow(page):
+    """The run of the greatest sum among all runs, and its text put together from scratch."""
+    whole = M.Page(page)
+    scores, shown = M.scored(whole, M.known())
+    best, run = 0.0, (0, 0)
+    for i in range(len(scores)):
+        total = 0.0
+        for j in range(i, len(scores)):
+            total += scores[j]
+            if total > best + 1e-9:
+                best, run = total, (i, j + 1)
+    lines = [""]
+    for (_, text, words), is_text in list(zip(whole.tokens, shown))[run[0] : run[1]]:
+        if words < 0 and text not in M.INLINE and text not in M.RAW:
+            lines.append("")
+        elif words < 0:
+            lines[-1] += " " if text == "br" else ""
+        elif is_text:
+            lines[-1] += text
+    return "\n".join(x for x in (re.sub(r"\s+", " ", line).strip() for line in lines) if x)
+
+
+def test_extract_against_all_runs():
+    draw = random.Random(4)
+    pieces = ["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<div class=ad>", "<nav>", "</nav>", "<h1>", "</h1>", "<li>", "<ul>", "</ul>", "<article>", "</article>", "<aside>", "</aside>", "<b>", "</b>", "<br>", "a ", "b c", " some more words of it ", "&amp;", "<table><td>", "</table>"]
+    for _ in range(300):
+        page = "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 40)))
+        assert M.extract(page) == slow(page), page
+    for page in M.labelled(40, seed=7):
+        assert M.extract(page) == slow(page)
+
+
+def plain(text):
+    """The words of a piece of a labelled page that are its text."""
+    text = re.sub(r"\{\{.*?\}\}", " ", text, flags=re.S)
+    return html.unescape(re.sub(r"<[^>]*>", " ", text)).split()
+
+
+def test_pages_that_were_not_learned_from():
+    found = wanted = right = 0
+    for page in M.labelled(200, seed=99):
+        region = plain(page.split("[[")[1].split("]]")[0])
+        got = M.extract(re.sub(r"\[\[|\]\]|\{\{|\}\}", "", page)).split()
+        both = min(len(got), len(region))
+        found, wanted, right = found + len(got), wanted + len(region), right + both
+    assert right / wanted > 0.97 and right / found > 0.97
+
+
+def test_the_scan_decides_where_names_do_not(monkeypatch):
+    """With all names and roles taken away, links and tags alone tell the text from the rest."""
+    pages = ["<div><a href=/>Home</a> <a href=/n>News</a> <a href=/m>More</a></div><div><h1>T</h1>" + f"<p>{'words of the text ' * n}</p>" * 3 + "</div><div><a href=/p>Privacy</a> <a href=/t>Terms</a></div>" for n in range(1, 21)]
+    with_scan = [M.extract(p) for p in pages]
+    assert all(t.startswith("T\nwords") and "Privacy" not in t and "Home" not in t for t in with_scan)
+    monkeypatch.setattr(M, "best_run", lambda scores: (0, len(scores)))
+    assert all(M.extract(p) != t for p, t in zip(pages, with_scan))
