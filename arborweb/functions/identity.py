@@ -72,10 +72,30 @@ def _full_keys(method: pd.Series, url: pd.Series, params: pd.Series, data: pd.Se
     return pd.Series([None if u is None else dedup_key(m, u, _gathered(p), _gathered(d), None if b is None else json.loads(b)) for m, u, p, d, b in rows], dtype=object)
 
 
+#: Texts that the key's text quotes as they are.
+_PLAIN = r"^[ -&(-\[\]-~]*$"
+
+
+def _plain_pairs(pairs: Column) -> Column:
+    """Whether pairs have different names and need no escapes, so that ``_said`` can spell them."""
+    known = F.coalesce(pairs, F.expr("cast(array() as array<struct<k: string, v: string>>)"))
+    names = F.transform(known, lambda p: p["k"])
+    return (F.size(F.array_distinct(names)) == F.size(names)) & F.forall(known, lambda p: F.coalesce(p["k"].rlike(_PLAIN) & p["v"].rlike(_PLAIN), F.lit(False)))
+
+
+def _said(pairs: Column) -> Column:
+    """``key_text``'s spelling of a mapping, sorted by name; nothing for none."""
+    each = F.transform(F.array_sort(pairs), lambda p: F.concat(F.lit("('"), p["k"], F.lit("', '"), p["v"], F.lit("')")))
+    return F.when(F.coalesce(F.size(pairs), F.lit(0)) > 0, F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))).otherwise("")
+
+
 def request_key(method: Column, url: Column, params: Column, data: Column, body: Column) -> Column:
-    """The key of each request row; only rows with parameters, data or a body leave the JVM."""
-    bare = (F.coalesce(F.size(params), F.lit(0)) <= 0) & (F.coalesce(F.size(data), F.lit(0)) <= 0) & body.isNull()
-    return F.when(bare, bare_key(method, url)).otherwise(series_udf(_full_keys, T.StringType())(method, url, params, data, body))
+    """The key of each request row. Only rows with a JSON body, repeated names or characters
+    that need escapes leave the JVM."""
+    asked = _said(params)
+    text = F.concat(method, F.lit(" "), url, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""), F.lit("|"), _said(data))
+    plain = _plain_pairs(params) & _plain_pairs(data) & body.isNull()
+    return F.when(plain, F.sha2(text, 256)).otherwise(series_udf(_full_keys, T.StringType())(method, url, params, data, body))
 
 
 def link_json(selector: Column, grammar: Column, description: Column) -> Column:

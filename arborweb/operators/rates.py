@@ -5,47 +5,67 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 
 def window_counts(requests: DataFrame, seconds: int, *, keys: list[str], at: str = "ts") -> DataFrame:
     """``requests`` with ``n_window``: requests of the same keys in the ``seconds`` up to each,
-    itself and those at the same instant included."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    own = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return requests.withColumn("n_window", F.count(F.lit(1)).over(own))
+    itself and those at the same instant included.
+
+    The requests of a key are dealt over blocks of the window's length, each with the block
+    before it, which holds all else that its windows reach. So a key with any number of
+    requests is spread over as many tasks as it has blocks.
+    """
+    width = seconds * 1_000_000
+    rows = requests.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
+    rows = rows.withColumn("_block", F.floor(F.col("_at") / width).cast("long"))
+    both = rows.withColumn("_shown", F.explode(F.array(F.col("_block"), F.col("_block") + 1)))
+    own = Window.partitionBy(*keys, "_shown").orderBy("_at").rangeBetween(-width, 0)
+    counted = both.withColumn("n_window", F.count(F.lit(1)).over(own)).filter(F.col("_shown") == F.col("_block"))
+    return counted.select(*requests.columns, "n_window")
 
 
-def admit(requests: DataFrame, limit: int, seconds: float, *, keys: list[str], at: str = "ts", bypass: str | None = None) -> DataFrame:
-    """``requests`` with ``admitted``: at most ``limit`` of the same keys in any ``seconds``;
-    those refused do not count, those that ``bypass`` the limit always pass and count not.
+def admit(requests: DataFrame, limit: int, seconds: float, *, keys: list[str], at: str = "ts", bypass: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``admit_all`` with one rate."""
+    return admit_all(requests, [(limit, seconds)], keys=keys, at=at, bypass=bypass, ties=ties)
 
-    Admission depends on each earlier one, so the requests of a key are read in order; they
-    pass through one batch at a time and only ``limit`` times are held.
+
+def admit_all(requests: DataFrame, rates: list[tuple[int, float]], *, keys: list[str], at: str = "ts", bypass: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``requests`` with ``admitted``: for each (limit, seconds) of ``rates``, at most ``limit`` of
+    the same keys in any ``seconds``; those refused do not count, those that ``bypass`` the
+    rates always pass and count not. ``ties`` order requests of one instant.
+
+    Admission depends on each earlier one, so the requests of a key are read in order, as
+    columns; of all that went before, only the times of the last ``limit`` are held. A key
+    is one task's work, which is what a limit on that key means: it lets through
+    ``limit`` in so many seconds, however many ask.
     """
-    schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())])
-    ordered = requests.repartition(*keys).sortWithinPartitions(*keys, at)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, passed = None, deque()
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                key = tuple(r[k] for k in keys)
+    if not rates or any(n < 1 or s <= 0 for n, s in rates):
+        raise ValueError("a rate is a positive number in a positive time")
+    ship(requests.sparkSession)
+    time, key, free = F.unix_micros(F.col(at).cast("timestamp")), F.to_json(F.struct(*keys)), F.coalesce(F.col(bypass), F.lit(False)) if bypass else F.lit(False)
+    marked = requests.select(F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("row"), key.alias("key"), time.alias("time"), free.alias("free"), *[F.col(t).alias(f"tie{k}") for k, t in enumerate(ties)])
+    ordered = marked.repartition("key").sortWithinPartitions("key", "time", *[f"tie{k}" for k in range(len(ties))]).select("row", "key", "time", "free")
+    longest = max(n for n, _ in rates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, passed = None, deque(maxlen=longest)
+        for batch in batches:
+            said = []
+            for key, t, free in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if key != now:
-                    now, passed = key, deque()
-                if bypass is not None and r[bypass]:
-                    out.append(True)
-                    continue
-                t = r[at].timestamp()
-                while passed and passed[0] <= t - seconds:
-                    passed.popleft()
-                out.append(len(passed) < limit)
-                if out[-1]:
+                    now, passed = key, deque(maxlen=longest)
+                # of a rate's last admissions, the one ``limit`` back must lie a full window ago
+                ok = free or all(len(passed) < n or passed[-n] <= t - s * 1e6 for n, s in rates)
+                if ok and not free:
                     passed.append(t)
-            yield pdf.assign(admitted=out)
+                said.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.bool_())], names=["row", "admitted"])
 
-    return ordered.mapInPandas(run, schema)
+    schema = T.StructType([T.StructField("row", requests.schema), T.StructField("admitted", T.BooleanType())])
+    return ordered.mapInArrow(run, schema).select("row.*", "admitted")

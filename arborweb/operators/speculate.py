@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 @dataclass(frozen=True)
 class SpeculativeRange:
@@ -20,21 +23,8 @@ class SpeculativeRange:
     gap: int = 10
 
     def __post_init__(self) -> None:
-        if self.min <= 0:
-            raise ValueError("min must be positive")
-        if self.soft_max < self.min:
-            raise ValueError("soft_max must not be below min")
-        if self.gap < 0:
-            raise ValueError("gap must not be negative")
-
-    def seed_range(self) -> range:
-        return range(self.min, self.soft_max)
-
-    def from_int(self, n: int) -> SpeculativeRange:
-        return replace(self, min=n, soft_max=max(self.soft_max, n + 1))
-
-    def max_gap(self) -> int:
-        return self.gap if self.should_advance else 0
+        if not 0 < self.min <= self.soft_max or self.gap < 0:
+            raise ValueError(f"no range to probe: {self}")
 
 
 def seed_numbers(low: Column, soft_max: Column) -> Column:
@@ -44,7 +34,13 @@ def seed_numbers(low: Column, soft_max: Column) -> Column:
 
 def templates(spark: SparkSession, entries: list[tuple[str, int, SpeculativeRange]]) -> DataFrame:
     """``entry, param_index, min, soft_max, gap`` of each stored template."""
-    return spark.createDataFrame([(e, i, r.min, r.soft_max, r.max_gap()) for e, i, r in entries], "entry STRING, param_index INT, min BIGINT, soft_max BIGINT, gap INT")
+    rows = [(e, i, r.min, r.soft_max, r.gap * r.should_advance) for e, i, r in entries]
+    return spark.createDataFrame(rows, "entry STRING, param_index INT, min BIGINT, soft_max BIGINT, gap INT")
+
+
+def started_at(of: DataFrame, n: Column) -> DataFrame:
+    """Templates that start at ``n`` instead, with one number to probe at least."""
+    return of.withColumns({"min": n.cast("bigint"), "soft_max": F.greatest("soft_max", n.cast("bigint") + 1)})
 
 
 def seeds(of: DataFrame) -> DataFrame:
@@ -87,3 +83,21 @@ def next_probes(now: DataFrame) -> DataFrame:
     """The next window of each template that goes on: as many numbers as failures are left."""
     left = F.col("gap") - F.col("consecutive_failures")
     return now.filter(~F.col("done") & (left > 0)).select("entry", "param_index", F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.greatest(left, F.lit(1)) - 1)).alias("n"))
+
+
+def probe(of: DataFrame, outcomes_of: Callable[[DataFrame], DataFrame], *, rounds: int = 1000) -> DataFrame:
+    """``state`` of all templates when none goes on: first probes, then window after window.
+
+    ``outcomes_of`` turns probes (entry, param_index, n) into outcomes (with ``ok``). Each round
+    probes the windows of all templates at once and adds a table of its own; templates that
+    are done take no part in later ones.
+    """
+    asked = stored(seeds(of))
+    seen = stored(outcomes_of(asked))
+    for _ in range(rounds):
+        now = stored(state(seen, of))
+        asked = stored(next_probes(now))
+        if asked.isEmpty():
+            break
+        seen = seen.unionByName(stored(outcomes_of(asked)))
+    return state(seen, of)

@@ -2,7 +2,8 @@
 
 A step is a generator over one response. It names what it wants as parameters, and only
 that is made: an HTML tree is parsed for ``page`` alone. What it yields goes back as
-rows: data, requests, or nothing.
+rows: data, requests, or nothing. What breaks on one response is a row as well, and so are
+the selectors that a step tried; a job fails for faults of the scraper only.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import inspect
 import json
 import typing
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, is_dataclass
+from dataclasses import dataclass, is_dataclass
 from datetime import date
 from functools import cached_property
 
@@ -19,13 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import AssumptionError, ConfigError
+from ..errors import AssumptionError, ConfigError, HaltRun, SkipRequest, TransientError
 from ..model import DEFAULT_PRIORITY
+from ..operators.observe import QUERY
 from ..operators.speculate import SpeculativeRange
 from ..shipping import ship
-from ..sources.dom import Tree, parse, to_text
+from ..sources.dom import parse, to_text
+from .page import Data, Follow, Observer, Page
 
 INJECTED = ("response", "request", "previous_request", "accumulated_data", "json_content", "tree", "page", "text", "local_filepath")
+QUERY_COLUMNS = [c.split()[0] for c in QUERY.split(", ") if not c.startswith("request_id")]
 OUTPUT = "request_id STRING, seq INT, kind STRING, payload STRING, error_class STRING, error STRING"
 
 
@@ -40,38 +44,6 @@ class StepInfo:
     auto_await_timeout: float | None = None
 
 
-@dataclass(frozen=True)
-class Data:
-    """A yielded record."""
-
-    data: object
-
-    def unwrap(self) -> object:
-        return self.data
-
-
-@dataclass(frozen=True)
-class Follow:
-    """A yielded request: its URL, the step it goes on to (a name or the step itself), and
-    any other request field."""
-
-    url: str
-    continuation: object
-    method: str = "GET"
-    priority: int | None = None
-    fields: dict = field(default_factory=dict)
-
-    def row(self, scraper: Scraper) -> dict:
-        target = self.continuation
-        name = target if isinstance(target, str) else getattr(target, "__name__", "")
-        if not name:
-            raise ConfigError("a request needs a continuation")
-        priority = self.priority
-        if priority is None and not isinstance(target, str) and hasattr(target, "_step"):
-            priority = target._step.priority
-        return {"url": self.url, "continuation": name, "method": self.method, "priority": priority, **self.fields}
-
-
 @dataclass(frozen=True)
 class WaitForSelector:
     """Conditions that a browser transport waits for before a page is read; others ignore them."""
@@ -167,32 +139,6 @@ def entry(returns: type) -> Callable:
     return mark
 
 
-class Page:
-    """A response's element tree inside a step, with small look-ups. Corpus-wide queries are
-    plans over the node table (``plans.treequery``)."""
-
-    def __init__(self, tree: Tree, url: str, at: int = 0):
-        self.tree, self.url, self.at = tree, url, at
-
-    def find(self, tag: str | None = None, **attrs: str) -> list[Page]:
-        """Elements below this one with the tag and attributes (``class_`` for class)."""
-        wanted = {k.rstrip("_"): v for k, v in attrs.items()}
-        t = self.tree
-        return [Page(t, self.url, k) for k in range(self.at + 1, self.at + t.size[self.at] + 1) if tag in (None, t.tag[k]) and all(t.attrs[k].get(a) == v for a, v in wanted.items())]
-
-    def text_content(self) -> str:
-        return self.tree.content(self.at)
-
-    def get_attribute(self, name: str) -> str | None:
-        return self.tree.attrs[self.at].get(name)
-
-    def inner_html(self) -> str:
-        return self.tree.inner(self.at)
-
-    def tag_name(self) -> str:
-        return self.tree.tag[self.at]
-
-
 class Scraper:
     """Base of scrapers. Attributes describe the site; methods marked ``step`` and ``entry``
     are found by name."""
@@ -297,76 +243,123 @@ def _plain(value: object) -> object:
     return value.isoformat() if isinstance(value, date) else value
 
 
-def execute(scraper: Scraper, name: str, response: dict) -> Iterator[dict]:
-    """The rows that one response gives in a step; a failed assumption is a row as well."""
+def _given(info: StepInfo, response: dict, observer: Observer) -> dict[str, object]:
+    """What a step asks for by the names of its parameters."""
+    given: dict[str, object] = {}
+    wants = set(info.wants)
+    if "response" in wants:
+        given["response"] = response
+    for k in ("request", "previous_request"):
+        if k in wants:
+            given[k] = response.get(k)
+    if "accumulated_data" in wants:
+        given["accumulated_data"] = json.loads(response.get("accumulated_data") or "{}")
+    if "local_filepath" in wants:
+        given["local_filepath"] = response.get("file_url") if response.get("is_archive") else None
+    text, content = response.get("text") or None, response.get("content")
+    if wants & {"json_content", "text"} or info.preprocess:
+        plain = text if text is not None else bytes(content or b"").decode(info.encoding)
+        if "json_content" in wants:
+            given["json_content"] = json.loads(plain)
+        if info.preprocess and wants & {"text", "tree", "page"}:
+            plain = info.preprocess(plain)
+        if "text" in wants:
+            given["text"] = plain
+    if wants & {"tree", "page"}:
+        document = plain if info.preprocess else (to_text(bytes(content)) if content else text or "")
+        parsed = parse(document)
+        if "tree" in wants:
+            given["tree"] = parsed
+        if "page" in wants:
+            given["page"] = Page(parsed, response.get("url") or "", 0, observer)
+    return given
+
+
+def execute(scraper: Scraper, name: str, response: dict, observe: bool = False) -> Iterator[dict]:
+    """The rows that one response gives in a step, by ``kind``: data, request, and at the end, if
+    there is one, how it broke off: error, halt (stop the run) or skip (leave out this
+    response). With ``observe`` a row ``query`` follows for each selector that was tried.
+
+    Whatever a response does to the step's code is that response's error, of the exception's
+    class; unreadable text or JSON is an ``AssumptionError``. Only a ``ConfigError``, a
+    fault of the scraper itself, is raised.
+    """
     fn = scraper.continuation(name)
-    info: StepInfo = fn._step
-    seq = 0
+    observer, seq = Observer(), 0
+
+    def row(kind: str, payload: object = None, error_class: str | None = None, error: str | None = None) -> dict:
+        nonlocal seq
+        seq += 1
+        return {"seq": seq - 1, "kind": kind, "payload": None if payload is None else json.dumps(payload), "error_class": error_class, "error": error}
+
     try:
-        given: dict[str, object] = {}
-        wants = set(info.wants)
-        if "response" in wants:
-            given["response"] = response
-        for k in ("request", "previous_request"):
-            if k in wants:
-                given[k] = response.get(k)
-        if "accumulated_data" in wants:
-            given["accumulated_data"] = json.loads(response.get("accumulated_data") or "{}")
-        if "local_filepath" in wants:
-            given["local_filepath"] = response.get("file_url") if response.get("is_archive") else None
-        text, content = response.get("text") or None, response.get("content")
-        if wants & {"json_content", "text"} or info.preprocess:
-            plain = text if text is not None else bytes(content or b"").decode(info.encoding)
-            if "json_content" in wants:
-                given["json_content"] = json.loads(plain)
-            if info.preprocess and wants & {"text", "tree", "page"}:
-                plain = info.preprocess(plain)
-            if "text" in wants:
-                given["text"] = plain
-        if wants & {"tree", "page"}:
-            document = plain if info.preprocess else (to_text(bytes(content)) if content else text or "")
-            parsed = parse(document)
-            if "tree" in wants:
-                given["tree"] = parsed
-            if "page" in wants:
-                given["page"] = Page(parsed, response.get("url") or "")
-        for out in fn(**given):
-            if out is None:
-                continue
-            kind, payload = ("request", out.row(scraper)) if isinstance(out, Follow) else ("data", _plain(out.unwrap() if isinstance(out, Data) else out))
-            yield {"seq": seq, "kind": kind, "payload": json.dumps(payload), "error_class": None, "error": None}
-            seq += 1
+        for out in fn(**_given(fn._step, response, observer)):
+            if isinstance(out, Follow):
+                yield row("request", out.row())
+            elif out is not None:
+                yield row("data", _plain(out.unwrap() if isinstance(out, Data) else out))
     except ConfigError:
         raise
-    except AssumptionError as e:
-        yield {"seq": seq, "kind": "error", "payload": None, "error_class": type(e).__name__, "error": str(e)}
-    except (UnicodeDecodeError, ValueError) as e:
-        yield {"seq": seq, "kind": "error", "payload": None, "error_class": "AssumptionError", "error": f"{type(e).__name__}: {e}"}
+    except (HaltRun, SkipRequest) as e:
+        yield row("halt" if isinstance(e, HaltRun) else "skip", error_class=type(e).__name__, error=str(e))
+    except (UnicodeDecodeError, json.JSONDecodeError) as e:
+        yield row("error", error_class="AssumptionError", error=f"{type(e).__name__}: {e}")
+    except Exception as e:
+        yield row("error", error_class=type(e).__name__, error=str(e))
+    if observe:
+        for made in observer.made.values():
+            yield row("query", made)
 
 
 def split_outputs(outputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(data, requests, errors) of the rows of ``run_step``. Store the rows first: else each
     part runs the step again."""
     data = outputs.filter("kind = 'data'").select("request_id", "seq", F.col("payload").alias("data"))
-    fields = F.from_json("payload", "url STRING, continuation STRING, method STRING, priority INT, archive BOOLEAN, dedup_key STRING, permanent STRING, accumulated_data STRING")
+    pairs = "ARRAY<STRUCT<k: STRING, v: STRING>>"
+    fields = F.from_json("payload", f"url STRING, continuation STRING, method STRING, priority INT, archive BOOLEAN, dedup_key STRING, permanent STRING, accumulated_data STRING, params {pairs}, data {pairs}, via_json STRING")
     more = outputs.filter("kind = 'request'").select(F.col("request_id").alias("parent_id"), "seq", fields.alias("r")).select("parent_id", "seq", "r.*")
     errors = outputs.filter("kind = 'error'").select("request_id", F.col("error_class").alias("class"), F.col("error").alias("message"))
     return data, more, errors
 
 
-def run_step(responses: DataFrame, scraper: type[Scraper], name: str) -> DataFrame:
-    """``request_id, seq, kind (data, request, error), payload (JSON), error_class, error``
-    of ``responses`` in a step. An unknown step is a fault of the scraper, found at once."""
+def queries_of(outputs: DataFrame) -> DataFrame:
+    """``observer.QUERY`` rows of the selectors that steps tried, for ``operators.observe``."""
+    made = F.from_json("payload", QUERY)
+    return outputs.filter("kind = 'query'").select("request_id", made.alias("q")).select("request_id", *[f"q.{c}" for c in QUERY_COLUMNS])
+
+
+def actions(outputs: DataFrame, info: StepInfo, *, retries: int = 3, attempt: str | None = None, waited: str | None = None) -> DataFrame:
+    """``request_id, action`` of each response of a step that broke off: retry (a transient class,
+    before the last of ``retries`` attempts), await (a missing structure, where the step
+    awaits it and has ``waited`` fewer seconds than it may), halt, skip or error. ``attempt``
+    and ``waited`` name columns of ``outputs``."""
+    transient = [c.__name__ for c in _subclasses(TransientError)]
+    tried = F.col(attempt) if attempt else F.lit(1)
+    waiting = F.lit(False)
+    if info.auto_await_timeout is not None:
+        waiting = (F.col("error_class") == "StructureError") & ((F.col(waited) if waited else F.lit(0.0)) < info.auto_await_timeout)
+    action = F.when(F.col("kind").isin("halt", "skip"), F.col("kind")).when(F.col("error_class").isin(*transient) & (tried < retries), "retry").when(waiting, "await").otherwise("error")
+    return outputs.filter(F.col("kind").isin("error", "halt", "skip")).select("request_id", action.alias("action"))
+
+
+def _subclasses(of: type) -> list[type]:
+    return [of, *(x for c in of.__subclasses__() for x in _subclasses(c))]
+
+
+def run_step(responses: DataFrame, scraper: type[Scraper], name: str, *, observe: bool = False) -> DataFrame:
+    """``request_id, seq, kind (data, request, error, halt, skip, query), payload (JSON),
+    error_class, error`` of ``responses`` in a step. An unknown step is a fault of the scraper,
+    found at once."""
     made = scraper()
     made.continuation(name)
     ship(responses.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = scraper()
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                rows += [{"request_id": r["request_id"], **out} for out in execute(own, name, r)]
-            yield pd.DataFrame(rows, columns=["request_id", "seq", "kind", "payload", "error_class", "error"])
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                pdf = whole.iloc[lo : lo + 256]
+                rows = [{"request_id": r["request_id"], **out} for r in pdf.to_dict("records") for out in execute(own, name, r, observe)]
+                yield pd.DataFrame(rows, columns=["request_id", "seq", "kind", "payload", "error_class", "error"])
 
     return responses.mapInPandas(run, OUTPUT)

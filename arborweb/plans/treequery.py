@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from .grammar import Binary, Call, Literal, Path, Selector, Step, Union, numeric, positional, read, simplify
+from .grammar import Binary, Call, Literal, Path, Selector, Step, Union, numeric, own_attribute, positional, read, simplify
 
 NODE_COLUMNS = ("pre", "size", "level", "parent", "tag", "attrs", "text", "tail", "content", "inner")
 REVERSE = ("ancestor", "ancestor-or-self", "preceding", "preceding-sibling", "parent")
@@ -190,19 +190,11 @@ class Query:
 
     # expressions
 
-    def attribute(self, e: object) -> str | None:
-        """The name if ``e`` is one attribute of the node itself."""
-        if isinstance(e, Union) and len(e.paths) == 1:
-            p = e.paths[0]
-            if p.start == "here" and len(p.steps) == 1 and p.steps[0].axis == "attribute" and p.steps[0].test != "*":
-                return p.steps[0].test
-        return None
-
     def value(self, rows: DataFrame, e: object) -> tuple[DataFrame, Value]:
         if isinstance(e, Literal):
             return rows, Value("num" if isinstance(e.value, float) else "str", F.lit(e.value))
         if isinstance(e, Union):
-            if name := self.attribute(e):
+            if name := own_attribute(e):
                 return rows, Value("attr", F.col("attrs")[name])
             if len(e.paths) == 1 and e.paths[0] == Path("here", (Step("self", "node()"),)):
                 return rows, Value("str", F.coalesce("content", F.lit("")))

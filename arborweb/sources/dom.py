@@ -9,8 +9,9 @@ Documents are parsed once, in Arrow batches. What a plan does not need is not ma
 for the tags asked for.
 
 Tolerated: missing end tags, wrong nesting, missing html, head and body elements,
-bytes of any encoding that a BOM, XML declaration or meta element names. Null input
-gives no rows.
+bytes of any encoding that a BOM, XML declaration or meta element names. Null and empty
+input gives no rows. A document without any element, or that breaks the parser, ends no
+job: it has no rows either, and with ``errors`` one that says so (``failures``).
 """
 
 from __future__ import annotations
@@ -149,16 +150,35 @@ class Tree(HTMLParser):
 
     def content(self, k: int) -> str:
         """All text below an element, scripts included."""
-        parts = [self.text[k] or ""]
-        for c in range(k + 1, k + self.size[k] + 1):
-            parts.append(self.text[c] or "")
-            # an element's tail stands after its last descendant
         if self.size[k] == 0:
-            return parts[0]
+            return self.text[k] or ""
         out: list[str] = []
         self._spell(k, out)
         return "".join(out)
 
+    def contents(self, wanted: list[int]) -> dict[int, str]:
+        """``content`` of several elements: the text of the document is joined once, and each
+        is a stretch of it, however deep they are nested."""
+        if len(wanted) < 3:
+            return {k: self.content(k) for k in wanted}
+        pieces: list[str] = []
+        at, begins, ends = 0, {}, {}
+        stack: list[tuple[int, int]] = [(0, 0)]
+        while stack:
+            c, what = stack.pop()
+            if what == 0:
+                begins[c] = at
+                pieces.append(self.text[c] or "")
+                at += len(pieces[-1])
+                stack.append((c, 1))
+                stack += [(kid, 0) for kid in reversed(self.children[c])]
+            else:
+                ends[c] = at
+                pieces.append(self.tail[c] or "")
+                at += len(pieces[-1])
+        whole = "".join(pieces)
+        return {k: whole[begins[k] : ends[k]] for k in wanted}
+
     def _spell(self, k: int, out: list[str]) -> None:
         stack: list[tuple[int, bool]] = [(k, False)]
         while stack:
@@ -219,13 +239,13 @@ def to_text(document: str | bytes) -> str:
 
 
 def parse(document: str | bytes) -> Tree:
-    """The tree of a document; an empty one cannot be parsed."""
+    """The tree of a document; one that cannot be parsed is an ``AssumptionError``."""
     try:
         tree = Tree()
         tree.feed(to_text(document))
         tree.done()
-    except (AssertionError, RecursionError) as e:
-        raise AssumptionError(f"Failed to parse HTML: {e}") from e
+    except Exception as e:  # whatever a document does to the parser, it is the document's fault
+        raise AssumptionError(f"Failed to parse HTML: {type(e).__name__}: {e}") from e
     if not tree.tag:
         raise AssumptionError("Failed to parse HTML: the document is empty")
     return tree
@@ -237,17 +257,33 @@ _NODE = pa.schema(
 NODE = "pre INT, size INT, level INT, parent INT, tag STRING, attrs MAP<STRING, STRING>, text STRING, tail STRING, content STRING, inner STRING"
 
 
-def shred(pages: DataFrame, *, key: str = "page_id", html: str = "html", url: str | None = "url", tags: Iterable[str] | None = None, content: Iterable[str] | None = (), inner: Iterable[str] = ()) -> DataFrame:
+def shred(pages: DataFrame, *, key: str = "page_id", html: str = "html", url: str | None = "url", tags: Iterable[str] | None = None, content: Iterable[str] | None = (), inner: Iterable[str] = (), errors: bool = False) -> DataFrame:
     """``dom_nodes`` of ``pages``: the key, the URL if any, and a row for each element.
 
     ``tags``: only rows of these elements. ``content``: the tags whose text content is
     filled, None for all. ``inner``: likewise for the inner HTML. Pages that are null or
-    empty give no rows.
+    empty give no rows. With ``errors`` there is a column ``error``, and a row with nothing
+    else but it for each page that cannot be parsed: store the rows, then take them apart
+    by ``elements`` and ``failures``.
     """
     ship(pages.sparkSession)
     some = None if tags is None else frozenset(tags)
     full, within = None if content is None else frozenset(content), frozenset(inner)
     kept = [key, *([url] if url else [])]
+    fields = [*_NODE, *([pa.field("error", pa.string())] if errors else [])]
+
+    def rows_of(document: str | bytes) -> Iterator[tuple]:
+        try:
+            t = parse(document)
+        except AssumptionError as e:
+            if errors:
+                yield (*[None] * len(_NODE), e.message)
+            return
+        chosen = [i for i, name in enumerate(t.tag) if some is None or name in some]
+        texts = t.contents([i for i in chosen if full is None or t.tag[i] in full])
+        for i in chosen:
+            row = (i, t.size[i], t.level[i], t.parent[i], t.tag[i], list(t.attrs[i].items()), t.text[i], t.tail[i], texts.get(i), t.inner(i) if t.tag[i] in within else None)
+            yield (*row, None) if errors else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -255,21 +291,28 @@ def shred(pages: DataFrame, *, key: str = "page_id", html: str = "html", url: st
                 batch = big.slice(lo, 128)
                 rows, owner = [], []
                 for k, document in enumerate(batch.column(len(kept)).to_pylist()):
-                    if not document:
-                        continue
-                    t = parse(document)
-                    for i, name in enumerate(t.tag):
-                        if some is None or name in some:
-                            owner.append(k)
-                            rows.append((i, t.size[i], t.level[i], t.parent[i], name, list(t.attrs[i].items()), t.text[i], t.tail[i], t.content(i) if full is None or name in full else None, t.inner(i) if name in within else None))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_NODE)
+                    made = list(rows_of(document)) if document else []
+                    rows += made
+                    owner += [k] * len(made)
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
                 take = pa.array(owner, pa.int32())
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), *(pa.array(c, f.type) for c, f in zip(columns, _NODE, strict=True))], schema=pa.schema([*list(batch.schema)[:-1], *_NODE]))
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))], schema=pa.schema([*list(batch.schema)[:-1], *fields]))
 
-    schema = T.StructType([pages.schema[c] for c in kept] + T.StructType.fromDDL(NODE).fields)
+    schema = T.StructType([pages.schema[c] for c in kept] + T.StructType.fromDDL(NODE + (", error STRING" if errors else "")).fields)
     return pages.select(*kept, html).mapInArrow(run, schema)
 
 
+def elements(shredded: DataFrame) -> DataFrame:
+    """The element rows of ``shred`` with ``errors``."""
+    return shredded.filter("pre is not null").drop("error")
+
+
+def failures(shredded: DataFrame, *, key: str = "page_id") -> DataFrame:
+    """The pages that could not be parsed: key, URL if there is one, ``class`` and ``message``."""
+    kept = [c for c in (key, "url") if c in shredded.columns]
+    return shredded.filter("error is not null").select(*kept, F.lit("AssumptionError").alias("class"), F.col("error").alias("message"))
+
+
 def from_strings(spark: SparkSession, documents: Iterable[tuple[str, str]]) -> DataFrame:
     """``page_id, url, html`` of (url, markup) pairs at hand."""
     return spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(documents)], "page_id BIGINT, url STRING, html STRING")

@@ -184,3 +184,40 @@ def test_intervals_and_text_against_another_parser(t):
         assert tree.content(k) == "".join(e.itertext())
         up = tree.parent[k]
         assert up is None or (up < k <= up + tree.size[up] and tree.level[k] == tree.level[up] + 1)
+
+
+SELECTORS = [
+    "//div", "//b[1]", "//b[last()]", "//div/b", "//span//b", "//*[@class='a']", "//i[not(b)]", "//div[count(b)>1]", "//b[position()=2]", "(//b)[2]", "//em/ancestor::div", "//b/following::i", "//b/preceding::b",
+    "//b/following-sibling::*[1]", "//b/preceding-sibling::b", "//div[.//em or @class='b']", "//b[contains(., 'a')]", "//i | //em | //i", "//b/..", "//div[normalize-space(text())='a']", "//div//b[2]", "//*[starts-with(@class, 'a') and string-length(@class) > 1]",
+]
+STYLES = ["div b", "div > b", "b + b", "b ~ i", ".a", "b:first-child", "b:last-child", "b:nth-child(2)", "div:not(.a)", "[class^=a]", "i, em", ":nth-match(b, 2)"]
+
+
+@given(st.lists(trees, min_size=1, max_size=3))
+@settings(max_examples=6, deadline=None)
+def test_one_page_and_the_corpus_agree(spark, forest):
+    """The same selectors, walked over a tree and as plans over the node table."""
+    from arborweb.plans import treewalk
+
+    sources = [f"<html><body>{markup(t)}</body></html>" for t in forest]
+    nodes = dom.shred(dom.from_strings(spark, [("u", x) for x in sources]), content=None).cache()
+    known = [dom.parse(x) for x in sources]
+    for k, s in enumerate([*map(Selector.xpath, SELECTORS), *map(Selector.css, STYLES)]):
+        if k % 6 == len(forest) % 6 or k % 6 == len(sources[0]) % 6:
+            got = sorted((r["page_id"], r["pre"]) for r in query(nodes, s).collect())
+            assert got == [(p, x) for p, t in enumerate(known) for x in treewalk.find(t, 0, s)], s
+
+
+def test_documents_that_cannot_be_parsed_are_rows(spark):
+    pages = dom.from_strings(spark, [("a", "<p>x</p>"), ("b", " \n "), ("c", "<!-- only -->"), ("d", None), ("e", "<!DOCTYPE html>"), ("f", "")])
+    assert {r["url"] for r in dom.shred(pages).collect()} == {"a"}
+    both = dom.shred(pages, errors=True).cache()
+    assert dom.elements(both).columns == dom.shred(pages).columns and dom.elements(both).count() == 3
+    assert {(r["url"], r["class"]) for r in dom.failures(both).collect()} == {(u, "AssumptionError") for u in "bce"}
+
+
+def test_contents_of_many_elements():
+    t = dom.parse("<div>a<b>c<i>d</i>e</b>f" + "<u>" * 3000 + "x" + "</u>" * 3000 + "</div>")
+    every = list(range(len(t.tag)))
+    got = t.contents(every)
+    assert all(got[k] == t.content(k) for k in every[:20]) and got[every[-1]] == "x"

@@ -5,10 +5,11 @@ import pytest
 from pydantic import BaseModel, Field, field_validator
 from pyspark.sql import functions as F
 
-from arborweb.errors import AssumptionError, ConfigError, DataFormatError, PersistentError, SpeculationFailure, StructureError, TransientError, HTTPAssumptionError, expected_count
+from arborweb.errors import AssumptionError, ConfigError, DataFormatError, HaltRun, SkipRequest, PersistentError, SpeculationFailure, StructureError, TransientError, HTTPAssumptionError, expected_count
 from arborweb.operators import observe, rates, speculate, validate
 from arborweb.operators.speculate import SpeculativeRange
 from arborweb.plans import registry
+from arborweb.plans.grammar import Selector
 from arborweb.sources import responses
 from arborweb.streaming.speculation import advance
 
@@ -65,16 +66,32 @@ def test_errors():
     assert [expected_count(*b) for b in ((1, None), (2, 2), (1, 3))] == ["at least 1", "exactly 2", "between 1 and 3"]
 
 
-def test_ranges():
-    r = SpeculativeRange(3, 5, gap=2)
-    assert list(r.seed_range()) == [3, 4] and list(SpeculativeRange(5, 5).seed_range()) == []
-    assert (r.from_int(9).min, r.from_int(9).soft_max, r.from_int(4).soft_max) == (9, 10, 5)
-    assert SpeculativeRange(should_advance=False).max_gap() == 0
+def test_ranges(spark):
+    of = speculate.templates(spark, [("a", 0, SpeculativeRange(3, 5, gap=2)), ("b", 0, SpeculativeRange(5, 5)), ("c", 0, SpeculativeRange(should_advance=False))])
+    assert {r["entry"]: (r["min"], r["soft_max"], r["gap"]) for r in of.collect()} == {"a": (3, 5, 2), "b": (5, 5, 10), "c": (1, 2, 0)}
+    assert sorted((r["entry"], r["n"]) for r in speculate.seeds(of).collect()) == [("a", 3), ("a", 4), ("c", 1)]
+    later = speculate.started_at(of.filter("entry = 'a'"), F.lit(9)).first()
+    assert (later["min"], later["soft_max"]) == (9, 10) and speculate.started_at(of.filter("entry = 'a'"), F.lit(4)).first()["soft_max"] == 5
     for bad in ({"min": 0}, {"min": 5, "soft_max": 4}, {"gap": -1}):
         with pytest.raises(ValueError):
             SpeculativeRange(**bad)
 
 
+def test_the_probing_loop(spark):
+    of = speculate.templates(spark, [("e", 0, SpeculativeRange(1, 3, gap=3)), ("f", 0, SpeculativeRange(2, 4, gap=2)), ("g", 1, SpeculativeRange(1, 3, should_advance=False))])
+    there = {"e": {2, 4, 7, 11, 12}, "f": {9}, "g": {1, 2, 3}}
+    known = spark.createDataFrame([(e, n) for e, ns in there.items() for n in ns], "entry STRING, n LONG").withColumn("ok", F.lit(True))
+    asked = []
+
+    def answer(probes):
+        asked.append(probes.count())
+        return probes.join(known, ["entry", "n"], "left").select("entry", "param_index", "n", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+    got = {r["entry"]: (r["highest_success"], r["consecutive_failures"], r["done"]) for r in speculate.probe(of, answer).collect()}
+    assert got == {"e": (7, 3, True), "f": (None, 2, True), "g": (2, 0, True)}
+    assert len(asked) < 8
+
+
 def test_probing(spark):
     of = speculate.templates(spark, [("e", 0, SpeculativeRange(1, 4, gap=2)), ("f", 1, SpeculativeRange(5, 5, gap=3)), ("g", 0, SpeculativeRange(1, 3, gap=0))])
     assert sorted((r["entry"], r["n"]) for r in speculate.seeds(of).collect()) == [("e", 1), ("e", 2), ("e", 3), ("g", 1), ("g", 2)]
@@ -124,6 +141,10 @@ def test_rates(spark):
     assert [r["admitted"] for r in got] == [True, True, False, True, False, True]
     got = rates.admit(df, 2, 1.0, keys=["site"], bypass="vip").filter("site = 'a'").orderBy("ts").collect()
     assert [r["admitted"] for r in got] == [True, True, True, True, False, True]
+    got = rates.admit_all(df, [(2, 1.0), (3, 10.0)], keys=["site"]).filter("site = 'a'").orderBy("ts").collect()
+    assert [r["admitted"] for r in got] == [True, True, False, True, False, False]
+    with pytest.raises(ValueError):
+        rates.admit(df, 0, 1.0, keys=["site"])
     n = rates.window_counts(df, 1, keys=["site"]).filter("site = 'a'").orderBy("ts").collect()
     assert [r["n_window"] for r in n] == [1, 2, 3, 3, 4, 1]
 
@@ -229,6 +250,75 @@ def test_steps(spark):
         registry.run_step(df, Site, "gone")
 
 
+class Picky(registry.Scraper):
+    @registry.step(auto_await_timeout=5.0)
+    def parse(self, page, response):
+        said = page.query(Selector.css("h1"), "titles", 1, 1)[0].text_content()
+        yield registry.Data(said)
+        if said == "stop":
+            raise HaltRun("enough")
+        if said == "skip":
+            raise SkipRequest("not this one")
+        if said == "again":
+            raise HTTPAssumptionError("later")
+        yield registry.Data(page.find("input")[0].get_attribute("name"))
+
+
+def test_what_breaks_on_one_response_is_its_row(spark):
+    pages = {"1": "<h1>a</h1><input name=n>", "2": "<h1>b</h1>", "3": " ", "4": "<!-- no -->", "5": None, "6": "<p>no title", "7": "<h1>stop", "8": "<h1>skip", "9": "<h1>again", "a": "<!DOCTYPE html>"}
+    df = spark.createDataFrame([(k, h, "http://h/") for k, h in pages.items()], "request_id STRING, text STRING, url STRING")
+    out = registry.run_step(df, Picky, "parse", observe=True).cache()
+    got = {}
+    for r in out.filter("kind <> 'query'").orderBy("request_id", "seq").collect():
+        got.setdefault(r["request_id"], []).append((r["kind"], r["error_class"]))
+    data = ("data", None)
+    assert got == {"1": [data, data], "2": [data, ("error", "IndexError")], **{k: [("error", "AssumptionError")] for k in "345a"}, "6": [("error", "StructureError")], "7": [data, ("halt", "HaltRun")], "8": [data, ("skip", "SkipRequest")], "9": [data, ("error", "HTTPAssumptionError")]}
+    acts = {r["request_id"]: r["action"] for r in registry.actions(out, Picky().continuation("parse")._step).collect()}
+    assert acts == {"2": "error", "3": "error", "4": "error", "5": "error", "a": "error", "6": "await", "7": "halt", "8": "skip", "9": "retry"}
+    late = registry.actions(out.withColumns({"n": F.lit(3), "s": F.lit(9.0)}), Picky().continuation("parse")._step, attempt="n", waited="s").filter("request_id in ('6', '9')")
+    assert {r["action"] for r in late.collect()} == {"error"}
+    told = {r["request_id"]: r for r in registry.queries_of(out).collect()}
+    assert (told["6"]["match_count"], told["6"]["expected_max"], told["1"]["sample_elements"]) == (0, 1, ["a"])
+    assert registry.split_outputs(out)[2].count() == 7
+
+
+FORM = """<html><body><form id=f action=../go method=post><input name=a value=1><input name=a value=2><input name=off disabled>
+<input type=checkbox name=c><input type=checkbox name=d checked><select name=s><option value=''>All<option>two</select>
+<select name=m multiple><option selected value=1>x<option>y<option selected>3</select><textarea name=t>text</textarea>
+<input type=reset name=z><button name=b1 value=v1 id=first>1</button><input type=submit name=b2 value=v2></form>
+<div class=l><a href=/x>X y</a> <a href=z?q=1> Z </a></div><p>no <a>href</a></p></body></html>"""
+
+
+def test_the_page_of_a_step():
+    from arborweb.plans.page import Observer, Page
+    from arborweb.sources.dom import parse
+
+    seen = Observer()
+    page = Page(parse(FORM), "http://h/d/e", 0, seen)
+    form = page.find_form(Selector.css("#f"), "the form")
+    assert (form.action, form.method, form.get_field("d").value, form.get_field("none")) == ("http://h/go", "POST", "on", None)
+    row = form.submit("next", {"a": [None, "9", "10"], "x": "y"}, "[name=b2]", archive=True).row()
+    assert [(p["k"], p["v"]) for p in row["data"]] == [("a", "1"), ("a", "9"), ("a", "10"), ("d", "on"), ("s", ""), ("m", "1"), ("m", "3"), ("t", "text"), ("b2", "v2"), ("x", "y")]
+    assert row["method"] == "POST" and row["archive"] and json.loads(row["via_json"])["submit_selector"] == "[name=b2]"
+    assert {s: form.submit("n", submit_selector=s).row()["data"][-1]["k"] for s in ("#first", "xpath=//input[@value='v2']", "button.x", "][", Selector.css("form#f input[name=b2]"))} == {"#first": "b1", "xpath=//input[@value='v2']": "b2", "button.x": "b1", "][": "b1", Selector.css("form#f input[name=b2]"): "b2"}
+    links = page.find_links(Selector.css("div.l a"), "links", 2, 2)
+    assert [(x.url, x.text, x.selector.value) for x in links] == [("http://h/x", "X y", ":nth-match(div.l a, 1)"), ("http://h/d/z?q=1", "Z", ":nth-match(div.l a, 2)")]
+    assert json.loads(links[1].follow("next", priority=2).row()["via_json"])["description"] == "link: Z"
+    with pytest.raises(StructureError, match="anchors missing href"):
+        page.find_links(Selector.xpath("//a"), "anchors")
+    with pytest.raises(StructureError, match="at least 5, found 1"):
+        page.query(Selector.xpath("//p"), "paragraphs", 5)
+    with pytest.raises(ConfigError):
+        page.query_strings(Selector.css("a"), "strings")
+    with pytest.raises(ValueError):
+        page.query(Selector.xpath("//p"), "paragraphs", 2, 1)
+    box = page.query(Selector.css("div.l"), "box")[0]
+    for _ in range(2):
+        assert box.query_strings(Selector.xpath("./a/@href"), "hrefs") == ["/x", "z?q=1"]
+    mine = [q for q in seen.made.values() if q["description"] in ("box", "hrefs")]
+    assert [(q["match_count"], q["parent_element_id"]) for q in mine] == [(1, None), (4, mine[0]["element_id"])] and mine[1]["sample_elements"] == ["/x", "z?q=1", "/x"]
+
+
 def test_checks(monkeypatch):
     from arborweb import checks
 

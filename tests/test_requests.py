@@ -203,9 +203,39 @@ def test_incidental_matches(spark):
     assert {r["request_id"] for r in incidental.cardinality(asked, df, incidental.Match(url="http*", exactly_one=False)).collect()} == {"r3"}
 
 
-def test_deep_containment():
-    c = incidental.json_contains
-    assert c({"a": [1, {"b": 2, "c": 3}]}, {"a": [{"b": 2}]}) and c([1, 2], []) and not c({"a": 1}, {"a": 2}) and not c([1], {"a": 1}) and not c({"a": 1}, [1])
+CONTAINED = [
+    ({"a": [1, {"b": 2, "c": 3}]}, {"a": [{"b": 2}]}, True), ([1, 2], [], True), ({"a": 1}, {"a": 2}, False), ([1], {"a": 1}, False), ({"a": 1}, [1], False), ({"x.y": {"it's": None}}, {"x.y": {"it's": None}}, True),
+    ({"a": 1}, {"b": None}, False), ({"a": "1"}, {"a": 1}, False), ({"a": True}, {"a": True}, True), ({"a": 1.5}, {"a": 1.5}, True), ([[1, 2], [3]], [[3], [2]], True), ([[1, 2]], [[1, 3]], False), ({}, {}, True), ("x", "x", True), ({"a": [{"b": [1]}]}, {"a": [{"b": [1, 2]}]}, False), ({"a": 7}, {}, True),
+]
+
+
+def test_deep_containment(spark):
+    for actual, wanted, there in CONTAINED:
+        df = spark.createDataFrame([(json.dumps(actual),), ("{broken",), (None,)], "t STRING")
+        assert [r["h"] for r in df.select(incidental.json_column_contains(F.col("t"), wanted).alias("h")).collect()] == [there, False, False], (actual, wanted)
+
+
+def test_promotion_of_captures(spark):
+    asked = spark.createDataFrame([("r1", "p", "next")], "request_id STRING, parent_id STRING, continuation STRING")
+    captured = spark.createDataFrame([("p", f"http://h/{k}", "post", "xhr") for k in range(9)], "parent_id STRING, url STRING, method STRING, resource_type STRING")
+    got = incidental.promoted_requests(asked, captured, incidental.Match(resource_type="xhr")).collect()
+    assert len(got) == 9 and all((r["parent_id"], r["method"], r["nonnavigating"], r["reseedable"]) == ("r1", "POST", True, False) for r in got)
+    wrong = incidental.cardinality(asked, captured, incidental.Match(resource_type="xhr")).first()
+    assert (wrong["actual_count"], wrong["candidate_urls"]) == (9, [f"http://h/{k}" for k in range(5)])
+
+
+@pytest.mark.parametrize("pairs", [[("b", "2"), ("a", "x y")], [("a", "1"), ("a", "2")], [("a", "it's")], [("ü", "1")], [("a", "b\\c")], [], None])
+def test_keys_of_rows_are_those_of_requests(spark, pairs):
+    df = spark.createDataFrame([(None if pairs is None else [{"k": k, "v": v} for k, v in pairs],)], "p ARRAY<STRUCT<k: STRING, v: STRING>>")
+    none = F.lit(None).cast("array<struct<k:string,v:string>>")
+    key = identity.request_key(F.lit("POST"), F.lit("http://h/"), none, F.col("p"), F.lit(None).cast("string"))
+    asked = identity.request_key(F.lit("GET"), F.lit("http://h/"), F.col("p"), none, F.lit(None).cast("string"))
+    gathered = {}
+    for k, v in pairs or []:
+        gathered.setdefault(k, []).append(v)
+    gathered = {k: v[0] if len(v) == 1 else v for k, v in gathered.items()}
+    r = df.select(key.alias("d"), asked.alias("p")).first()
+    assert r["d"] == identity.dedup_key("POST", "http://h/", None, gathered) and r["p"] == identity.dedup_key("GET", "http://h/", gathered)
 
 
 def test_crawl(spark):
