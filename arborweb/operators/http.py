@@ -47,16 +47,21 @@ def effective_status(status: Column, really: Column) -> Column:
     return F.when((classify(status) == "successful") & ~really, F.lit(SOFT_FAILURE)).otherwise(status)
 
 
-def outcomes(responses: DataFrame, *, really: Callable[[DataFrame], Column] | None = None, retries: int = 3, overrides: dict[int, str] | None = None) -> DataFrame:
+def outcomes(responses: DataFrame, *, really: Callable[[DataFrame], Column] | None = None, passing: Callable[[DataFrame], Column] | None = None, retries: int = 3, overrides: dict[int, str] | None = None) -> DataFrame:
     """``responses`` with ``class`` and ``action``: step, retry (a transient status before the
     last of ``retries`` attempts), failed_probe (a speculative request) or error. Columns
-    ``attempt`` and ``is_speculative`` are read if there."""
+    ``attempt`` and ``is_speculative`` are read if there. ``really`` tells by the whole
+    response whether a successful one is, ``passing`` whether a failure will pass,
+    whatever its status (or none): by a header or the body, say."""
     status = F.col("status_code")
     if really is not None:
         status = effective_status(status, really(responses))
     attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(1)
     probe = F.coalesce(F.col("is_speculative"), F.lit(False)) if "is_speculative" in responses.columns else F.lit(False)
-    rows = responses.withColumn("class", classify(status, overrides))
+    of = classify(status, overrides)
+    if passing is not None:
+        of = F.when((of == "persistent") & F.coalesce(passing(responses), F.lit(False)), "transient").otherwise(of)
+    rows = responses.withColumn("class", of)
     return rows.withColumn(
         "action",
         F.when(F.col("class") == "successful", "step").when((F.col("class") == "transient") & (attempt < retries), "retry").when(probe, "failed_probe").otherwise("error"),

@@ -114,15 +114,23 @@ def effective_priority(steps: DataFrame | None = None) -> Column:
     return F.coalesce(F.col("priority"), *([F.col("step_priority")] if steps is not None else []), F.lit(DEFAULT_PRIORITY))
 
 
+#: Steps that are broadcast; a table of more, which no catalogue is, is joined as Spark sees fit.
+BROADCAST_STEPS = 100_000
+
+
+def _catalogue(steps: DataFrame) -> DataFrame:
+    return F.broadcast(steps) if steps.limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS else steps
+
+
 def inherit_priority(requests: DataFrame, steps: DataFrame) -> DataFrame:
     """Requests without a priority get that of the step they go on to (name, priority)."""
-    of = F.broadcast(steps.select(F.col("name").alias("continuation"), F.col("priority").alias("_step")))
+    of = _catalogue(steps.select(F.col("name").alias("continuation"), F.col("priority").alias("_step")))
     return requests.join(of, "continuation", "left").withColumn("priority", F.coalesce("priority", "_step")).select(*requests.columns)
 
 
 def missing_steps(requests: DataFrame, steps: DataFrame) -> DataFrame:
     """Requests whose continuation is no step: faults of the scraper."""
-    return requests.join(F.broadcast(steps.select(F.col("name").alias("continuation"))), "continuation", "left_anti").withColumn("class", F.lit("ConfigError"))
+    return requests.join(_catalogue(steps.select(F.col("name").alias("continuation"))), "continuation", "left_anti").withColumn("class", F.lit("ConfigError"))
 
 
 def dedup(requests: DataFrame, visited: DataFrame | None = None, *, seq: str = "seq") -> DataFrame:

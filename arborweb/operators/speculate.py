@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,19 +86,36 @@ def next_probes(now: DataFrame) -> DataFrame:
     return now.filter(~F.col("done") & (left > 0)).select("entry", "param_index", F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.greatest(left, F.lit(1)) - 1)).alias("n"))
 
 
+def advanced(now: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Templates with their state (``highest_success, consecutive_failures, next_n``) after one
+    more window of ``outcomes``, which has an outcome for each number from ``next_n`` on to
+    its last. Only the window is looked at, however much was probed before."""
+    keys = ["entry", "param_index"]
+    window = outcomes.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("_high"), F.max("n").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    failed = F.when(F.col("_high").isNull(), F.col("consecutive_failures") + F.col("_n")).otherwise(F.col("_last") - F.col("_high"))
+    met = now.join(window, keys).withColumns({"highest_success": F.coalesce("_high", "highest_success"), "consecutive_failures": failed, "next_n": F.col("_last") + 1})
+    return met.select(*now.columns)
+
+
 def probe(of: DataFrame, outcomes_of: Callable[[DataFrame], DataFrame], *, rounds: int = 1000) -> DataFrame:
-    """``state`` of all templates when none goes on: first probes, then window after window.
+    """The state of all templates when none goes on: first probes, then window after window.
 
-    ``outcomes_of`` turns probes (entry, param_index, n) into outcomes (with ``ok``). Each round
-    probes the windows of all templates at once and adds a table of its own; templates that
-    are done take no part in later ones.
+    ``outcomes_of`` turns probes (entry, param_index, n) into outcomes (with ``ok``). A round
+    probes the windows of all templates that go on at once and writes their states; those
+    that are done take no part in later ones.
     """
-    asked = stored(seeds(of))
-    seen = stored(outcomes_of(asked))
+    start = of.select("entry", "param_index", "gap", "soft_max", F.lit(None).cast("bigint").alias("highest_success"), F.lit(0).cast("bigint").alias("consecutive_failures"), F.col("min").alias("next_n"))
+    # a range without first probes goes straight to its windows
+    now = start.filter("next_n >= soft_max").unionByName(advanced(start, outcomes_of(seeds(of))))
+    over = F.col("consecutive_failures") >= F.col("gap")
+    states = []
     for _ in range(rounds):
-        now = stored(state(seen, of))
-        asked = stored(next_probes(now))
-        if asked.isEmpty():
+        now = stored(now)
+        states.append(now.filter(over))
+        now = now.filter(~over)
+        if now.isEmpty():
             break
-        seen = seen.unionByName(stored(outcomes_of(asked)))
-    return state(seen, of)
+        now = advanced(now, outcomes_of(next_probes(now.withColumn("done", F.lit(False)))))
+    else:
+        states.append(stored(now))
+    return reduce(DataFrame.unionByName, states).withColumn("done", over).drop("soft_max")

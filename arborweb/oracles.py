@@ -39,13 +39,21 @@ SQL = {
     "positional": f"SELECT page_id, href FROM ({_A}) WHERE pos = 2",
     "attribute_strings": f"SELECT page_id, pos, href AS value FROM ({_A})",
     "scalar_query": "SELECT page_id, len(regexp_extract_all(html, '<li>'))::VARCHAR AS n_items FROM pages",
-    "union_query": "SELECT page_id, 2::BIGINT AS n FROM pages",
+    "union_query": """SELECT page_id, unnest(range(1, n + 3)) AS pos, unnest(['title'] || list_transform(range(1, n + 1), lambda x: 'li') || ['footer']) AS tag
+        FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages)""",
+    "page_errors": """SELECT page_id, n AS n_items, CASE WHEN page_id % 28 IN (0, 7) THEN 'Failed to parse HTML: the document is empty' END AS message FROM (
+        SELECT page_id, CASE WHEN page_id % 28 IN (0, 7) THEN 0 ELSE len(regexp_extract_all(CASE WHEN page_id % 28 = 21 THEN left(html, 600) ELSE html END, '<li>')) END AS n
+        FROM pages WHERE page_id % 28 <> 14) WHERE n > 0 OR page_id % 28 IN (0, 7)""",
+    "step_errors": """SELECT page_id::VARCHAR AS request_id, len(regexp_extract_all(html, '<li>')) + (page_id % 10 <> 0)::INT AS n_data,
+        CASE WHEN page_id % 10 = 0 THEN 'ZeroDivisionError' WHEN len(regexp_extract_all(html, '<li>')) > 5 THEN 'StructureError' END AS error_class FROM pages""",
     "inner_html": "SELECT page_id, regexp_extract(html, '<nav>(.*)</nav>', 1) AS inner_html FROM pages",
     "preceding_count": f"SELECT page_id, count(*)::VARCHAR AS n FROM ({_A}) GROUP BY 1",
     "native_xpath": "SELECT s_suppkey AS suppkey, s_name AS name, s_nationkey AS nationkey FROM supplier",
     "form_fields": f"SELECT c_custkey AS page_id, 'http://forms.example.org/find' AS action, method, pos::BIGINT AS pos, name, field_type, value FROM ({_FORM})",
-    "form_submit": f"""SELECT c_custkey::VARCHAR AS parent_id, method, 'http://forms.example.org/find' AS url,
-        string_agg(name || '=' || CASE WHEN name = 'note' THEN 'changed' ELSE value END, '&' ORDER BY pos) AS body, 64::BIGINT AS key_length FROM ({_FORM}) WHERE pos <> 5 GROUP BY 1, 2""",
+    "form_submit": f"""SELECT parent_id, method, url, body, sha256(CASE WHEN method = 'GET' THEN 'GET ' || url || '?' || pairs || '|' ELSE 'POST ' || url || '|' || pairs END) AS dedup_key FROM (
+        SELECT c_custkey::VARCHAR AS parent_id, method, 'http://forms.example.org/find' AS url, string_agg(name || '=' || v, '&' ORDER BY pos) AS body,
+        '[' || string_agg('(''' || name || ''', ''' || v || ''')', ', ' ORDER BY name) || ']' AS pairs
+        FROM (SELECT *, CASE WHEN name = 'note' THEN 'changed' ELSE value END AS v FROM ({_FORM}) WHERE pos <> 5) GROUP BY 1, 2)""",
     "dedup_key": "SELECT page_id, sha256('GET ' || url || '|') AS dedup_key FROM pages",
     "frontier_dedup": f"SELECT DISTINCT {_SITE} || href AS url, sha256('GET ' || {_SITE} || href || '|') AS dedup_key FROM ({_A}) WHERE {_SITE} || href NOT IN (SELECT url FROM pages)",
     "priority_topk": "SELECT o_orderkey, left(o_orderpriority, 1)::INT AS priority FROM orders ORDER BY 2, 1 LIMIT 100",
@@ -70,19 +78,34 @@ SQL = {
     "spec_stop": f"""WITH p AS ({_PROBES}), b AS (SELECT *, n - coalesce(max(CASE WHEN ok THEN n END) OVER (PARTITION BY entry ORDER BY n), 0) AS beyond FROM p),
         s AS (SELECT entry, min(CASE WHEN beyond >= 2 THEN n END) AS stop_n FROM b GROUP BY 1)
         SELECT entry, stop_n, max(CASE WHEN ok THEN n END) AS highest_success FROM b JOIN s USING (entry) WHERE stop_n IS NULL OR n <= stop_n GROUP BY 1, 2""",
+    "spec_loop": f"""WITH ok AS (SELECT entry, n, n > 3 AND coalesce(n - lag(n) OVER (PARTITION BY entry ORDER BY n) > 5, n > 5) AS unreached FROM ({_PROBES}) WHERE ok),
+        reached AS (SELECT entry, n FROM (SELECT *, bool_or(unreached) OVER (PARTITION BY entry ORDER BY n) AS beyond FROM ok) WHERE NOT beyond)
+        SELECT entry::VARCHAR AS entry, max(r.n) AS highest_success, true AS done FROM (SELECT DISTINCT user_id AS entry FROM events) LEFT JOIN reached r USING (entry) GROUP BY 1""",
     "spec_seeds": "SELECT c_custkey::VARCHAR AS entry, unnest(range(c_nationkey + 1, greatest(c_nationkey + 1, 20))) AS n FROM customer",
     "speculation_stream": f"""WITH p AS ({_PROBES}), b AS (SELECT *, n - coalesce(max(CASE WHEN ok THEN n END) OVER (PARTITION BY entry ORDER BY n), 0) AS beyond FROM p)
         SELECT entry::VARCHAR AS entry, max(beyond) >= 2 AS done, coalesce(min(CASE WHEN beyond >= 2 THEN n END), max(n)) AS last_n FROM b GROUP BY 1""",
     "frontier_stream": f"SELECT DISTINCT {_SITE} || href AS url, sha256('GET ' || {_SITE} || href || '|') AS dedup_key FROM ({_A})",
     "observer_rollup": """SELECT page_id, selector, n AS match_count, least(n, 3)::BIGINT AS n_samples FROM (SELECT page_id, '//li' AS selector, len(regexp_extract_all(html, '<li>')) AS n FROM pages
         UNION ALL SELECT page_id, '//p', len(regexp_extract_all(html, '<p>')) FROM pages) WHERE n > 0""",
-    "observer_tree": """SELECT page_id::VARCHAR AS request_id, '- //nav "menu" ✓ (1 match)' || chr(10) || '  → "one"' || chr(10) || '  - .//li "items" ✗ (6 matches, expected max 5)' || chr(10) || '    → "one"' || chr(10) || '    - a "links" ✗ (0 matches, expected 1+)' AS tree FROM pages""",
-    "absolute_selector": "SELECT page_id::VARCHAR AS request_id, e AS element_id, s AS absolute_selector FROM pages, (VALUES ('selector_match_1', '//nav'), ('selector_match_2', '//nav//li'), ('selector_match_3', '//nav//li//a')) v(e, s)",
+    "observer_tree": f"""WITH items AS (SELECT page_id, {_TEXTS} AS t FROM pages), told AS (SELECT page_id, len(t) AS n, array_to_string(t, '') AS nav, t[1] AS item FROM items)
+        SELECT page_id::VARCHAR AS request_id, '- //nav "menu" ✓ (1 match)' || chr(10) || '  → "' || CASE WHEN length(nav) > 100 THEN left(nav, 100) || '...' ELSE nav END || '"' || chr(10)
+        || '  - .//li "items" ✓ (' || n || CASE WHEN n = 1 THEN ' match)' ELSE ' matches)' END || chr(10) || '    → "' || item || '"' || chr(10)
+        || '    - a "links" ✓ (' || n || CASE WHEN n = 1 THEN ' match)' ELSE ' matches)' END || chr(10) || '      → "' || item || '"'
+        || CASE WHEN page_id % 10 = 0 THEN '' ELSE chr(10) || '- nav li "few items" ' || CASE WHEN n > 5 THEN '✗ (' ELSE '✓ (' END || n || CASE WHEN n = 1 THEN ' match' ELSE ' matches' END
+        || CASE WHEN n > 5 THEN ', expected max 5' ELSE '' END || ')' || chr(10) || '  → "' || item || '"' END AS tree FROM told""",
+    "absolute_selector": """SELECT page_id::VARCHAR AS request_id, e AS element_id, s AS absolute_selector FROM pages, (VALUES ('selector_match_1', '//nav'), ('selector_match_2', '//nav//li'), ('selector_match_3', '//nav//li//a'),
+        ('selector_match_4', 'nav li')) v(e, s) WHERE e <> 'selector_match_4' OR page_id % 10 <> 0""",
     "run_step": """SELECT c_custkey::VARCHAR AS request_id, seq::BIGINT AS seq, kind, payload FROM customer, LATERAL (VALUES
         (0, 'data', '{"key": "' || c_custkey || '", "note": "n ' || c_nationkey || '"}'),
         (1, 'request', '{"url": "/record/' || c_custkey || '", "continuation": "parse_form", "method": "GET", "priority": 3}')) v(seq, kind, payload)""",
     "step_catalog": """SELECT 'CustomerSite' AS scraper, 'parse_form' AS name, 3::BIGINT AS priority, 'utf-8' AS encoding, '["page", "response"]' AS wants""",
-    "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey IN (id * 16 + 1, id * 16 + 2)) SELECT id AS o_orderkey FROM r""",
+    "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 16 = id) SELECT id AS o_orderkey FROM r""",
+    "rate_admit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        r AS (SELECT event_id, user_id, n, true AS admitted, NULL::BIGINT AS older, t AS newer FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.n, r.older IS NULL OR r.older <= e.t - 3600000000,
+            CASE WHEN r.older IS NULL OR r.older <= e.t - 3600000000 THEN r.newer ELSE r.older END, CASE WHEN r.older IS NULL OR r.older <= e.t - 3600000000 THEN e.t ELSE r.newer END
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT event_id, admitted FROM r""",
     "reseed_points": "SELECT conv_id || '/' || turn AS failed_id, conv_id || '/' || (turn - turn % 3) AS reseed_id FROM conversations WHERE role = 'assistant'",
     "speculative_requests": "SELECT '/s/' || s_suppkey AS url, true AS is_speculative, 'by_number' AS entry, s_suppkey AS n FROM supplier",
     "deferred_fields": "SELECT s_suppkey, 'captcha=solved&id=' || s_suppkey AS body FROM supplier",

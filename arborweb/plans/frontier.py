@@ -1,7 +1,10 @@
 """The traversal of a site in rounds: deduplicate, order, fetch, run steps, go on.
 
-Each round is a few set operations over tables in the shared folder. So a run can be
-taken up again after any round, and a lost executor costs part of one.
+Each round is a few set operations, and writes tables of its own into the run's folder:
+``frontier`` (what is left before it), ``visited``, ``results`` and ``errors``. Nothing that an
+earlier round wrote is written again. A round counts once the next one's frontier is complete;
+a run that was broken off is taken up from the last such round by the same call, and what a
+half-done round left is written over.
 """
 
 from __future__ import annotations
@@ -9,15 +12,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.requests import dedup, effective_priority, next_batch
-from ..storage import stored
+from ..storage import complete, run_dir, written
 
 
 @dataclass
 class Crawl:
+    """``results`` and ``errors`` are None if there was no round."""
+
     visited: DataFrame
     results: DataFrame | None
     errors: DataFrame | None
@@ -25,29 +30,57 @@ class Crawl:
     rounds: int
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], run: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], *, rounds: int = 100, batch: int | None = None, visited: DataFrame | None = None) -> Crawl:
+def _rounds_done(spark: SparkSession, folder: str) -> int:
+    """How many rounds of a run are complete; -1 if it has not begun."""
+    k = -1
+    while complete(spark, f"{folder}/frontier/round={k + 1}"):
+        k += 1
+    return k
+
+
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], run: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], *, rounds: int = 100, batch: int | None = None, visited: DataFrame | None = None, folder: str | None = None) -> Crawl:
     """Rounds from ``seeds`` until nothing is left, or ``rounds`` are over.
 
     ``fetch`` turns requests into responses; ``run`` turns those into (results, requests,
     errors). Requests have at least ``dedup_key, skip_dedup, priority, seq``. ``batch``
     requests are sent in a round, the best by priority first; by default all. ``visited``
-    (dedup_key) resumes an earlier run.
+    (dedup_key) are keys of another run. ``folder`` holds the run's tables, in a store that
+    all executors share: a run that is there already goes on where it was. By default a
+    folder of the application, gone with it.
     """
-    frontier = stored(dedup(seeds, visited))
-    results = errors = None
-    done = 0
-    while done < rounds and not frontier.isEmpty():
-        now = frontier if batch is None else stored(next_batch(frontier, batch))
+    spark = seeds.sparkSession
+    folder = folder or run_dir(spark)
+
+    def table(name: str, k: int) -> str:
+        return f"{folder}/{name}/round={k}"
+
+    def gathered(name: str, upto: int) -> DataFrame | None:
+        if not upto:
+            return None
+        schema = spark.read.parquet(table(name, 0)).schema
+        return spark.read.schema(schema).parquet(*[table(name, k) for k in range(upto)])
+
+    def seen(upto: int) -> DataFrame:
+        done = gathered("visited", upto)
+        before = [x for x in (visited.select("dedup_key") if visited is not None else None, done) if x is not None]
+        return before[0].unionByName(before[1]) if len(before) == 2 else before[0] if before else seeds.select("dedup_key").limit(0)
+
+    k = _rounds_done(spark, folder)
+    if k < 0:
+        written(dedup(seeds, visited), table("frontier", 0))
+        k = 0
+    frontier = spark.read.schema(seeds.schema).parquet(table("frontier", k))
+    while k < rounds and not frontier.isEmpty():
+        now = frontier if batch is None else written(next_batch(frontier, batch), table("sent", k))
         rest = None if batch is None else frontier.join(now.select("seq"), "seq", "left_anti")
-        keys = now.filter(~F.coalesce(F.col("skip_dedup"), F.lit(False))).select("dedup_key")
-        visited = stored(keys if visited is None else visited.select("dedup_key").unionByName(keys).distinct())
+        written(now.filter(~F.coalesce(F.col("skip_dedup"), F.lit(False))).select("dedup_key").distinct(), table("visited", k))
         found, more, bad = run(fetch(now))
-        results = stored(found if results is None else results.unionByName(found))
-        errors = stored(bad if errors is None else errors.unionByName(bad))
-        offered = more if rest is None else more.unionByName(rest.select(more.columns))
-        frontier = stored(dedup(offered, visited))
-        done += 1
-    return Crawl(visited if visited is not None else seeds.select("dedup_key").limit(0), results, errors, frontier, done)
+        written(found, table("results", k))
+        written(bad, table("errors", k))
+        offered = more.select(*seeds.columns) if rest is None else more.select(*seeds.columns).unionByName(rest)
+        frontier = written(dedup(offered, seen(k + 1)), table("frontier", k + 1))
+        k += 1
+    return Crawl(seen(k), gathered("results", k), gathered("errors", k), frontier, k)
 
 
 def queue_order(frontier: DataFrame) -> DataFrame:

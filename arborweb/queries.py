@@ -16,7 +16,7 @@ from .plans.frontier import crawl
 from .plans.grammar import Selector
 from .plans.treequery import query, query_strings, scalar
 from .sources import dom, responses
-from .storage import stored, stream_dir
+from .storage import stored, streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 ANCHORS = Selector.xpath("//a")
@@ -86,8 +86,9 @@ def q_scalar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom.shred(table(spark, sf_dir, "pages"))
-    return query(nodes, Selector.xpath("//title | //footer | //title")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = stored(dom.shred(table(spark, sf_dir, "pages"), tags={"html", "title", "li", "footer"}))
+    found = query(nodes, Selector.xpath("//footer | //li | //title | //li"))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "tag")
 
 
 def q_inner_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +103,24 @@ def q_preceding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_native_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows rendered as well-formed markup and read back: suppliers' names and countries."""
+    """Well-formed markup is read by Spark's own XPath functions: suppliers' names and countries."""
     s = table(spark, sf_dir, "supplier")
     html = F.format_string("<html><body><div class='row'><b>%s</b><i>%s</i></div></body></html>", F.col("s_name"), F.col("s_nationkey").cast("string"))
-    nodes = stored(dom.shred(s.select(F.col("s_suppkey").alias("page_id"), html.alias("html")), url=None, content={"b", "i"}))
-    name = query(nodes, Selector.css("div.row > b")).select("page_id", F.col("content").alias("name"))
-    nation = query(nodes, Selector.css("div.row > i")).select("page_id", F.col("content").cast("int").alias("nationkey"))
-    return name.join(nation, "page_id").select(F.col("page_id").alias("suppkey"), "name", "nationkey")
+    return s.select(F.col("s_suppkey").alias("suppkey"), F.xpath_string(html, F.lit("//div[@class='row']/b")).alias("name"), F.xpath_int(html, F.lit("//div[@class='row']/i")).alias("nationkey"))
+
+
+def _mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored pages, with every seventh one blank, a comment, null or cut short in a tag."""
+    k = F.col("page_id") % 28
+    html = F.when(k == 0, " \n\t ").when(k == 7, "<!-- nothing here -->").when(k == 14, F.lit(None)).when(k == 21, F.concat(F.substring("html", 1, 600), F.lit("<a href='"))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+def q_page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each page that has text: how many menu items, or why it has none."""
+    shredded = stored(dom.shred(_mixed_pages(spark, sf_dir), tags={"li"}, errors=True))
+    items = dom.elements(shredded).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return items.withColumn("message", F.lit(None).cast("string")).unionByName(dom.failures(shredded).select("page_id", F.lit(0).cast("long").alias("n_items"), "message"))
 
 
 # forms
@@ -144,7 +156,7 @@ def q_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_form_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = forms.submit(_forms(spark, sf_dir), "results", data={"note": "changed"}, submit_selector="[value='2']")
     pairs = F.coalesce("params", "data")
-    return r.select("parent_id", "method", "url", F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&").alias("body"), F.length("dedup_key").cast("long").alias("key_length"))
+    return r.select("parent_id", "method", "url", F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&").alias("body"), "dedup_key")
 
 
 # requests
@@ -234,7 +246,7 @@ def q_json_api_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rate_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rates.admit(e, 2, 3600, keys=["user_id"]).select("event_id", "admitted")
+    return rates.admit(e, 2, 3600, keys=["user_id"], ties=("event_id",)).select("event_id", "admitted")
 
 
 def q_split_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,6 +358,18 @@ def q_spec_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speculate.stops(_probes(spark, sf_dir), 2, ["entry"])
 
 
+def q_spec_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events probed by number, in windows, until five in a row have failed."""
+    there = stored(_probes(spark, sf_dir).filter("ok").withColumn("entry", F.col("entry").cast("string")))
+    of = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entry")).distinct()
+    of = of.select("entry", F.lit(0).alias("param_index"), F.lit(1).cast("long").alias("min"), F.lit(4).cast("long").alias("soft_max"), F.lit(5).alias("gap"))
+
+    def answer(probes: DataFrame) -> DataFrame:
+        return probes.join(there, ["entry", "n"], "left").select("entry", "param_index", "n", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+    return speculate.probe(of, answer).select("entry", "highest_success", "done")
+
+
 def q_spec_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     of = c.select(F.col("c_custkey").cast("string").alias("entry"), F.lit(0).alias("param_index"), (F.col("c_nationkey") + 1).cast("long").alias("min"), F.greatest(F.col("c_nationkey") + 1, F.lit(20)).cast("long").alias("soft_max"), F.lit(3).alias("gap"))
@@ -358,11 +382,8 @@ def q_speculation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     probes = stored(_probes(spark, sf_dir).withColumn("entry", F.col("entry").cast("string")))
     source = spark.readStream.schema(probes.schema).parquet(probes.inputFiles()[0].rsplit("/", 1)[0])
-    states = stream_speculation(source, 2)
-    name = "speculation_states"
-    run = states.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", stream_dir(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).groupBy("entry").agg(F.max_by("done", "last_n").alias("done"), F.max("last_n").alias("last_n"))
+    states = streamed(stream_speculation(source, 2), "update")
+    return states.groupBy("entry").agg(F.max_by("done", "last_n").alias("done"), F.max("last_n").alias("last_n"))
 
 
 def q_frontier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,11 +391,7 @@ def q_frontier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = stored(links.follow(links.find_links(table(spark, sf_dir, "pages"), ANCHORS), "parse_page").select("url", "dedup_key", F.lit(False).alias("skip_dedup")))
     source = spark.readStream.schema(found.schema).parquet(found.inputFiles()[0].rsplit("/", 1)[0])
-    once = stream_dedup(source)
-    name = "frontier_once"
-    run = once.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", stream_dir(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("url", "dedup_key")
+    return streamed(stream_dedup(source)).select("url", "dedup_key")
 
 
 # observation and catalogue
@@ -390,19 +407,38 @@ def q_observer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "selector", "match_count", F.size("sample_elements").cast("long").alias("n_samples"))
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("request_id"))
-    rows = [("selector_match_1", None, "//nav", "xpath", "menu", 1, 1, 1), ("selector_match_2", "selector_match_1", ".//li", "xpath", "items", 6, 5, 5), ("selector_match_3", "selector_match_2", "a", "xpath", "links", 0, 1, None)]
-    each = F.array(*[F.struct(F.lit(e).alias("element_id"), F.lit(u).cast("string").alias("parent_element_id"), F.lit(s).alias("selector"), F.lit(g).alias("selector_type"), F.lit(d).alias("description"), F.lit(n).cast("long").alias("match_count"), F.lit(lo).alias("expected_min"), F.lit(hi).cast("int").alias("expected_max"), F.array(F.lit("one")).alias("sample_elements")) for e, u, s, g, d, n, lo, hi in rows])
-    return p.select("request_id", F.explode(each).alias("q")).select("request_id", "q.*")
+class MenuSite(registry.Scraper):
+    """Menus of the stored pages; more than five items are not as expected, and every tenth page
+    breaks the step's own code."""
+
+    @registry.step
+    def menu(self, page, response):
+        for nav in page.query(Selector.xpath("//nav"), "menu", 1, 1):
+            for item in nav.query(Selector.xpath(".//li"), "items"):
+                for a in item.find_links(Selector.xpath("a"), "links", 1, 1):
+                    yield registry.Data(a.text)
+        number = int(response["request_id"])
+        yield registry.Data(1 // (number % 10))
+        page.query(Selector.css("nav li"), "few items", 1, 5)
+
+
+def _menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("request_id"), F.lit(200).alias("status_code"), F.col("html").alias("text"), "url")
+    return registry.run_step(p, MenuSite, "menu", observe=True)
+
+
+def q_step_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step that breaks on every tenth page, and finds some pages other than expected."""
+    done = _menus(spark, sf_dir).filter("kind <> 'query'")
+    return done.groupBy("request_id").agg(F.count_if(F.col("kind") == "data").alias("n_data"), F.max("error_class").alias("error_class"))
 
 
 def q_observer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.render(_queries(spark, sf_dir)).select("request_id", "tree")
+    return observe.render(registry.queries_of(_menus(spark, sf_dir))).select("request_id", "tree")
 
 
 def q_absolute_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.absolute_selectors(_queries(spark, sf_dir))
+    return observe.absolute_selectors(registry.queries_of(_menus(spark, sf_dir)))
 
 
 class CustomerSite(registry.Scraper):
@@ -451,15 +487,17 @@ def q_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select("o_orderkey", F.col("o_orderkey").alias("seq"), identity.bare_key(F.lit("GET"), url).alias("dedup_key"), F.lit(False).alias("skip_dedup"), F.lit(None).cast("int").alias("priority"))
 
     def run(got: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        below = got.select(F.explode(F.array(F.col("o_orderkey") * 16 + 1, F.col("o_orderkey") * 16 + 1, F.col("o_orderkey") * 16 + 2)).alias("o_orderkey")).join(o, "o_orderkey")
-        return got.select("o_orderkey"), as_requests(below), got.select("o_orderkey").filter("false")
+        # each page links to sixteen others, to the last of them twice
+        below = F.concat(F.sequence(F.col("o_orderkey") * 16 + 1, F.col("o_orderkey") * 16 + 16), F.array(F.col("o_orderkey") * 16 + 16))
+        found = got.select(F.explode(below).alias("o_orderkey")).join(o, "o_orderkey")
+        return got.select("o_orderkey"), as_requests(found), got.select("o_orderkey").filter("false")
 
     return crawl(as_requests(top), lambda r: r, run).results
 
 
 NAMES = (
     "links", "links_absolute", "link_requests", "page_title", "count_contract", "tag_histogram", "nested_query", "css_query", "positional", "attribute_strings", "scalar_query",
-    "union_query", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
+    "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
     "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step",
     "schema_json", "step_catalog", "crawl", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",

@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 
 _sent: set[str] = set()
 
-#: Set to 1,000 where the session has Spark's default of 10,000.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 
 def ship(spark: SparkSession) -> None:
     """Add the package's sources to the session's Python files, once per application."""
@@ -31,9 +28,6 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
-    # whole documents travel in these batches: thousands of long ones would fill an executor
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "1000")
     _sent.add(app)
 
 

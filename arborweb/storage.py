@@ -36,17 +36,50 @@ def _clean() -> None:
             pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a place of one's own, over what an interrupted write left there, and
+    read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def _fresh(spark: SparkSession) -> str:
     root = f"{shared_dir(spark)}/arborweb-{spark.sparkContext.applicationId}"
     _made[root] = spark
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def stream_dir(spark: SparkSession) -> str:
-    """A new checkpoint location for a stream of this application."""
+def run_dir(spark: SparkSession) -> str:
+    """A new folder of this application, for a stream's checkpoint or a run's tables."""
     return _fresh(spark)
 
 
+def streamed(df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives until its source has no more, as a table in the shared folder; with
+    ``update``, all versions of each row. Nothing of it comes to the driver."""
+    spark = df.sparkSession
+    out, state = run_dir(spark), run_dir(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is done again after a loss writes the same folder again
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    if not exists(spark, out):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+
+
 def spooled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept on the executors' disks, for a table that is read more
     than once and cheap to make again: what a lost executor held is computed anew."""

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 def stream_dedup(requests: DataFrame, *, event_time: str | None = None, watermark: str | None = None) -> DataFrame:
     """The first request of each ``dedup_key`` of a stream; rows that skip deduplication all
-    pass. With a watermark a key is forgotten after that time, so the state is bounded;
-    without, all keys are kept."""
+    pass, and never enter the state. With a watermark a key is forgotten after that time, so
+    the state is bounded; without, all keys are kept."""
     skip = F.coalesce(F.col("skip_dedup"), F.lit(False))
     rows = requests.withWatermark(event_time, watermark) if event_time and watermark else requests
-    # a skipping row gets a key of its own
-    keyed = rows.withColumn("_key", F.when(skip, F.concat(F.lit("\x00"), F.expr("uuid()"))).otherwise(F.col("dedup_key")))
-    once = keyed.dropDuplicatesWithinWatermark(["_key"]) if event_time and watermark else keyed.dropDuplicates(["_key"])
-    return once.drop("_key")
+    keyed = rows.filter(~skip)
+    once = keyed.dropDuplicatesWithinWatermark(["dedup_key"]) if event_time and watermark else keyed.dropDuplicates(["dedup_key"])
+    return once.unionByName(rows.filter(skip))
 
 
 def status_counts(responses: DataFrame, *, at: str = "ts", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
