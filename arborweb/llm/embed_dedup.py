@@ -319,8 +319,8 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     slim = classes.select("h", "h2", "cid", "copies", "first")
     labelled = slim.join(group, "cid", "left").withColumn("group", F.coalesce("label", "cid")).drop("label")
     labelled = spooled(labelled.join(counts, "cid", "left").select("h", "h2", "copies", "group", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    ids = labelled.groupBy("group").agg(F.min("first").alias("component_id"))
-    known = stored(labelled.join(ids, "group").select("h", "h2", "copies", "n_links", "component_id"), classes.count())
+    ids = spooled(labelled.groupBy("group").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    known = stored(met_by_key(labelled, ids, "group").select("h", "h2", "copies", "n_links", "component_id"), classes.count())
     met = met_by_key(valid.select("id", "h", "h2"), known, ["h", "h2"], "copies")
     out = met.select("id", "n_links", "component_id").unionByName(rows.filter("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -187,9 +187,9 @@ def classes(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
     smallest key."""
     fps = spooled(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")))
     named = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
-    linked = fps.join(named, "fp")
-    groups = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    moved = linked.join(groups, "label").select("fp", "label", "component_id")
+    linked = spooled(fps.join(named, "fp").select("fp", "label", "first"))
+    groups = spooled(linked.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    moved = met_by_key(linked.select("fp", "label"), groups, "label").select("fp", "label", "component_id")
     each = fps.join(moved, "fp", "left")
     return stored(each.select("fp", "n", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), fps.count())
 
