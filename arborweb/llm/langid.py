@@ -94,7 +94,7 @@ def _step(m: Model, d: int, byte: np.ndarray, h: np.ndarray, keep: list | None =
     new *= z
     new += cand
     if keep is not None:
-        keep.append((byte, h, z, r, inner, cand))
+        keep.append((h, z, r, inner, cand))
     return new
 
 
@@ -182,11 +182,15 @@ def _gradients(m: Model, data: np.ndarray, label: np.ndarray) -> list[np.ndarray
         back = m.o.T @ err
         into[0][t], into[1][t] = back[:hidden], back[hidden:]
     g_x, g_u, g_c = [], [], []
+    # the columns of all inputs are summed by byte in one go
+    by_byte = np.argsort(data, axis=None, kind="stable")
+    seen, begins = np.unique(data.ravel()[by_byte], return_index=True)
+    inputs = np.empty((steps, n, 3 * hidden), np.float32)
     for d, order in ((0, range(steps - 1, -1, -1)), (1, range(steps))):
         gx, gu, gc = np.zeros((256, 3 * hidden), np.float32), np.zeros_like(m.u[d]), np.zeros_like(m.c[d])
         carry = np.zeros((hidden, n), np.float32)
         for t in order:
-            byte, h, z, r, inner, cand = saved[d].pop()
+            h, z, r, inner, cand = saved[d].pop()
             dh = carry + into[d][t]
             if d:
                 dh = dh * real[t]
@@ -194,12 +198,12 @@ def _gradients(m: Model, data: np.ndarray, label: np.ndarray) -> list[np.ndarray
             dc = dh * (1 - z) * (1 - cand * cand)
             dr = dc * inner * r * (1 - r)
             di = dc * r
-            dx = np.concatenate([dz, dr, dc])
+            inputs[t] = np.concatenate([dz, dr, dc]).T
             dg = np.concatenate([dz, dr, di])
-            np.add.at(gx, byte, dx.T)
             gu += dg @ h.T
             gc += di.sum(axis=1)
             carry = dh * z + m.u[d].T @ dg
+        gx[seen] = np.add.reduceat(inputs.reshape(-1, 3 * hidden)[by_byte], begins)
         g_x.append(gx.T)
         g_u.append(gu)
         g_c.append(gc)
