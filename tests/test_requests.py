@@ -270,3 +270,38 @@ def test_reseed_points_of_deep_chains_and_circles(spark):
     assert {r["failed_id"]: r["reseed_id"] for r in requests.reseed_points(df, failed).collect()} == {"299": "0", "none": None}
     with pytest.raises(ValueError):
         requests.reseed_points(df, spark.createDataFrame([("a",)], "request_id STRING"))
+
+
+def test_a_crawl_is_taken_up_again(spark, tmp_path):
+    """A run that ends after two rounds, one of them half written, gives what one run gives."""
+
+    def rows(ids):
+        return spark.createDataFrame([(i, i, f"k{i % 50}", False, None) for i in ids], "seq LONG, n LONG, dedup_key STRING, skip_dedup BOOLEAN, priority INT")
+
+    asked = []
+
+    def run(got):
+        asked.append(sorted(r["n"] for r in got.select("n").collect()))
+        more = got.filter("n < 40").select(F.explode(F.array(F.col("n") * 2 + 1, F.col("n") * 2 + 2, F.col("n"))).alias("n"))
+        return got.select("n"), more.select(F.col("n").alias("seq"), "n", F.concat(F.lit("k"), (F.col("n") % 50).cast("string")).alias("dedup_key"), F.lit(False).alias("skip_dedup"), F.lit(None).cast("int").alias("priority")), got.filter("n % 7 = 0").select("n")
+
+    def told(done):
+        return [sorted(r[c] for r in t.collect()) for t, c in ((done.results, "n"), (done.errors, "n"), (done.visited, "dedup_key"))]
+
+    whole = crawl(rows([0]), lambda r: r, run)
+    rounds, asked[:] = list(asked), []
+    folder = str(tmp_path / "run")
+    first = crawl(rows([0]), lambda r: r, run, rounds=2, folder=folder)
+    assert first.rounds == 2 and not first.left.isEmpty()
+    # the third round broke off: its results stand there, the next frontier does not
+    spark.createDataFrame([(999,)], "n LONG").write.parquet(f"{folder}/results/round=2")
+    second = crawl(rows([0]), lambda r: r, run, folder=folder)
+    assert told(second) == told(whole) and asked == rounds and second.rounds == whole.rounds
+    again = crawl(rows([0]), lambda r: r, run, folder=folder)
+    assert asked == rounds and told(again) == told(whole)
+
+
+def test_a_failure_that_passes(spark):
+    df = spark.createDataFrame([(500, "60"), (500, None), (None, "5"), (404, "9"), (200, None)], "status_code INT, retry_after STRING")
+    done = http.outcomes(df, passing=lambda d: F.col("retry_after").isNotNull() & (F.coalesce("status_code", F.lit(0)) != 404))
+    assert [r["action"] for r in done.collect()] == ["retry", "error", "retry", "error", "step"]
