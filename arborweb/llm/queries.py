@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, main_text, mixing, oracles, ppm, quality, simhash, url_filter, warc
+from . import bpe, embed_dedup, langid, main_text, mixing, oracles, packing, ppm, quality, simhash, url_filter, variants, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ppm_scoring": op1_ppm_scoring,
@@ -77,6 +86,8 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op9_url_filter": op9_url_filter,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_curve_packing": op11_curve_packing,
+        "op12_spelling_variants": op12_spelling_variants,
     }
 
 
