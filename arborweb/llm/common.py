@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from ..storage import spooled, stored
 
-__all__ = ["lower_ascii", "map_arrow", "met_by_key", "remainder", "slices", "spooled", "stored", "table", "unit_hash", "utf8"]
+__all__ = ["in_bytes", "lower_ascii", "map_arrow", "met_by_key", "remainder", "slices", "spooled", "stored", "table", "unit_hash", "utf8"]
 
 #: Documents handled together inside a Python worker, whatever Arrow batch Spark sends.
 ROWS_AT_ONCE = 256
@@ -81,6 +83,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(at, rows)
 
 
+def in_bytes(batches: Iterator[pa.RecordBatch], most: int, column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with ``most`` bytes in a column of texts, or with one row; small
+    batches are put together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            upto = int(np.searchsorted(ends, before + most - size, "right"))
+            if upto == at and not held:
+                upto = at + 1
+            if upto > at:
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto - 1]) - before
+                at = upto
+            if at < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return text.encode("utf-8", "surrogatepass") if text else b""

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import map_arrow, stored
+from .common import in_bytes, map_arrow, stored
 
 LENGTH = 1024
 #: The id that closes a document.
@@ -229,7 +229,7 @@ def tokenized(docs: DataFrame, file: str, *, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value)
-        for batch in _by_bytes(batches):
+        for batch in in_bytes(batches, TEXT_BYTES, 1):
             at = 0
             for ids, counts in encoder.encode(batch.column(1)):
                 x = projected(ids, counts, axes)
@@ -246,18 +246,6 @@ def tokenized(docs: DataFrame, file: str, *, key: str = "doc_id", text: str = "t
     return map_arrow(docs.select(key, text), run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``TEXT_BYTES`` of text."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
-            yield batch.slice(at, upto - at)
-            at = upto
-
-
 def placed(documents: DataFrame) -> tuple[DataFrame, int]:
     """(``row, at``, all ids): where each of the ``tokenized`` documents begins in the stream of
     all, in the order of the curve."""

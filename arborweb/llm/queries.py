@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, main_text, mixing, oracles, packing, ppm, quality, simhash, url_filter, variants, warc
+from . import bpe, embed_dedup, langid, main_text, mixing, oracles, packing, phrases, ppm, quality, simhash, url_filter, variants, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ppm_scoring": op1_ppm_scoring,
@@ -88,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op10_byte_bpe": op10_byte_bpe,
         "op11_curve_packing": op11_curve_packing,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_collocations": op13_collocations,
     }
 
 
