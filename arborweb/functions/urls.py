@@ -45,8 +45,16 @@ def requote(url: Column | str) -> Column:
     return series_udf(_requoted, T.StringType())(url)
 
 
+def join_text(base: str | None, url: str | None) -> str | None:
+    """``url`` as seen from ``base``; None for none, and where the two make no URL."""
+    try:
+        return None if url is None else urljoin(base or "", url)
+    except ValueError:
+        return None
+
+
 def _joined(base: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([None if u is None else urljoin(b or "", u) for b, u in zip(base, url, strict=True)], dtype=object)
+    return pd.Series([join_text(b, u) for b, u in zip(base, url, strict=True)], dtype=object)
 
 
 def _join(base: Column, url: Column) -> Column:
@@ -58,17 +66,22 @@ _ROOTED = r"^/(?!/)(?!.*(?:^|/)\.\.?(?:[/?#]|$)).*$"
 
 
 def join(base: Column, url: Column) -> Column:
-    """``url`` as seen from ``base``. Absolute http URLs and plain rooted paths stay in the JVM."""
-    site = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    return (
-        F.when(url.rlike(r"^https?://[^/?#]+/[^?#.]*$"), url)
-        .when((site != "") & url.rlike(_ROOTED), F.concat(site, url))
-        .otherwise(_join(base, url))
-    )
+    """``url`` as seen from ``base``; null where the two make no URL (``unjoined``). Absolute
+    http URLs and plain rooted paths are joined in the JVM: Python sees a null for each."""
+    site = F.regexp_extract(base, r"^(https?://[^/?#\[\]]+)", 1)
+    whole = url.rlike(r"^https?://[^/?#\[\]]+/[^?#.]*$")
+    rooted = (site != "") & url.rlike(_ROOTED)
+    odd = F.when(whole | rooted, F.lit(None)).otherwise(url)
+    return F.when(whole, url).when(rooted, F.concat(site, url)).otherwise(_join(base, odd))
+
+
+def unjoined(url: Column, joined: Column) -> Column:
+    """What went wrong with a URL that could not be joined, null if it could."""
+    return F.when(url.isNotNull() & joined.isNull(), F.concat(F.lit("Not a URL: "), url))
 
 
 def resolve(location: Column, url: Column) -> Column:
-    """A request's URL from where it was found: requoted, then joined."""
+    """A request's URL from where it was found: requoted, then joined; null where that is none."""
     return _join(location, requote(url))
 
 

@@ -53,22 +53,25 @@ def controls(nodes: DataFrame, forms: DataFrame, *, key: str = "page_id") -> Dat
 
 
 def find_forms(nodes: DataFrame, selector: Selector, *, key: str = "page_id") -> DataFrame:
-    """``page, form, action, method, fields, selector, selector_type, n_forms`` of each match,
-    the fields in document order. A page should have one: see ``n_forms``."""
+    """``page, form, action, method, fields, selector, selector_type, n_forms, error`` of each
+    match, the fields in document order. A page should have one: see ``n_forms``. An action
+    that is no URL is null and said in ``error``; such a form submits nothing."""
     found = query(nodes, selector, key=key)
     fields = controls(nodes, found, key=key).groupBy(key, "form").agg(F.sort_array(F.collect_list(F.struct("pre", "idx", F.struct("name", "field_type", "value", "options", "element_id").alias("f")))).alias("fs"))
     a = F.col("attrs")
     action = F.coalesce(a["action"], F.lit(""))
+    joined = urls.join(F.col("base"), action)
     met = found.withColumn("n_forms", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("base", F.col("url")).withColumn("form", F.col("pre")).join(fields, [key, "form"], "left")
     return met.select(
         key,
         "form",
-        F.when(action == "", F.col("base")).otherwise(urls.join(F.col("base"), action)).alias("action"),
+        F.when(action == "", F.col("base")).otherwise(joined).alias("action"),
         F.upper(F.when(F.coalesce(a["method"], F.lit("")) == "", "GET").otherwise(a["method"])).alias("method"),
         F.coalesce(F.transform("fs", lambda x: x["f"]), F.expr(f"cast(array() as array<{FIELD}>)")).alias("fields"),
         F.lit(selector.value).alias("selector"),
         F.lit(selector.grammar).alias("selector_type"),
         F.col("n_forms").cast("int").alias("n_forms"),
+        F.when(action != "", urls.unjoined(action, joined)).alias("error"),
     )
 
 
@@ -167,13 +170,14 @@ def _overridden(values: Column, name: str, override: str | list[str | None]) ->
 def submit(forms: DataFrame, continuation: str, *, data: Mapping[str | Selector, str | list[str | None]] | None = None, submit_selector: str | Selector | None = None, key: str = "page_id") -> DataFrame:
     """A request for each form. Names keep the order in which they first stand in the form,
     repeated ones have all their values; overrides come in place or, for new names, last.
-    POST only if the form says so; a GET carries ``params``, a POST ``data``."""
+    POST only if the form says so; a GET carries ``params``, a POST ``data``. Forms whose
+    action is no URL make none (their ``error`` says so)."""
     if not continuation:
         raise ValueError("a request needs a continuation")
     values = let(activated(F.col("fields"), submit_selector), lambda on: let(_sent(F.col("fields"), on), _by_name))
     for name, override in (data or {}).items():
         values = _overridden(values, name.value if isinstance(name, Selector) else name, override)
-    rows = forms.withColumn("_values", values)
+    rows = forms.filter("action is not null").withColumn("_values", values)
     pairs = F.flatten(F.transform("_values", lambda x: F.transform(x["vs"], lambda v: F.struct(x["k"].alias("k"), v.alias("v")))))
     none = F.expr("cast(null as array<struct<k: string, v: string>>)")
     post = F.col("method") == "POST"

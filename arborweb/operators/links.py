@@ -13,23 +13,39 @@ from .contracts import check_bounds, violations
 
 
 def links(nodes: DataFrame, selector: Selector, contexts: DataFrame | None = None, *, key: str = "page_id") -> DataFrame:
-    """``page, ctx, pos, href, url, text, selector, selector_type`` of each match, in document
-    order; ``pos`` counts all matches, also those without a href. ``nodes`` have ``url``
-    and the content of what is matched."""
+    """``page, ctx, pos, href, url, text, selector, selector_type, error`` of each match, in
+    document order; ``pos`` counts all matches, also those without a href. A href that is no
+    URL has a null ``url`` and says so in ``error``. ``nodes`` have ``url`` and the content of
+    what is matched."""
     found = query(nodes, selector, contexts, key=key)
-    parts = selector.nth(7).value.split("7")
+    parts = _around_place(selector)
+    found = found.withColumn("_joined", urls.join(F.col("url"), F.col("attrs")["href"]))
     return found.select(
         key,
         "ctx",
         "pos",
         F.col("attrs")["href"].alias("href"),
-        urls.join(F.col("url"), F.col("attrs")["href"]).alias("url"),
+        F.col("_joined").alias("url"),
         F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)^\s+|\s+$", "").alias("text"),
-        F.concat(F.lit("7".join(parts[:-1])), F.col("pos").cast("string"), F.lit(parts[-1])).alias("selector"),
+        F.concat(F.lit(parts[0]), F.col("pos").cast("string"), F.lit(parts[1])).alias("selector"),
         F.lit(selector.grammar).alias("selector_type"),
+        urls.unjoined(F.col("attrs")["href"], F.col("_joined")).alias("error"),
     )
 
 
+def _around_place(selector: Selector) -> tuple[str, str]:
+    """What stands before and after the place in the selector of one match."""
+    one, two = selector.nth(1).value, selector.nth(22).value
+    # both say the same but for the number: it begins where they part
+    at = next(k for k, (a, b) in enumerate(zip(one, two, strict=False)) if a != b)
+    return one[:at], one[at + 1 :]
+
+
+def bad_links(found: DataFrame, *, key: str = "page_id") -> DataFrame:
+    """An error row for each link whose href is no URL."""
+    return found.filter("error is not null").select(key, "ctx", "pos", F.lit("AssumptionError").alias("class"), F.col("error").alias("message"))
+
+
 def find_links(pages: DataFrame, selector: Selector, *, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """``links`` straight from pages. A selector of one filtered step needs its own tags
     only: nothing else leaves the parser, and there is no join."""
@@ -52,11 +68,12 @@ def link_violations(pages: DataFrame, found: DataFrame, selector: Selector, desc
 
 
 def follow(found: DataFrame, continuation: str, *, key: str = "page_id", priority: int | None = None) -> DataFrame:
-    """A GET request for each link: parent, URL, deduplication key and provenance."""
+    """A GET request for each link: parent, URL, deduplication key and provenance. Links whose
+    href is no URL are left to ``bad_links``."""
     if not continuation:
         raise ValueError("a request needs a continuation")
     via = identity.link_json(F.col("selector"), F.col("selector_type"), F.concat(F.lit("link: "), F.col("text")))
-    return found.filter("href is not null and href <> ''").select(
+    return found.filter("href is not null and href <> '' and url is not null").select(
         F.col(key).cast("string").alias("parent_id"),
         F.lit("GET").alias("method"),
         "url",

@@ -19,17 +19,30 @@ def window_counts(requests: DataFrame, seconds: int, *, keys: list[str], at: str
 
     The requests of a key are dealt over blocks of the window's length, each with the block
     before it, which holds all else that its windows reach. So a key with any number of
-    requests is spread over as many tasks as it has blocks.
+    requests is spread over as many tasks as it has blocks. Requests without a time stand in
+    no window: their ``n_window`` is null, and each is a block of its own.
     """
     width = seconds * 1_000_000
-    rows = requests.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
-    rows = rows.withColumn("_block", F.floor(F.col("_at") / width).cast("long"))
-    both = rows.withColumn("_shown", F.explode(F.array(F.col("_block"), F.col("_block") + 1)))
-    own = Window.partitionBy(*keys, "_shown").orderBy("_at").rangeBetween(-width, 0)
-    counted = both.withColumn("n_window", F.count(F.lit(1)).over(own)).filter(F.col("_shown") == F.col("_block"))
+    time, block, shown = unused(requests.columns, "time", "block", "shown")
+    rows = requests.withColumn(time, F.unix_micros(F.col(at).cast("timestamp")))
+    rows = rows.withColumn(block, F.coalesce(F.floor(F.col(time) / width).cast("long"), -1 - F.monotonically_increasing_id()))
+    both = rows.withColumn(shown, F.explode(F.when(F.col(time).isNull(), F.array(block)).otherwise(F.array(F.col(block), F.col(block) + 1))))
+    own = Window.partitionBy(*keys, shown).orderBy(time).rangeBetween(-width, 0)
+    counted = both.withColumn("n_window", F.when(F.col(time).isNotNull(), F.count(F.lit(1)).over(own))).filter(F.col(shown) == F.col(block))
     return counted.select(*requests.columns, "n_window")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores until none of ``columns`` is one of them in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def admit(requests: DataFrame, limit: int, seconds: float, *, keys: list[str], at: str = "ts", bypass: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``admit_all`` with one rate."""
     return admit_all(requests, [(limit, seconds)], keys=keys, at=at, bypass=bypass, ties=ties)
@@ -38,7 +51,8 @@ def admit(requests: DataFrame, limit: int, seconds: float, *, keys: list[str], a
 def admit_all(requests: DataFrame, rates: list[tuple[int, float]], *, keys: list[str], at: str = "ts", bypass: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``requests`` with ``admitted``: for each (limit, seconds) of ``rates``, at most ``limit`` of
     the same keys in any ``seconds``; those refused do not count, those that ``bypass`` the
-    rates always pass and count not. ``ties`` order requests of one instant.
+    rates always pass and count not. A request without a time is in no window, so no rate
+    can tell: ``admitted`` is null. ``ties`` order requests of one instant.
 
     Admission depends on each earlier one, so the requests of a key are read in order, as
     columns; of all that went before, only the times of the last ``limit`` are held. A key
@@ -61,7 +75,7 @@ def admit_all(requests: DataFrame, rates: list[tuple[int, float]], *, keys: list
                 if key != now:
                     now, passed = key, deque(maxlen=longest)
                 # of a rate's last admissions, the one ``limit`` back must lie a full window ago
-                ok = free or all(len(passed) < n or passed[-n] <= t - s * 1e6 for n, s in rates)
+                ok = True if free else None if t is None else all(len(passed) < n or passed[-n] <= t - s * 1e6 for n, s in rates)
                 if ok and not free:
                     passed.append(t)
                 said.append(ok)

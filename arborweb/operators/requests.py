@@ -101,7 +101,8 @@ def complete(requests: DataFrame) -> DataFrame:
 def resolve_from(requests: DataFrame, parents: DataFrame) -> DataFrame:
     """``requests`` as seen from the responses of their parents (request_id, url, permanent):
     the URL made absolute, the location noted, permanent values inherited, and a key that was
-    automatic made anew; a key that was chosen stays. All other columns are kept."""
+    automatic made anew; a key that was chosen stays. All other columns are kept. Where
+    location and URL make none, the row stays with a null URL (``without_url``)."""
     up = parents.select(F.col("request_id").alias("parent_id"), F.col("url").alias("_location"), F.col("permanent").alias("_permanent"))
     met = requests.join(up, "parent_id")
     met = met.withColumn("_automatic", F.coalesce(F.col("dedup_key") == auto_key(), F.lit(False)))
@@ -109,6 +110,11 @@ def resolve_from(requests: DataFrame, parents: DataFrame) -> DataFrame:
     return complete(met).select(*requests.columns)
 
 
+def without_url(requests: DataFrame) -> DataFrame:
+    """An error row for each request whose URL could not be made: no fetcher can send it."""
+    return requests.filter("url is null").select("parent_id", F.lit("AssumptionError").alias("class"), F.concat(F.lit("Not a URL, as seen from "), F.coalesce("current_location", F.lit("nowhere"))).alias("message"))
+
+
 def effective_priority(steps: DataFrame | None = None) -> Column:
     """A request's place in the queue, lower first: its own, else its step's, else the default."""
     return F.coalesce(F.col("priority"), *([F.col("step_priority")] if steps is not None else []), F.lit(DEFAULT_PRIORITY))
@@ -134,17 +140,24 @@ def missing_steps(requests: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def dedup(requests: DataFrame, visited: DataFrame | None = None, *, seq: str = "seq") -> DataFrame:
-    """The first request of each key by ``seq``, without those in ``visited``; requests that
-    skip deduplication all stay. Keys are reduced before the shuffle, so a key with a
-    third of all rows costs one row from each task."""
-    skip = F.coalesce(F.col("skip_dedup"), F.lit(False)) if "skip_dedup" in requests.columns else F.lit(False)
-    keyed = requests.filter(~skip)
+    """The first request of each key by ``seq`` (those without one last), without those in
+    ``visited``; requests that skip deduplication, and those without a key, all stay. Keys
+    are reduced before the shuffle, so a key with a third of all rows costs one row from
+    each task."""
+    open_ = F.col("dedup_key").isNull()
+    if "skip_dedup" in requests.columns:
+        open_ = open_ | F.coalesce(F.col("skip_dedup"), F.lit(False))
+    keyed = requests.filter(~open_)
     if visited is not None:
         keyed = keyed.join(visited.select("dedup_key").distinct(), "dedup_key", "left_anti")
-    others = [c for c in requests.columns if c not in ("dedup_key", seq)]
-    first = keyed.groupBy("dedup_key").agg(F.min_by(F.struct(*others), F.col(seq)).alias("_rest"), F.min(seq).alias(seq))
-    first = first.select("dedup_key", seq, "_rest.*").select(*requests.columns)
-    return first.unionByName(requests.filter(skip))
+    return first_of_key(keyed, seq).unionByName(requests.filter(open_))
+
+
+def first_of_key(keyed: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row for each ``dedup_key``: the first by ``seq``, rows without one last."""
+    others = [c for c in keyed.columns if c != "dedup_key"]
+    first = keyed.groupBy("dedup_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.struct(F.col(seq).isNull(), F.col(seq))).alias("_row"))
+    return first.select("dedup_key", "_row.*").select(*[F.col(f"`{c}`") for c in keyed.columns])
 
 
 def next_batch(frontier: DataFrame, size: int, *, seq: str = "seq") -> DataFrame:
@@ -206,42 +219,42 @@ def archive_decisions(requests: DataFrame, archive: DataFrame) -> DataFrame:
     return requests.filter("archive").join(files, "url", "left").select("request_id", F.col("file_url").isNull().alias("download"), "file_url")
 
 
-def chains(requests: DataFrame, *, most: int = 1 << 20) -> DataFrame:
+def chains(requests: DataFrame) -> DataFrame:
     """``request_id, depth, root_id`` by following parents. Each round doubles the reach of
-    every row, so a chain of n requests takes log n joins; rounds end when all have come to
-    their root, or have gone ``most`` steps (as in a circle)."""
-    up = requests.select("request_id", F.col("parent_id").alias("above"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
-    reach = 1
-    while reach < most:
-        up = stored(up)
+    every row, so a chain of n requests takes log n joins. Where parents run in a circle
+    there is no root: depth and root are null."""
+    up = stored(requests.select("request_id", F.col("parent_id").alias("above"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth")))
+    most, reach = up.count(), 1
+    while True:
         other = up.filter("above is not null").select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
         met = stored(up.join(other, "above", "left"))
-        if met.filter("next is not null").isEmpty():
+        if reach > most or met.filter("next is not null").isEmpty():
             break
         up = met.select("request_id", F.coalesce("next", "above").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         reach *= 2
-    return up.select("request_id", "depth", F.coalesce("above", "request_id").alias("root_id"))
+    # a chain has at most as many steps as there are requests: who has gone further goes round
+    ended = F.col("next").isNull()
+    return met.select("request_id", F.when(ended, F.col("depth")).alias("depth"), F.when(ended, F.coalesce("above", "request_id")).alias("root_id"))
 
 
 def reseed_points(requests: DataFrame, failed: DataFrame) -> DataFrame:
-    """For each failed request, the nearest ancestor, itself included, that may be sent
-    again (``reseedable`` true); a false one stops the search, an open one is passed over.
-    Each round doubles the reach of every open request, so n open ancestors take log n
-    joins. A failed request below a circle of open ones is an error."""
+    """``failed_id, reseed_id, error``: for each failed request, the nearest ancestor, itself
+    included, that may be sent again (``reseedable`` true); a false one stops the search, an
+    open one is passed over. Each round doubles the reach of every open request, so n open
+    ancestors take log n joins. A request below a circle of open ones has none, and an error."""
     passed = F.col("reseedable").isNull() & F.col("parent_id").isNotNull()
     up = requests.select("request_id", F.when(passed, F.col("parent_id")).alias("above"), F.when(F.col("reseedable"), F.col("request_id")).alias("reseed_id"))
     most, reach = requests.count(), 1
     while True:
         up = stored(up)
-        if up.filter("above is not null").isEmpty() or reach > most:
+        if reach > most or up.filter("above is not null").isEmpty():
             break
         other = up.select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("reseed_id").alias("found"))
         up = up.join(other, "above", "left").select("request_id", F.col("next").alias("above"), F.coalesce("reseed_id", "found").alias("reseed_id"))
         reach *= 2
     found = failed.select(F.col("request_id").alias("failed_id")).join(up.withColumnRenamed("request_id", "failed_id"), "failed_id", "left")
-    if reach > most and not found.filter("above is not null").isEmpty():
-        raise ValueError("the parents of a failed request run in a circle")
-    return found.select("failed_id", "reseed_id")
+    circle = F.when(F.col("above").isNotNull(), F.lit("the parents run in a circle"))
+    return found.select("failed_id", "reseed_id", circle.alias("error"))
 
 
 def numbered(requests: DataFrame, *order: str) -> DataFrame:

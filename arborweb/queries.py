@@ -205,7 +205,7 @@ def q_reseed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     up = F.when(F.col("turn") > 0, F.concat(F.col("conv_id").cast("string"), F.lit("/"), (F.col("turn") - 1).cast("string")))
     r = c.select(name.alias("request_id"), up.alias("parent_id"), F.when(F.col("turn") % 3 == 0, F.lit(True)).alias("reseedable"), "role")
-    return requests.reseed_points(r, r.filter("role = 'assistant'"))
+    return requests.reseed_points(r, r.filter("role = 'assistant'")).select("failed_id", "reseed_id")
 
 
 def q_speculative_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

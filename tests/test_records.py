@@ -353,3 +353,12 @@ def test_wait_conditions(spark):
             yield None
 
     assert json.loads(Waiting().steps_table(spark).first()["await_list"]) == [{"type": "WaitForSelector", "selector": "#a", "state": "visible", "timeout": None}, {"type": "WaitForTimeout", "timeout": 5}]
+
+
+def test_requests_without_a_time(spark):
+    rows = [("a", 0.0, 1), ("a", 0.5, 2), ("a", None, 3), ("a", None, 4), ("b", None, 5), (None, 1.0, 6), ("a", -5.0, 7)]
+    df = spark.createDataFrame(rows, "site STRING, s DOUBLE, _at INT").select("site", F.col("s").cast("timestamp").alias("ts"), "_at", F.lit("x").alias("time"))
+    got = {r["_at"]: r for r in rates.window_counts(df, 1, keys=["site"]).collect()}
+    assert {k: r["n_window"] for k, r in got.items()} == {1: 1, 2: 2, 3: None, 4: None, 5: None, 6: 1, 7: 1} and {r["time"] for r in got.values()} == {"x"}
+    got = {r["_at"]: r["admitted"] for r in rates.admit(df, 1, 1.0, keys=["site"]).collect()}
+    assert got == {1: True, 2: False, 3: None, 4: None, 5: None, 6: True, 7: True}

@@ -215,6 +215,28 @@ def test_deep_containment(spark):
         assert [r["h"] for r in df.select(incidental.json_column_contains(F.col("t"), wanted).alias("h")).collect()] == [there, False, False], (actual, wanted)
 
 
+@pytest.mark.parametrize(
+    "actual, wanted, there",
+    [
+        ('{"a\\"b": 1}', {'a"b': 1}, True),
+        ('{"a\\\\b": {"]": 2}}', {"a\\b": {"]": 2}}, True),
+        ('{"a.b": 1, "": 3}', {"a.b": 1, "": 3}, True),
+        ('{"a": {"b": 1}}', {"a.b": 1}, False),
+        ('{"n": 123456789012345678901234567890}', {"n": 123456789012345678901234567890}, True),
+        ('{"n": 123456789012345678901234567891}', {"n": 123456789012345678901234567890}, False),
+        ('{"n": 18446744073709551616}', {"n": 18446744073709551616}, True),
+        ('{"n": 9223372036854775807}', {"n": 9223372036854775807}, True),
+        ('{"n": 1}', {"n": 10**60}, False),
+        ('{"n": 2.0}', {"n": 2}, True),
+        ('{"n": 2.5}', {"n": 2.5}, True),
+        ('{"n": true}', {"n": 1}, False),
+    ],
+)
+def test_containment_of_odd_keys_and_large_numbers(spark, actual, wanted, there):
+    df = spark.createDataFrame([(actual,)], "t STRING")
+    assert df.select(incidental.json_column_contains(F.col("t"), wanted).alias("h")).first()["h"] is there
+
+
 def test_promotion_of_captures(spark):
     asked = spark.createDataFrame([("r1", "p", "next")], "request_id STRING, parent_id STRING, continuation STRING")
     captured = spark.createDataFrame([("p", f"http://h/{k}", "post", "xhr") for k in range(9)], "parent_id STRING, url STRING, method STRING, resource_type STRING")
@@ -268,8 +290,67 @@ def test_reseed_points_of_deep_chains_and_circles(spark):
     df = spark.createDataFrame(rows, "request_id STRING, parent_id STRING, reseedable BOOLEAN")
     failed = spark.createDataFrame([("299",), ("none",)], "request_id STRING")
     assert {r["failed_id"]: r["reseed_id"] for r in requests.reseed_points(df, failed).collect()} == {"299": "0", "none": None}
-    with pytest.raises(ValueError):
-        requests.reseed_points(df, spark.createDataFrame([("a",)], "request_id STRING"))
+    (round_,) = requests.reseed_points(df, spark.createDataFrame([("a",)], "request_id STRING")).collect()
+    assert (round_["reseed_id"], round_["error"]) == (None, "the parents run in a circle")
+
+
+def test_chains_and_circles(spark):
+    rows = [(str(i), str(i - 1) if i else None) for i in range(40)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("x", "gone")]
+    df = spark.createDataFrame(rows, "request_id STRING, parent_id STRING")
+    got = {r["request_id"]: (r["depth"], r["root_id"]) for r in requests.chains(df).collect()}
+    assert got == {str(i): (i, "0") for i in range(40)} | {k: (None, None) for k in "abcd"} | {"x": (1, "gone")}
+    assert requests.chains(df.filter("false")).collect() == []
+
+
+def test_keys_that_are_missing_and_rows_without_an_order(spark):
+    rows = [(None, 1, "u1"), (None, 2, "u2"), ("k", None, "u3"), ("k", 5, "u4"), ("m", None, "u5"), ("m", None, "u5"), ("v", 1, "u6"), (None, None, None)]
+    df = spark.createDataFrame(rows, "dedup_key STRING, seq LONG, url STRING")
+    got = requests.dedup(df, spark.createDataFrame([("v",), (None,)], "dedup_key STRING")).collect()
+    assert sorted((r["dedup_key"] or "", r["url"] or "") for r in got) == [("", ""), ("", "u1"), ("", "u2"), ("k", "u4"), ("m", "u5")]
+
+
+ODD_HREFS = ["http://[bad", "//[x/y", "http://h]/p", "/a", "http://[::1]/ok", "../up", None, "", "https://plain/x"]
+
+
+def test_one_href_that_is_no_url_costs_its_link_only(spark):
+    from arborweb.operators import links
+
+    anchors = "".join(f'<a href="{h}">t</a>' if h is not None else "<a>t</a>" for h in ODD_HREFS)
+    pages = spark.createDataFrame([(1, "http://h/d/p", f"<body>{anchors}<form id=f action='http://[bad'><input name=q></form></body>"), (2, "http://h/d/p", "<body><a href='/fine'>t</a></body>")], "page_id LONG, url STRING, html STRING")
+    found = links.find_links(pages, Selector.xpath("//a"))
+    got = [(r["href"], r["url"], r["error"]) for r in found.filter("page_id = 1").orderBy("pos").collect()]
+    joined = [urls.join_text("http://h/d/p", h) for h in ODD_HREFS]
+    assert [g[1] for g in got] == joined and joined[0] is joined[1] is None and joined[4] == "http://[::1]/ok"
+    assert [g[2] for g in got] == [f"Not a URL: {h}" if h is not None and j is None else None for h, j in zip(ODD_HREFS, joined)]
+    bad = links.bad_links(found).collect()
+    assert {r["pos"] for r in bad} == {k for k, (h, j) in enumerate(zip(ODD_HREFS, joined), 1) if h is not None and j is None} and bad[0]["class"] == "AssumptionError"
+    assert sorted(r["url"] for r in links.follow(found, "next").collect()) == sorted([j for h, j in zip(ODD_HREFS, joined) if h and j] + ["http://h/fine"])
+    (form,) = forms.find_forms(dom.shred(pages), Selector.css("form#f")).collect()
+    assert (form["action"], form["error"]) == (None, "Not a URL: http://[bad")
+    assert forms.submit(forms.find_forms(dom.shred(pages), Selector.css("form#f")), "next").count() == 0
+
+
+def test_plain_urls_are_not_sent_to_python(spark):
+    df = spark.createDataFrame([("http://h/x", "/a"), ("http://h/x", "http://o/p"), ("http://h/x", "../b")], "b STRING, u STRING")
+    plan = df.select(urls.join(F.col("b"), F.col("u")))._jdf.queryExecution().toString()
+    # what Python is given is null for a URL that the JVM can join
+    assert "ArrowEvalPython" in plan and "THEN null ELSE u" in plan
+
+
+def test_the_selector_of_a_link_names_its_place(spark):
+    from arborweb.operators import links
+
+    pages = spark.createDataFrame([(1, "http://h/", "<div id='d7'>" + "".join(f"<a href='/{k}'>t</a>" for k in range(12)) + "</div>")], "page_id LONG, url STRING, html STRING")
+    for s in (Selector.xpath("//div[@id='d7']/a"), Selector.css("div#d7 a")):
+        found = links.find_links(pages, s).orderBy("pos").collect()
+        assert [r["selector"] for r in found] == [s.nth(k).value for k in range(1, 13)]
+
+
+def test_resolving_against_a_location_that_is_none(spark):
+    new = requests.complete(make(spark, [{"parent_id": "p", "method": "GET", "url": "//[x", "continuation": "c"}, {"parent_id": "p", "method": "GET", "url": "y", "continuation": "c"}]))
+    done = requests.resolve_from(new, spark.createDataFrame([("p", "http://h/a", None)], "request_id STRING, url STRING, permanent STRING"))
+    assert sorted(r["url"] or "" for r in done.collect()) == ["", "http://h/y"]
+    assert [r["message"] for r in requests.without_url(done).collect()] == ["Not a URL, as seen from http://h/a"]
 
 
 def test_a_crawl_is_taken_up_again(spark, tmp_path):
