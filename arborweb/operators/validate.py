@@ -106,11 +106,16 @@ def check(model: type, raw: str | None) -> tuple[str | None, list[dict]]:
     try:
         return model.model_validate(json.loads(raw) if raw else {}).model_dump_json(), []
     except ValidationError as e:
-        return raw, [{"loc": ".".join(map(str, x["loc"])) or "__root__", "msg": x["msg"], "type": x["type"]} for x in e.errors()]
+        return raw, error_rows(e)
     except ValueError as e:
         return raw, [{"loc": "__root__", "msg": str(e), "type": "json_invalid"}]
 
 
+def error_rows(e: object) -> list[dict]:
+    """A pydantic ``ValidationError`` as rows of ``ERRORS``: paths joined by points."""
+    return [{"loc": ".".join(map(str, x["loc"])) or "__root__", "msg": x["msg"], "type": x["type"]} for x in e.errors()]
+
+
 class Deferred:
     """A record whose check is put off: ``confirm()`` gives the model or raises, ``raw`` is
     a copy of what came."""
@@ -132,7 +137,14 @@ class Deferred:
         try:
             return self.model(**self._data)
         except ValidationError as e:
-            raise DataFormatError(self.model_name, [{"loc": ".".join(map(str, x["loc"])) or "__root__", "msg": x["msg"], "type": x["type"]} for x in e.errors()], self.url) from e
+            raise DataFormatError(self.model_name, error_rows(e), self.url) from e
+
+    def checked(self) -> tuple[object | None, list[tuple[str, str, str]]]:
+        """(the model, no errors), or (None, what does not fit as loc, msg, type)."""
+        try:
+            return self.confirm(), []
+        except DataFormatError as e:
+            return None, [(x["loc"], x["msg"], x["type"]) for x in e.errors]
 
 
 @dataclass(frozen=True)

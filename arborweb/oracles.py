@@ -98,6 +98,10 @@ SQL = {
     "run_step": """SELECT c_custkey::VARCHAR AS request_id, seq::BIGINT AS seq, kind, payload FROM customer, LATERAL (VALUES
         (0, 'data', '{"key": "' || c_custkey || '", "note": "n ' || c_nationkey || '"}'),
         (1, 'request', '{"url": "/record/' || c_custkey || '", "continuation": "parse_form", "method": "GET", "priority": 3}')) v(seq, kind, payload)""",
+    "parser_records": f"""WITH e AS (SELECT page_id, pos, text, substr(href, 2) AS path, length(text) AS size FROM ({_A}) WHERE page_id % 28 NOT IN (0, 7, 14, 21))
+        SELECT page_id, pos AS record, CASE WHEN size BETWEEN 4 AND 8 THEN text END AS label, CASE WHEN size BETWEEN 4 AND 8 THEN path END AS path, CASE WHEN size BETWEEN 4 AND 8 THEN size END AS size,
+        size BETWEEN 4 AND 8 AS valid, CASE WHEN size < 4 THEN 'label string_too_short' WHEN size > 8 THEN 'size less_than' ELSE '' END AS errors FROM e
+        UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, false, CASE WHEN page_id % 28 = 21 THEN '__root__ StructureError' ELSE '__root__ page_parsing' END FROM pages WHERE page_id % 28 IN (0, 7, 21)""",
     "step_catalog": """SELECT 'CustomerSite' AS scraper, 'parse_form' AS name, 3::BIGINT AS priority, 'utf-8' AS encoding, '["page", "response"]' AS wants""",
     "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 16 = id) SELECT id AS o_orderkey FROM r""",
     "rate_admit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

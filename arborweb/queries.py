@@ -6,12 +6,13 @@ import json
 from collections.abc import Callable
 from datetime import date
 
+from pydantic import BaseModel, Field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identity, urls
 from .operators import contracts, forms, http, incidental, links, observe, rates, requests, speculate, validate
-from .plans import registry
+from .plans import parsers, registry
 from .plans.frontier import crawl
 from .plans.grammar import Selector
 from .plans.treequery import query, query_strings, scalar
@@ -441,6 +442,36 @@ def q_absolute_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.absolute_selectors(registry.queries_of(_menus(spark, sf_dir)))
 
 
+class MenuItem(BaseModel):
+    """A menu entry of moderate length."""
+
+    label: str = Field(min_length=4)
+    path: list[str]
+    size: int = Field(lt=9)
+
+
+class MenuParser(parsers.Parser):
+    """The menu entries of a page, one record each."""
+
+    model = MenuItem
+
+    def __call__(self, page):
+        found = page.query(Selector.xpath("//nav//li/a"), "entries")
+        return [self.deferred(page, label=a.text_content(), path=a.get_attribute("href").strip("/").split("/"), size=len(a.text_content())) for a in found]
+
+
+def q_parser_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menu entries by a table function in SQL; entries that do not fit, and pages that are blank, a
+    comment or without a menu, with their errors."""
+    parsers.register(spark, MenuParser, "menu_items")
+    k = F.col("page_id") % 28
+    html = F.when(k == 0, " \n\t ").when(k == 7, "<!-- nothing here -->").when(k == 14, F.lit(None)).when(k == 21, F.replace("html", F.lit("nav>"), F.lit("div>"))).otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    found = spark.sql("SELECT p.page_id, r.* FROM {pages} p, LATERAL menu_items(p.html, p.url) r", pages=pages)
+    said = F.array_join(F.transform("errors", lambda e: F.concat(e["loc"], F.lit(" "), e["type"])), ",")
+    return found.select("page_id", F.col("record").cast("long").alias("record"), "label", F.array_join("path", "/").alias("path"), "size", "valid", said.alias("errors"))
+
+
 class CustomerSite(registry.Scraper):
     """A small scraper over the rendered forms, for the queries below."""
 
@@ -499,7 +530,7 @@ NAMES = (
     "links", "links_absolute", "link_requests", "page_title", "count_contract", "tag_histogram", "nested_query", "css_query", "positional", "attribute_strings", "scalar_query",
     "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
-    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step",
+    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records",
     "schema_json", "step_catalog", "crawl", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
 )
 
