@@ -53,6 +53,49 @@ def complete(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def commit_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes the file ``path`` appear whole, unless it is there: then False. Of several writers
+    one succeeds: the text is written beside it, and renamed as the store does without
+    overwriting."""
+    jvm = spark.sparkContext._jvm
+    where, fs = _files(spark, path)
+    if fs.exists(where):
+        return False
+    draft, _ = _files(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if where.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        context.rename(draft, where, options)
+    except Exception as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if it is not there."""
+    where, fs = _files(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
 def _fresh(spark: SparkSession) -> str:
     root = f"{shared_dir(spark)}/arborweb-{spark.sparkContext.applicationId}"
     _made[root] = spark
@@ -86,12 +129,13 @@ def spooled(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read back: the lineage is cut, and a lost executor costs
     no recomputation of what stands above. With ``rows``, at most how many there are, it is
-    written in files of a million. This application's folder goes when the driver ends."""
+    written in files of a million. ``codec``: how Parquet compresses it, if not as the session
+    says. This application's folder goes when the driver ends."""
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // 1_000_000)))
     spark, path = df.sparkSession, _fresh(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
