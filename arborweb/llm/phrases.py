@@ -40,6 +40,8 @@ TOP = 2000
 INSIDE = 50
 #: Bytes of text in a trie.
 TRIE_BYTES = 1 << 24
+#: Leaves that are written together.
+LEAVES = 50_000
 #: Parts of a language that are ranked by themselves first.
 RANKED = 64
 #: Between the words of a leaf: lower than any byte of a word, so that leaves in order are a walk
@@ -54,9 +56,8 @@ def tries(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_bytes(batches, TRIE_BYTES, 0):
-            leaves, n = trie(batch.column(0), batch.column(1))
-            for lo in range(0, len(n), 50_000):
-                yield pa.RecordBatch.from_arrays([leaves.slice(lo, 50_000), n.slice(lo, 50_000)], names=["leaf", "n"])
+            for leaves, n in trie(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([leaves, n], names=["leaf", "n"])
 
     return map_arrow(docs.select(text, F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")), run, T.StructType.fromDDL("leaf STRING, n BIGINT"))
 
@@ -67,41 +68,50 @@ def _spelled(words: pa.Array) -> pa.Array:
     return words
 
 
-def trie(texts: pa.Array, langs: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """(leaves in order, how often each was reached) of some texts."""
+def trie(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(leaves in order, how often each was reached) of some texts, ``LEAVES`` at a time."""
+    known, languages, head, rest, n = _counted(texts, langs)
+    size = len(known) + 1
+
+    def named(code: np.ndarray) -> pa.Array:
+        return known.take(pa.array(code - 1, mask=code == 0))
+
+    for lo in range(0, len(n), LEAVES):
+        h, r = head[lo : lo + LEAVES], rest[lo : lo + LEAVES]
+        words = (languages.take(pa.array(h // size)), known.take(pa.array(h % size)), named(r // size), named(r % size))
+        yield pc.binary_join_element_wise(*words, GAP, null_handling="skip"), pa.array(n[lo : lo + LEAVES])
+
+
+def _counted(texts: pa.Array, langs: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, languages, leaves as two numbers: language and first word, second and third or 0
+    for none; counts), all in order."""
     pieces = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[.,;:!?\n\x0b\x0c\r]")
     split = pc.split_pattern_regex(pieces.values, "[ \t]+")
-    words = split.values
-    real = np.flatnonzero(pc.not_equal(words, "").to_numpy(zero_copy_only=False))
-    piece = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))[real]
-    text = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))[piece]
-    coded, spoken = words.take(pa.array(real)).dictionary_encode(), langs.dictionary_encode()
-    known, word = _ordered(coded)
-    languages, language = _ordered(spoken)
-    # the words that follow in the same piece, 0 for none
-    follow = np.zeros((2, len(word)), np.int64)
-    for k in (1, 2):
-        same = piece[k:] == piece[:-k]
-        follow[k - 1, :-k or None][same] = word[k:][same] + 1
+    real = np.flatnonzero(pc.not_equal(split.values, "").to_numpy(zero_copy_only=False))
+    piece = np.repeat(np.arange(len(split), dtype=np.int32), np.diff(split.offsets.to_numpy()))[real]
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(pieces.offsets.to_numpy()))
+    known, word = _ordered(split.values.take(pa.array(real)).dictionary_encode())
+    languages, language = _ordered(langs.dictionary_encode())
+    del split, real
     size = len(known) + 1
-    head, rest = language[text] * size + word, follow[0] * size + follow[1]
+    head = language[text[piece]].astype(np.int64) * size + word
+    # the words that follow in the same piece
+    rest = np.zeros(len(word), np.int64)
+    for k, times in ((1, size), (2, 1)):
+        same = np.flatnonzero(piece[k:] == piece[:-k])
+        rest[same] += (word[same + k].astype(np.int64) + 1) * times
+    del piece, text, word
     order = np.lexsort((rest, head))
     head, rest = head[order], rest[order]
     begins = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (rest[1:] != rest[:-1])])[: len(head)])
-    head, rest = head[begins], rest[begins]
-
-    def named(code: np.ndarray) -> pa.Array:
-        return known.take(pa.array(code - 1, mask=code == 0))
-
-    leaves = pc.binary_join_element_wise(languages.take(pa.array(head // size)), known.take(pa.array(head % size)), named(rest // size), named(rest % size), GAP, null_handling="skip")
-    return leaves, pa.array(np.diff(np.append(begins, len(order))))
+    return known, languages, head[begins], rest[begins], np.diff(np.append(begins, len(order)))
 
 
 def _ordered(coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray]:
     """(different values in the order of their bytes, the place of each value among them)."""
     values = _spelled(coded.dictionary)
     order = pc.sort_indices(values)
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order.to_numpy()] = np.arange(len(order))
     return values.take(order), place[coded.indices.to_numpy()]
 
@@ -201,7 +211,7 @@ def scored(nodes: DataFrame, inside: int = INSIDE) -> DataFrame:
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language. Parts of
     a language are ranked first, so that no task ever ranks more than ``RANKED`` times ``top``."""
-    leaves = stored(tries(docs, text=text, lang=lang))
+    leaves = stored(tries(docs, text=text, lang=lang), codec="zstd")
     found = scored(stored(merged(leaves, least)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(RANKED))).orderBy(*order)
