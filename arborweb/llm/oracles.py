@@ -104,3 +104,39 @@ blocks AS (SELECT page_id, url, regexp_split_to_array(replace(replace(replace(re
 lines AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(replace(x, '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM blocks)
 SELECT page_id, url, coalesce(array_to_string(lines, chr(10)), '') AS text, length(coalesce(array_to_string(lines, chr(10)), '')) AS n_chars FROM lines
 """
+
+#: Every word's near words by wildcard and deleted spellings, with CRC-32 computed bit by bit.
+VARIANTS = r"""WITH RECURSIVE runs AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+-- CRC-32 bit by bit, lowest first
+coded AS (SELECT run, times, hex(encode(id || ':' || run)) AS h FROM runs),
+summed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(4 * length(h)), lambda k: (('0x' || h[2 * (k // 8) + 1 : 2 * (k // 8) + 2])::BIGINT >> (k % 8)) & 1)),
+    lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1)))) AS crc FROM coded),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN crc % 31 = 0 THEN left(run, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word FROM summed)
+    WHERE length(word) >= 7 GROUP BY 1 HAVING sum(times) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words),
+wild AS (SELECT word, n, k, left(word, k - 1) || '*' || substr(word, k + 1) AS g FROM places),
+cut AS (SELECT DISTINCT word, n, left(word, k - 1) || substr(word, k + 1) AS g FROM places),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.g = b.g AND a.word <> b.word
+    UNION ALL SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.g = w.word UNION ALL SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.g = w.word),
+near AS (SELECT word, count(*) AS n_near, min({'m': -m, 'other': other}) AS best FROM pairs GROUP BY 1),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * n THEN best.other END AS form, CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n FROM words LEFT JOIN near USING (word)),
+up AS (SELECT word, word AS spot, 0 AS steps FROM forms UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN forms f ON f.word = up.spot WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT max_by(spot, steps) FROM up WHERE up.word = f.word) AS root, n, n_near, form_n::BIGINT AS form_n FROM forms f
+"""
+
+#: All phrases counted as lists; numbers of 128 bits for the scores.
+COLLOCATIONS = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: w[k : k + size - 1])) AS p FROM w, (VALUES (1), (2), (3)) s(size)),
+f AS (SELECT lang, size, p, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE size > 1 AND f >= 10),
+inner_ AS (SELECT lang, q, max(f) AS longer FROM (SELECT lang, f, unnest([p[1:2], p[2:3]]) AS q FROM c WHERE size = 3) GROUP BY 1, 2),
+cuts AS (SELECT c.lang, c.p, c.f AS a, k, l.f AS l, r.f AS r, (1000000 * c.f::HUGEINT * c.f) // (l.f::HUGEINT * r.f) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.p = c.p[1 : k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1 : c.size]),
+best AS (SELECT lang, p, a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS cut FROM cuts GROUP BY 1, 2, 3),
+ranked AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, cut.l AS l, cut.r AS r, cut.score::BIGINT AS score, row_number() OVER (PARTITION BY b.lang ORDER BY cut.score DESC, a DESC, array_to_string(b.p, ' ')) AS rank
+    FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.q = b.p WHERE NOT (longer IS NOT NULL AND 100 * longer >= 50 * a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

@@ -103,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_revisits": oracles.WARC,
         "op8_html_extraction": oracles.MAIN_TEXT,
         "op9_url_filter": oracles.URL_FILTER,
+        "op12_spelling_variants": oracles.VARIANTS,
+        "op13_collocations": oracles.COLLOCATIONS,
     }
