@@ -104,6 +104,15 @@ SQL = {
         UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, false, CASE WHEN page_id % 28 = 21 THEN '__root__ StructureError' ELSE '__root__ page_parsing' END FROM pages WHERE page_id % 28 IN (0, 7, 21)""",
     "step_catalog": """SELECT 'CustomerSite' AS scraper, 'parse_form' AS name, 3::BIGINT AS priority, 'utf-8' AS encoding, '["page", "response"]' AS wants""",
     "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 16 = id) SELECT id AS o_orderkey FROM r""",
+    "crawl_deep": """WITH RECURSIVE r AS (SELECT 0::BIGINT AS id UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 2 = id) SELECT id AS o_orderkey FROM r""",
+    "crawl_retries": f"""WITH e AS (SELECT event_id, event_type, event_id % 4 AS k, status_code, {_CLASS} AS class FROM (SELECT event_id, event_type, {_STATUS} AS status_code FROM events)),
+        d AS (SELECT *, CASE WHEN class = 'transient' THEN least(k + 1, 3) ELSE 1 END AS attempts, class = 'successful' OR (class = 'transient' AND k < 3) AS answered FROM e)
+        SELECT event_id, attempts::BIGINT AS attempts, CASE WHEN answered AND event_type <> 'error' THEN 'step' ELSE 'error' END AS decision,
+        'HTTP ' || CASE WHEN class = 'transient' AND k < 3 THEN 200 ELSE status_code END AS reason FROM d""",
+    "crawl_probing": f"""WITH RECURSIVE ok AS (SELECT entry, n, n > 19 AND coalesce(n - lag(n) OVER (PARTITION BY entry ORDER BY n) > 10, n > 10) AS unreached FROM ({_PROBES}) WHERE ok),
+        reached AS (SELECT entry, n FROM (SELECT *, bool_or(unreached) OVER (PARTITION BY entry ORDER BY n) AS beyond FROM ok) WHERE NOT beyond),
+        o AS (SELECT DISTINCT o_orderkey AS id FROM reached JOIN orders ON o_orderkey = entry * 31 + n * 7 UNION SELECT id // 3 FROM o WHERE id > 0)
+        SELECT entry::VARCHAR AS "user", n FROM reached UNION ALL SELECT '', id FROM o""",
     "rate_admit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
         r AS (SELECT event_id, user_id, n, true AS admitted, NULL::BIGINT AS older, t AS newer FROM e WHERE n = 1
         UNION ALL SELECT e.event_id, e.user_id, e.n, r.older IS NULL OR r.older <= e.t - 3600000000,

@@ -1,86 +1,406 @@
 """The traversal of a site in rounds: deduplicate, order, fetch, run steps, go on.
 
-Each round is a few set operations, and writes tables of its own into the run's folder:
-``frontier`` (what is left before it), ``visited``, ``results`` and ``errors``. Nothing that an
-earlier round wrote is written again. A round counts once the next one's frontier is complete;
-a run that was broken off is taken up from the last such round by the same call, and what a
-half-done round left is written over.
+A round takes what is due: the frontier, the retries and waits whose time has come, the windows
+of templates that are probed. It sends them, runs their steps, acts on what those say (retry,
+await, skip, halt, a probe's success or failure) and makes the next frontier: new requests
+whose key was never sent, and the next windows.
+
+Each round writes its tables into a folder of its own attempt, and counts once its manifest
+appears in the run's folder. That happens as a whole or not at all, and only once for each
+number: a run that was killed anywhere is taken up from its last manifest by the same call,
+and of two drivers on one folder one goes on, the other gets ``RunConflict``.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.requests import dedup, effective_priority, next_batch
-from ..storage import complete, run_dir, written
+from ..errors import ConfigError
+from ..operators import speculate
+from ..operators.requests import effective_priority, first_of_key, next_batch
+from ..storage import commit_text, read_text, run_dir, stored, written
+from .visited import BITS, VisitedSet
+
+#: What the crawl adds to each request: a name of its own, which attempt this is, the seconds it
+#: has waited for its page so far, and the probe that it is, if it is one.
+OWN = "crawl_id STRING, attempt INT, waited DOUBLE, probe STRUCT<entry: STRING, param_index: INT, n: BIGINT>"
+OWN_COLUMNS = ("crawl_id", "attempt", "waited", "probe")
+#: What a round says about a request that it sent.
+ACTIONS = ("step", "retry", "await", "skip", "halt", "error", "failed_probe")
+OUTCOMES = "crawl_id STRING, dedup_key STRING, attempt INT, action STRING, decision STRING, reason STRING"
+TEMPLATES = "entry STRING, param_index INT, gap INT, highest_success BIGINT, consecutive_failures BIGINT, next_n BIGINT, asked BIGINT"
+ANSWERS = "entry STRING, param_index INT, n BIGINT, ok BOOLEAN"
+#: Rounds whose small tables are written as one.
+MERGED = 16
+
+
+class RunConflict(RuntimeError):
+    """Another driver has advanced the run in this folder."""
+
+
+@dataclass(frozen=True)
+class Retry:
+    """How often and when a request is sent again. The wait before attempt n + 1 is ``base`` times
+    ``factor`` to the power n - 1, at most ``longest`` seconds, unless the outcome names one.
+    A step that awaits its page is tried again every ``interval`` seconds, until ``patience``
+    seconds have gone. What waits lies in buckets of ``width`` seconds; later ones are not read."""
+
+    attempts: int = 3
+    base: float = 1.0
+    factor: float = 2.0
+    longest: float = 3600.0
+    interval: float = 1.0
+    patience: float = 0.0
+    width: float = 1.0
+
+
+@dataclass(frozen=True)
+class Probing:
+    """Templates (entry, param_index, min, soft_max, gap) to be probed beside what is followed.
+    ``requests`` turns probes (entry, param_index, n) into requests with the columns of the
+    seeds and those three. A probe is sent whether or not its key was, and counts as a success
+    if its outcome is ``step``, as a failure once it is given up."""
+
+    templates: DataFrame
+    requests: Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class Crawl:
-    """``results`` and ``errors`` are None if there was no round."""
+    """``results`` and ``errors`` are None if there was no round. ``outcomes`` has a row for each
+    time a request was sent, with what was decided; ``templates`` the last states of those probed,
+    ``waiting`` the requests that are still to be sent again; ``halted`` what stopped the run."""
 
     visited: DataFrame
     results: DataFrame | None
     errors: DataFrame | None
     left: DataFrame
     rounds: int
+    outcomes: DataFrame
+    templates: DataFrame
+    waiting: DataFrame
+    halted: str | None
+    #: A row of counts for each round: sent, keys asked for, let through by the filter, buckets read.
+    told: list[dict] = field(default_factory=list)
 
 
-def _rounds_done(spark: SparkSession, folder: str) -> int:
-    """How many rounds of a run are complete; -1 if it has not begun."""
-    k = -1
-    while complete(spark, f"{folder}/frontier/round={k + 1}"):
-        k += 1
-    return k
+@dataclass
+class _State:
+    """What a manifest says: paths of tables, and counts."""
 
+    round: int
+    frontier: str
+    left: int
+    tables: dict[str, list[str]]
+    #: How many paths of each table are merged ones.
+    merged: dict[str, int]
+    filter: str | None
+    #: Due bucket -> paths of what waits for it.
+    waiting: dict[str, list[str]]
+    templates: str | None
+    answers: str | None
+    halted: str | None
+    told: list[dict]
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], run: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], *, rounds: int = 100, batch: int | None = None, visited: DataFrame | None = None, folder: str | None = None) -> Crawl:
-    """Rounds from ``seeds`` until nothing is left, or ``rounds`` are over.
 
-    ``fetch`` turns requests into responses; ``run`` turns those into (results, requests,
-    errors). Requests have at least ``dedup_key, skip_dedup, priority, seq``. ``batch``
-    requests are sent in a round, the best by priority first; by default all. ``visited``
-    (dedup_key) are keys of another run. ``folder`` holds the run's tables, in a store that
-    all executors share: a run that is there already goes on where it was. By default a
-    folder of the application, gone with it.
+def crawl(
+    seeds: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    run: Callable[[DataFrame], tuple],
+    *,
+    rounds: int = 100,
+    batch: int | None = None,
+    visited: DataFrame | None = None,
+    folder: str | None = None,
+    retry: Retry | None = None,
+    probing: Probing | None = None,
+    clock: Callable[[], float] = time.time,
+    sleep: Callable[[float], None] = time.sleep,
+    filter_bits: int = BITS,
+) -> Crawl:
+    """Rounds from ``seeds`` until nothing is left, nothing waits and no template goes on, or
+    ``rounds`` are over, or a step halts the run.
+
+    ``fetch`` turns requests into responses; ``run`` turns those into (results, requests, errors)
+    or, to be acted on, (results, requests, errors, outcomes): ``crawl_id``, ``action`` (of
+    ``ACTIONS``), and if there are any ``wait`` (seconds) and ``reason``. Requests have at least
+    ``dedup_key, skip_dedup, priority, seq``; those sent have ``OWN`` as well. ``batch`` requests are
+    sent in a round, the best by priority first; by default all. ``visited`` (dedup_key) are keys of
+    another run. ``folder`` holds the run's tables, in a store that all executors share: a run
+    that is there already goes on where it was. By default a folder of the application, gone
+    with it. ``clock`` and ``sleep`` tell the time and pass it, while all that is left waits.
     """
-    spark = seeds.sparkSession
-    folder = folder or run_dir(spark)
+    clash = [c for c in seeds.columns if c in OWN_COLUMNS]
+    if clash:
+        raise ConfigError(f"requests have columns {clash}, which the crawl adds")
+    it = _Run(seeds, fetch, run, batch, folder or run_dir(seeds.sparkSession), retry or Retry(), probing, clock, sleep, filter_bits)
+    state = it.last() or it.begin(visited)
+    while state.round < rounds and state.halted is None:
+        following = it.round(state)
+        if following is None:
+            break
+        state = following
+    return it.told(state)
+
+
+class _Run:
+    def __init__(self, seeds: DataFrame, fetch: Callable, run: Callable, batch: int | None, folder: str, retry: Retry, probing: Probing | None, clock: Callable[[], float], sleep: Callable[[float], None], bits: int):
+        self.spark: SparkSession = seeds.sparkSession
+        self.seeds, self.fetch, self.run, self.batch, self.folder = seeds, fetch, run, batch, folder
+        self.retry, self.probing, self.clock, self.sleep, self.bits = retry, probing, clock, sleep, bits
+        self.columns = [F.col(f"`{c}`") for c in seeds.columns]
+        self.schema = seeds.limit(0).selectExpr("*", *[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (x.split(" ", 1) for x in _parts(OWN))]).schema
+
+    # manifests
+
+    def manifest(self, k: int) -> str:
+        return f"{self.folder}/manifest/{k:06d}.json"
+
+    def last(self) -> _State | None:
+        k, found = 0, None
+        while (text := read_text(self.spark, self.manifest(k))) is not None:
+            k, found = k + 1, text
+        return None if found is None else _State(**json.loads(found))
+
+    def commit(self, state: _State) -> _State:
+        if not commit_text(self.spark, self.manifest(state.round), json.dumps(vars(state))):
+            raise RunConflict(f"round {state.round} of {self.folder} was made by another driver")
+        return state
+
+    def attempt(self, k: int) -> str:
+        return f"{self.folder}/round={k}/{uuid.uuid4().hex}"
+
+    def read(self, path: str | None, schema: object) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+
+    # the start
 
-    def table(name: str, k: int) -> str:
-        return f"{folder}/{name}/round={k}"
+    def begin(self, visited: DataFrame | None) -> _State:
+        at = self.attempt(0)
+        seen = VisitedSet(self.spark, bits=self.bits)
+        tables: dict[str, list[str]] = {"visited": [], "results": [], "errors": [], "outcomes": [], "finished": []}
+        if visited is not None:
+            seen = seen.add(visited, f"{at}/visited", f"{at}/filter")
+        templates = None
+        first = self.fresh(stored(self.seeds.select(*self.columns)), seen, 0)[0]
+        if self.probing is not None:
+            of = self.probing.templates
+            asked = F.greatest(F.col("soft_max") - F.col("min"), F.lit(0))
+            start = of.select("entry", "param_index", "gap", F.lit(None).cast("bigint").alias("highest_success"), F.lit(0).cast("bigint").alias("consecutive_failures"), F.col("min").alias("next_n"), asked.cast("bigint").alias("asked"))
+            first, templates = self.next_windows(first, start, at, 0)
+        frontier = written(first, f"{at}/frontier")
+        return self.commit(_State(0, f"{at}/frontier", frontier.count(), tables | {"visited": list(seen.segments)}, {}, seen.filter, {}, templates, None, None, []))
 
-    def gathered(name: str, upto: int) -> DataFrame | None:
-        if not upto:
+    def fresh(self, more: DataFrame, seen: VisitedSet, k: int, besides: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """New requests with their names: the first of each key that was not sent. Those that skip
+        deduplication, and those without a key, all stay."""
+        free = F.col("dedup_key").isNull() | F.coalesce(F.col("skip_dedup"), F.lit(False))
+        keyed = first_of_key(more.filter(~free))
+        if besides is not None:
+            keyed = keyed.join(besides.select("dedup_key"), "dedup_key", "left_anti").select(*self.columns)
+        new, said = seen.unseen(keyed)
+        rows = new.select(*self.columns).unionByName(more.filter(free))
+        return rows.select("*", *self.named(k, "n"), F.expr("CAST(NULL AS STRUCT<entry: STRING, param_index: INT, n: BIGINT>)").alias("probe")), said
+
+    def named(self, k: int, kind: str) -> list[Column]:
+        return [F.concat(F.lit(f"{k}{kind}"), F.monotonically_increasing_id().cast("string")).alias("crawl_id"), F.lit(1).alias("attempt"), F.lit(0.0).alias("waited")]
+
+    # a round
+
+    def round(self, state: _State) -> _State | None:
+        """The state after one more round; None if there is nothing to do."""
+        now, due = self.clock(), []
+        if not state.left and state.waiting:
+            first = min(map(int, state.waiting)) * self.retry.width
+            while (now := self.clock()) < first:
+                self.sleep(first - now)
+        due = [b for b in state.waiting if int(b) * self.retry.width <= now]
+        if not state.left and not due:
+            return None
+        k, at = state.round, self.attempt(state.round + 1)
+        queue = self.read(state.frontier, self.schema)
+        for path in [p for b in due for p in state.waiting[b]]:
+            queue = queue.unionByName(self.read(path, self.schema))
+        sent, rest = queue, None
+        if self.batch is not None or due:
+            sent = written(queue if self.batch is None else next_batch(queue, self.batch), f"{at}/sent")
+        if self.batch is not None:
+            rest = queue.join(sent.select("crawl_id"), "crawl_id", "left_anti").select(*queue.columns)
+
+        seen = VisitedSet(self.spark, tuple(state.tables["visited"]), state.filter, self.bits)
+        found, more, bad, *said = self.run(self.fetch(sent))
+        # none of these needs another
+        seen, outcomes, more, _, _ = together(
+            self.spark,
+            lambda: seen.add(sent.filter((F.col("attempt") == 1) & ~F.coalesce("skip_dedup", F.lit(False))), f"{at}/visited", f"{at}/filter"),
+            lambda: self.decided(said[0] if said else None, sent, f"{at}/outcomes"),
+            lambda: stored(more.select(*self.columns)),
+            lambda: written(found, f"{at}/results"),
+            lambda: written(bad, f"{at}/errors"),
+        )
+        halted = outcomes.filter("decision = 'halt'").select("reason").first() if said else None
+        waiting = self.delayed(outcomes, sent, state.waiting, due, now, at) if said else {b: p for b, p in state.waiting.items() if b not in due}
+
+        probes, templates, answers, finished = None, state.templates, state.answers, None
+        if self.probing is not None and state.templates:
+            probes, templates, answers, finished = self.probed(state, outcomes, sent, at, k + 1)
+        # keys that the next frontier has already
+        taken = [x.select("dedup_key") for x in (probes, None if rest is None else rest.filter("not coalesce(skip_dedup, false)")) if x is not None]
+        besides = reduce(DataFrame.unionByName, taken) if taken else None
+        following, counts = self.fresh(more, seen, k + 1, besides)
+        for other in (probes, rest):
+            following = following if other is None else following.unionByName(other)
+        frontier = written(following, f"{at}/frontier")
+        tables = {n: [*p, f"{at}/{n}"] for n, p in state.tables.items() if n != "finished"} | {"finished": [*state.tables["finished"], *([finished] if finished else [])]}
+        done = _State(k + 1, f"{at}/frontier", frontier.count(), tables, dict(state.merged), seen.filter, waiting, templates, answers, None if halted is None else halted["reason"] or "halted", [*state.told, {"round": k, **counts}])
+        return self.commit(self.compacted(done, seen, at))
+
+    def decided(self, said: DataFrame | None, sent: DataFrame, path: str) -> DataFrame:
+        """What is done about each request sent: an action that may not be repeated any more is an
+        ``error``. Requests that nothing was said of count as ``lost``."""
+        own = sent.select("crawl_id", "dedup_key", "attempt", "waited", F.col("probe").isNotNull().alias("is_probe"))
+        if said is None:
+            rows = own.withColumns({"action": F.lit("step"), "wait": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")})
+        else:
+            extra = [F.col("wait").cast("double").alias("wait") if "wait" in said.columns else F.lit(None).cast("double").alias("wait"), F.col("reason").cast("string").alias("reason") if "reason" in said.columns else F.lit(None).cast("string").alias("reason")]
+            rows = own.join(said.select("crawl_id", "action", *extra), "crawl_id", "left").withColumn("action", F.coalesce("action", F.lit("lost")))
+        again = (F.col("action") == "retry") & (F.col("attempt") < self.retry.attempts)
+        waits = (F.col("action") == "await") & (F.col("waited") + self.retry.interval <= self.retry.patience)
+        kept = F.col("action").isin("step", "skip", "halt", "failed_probe")
+        decision = F.when(kept, F.col("action")).when(again, "retry").when(waits, "await").otherwise(F.when(F.col("is_probe"), "failed_probe").otherwise("error"))
+        return written(rows.withColumn("decision", decision), path)
+
+    def delayed(self, outcomes: DataFrame, sent: DataFrame, before: dict[str, list[str]], due: list[str], now: float, at: str) -> dict[str, list[str]]:
+        """What waits after the round, by bucket: the rows of each are written to their own folder."""
+        backoff = F.least(F.lit(self.retry.longest), self.retry.base * F.pow(F.lit(self.retry.factor), F.col("attempt") - 1))
+        wait = F.when(F.col("decision") == "await", F.lit(self.retry.interval)).otherwise(F.coalesce("wait", backoff))
+        again = outcomes.filter("decision IN ('retry', 'await')").select("crawl_id", "decision", F.ceil((F.lit(now) + wait) / self.retry.width).cast("bigint").alias("due_bucket"))
+        awaits = F.col("decision") == "await"
+        rows = sent.join(again, "crawl_id").withColumns({"attempt": F.when(awaits, F.col("attempt")).otherwise(F.col("attempt") + 1), "waited": F.when(awaits, F.col("waited") + self.retry.interval).otherwise(F.lit(0.0))})
+        rows.select(*sent.columns, "due_bucket").write.mode("overwrite").partitionBy("due_bucket").parquet(f"{at}/waiting")
+        out = {b: list(p) for b, p in before.items() if b not in due}
+        # as many as there are buckets within the longest wait
+        for r in again.select("due_bucket").distinct().collect():
+            out.setdefault(str(r["due_bucket"]), []).append(f"{at}/waiting/due_bucket={r['due_bucket']}")
+        return out
+
+    # templates
+
+    def probed(self, state: _State, outcomes: DataFrame, sent: DataFrame, at: str, k: int) -> tuple[DataFrame | None, str | None, str | None, str | None]:
+        """(next probes, path of the templates that go on, path of the answers to windows that are
+        not complete, path of the templates that ended in this round)."""
+        now = self.read(state.templates, TEMPLATES)
+        keys = ["entry", "param_index"]
+        ended = outcomes.filter("decision NOT IN ('retry', 'await')").select("crawl_id", (F.col("decision") == "step").alias("ok"))
+        fresh = sent.filter("probe is not null").select("crawl_id", "probe.*").join(ended, "crawl_id").select(*keys, "n", "ok")
+        answers = written(self.read(state.answers, ANSWERS).unionByName(fresh), f"{at}/probed")
+        whole = now.join(answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got")), keys, "left").select(*keys, (F.coalesce("_got", F.lit(0)) >= F.col("asked")).alias("_whole"))
+        answered = answers.join(whole.filter("_whole").select(*keys), keys)
+        moved = speculate.advanced(now, answered)
+        same = now.join(moved.select(*keys), keys, "left_anti").select(*now.columns)
+        open_ = answers.join(whole.filter("_whole").select(*keys), keys, "left_anti").select(*answers.columns)
+        over = F.col("consecutive_failures") >= F.col("gap")
+        moved = stored(moved)
+        left = F.greatest(F.col("gap") - F.col("consecutive_failures"), F.lit(1)).cast("bigint")
+        ahead = moved.filter(~over).withColumn("asked", left)
+        windows = ahead.select(*keys, F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.col("asked") - 1)).alias("n"))
+        states, probes, _, _ = together(
+            self.spark,
+            lambda: written(ahead.unionByName(same), f"{at}/templates"),
+            lambda: stored(self.as_probes(windows, k)),
+            lambda: written(open_, f"{at}/answers"),
+            lambda: written(moved.filter(over), f"{at}/finished"),
+        )
+        return probes, None if states.isEmpty() else f"{at}/templates", f"{at}/answers", f"{at}/finished"
+
+    def next_windows(self, first: DataFrame, start: DataFrame, at: str, k: int) -> tuple[DataFrame, str]:
+        """The frontier with the first probes, and the path of the templates. One without first
+        probes begins with its window; one with neither has nothing to ask for."""
+        gap = F.greatest(F.col("gap"), F.lit(0)).cast("bigint")
+        states = start.withColumn("asked", F.when(F.col("asked") > 0, F.col("asked")).otherwise(gap)).filter("asked > 0")
+        written(states, f"{at}/templates")
+        windows = states.select("entry", "param_index", F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.col("asked") - 1)).alias("n"))
+        probes = stored(self.as_probes(windows, k))
+        keyed = first.join(probes.filter("dedup_key is not null").select("dedup_key").distinct().withColumn("_probe", F.lit(True)), "dedup_key", "left")
+        kept = keyed.filter(F.col("_probe").isNull() | F.coalesce("skip_dedup", F.lit(False)))
+        return kept.select(*first.columns).unionByName(probes), f"{at}/templates"
+
+    def as_probes(self, windows: DataFrame, k: int) -> DataFrame:
+        asked = self.probing.requests(windows)
+        return asked.select(*self.columns, *self.named(k, "p"), F.struct(F.col("entry").cast("string").alias("entry"), F.col("param_index").cast("int").alias("param_index"), F.col("n").cast("bigint").alias("n")).alias("probe"))
+
+    # storage
+
+    def compacted(self, state: _State, seen: VisitedSet, at: str) -> _State:
+        """The state with the tables of the last ``MERGED`` rounds written as one each, when there
+        are as many. What they were stays for whoever reads it."""
+        for name, paths in state.tables.items():
+            done = state.merged.get(name, 0)
+            if len(paths) - done < MERGED:
+                continue
+            if name == "visited":
+                state.tables[name] = list(VisitedSet(self.spark, tuple(paths), seen.filter, self.bits).merged(done, f"{at}/merged/{name}").segments)
+            else:
+                rows = self.gathered(paths[done:])
+                rows.hint("rebalance").write.mode("overwrite").parquet(f"{at}/merged/{name}")
+                state.tables[name] = [*paths[:done], f"{at}/merged/{name}"]
+            state.merged[name] = done + 1
+        return state
+
+    def gathered(self, paths: list[str]) -> DataFrame | None:
+        if not paths:
             return None
-        schema = spark.read.parquet(table(name, 0)).schema
-        return spark.read.schema(schema).parquet(*[table(name, k) for k in range(upto)])
-
-    def seen(upto: int) -> DataFrame:
-        done = gathered("visited", upto)
-        before = [x for x in (visited.select("dedup_key") if visited is not None else None, done) if x is not None]
-        return before[0].unionByName(before[1]) if len(before) == 2 else before[0] if before else seeds.select("dedup_key").limit(0)
-
-    k = _rounds_done(spark, folder)
-    if k < 0:
-        written(dedup(seeds, visited), table("frontier", 0))
-        k = 0
-    frontier = spark.read.schema(seeds.schema).parquet(table("frontier", k))
-    while k < rounds and not frontier.isEmpty():
-        now = frontier if batch is None else written(next_batch(frontier, batch), table("sent", k))
-        rest = None if batch is None else frontier.join(now.select("seq"), "seq", "left_anti")
-        written(now.filter(~F.coalesce(F.col("skip_dedup"), F.lit(False))).select("dedup_key").distinct(), table("visited", k))
-        found, more, bad = run(fetch(now))
-        written(found, table("results", k))
-        written(bad, table("errors", k))
-        offered = more.select(*seeds.columns) if rest is None else more.select(*seeds.columns).unionByName(rest)
-        frontier = written(dedup(offered, seen(k + 1)), table("frontier", k + 1))
-        k += 1
-    return Crawl(seen(k), gathered("results", k), gathered("errors", k), frontier, k)
+        schema = self.spark.read.parquet(paths[0]).schema
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def told(self, state: _State) -> Crawl:
+        outcomes = self.gathered(state.tables["outcomes"])
+        names = [x.split()[0] for x in OUTCOMES.split(", ")]
+        waiting = [self.read(p, self.schema) for paths in state.waiting.values() for p in paths]
+        over = [self.read(p, TEMPLATES) for p in state.tables["finished"]]
+        states = reduce(DataFrame.unionByName, [x.withColumn("done", F.lit(True)) for x in over] + [self.read(state.templates, TEMPLATES).withColumn("done", F.lit(False))])
+        return Crawl(
+            VisitedSet(self.spark, tuple(state.tables["visited"])).keys().select("dedup_key"),
+            self.gathered(state.tables["results"]),
+            self.gathered(state.tables["errors"]),
+            self.read(state.frontier, self.schema).select(*self.columns),
+            state.round,
+            self.spark.createDataFrame([], OUTCOMES) if outcomes is None else outcomes.select(*names),
+            states.drop("asked"),
+            reduce(DataFrame.unionByName, waiting) if waiting else self.spark.createDataFrame([], self.schema),
+            state.halted,
+            state.told,
+        )
+
+
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """What each of some jobs gives, run at once: small ones wait for the scheduler, not for
+    each other. The first that fails is raised when all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
+def _parts(ddl: str) -> list[str]:
+    """The columns of a schema's text, split at commas that stand in no brackets."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
 def queue_order(frontier: DataFrame) -> DataFrame:

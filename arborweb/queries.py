@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import identity, urls
 from .operators import contracts, forms, http, incidental, links, observe, rates, requests, speculate, validate
 from .plans import parsers, registry
-from .plans.frontier import crawl
+from .plans.frontier import Probing, Retry, crawl
 from .plans.grammar import Selector
 from .plans.treequery import query, query_strings, scalar
 from .sources import dom, responses
@@ -526,12 +526,93 @@ def q_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl(as_requests(top), lambda r: r, run).results
 
 
+def _page_key(kind: str, *parts: Column) -> Column:
+    return identity.bare_key(F.lit("GET"), F.concat(F.lit(f"http://{kind}"), *[x for p in parts for x in (F.lit("/"), p.cast("string"))]))
+
+
+class Simulated:
+    """The time of a crawl whose pages are tables: waiting costs nothing."""
+
+    def __init__(self) -> None:
+        self.now = 0.0
+
+    def __call__(self) -> float:
+        return self.now
+
+    def sleep(self, seconds: float) -> None:
+        self.now += seconds
+
+
+def q_crawl_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders linked as a tree with two below each, one of them linked twice: a round a level, and
+    no round reads the keys of those before it."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+
+    def as_requests(df: DataFrame) -> DataFrame:
+        return df.select("o_orderkey", F.col("o_orderkey").alias("seq"), _page_key("o", F.col("o_orderkey")).alias("dedup_key"), F.lit(False).alias("skip_dedup"), F.lit(None).cast("int").alias("priority"))
+
+    def run(got: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        k = F.col("o_orderkey") * 2
+        found = got.select(F.explode(F.array(k + 1, k + 2, k + 2)).alias("o_orderkey")).join(o, "o_orderkey")
+        return got.select("o_orderkey"), as_requests(found), got.select("o_orderkey").filter("false")
+
+    return crawl(as_requests(o.filter("o_orderkey = 0")), lambda r: r, run, filter_bits=1 << 22).results
+
+
+def q_crawl_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event asked for until it is answered: transient statuses pass after up to three
+    attempts, and are given up after the third."""
+    e = _statuses(spark, sf_dir).select("event_id", "event_type", "status_code")
+    seeds = e.select("event_id", F.col("event_id").alias("seq"), _page_key("e", F.col("event_id")).alias("dedup_key"), F.lit(False).alias("skip_dedup"), F.lit(None).cast("int").alias("priority"))
+
+    def fetch(asked: DataFrame) -> DataFrame:
+        passed = http.is_transient(F.col("status_code")) & (F.col("attempt") > F.col("event_id") % 4)
+        return asked.join(e, "event_id").withColumn("status_code", F.when(passed, 200).otherwise(F.col("status_code")))
+
+    def run(got: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        done = http.outcomes(got, really=lambda df: F.col("event_type") != "error").withColumn("reason", F.concat(F.lit("HTTP "), F.col("status_code").cast("string")))
+        bad = done.filter("action = 'error'").select("event_id", "reason")
+        return done.filter("action = 'step'").select("event_id"), seeds.filter("false"), bad, done.select("crawl_id", "action", "reason")
+
+    time = Simulated()
+    done = crawl(seeds, fetch, run, retry=Retry(attempts=3, base=30.0, width=10.0), clock=time, sleep=time.sleep)
+    last = done.outcomes.groupBy("dedup_key").agg(F.max("attempt").cast("long").alias("attempts"), F.max_by("decision", "attempt").alias("decision"), F.max_by("reason", "attempt").alias("reason"))
+    return seeds.select("event_id", "dedup_key").join(last, "dedup_key").select("event_id", "attempts", "decision", "reason")
+
+
+def q_crawl_probing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events probed by number until ten in a row have failed; each leads to an order, and
+    that to others, followed in the same rounds."""
+    there = stored(_probes(spark, sf_dir).filter("ok").select(F.col("entry").cast("string").alias("user"), "n"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
+    of = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entry")).distinct()
+    of = of.select("entry", F.lit(0).alias("param_index"), F.lit(1).cast("long").alias("min"), F.lit(20).cast("long").alias("soft_max"), F.lit(10).alias("gap"))
+    rest = (F.col("n").alias("seq"), F.lit(False).alias("skip_dedup"), F.lit(None).cast("int").alias("priority"))
+
+    def probes(windows: DataFrame) -> DataFrame:
+        return windows.select("entry", "param_index", "n", F.col("entry").alias("user"), _page_key("u", F.col("entry"), F.col("n")).alias("dedup_key"), *rest)
+
+    def fetch(asked: DataFrame) -> DataFrame:
+        pages = there.withColumn("found", F.lit(True)).unionByName(orders.select(F.lit("").alias("user"), "n", F.lit(True).alias("found")))
+        return asked.join(pages, ["user", "n"], "left")
+
+    def run(got: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        got = stored(got.withColumn("ok", F.coalesce("found", F.lit(False))))
+        to = F.when(F.col("user") == "", F.when(F.col("n") > 0, F.floor(F.col("n") / 3).cast("long"))).otherwise(F.col("user").cast("long") * 31 + F.col("n") * 7)
+        more = got.filter("ok").select(to.alias("n")).filter("n is not null").join(orders, "n").select(F.lit("").alias("user"), "n", _page_key("o", F.col("n")).alias("dedup_key"), *rest)
+        said = got.select("crawl_id", F.when(F.col("ok"), "step").otherwise("failed_probe").alias("action"))
+        return got.filter("ok").select("user", "n"), more, got.filter("false").select("n"), said
+
+    seeds = probes(spark.createDataFrame([], "entry STRING, param_index INT, n BIGINT")).drop("entry", "param_index")
+    return crawl(seeds, fetch, run, probing=Probing(of, probes), filter_bits=1 << 22).results
+
+
 NAMES = (
     "links", "links_absolute", "link_requests", "page_title", "count_contract", "tag_histogram", "nested_query", "css_query", "positional", "attribute_strings", "scalar_query",
     "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
     "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records",
-    "schema_json", "step_catalog", "crawl", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
+    "schema_json", "step_catalog", "crawl", "crawl_deep", "crawl_retries", "crawl_probing", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
 )
 
 
