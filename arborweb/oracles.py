@@ -102,6 +102,11 @@ SQL = {
         SELECT page_id, pos AS record, CASE WHEN size BETWEEN 4 AND 8 THEN text END AS label, CASE WHEN size BETWEEN 4 AND 8 THEN path END AS path, CASE WHEN size BETWEEN 4 AND 8 THEN size END AS size,
         size BETWEEN 4 AND 8 AS valid, CASE WHEN size < 4 THEN 'label string_too_short' WHEN size > 8 THEN 'size less_than' ELSE '' END AS errors FROM e
         UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, false, CASE WHEN page_id % 28 = 21 THEN '__root__ StructureError' ELSE '__root__ page_parsing' END FROM pages WHERE page_id % 28 IN (0, 7, 21)""",
+    "seed_table": """WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+        SELECT o_orderkey, 'by_day' AS entry, 'request' AS kind, '/list?day=' || day AS url, NULL::BIGINT AS place, NULL AS types FROM o WHERE k < 3
+        UNION ALL SELECT o_orderkey, 'by_number', 'template', greatest(o_orderkey, 1) || '-' || (o_orderkey + 2) || '-3', row_number() OVER (ORDER BY o_orderkey) - 1, NULL FROM o WHERE k IN (3, 4)
+        UNION ALL SELECT o_orderkey, CASE WHEN k = 6 THEN 'by_number' WHEN k = 8 AND o_orderkey % 2 = 0 THEN 'by_name' ELSE 'by_day' END, 'error', NULL, NULL,
+            CASE k WHEN 5 THEN 'day date_from_datetime_parsing' WHEN 6 THEN 'numbers value_error' WHEN 7 THEN '__root__ json_invalid' ELSE CASE WHEN o_orderkey % 2 = 0 THEN '__root__ unknown_entry' ELSE 'more extra_forbidden' END END FROM o WHERE k > 4""",
     "step_catalog": """SELECT 'CustomerSite' AS scraper, 'parse_form' AS name, 3::BIGINT AS priority, 'utf-8' AS encoding, '["page", "response"]' AS wants""",
     "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 16 = id) SELECT id AS o_orderkey FROM r""",
     "crawl_deep": """WITH RECURSIVE r AS (SELECT 0::BIGINT AS id UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 2 = id) SELECT id AS o_orderkey FROM r""",

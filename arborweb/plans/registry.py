@@ -11,21 +11,26 @@ from __future__ import annotations
 import inspect
 import json
 import typing
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, is_dataclass
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, fields, is_dataclass
 from datetime import date
+from datetime import time as dtime
+from enum import Enum
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import AssumptionError, ConfigError, HaltRun, SkipRequest, TransientError
 from ..model import DEFAULT_PRIORITY
 from ..operators.observe import QUERY
 from ..operators.speculate import SpeculativeRange
+from ..operators.validate import error_rows
 from ..shipping import ship
 from ..sources.dom import parse, to_text
+from ..storage import stored
 from .page import Data, Follow, Observer, Page
 
 INJECTED = ("response", "request", "previous_request", "accumulated_data", "json_content", "tree", "page", "text", "local_filepath")
@@ -236,11 +241,25 @@ class Scraper:
 
 
 def _plain(value: object) -> object:
+    """A record as JSON has it: models and dataclasses as mappings, days and times as ISO text,
+    sets sorted, decimals, identifiers and whatever else JSON lacks as text."""
     if hasattr(value, "model_dump"):
         return value.model_dump(mode="json")
     if is_dataclass(value) and not isinstance(value, type):
-        return {k: _plain(v) for k, v in vars(value).items()}
-    return value.isoformat() if isinstance(value, date) else value
+        return {f.name: _plain(getattr(value, f.name)) for f in fields(value)}
+    if isinstance(value, Mapping):
+        return {k if isinstance(k, str) else str(_plain(k)): _plain(v) for k, v in value.items()}
+    if isinstance(value, (set, frozenset)):
+        return sorted((_plain(v) for v in value), key=repr)
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    if isinstance(value, Enum):
+        return _plain(value.value)
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value).decode("utf-8", "replace")
+    if value is None or isinstance(value, (str, bool, int, float)):
+        return value
+    return value.isoformat() if isinstance(value, (date, dtime)) else str(value)
 
 
 def _given(info: StepInfo, response: dict, observer: Observer) -> dict[str, object]:
@@ -363,3 +382,87 @@ def run_step(responses: DataFrame, scraper: type[Scraper], name: str, *, observe
                 yield pd.DataFrame(rows, columns=["request_id", "seq", "kind", "payload", "error_class", "error"])
 
     return responses.mapInPandas(run, OUTPUT)
+
+
+SEED = "entry STRING, kind STRING, seq INT, param_index INT, payload STRING, error_class STRING, errors ARRAY<STRUCT<loc: STRING, msg: STRING, type: STRING>>"
+
+
+def seed_rows(scraper: Scraper, name: str | None, params: str | None) -> Iterator[tuple]:
+    """(entry, kind, seq, payload, error class, errors) of one invocation: its requests, or its
+    template, or what is wrong with it. An entry whose code breaks keeps the requests before."""
+    known = {f._entry.name: f for _, f in scraper._marked("_entry")}
+
+    def bad(kind: str, errors: list[tuple[str, str, str]], seq: int = 0) -> tuple:
+        return (name, "error", seq, None, kind, errors)
+
+    if name not in known:
+        yield bad("ConfigError", [("__root__", f"unknown entry {name!r}; there are {sorted(known)}", "unknown_entry")])
+        return
+    info = known[name]._entry
+    try:
+        given = json.loads(params) if params else {}
+        if not isinstance(given, dict):
+            raise ValueError("parameters are a mapping")
+        made = info.validate(given)
+    except ValueError as e:  # pydantic's is one as well
+        found = error_rows(e) if hasattr(e, "errors") else [{"loc": "__root__", "msg": str(e), "type": "json_invalid" if isinstance(e, json.JSONDecodeError) else "value_error"}]
+        yield bad("DataFormatError", [(x["loc"], x["msg"], x["type"]) for x in found])
+        return
+    if info.speculative:
+        of = made[info.speculative]
+        others = {k: _plain(v) for k, v in made.items() if k != info.speculative}
+        yield (name, "template", 0, json.dumps({"min": of.min, "soft_max": of.soft_max, "gap": of.gap * of.should_advance, "params": others}), None, None)
+        return
+    seq = 0
+    try:
+        for seq, request in enumerate(known[name](**made), 1):
+            yield (name, "request", seq, json.dumps(request.row()), None, None)
+    except ConfigError:
+        raise
+    except Exception as e:
+        yield bad(type(e).__name__, [("__root__", str(e), type(e).__name__)], seq + 1)
+
+
+def seed_table(invocations: DataFrame, scraper: type[Scraper], *, entry: str = "entry", params: str = "params", key: str | None = None) -> DataFrame:
+    """A table of invocations (an entry's name, its parameters as a JSON text) made requests and
+    templates, each row by itself: ``key`` and ``SEED``. A row that does not fit its entry is a
+    row of kind error; the others are not touched by it. Templates of an entry are numbered
+    in the order of ``key``, or of their parameters."""
+    ship(invocations.sparkSession)
+    kept = [key] if key else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = scraper()
+        for pdf in batches:
+            rows = [(*head, n, kind, seq, None, payload, cls, errors) for *head, name, given in pdf.itertuples(index=False, name=None) for n, kind, seq, payload, cls, errors in seed_rows(own, name, given)]
+            yield pd.DataFrame(rows, columns=[*kept, *(x.split(" ")[0] for x in SEED.split(", ")[:7])])
+
+    schema = T.StructType([invocations.schema[k] for k in kept] + T.StructType.fromDDL(SEED).fields)
+    made = invocations.select(*kept, entry, F.col(params).cast("string")).mapInPandas(run, schema)
+    return _numbered(made, key or "payload")
+
+
+def _numbered(made: DataFrame, order: str) -> DataFrame:
+    """``param_index`` of templates: their place among those of their entry, from 0. Ranges of the
+    order are counted by themselves, and the counts before each range added."""
+    columns = made.columns
+    made = stored(made)
+    ranged = stored(made.filter("kind = 'template'").repartitionByRange("entry", order, "payload").withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part", "entry").orderBy(order, "payload")
+    counts = ranged.groupBy("_part", "entry").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("entry").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = ranged.withColumn("_at", F.row_number().over(own) - 1).join(before, ["_part", "entry"]).withColumn("param_index", (F.col("_before") + F.col("_at")).cast("int"))
+    return made.filter("kind <> 'template'").unionByName(placed.select(*columns))
+
+
+def split_seeds(seeded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests, templates for ``speculate`` and ``frontier.Probing``, error rows) of ``seed_table``.
+    Store the rows first."""
+    kept = [c for c in seeded.columns if c not in {x.split(" ")[0] for x in SEED.split(", ")}]
+    pairs = "ARRAY<STRUCT<k: STRING, v: STRING>>"
+    asked = F.from_json("payload", f"url STRING, continuation STRING, method STRING, priority INT, archive BOOLEAN, dedup_key STRING, permanent STRING, accumulated_data STRING, params {pairs}, data {pairs}, via_json STRING")
+    ranges = F.from_json("payload", "min BIGINT, soft_max BIGINT, gap INT, params STRING")
+    requests = seeded.filter("kind = 'request'").select(*kept, "entry", "seq", asked.alias("r")).select(*kept, "entry", "seq", "r.*")
+    templates = seeded.filter("kind = 'template'").select(*kept, "entry", "param_index", ranges.alias("t")).select(*kept, "entry", "param_index", "t.*")
+    said = F.array_join(F.transform("errors", lambda e: F.concat(e["loc"], F.lit(": "), e["msg"])), ", ")
+    return requests, templates, seeded.filter("kind = 'error'").select(*kept, "entry", F.col("error_class").alias("class"), said.alias("message"), "errors")

@@ -494,6 +494,22 @@ class CustomerSite(registry.Scraper):
         yield registry.Follow(f"/record/{key}", self.parse_form)
 
 
+def q_seed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An invocation for each order: days and ranges, and of every nine some that do not fit."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    k, key = F.col("o_orderkey") % 9, F.col("o_orderkey").cast("string")
+    days = F.format_string('{"day": "%s"}', F.col("day"))
+    ranges = F.format_string('{"numbers": {"min": %s, "soft_max": %s, "gap": 3}}', F.greatest(F.col("o_orderkey"), F.lit(1)).cast("string"), (F.col("o_orderkey") + 2).cast("string"))
+    given = F.when(k < 3, days).when(k < 5, ranges).when(k == 5, '{"day": "no day"}').when(k == 6, '{"numbers": {"min": 5, "soft_max": 2}}').when(k == 7, '{"day": ').otherwise('{"day": "2024-01-01", "more": 1}')
+    entry = F.when(k.isin(3, 4, 6), "by_number").when((k == 8) & (F.col("o_orderkey") % 2 == 0), "by_name").otherwise("by_day")
+    made = stored(registry.seed_table(o.select("o_orderkey", entry.alias("entry"), given.alias("params")), CustomerSite, key="o_orderkey"))
+    asked, templates, bad = registry.split_seeds(made)
+    none = F.lit(None).cast("string")
+    rows = asked.select("o_orderkey", "entry", F.lit("request").alias("kind"), "url", F.lit(None).cast("long").alias("place"), none.alias("types"))
+    rows = rows.unionByName(templates.select("o_orderkey", "entry", F.lit("template").alias("kind"), F.concat_ws("-", "min", "soft_max", "gap").alias("url"), F.col("param_index").cast("long").alias("place"), none.alias("types")))
+    return rows.unionByName(bad.select("o_orderkey", "entry", F.lit("error").alias("kind"), none.alias("url"), F.lit(None).cast("long").alias("place"), F.array_join(F.transform("errors", lambda e: F.concat(e["loc"], F.lit(" "), e["type"])), ",").alias("types")))
+
+
 def q_run_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _form_pages(spark, sf_dir)
     given = pages.select(F.col("page_id").cast("string").alias("request_id"), F.lit(200).alias("status_code"), F.col("html").alias("text"), "url")
@@ -611,7 +627,7 @@ NAMES = (
     "links", "links_absolute", "link_requests", "page_title", "count_contract", "tag_histogram", "nested_query", "css_query", "positional", "attribute_strings", "scalar_query",
     "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
-    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records",
+    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table",
     "schema_json", "step_catalog", "crawl", "crawl_deep", "crawl_retries", "crawl_probing", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
 )
 

@@ -1,5 +1,9 @@
 import json
-from datetime import date, datetime
+from dataclasses import dataclass
+from datetime import date, datetime, time
+from decimal import Decimal
+from enum import Enum
+from uuid import UUID
 
 import pytest
 from pydantic import BaseModel, Field, field_validator
@@ -362,3 +366,61 @@ def test_requests_without_a_time(spark):
     assert {k: r["n_window"] for k, r in got.items()} == {1: 1, 2: 2, 3: None, 4: None, 5: None, 6: 1, 7: 1} and {r["time"] for r in got.values()} == {"x"}
     got = {r["_at"]: r["admitted"] for r in rates.admit(df, 1, 1.0, keys=["site"]).collect()}
     assert got == {1: True, 2: False, 3: None, 4: None, 5: None, 6: True, 7: True}
+
+
+class Odd(BaseModel):
+    amount: Decimal
+    tags: set[str]
+
+
+class Shade(Enum):
+    DARK = "dark"
+
+
+@dataclass
+class Inner:
+    days: tuple[date, ...]
+
+
+def test_records_of_any_type():
+    """What a step may yield, and how it stands in JSON."""
+    made = {
+        "decimal": Decimal("1.50"), "set": {"b", "a"}, "days": (date(2024, 1, 2), datetime(2024, 1, 2, 3, 4)), "time": time(5, 6), "inner": Inner((date(2024, 5, 6),)),
+        "model": Odd(amount="2.5", tags={"x"}), "enum": Shade.DARK, "bytes": b"abc", "id": UUID(int=1), 7: None, date(2024, 1, 1): 1.5, "deep": [{"s": frozenset({2, 1})}],
+    }
+    assert json.loads(json.dumps(registry._plain(made))) == {
+        "decimal": "1.50", "set": ["a", "b"], "days": ["2024-01-02", "2024-01-02T03:04:00"], "time": "05:06:00", "inner": {"days": ["2024-05-06"]},
+        "model": {"amount": "2.5", "tags": ["x"]}, "enum": "dark", "bytes": "abc", "id": "00000000-0000-0000-0000-000000000001", "7": None, "2024-01-01": 1.5, "deep": [{"s": [1, 2]}],
+    }
+
+
+class Seeded(registry.Scraper):
+    @registry.entry(dict)
+    def by_day(self, day: date, tag: str = "x"):
+        yield registry.Follow(f"/d/{day.isoformat()}", self.parse)
+        if day.year < 2000:
+            raise KeyError("too early")
+
+    @registry.entry(dict)
+    def by_number(self, numbers: SpeculativeRange, court: str):
+        yield registry.Follow(f"/n/{numbers.min}", self.parse)
+
+    @registry.step(priority=4)
+    def parse(self, page):
+        yield None
+
+
+def test_one_bad_invocation_costs_its_row_only(spark):
+    rows = [
+        (1, "by_day", '{"day": "2024-01-02", "tag": "t"}'), (2, "by_day", '{"day": "1999-01-02", "tag": "t"}'), (3, "by_day", '{"day": 5, "tag": "t"}'), (4, "by_day", None), (5, None, "{}"), (6, "nothing", "{}"), (7, "by_day", "[1]"), (8, "by_day", "{"),
+        (9, "by_number", '{"numbers": {"min": 3, "soft_max": 9}, "court": "b"}'), (10, "by_number", '{"numbers": {"min": 0, "soft_max": 9}, "court": "b"}'), (11, "by_number", '{"numbers": {"min": 1, "soft_max": 2, "should_advance": false}, "court": "a"}'), (None, "by_number", '{"numbers": {"min": 2, "soft_max": 2}, "court": "c"}'),
+    ]
+    df = spark.createDataFrame(rows, "k INT, entry STRING, params STRING").withColumn("payload", F.lit("clash"))
+    made = registry.seed_table(df.repartition(3), Seeded, key="k")
+    asked, templates, bad = registry.split_seeds(made.cache())
+    assert sorted((r["k"], r["url"], r["continuation"], r["priority"]) for r in asked.collect()) == [(1, "/d/2024-01-02", "parse", 4), (2, "/d/1999-01-02", "parse", 4)]
+    assert {r["k"]: (r["param_index"], r["min"], r["soft_max"], r["gap"], r["params"]) for r in templates.collect()} == {None: (0, 2, 2, 10, '{"court":"c"}'), 9: (1, 3, 9, 10, '{"court":"b"}'), 11: (2, 1, 2, 0, '{"court":"a"}')}
+    errors = {r["k"]: (r["class"], [(e["loc"], e["type"]) for e in r["errors"]]) for r in bad.collect()}
+    assert set(errors) == {2, 3, 4, 5, 6, 7, 8, 10} and errors[2] == ("KeyError", [("__root__", "KeyError")]) and errors[6] == errors[5] == ("ConfigError", [("__root__", "unknown_entry")])
+    assert errors[4] == ("DataFormatError", [("day", "missing"), ("tag", "missing")]) and errors[8][1] == [("__root__", "json_invalid")] and errors[3][0] == errors[7][0] == errors[10][0] == "DataFormatError"
+    assert registry.seed_table(df.filter("false"), Seeded, key="k").collect() == []
