@@ -253,10 +253,11 @@ def fit(samples: list[tuple[str, bytes]], steps: int = 300, batch: int = 192, ra
 
 def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 64, chars: int = 512, key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 5, held: int = 0, steps: int = 300) -> Model | None:
     """Fit on a bounded sample of the labelled rows whose crc32(key) mod ``modulus`` is not
-    ``held``: about ``per_lang`` rows of every language, chosen by a hash of the key, and of
-    each a passage of ``chars`` characters at a hashed place. Above ``max_langs`` languages
-    there are fewer rows of each, 16 at least, and more steps: up to 1,600 languages, about
-    13 MB of text reach the driver."""
+    ``held``: about ``per_lang`` rows of every language, chosen by a hash of key and text, so
+    that rows of one key are drawn each by itself, and of each a passage of ``chars``
+    characters at a hashed place; repeated rows count once. Above ``max_langs`` languages there
+    are fewer rows of each, 16 at least, and more steps: up to 1,600 languages, about 13 MB of
+    text reach the driver."""
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (remainder(F.col("k"), modulus) != held))
     counts = known.groupBy("l").count().collect()
     if not counts:
@@ -264,11 +265,13 @@ def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 64, chars: i
     if len(counts) > max_langs:
         per_lang = min(per_lang, max(16, per_lang * max_langs // len(counts)))
         steps = -(-steps * len(counts) // max_langs)
-    h = F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 40))
+    h = F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit("")), F.col("t"), F.lit(7)), F.lit(1 << 40))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["l"], min(1.0, per_lang / r["count"]))])
     place = F.pmod(F.xxhash64("t", F.lit(11)), F.greatest(F.lit(1), F.length("t") - F.lit(chars))).cast("int")
-    rows = known.filter(h < share[F.col("l")] * float(1 << 40)).select("l", F.substring(F.col("t"), place + 1, F.lit(chars)).alias("t")).collect()
-    return fit([(r["l"], utf8(r["t"].lower())) for r in rows], steps=steps)
+    drawn = known.filter(h < share[F.col("l")] * float(1 << 40)).select("l", F.substring(F.col("t"), place + 1, F.lit(chars)).alias("t")).distinct()
+    # in one order, however the rows came
+    rows = sorted((r["l"], r["t"]) for r in drawn.collect())
+    return fit([(lang, utf8(t.lower())) for lang, t in rows], steps=steps)
 
 
 def _judge(m: Model | None, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -95,3 +95,14 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"word{i % 70} text", f"l{i % 70:02}") for i in range(700)]
     model = langid.train(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"), steps=1)
     assert sorted(model.langs) == sorted({r[2] for r in rows})
+
+
+@pytest.mark.parametrize("key", [k for k in range(20) if zlib.crc32(str(k).encode()) % 5][:4])
+def test_rows_of_one_id_are_drawn_each_by_itself(spark, key, monkeypatch):
+    """3,000 labelled rows of one id, and one row 500 times: about ``per_lang`` of them are learned
+    from, whatever the id."""
+    taken = []
+    monkeypatch.setattr(langid, "fit", lambda rows, steps: taken.extend(rows))
+    rows = [(key, f"text number {i}", "aa") for i in range(3000)] + [(key, "the same again", "aa")] * 500
+    langid.train(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"), per_lang=100)
+    assert 40 < len(taken) < 200 and len(set(taken)) == len(taken)
