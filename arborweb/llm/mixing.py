@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import spooled, unit_hash
 
-#: Sources whose rates are broadcast; with more, documents and rates meet by a salted join.
-BROADCAST_SOURCES = 100_000
+#: Probabilities of all sources together that are broadcast (16 MB); with more, documents and
+#: distributions meet by a salted join.
+BROADCAST_NUMBERS = 2_000_000
 SALT = 64
 
 ADDED = ("copy", "shuffle_key")
@@ -32,9 +33,9 @@ def _label(source: Column) -> Column:
 
 
 def rates(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, source: str = "source") -> tuple[DataFrame, int]:
-    """(``label, n, rate`` of each source, the number of sources). Shares follow ``weights``,
-    or else the source's number of rows to the power ``alpha`` (1: as they are, 0: all
-    alike). Only sums reach the driver."""
+    """(``label, n, rate`` of each source, how many probabilities their distributions have).
+    Shares follow ``weights``, or else the source's number of rows to the power ``alpha`` (1: as
+    they are, 0: all alike). Only sums reach the driver."""
     counted = docs.groupBy(_label(F.col(source)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         share = F.pow("n", F.lit(alpha))
@@ -43,37 +44,54 @@ def rates(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: fl
     else:
         share = F.lit(0.0)
     counted = spooled(counted.withColumn("share", share))
-    sums = counted.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"), F.sum("share").alias("share")).first()
+    sums = counted.agg(F.sum("n").alias("n"), F.sum("share").alias("share")).first()
     rate = F.col("share") / F.lit(sums["share"] or 1.0) * F.lit(sums["n"] or 0) * F.lit(float(epochs)) / F.col("n")
-    return counted.select("label", "n", rate.alias("rate")).filter("rate > 0"), sums["sources"]
+    found = counted.select("label", "n", rate.alias("rate")).filter("rate > 0")
+    return found, found.agg(F.sum(_top(F.col("rate")) + 1)).first()[0] or 0
+
+
+def _top(rate: Column) -> Column:
+    """The largest count whose cumulative probability a double can tell from 1."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
 
 
 def distributions(rate: DataFrame) -> DataFrame:
     """``label, cdf``: the cumulative Poisson probabilities of 0, 1, 2, ... as far as
     a double can tell them from 1. Kept as logarithms until summed, so high rates do not
     vanish."""
-    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     upto = Window.partitionBy("label").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    steps = rate.select("label", "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    steps = rate.select("label", "rate", F.explode(F.sequence(F.lit(0), _top(F.col("rate")))).alias("k"))
     steps = steps.withColumn("fact", F.sum(F.ln(F.greatest(F.col("k"), F.lit(1)))).over(upto))
     steps = steps.withColumn("p", F.exp(F.col("k") * F.ln("rate") - F.col("rate") - F.col("fact")))
     steps = steps.withColumn("c", F.sum("p").over(upto))
     return steps.groupBy("label").agg(F.sort_array(F.collect_list("c")).alias("cdf"))
 
 
+def _at_or_below(cdf: Column, u: Column) -> Column:
+    """How many of the rising probabilities are ``u`` or less, by halving."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cdf) + 1)).cast("int"))
+
+    def narrowed(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(cdf, middle) <= u
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(below, middle + 1).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high")))
+
+    return F.aggregate(halvings, F.struct(F.lit(0).alias("low"), F.size(cdf).alias("high")), narrowed, lambda s: s["low"])
+
+
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 42, key: str = "doc_id", source: str = "source") -> DataFrame:
     """All columns of ``docs``, with ``copy`` (from 1) and ``shuffle_key``, replicated and
     shuffled: rows are dealt by ``shuffle_key`` and ordered by it in each partition."""
-    rate, sources = rates(docs, weights=weights, alpha=alpha, epochs=epochs, source=source)
+    rate, numbers = rates(docs, weights=weights, alpha=alpha, epochs=epochs, source=source)
     drawn = distributions(rate)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("row"), _label(F.col(source)).alias("label"), F.col(key).alias("id"))
-    if sources <= BROADCAST_SOURCES:
+    if numbers <= BROADCAST_NUMBERS:
         met = rows.join(F.broadcast(drawn), "label")
     else:
         salt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
         met = rows.withColumn("salt", salt).join(drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["label", "salt"])
     # the number is drawn once a row, not once for each probability it is held against
-    drawn_once = F.transform(F.array(unit_hash(F.lit(seed), F.col("id"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
+    drawn_once = F.transform(F.array(unit_hash(F.lit(seed), F.col("id"))), lambda u: _at_or_below(F.col("cdf"), u))
     count = F.get(drawn_once, F.lit(0))
     copies = met.select("row", "id", F.posexplode(F.array_repeat(F.lit(True), count)).alias("place", "one"))
     copies = copies.select("row", "id", (F.col("place") + 1).alias("copy"))

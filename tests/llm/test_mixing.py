@@ -67,5 +67,18 @@ def test_empty(spark):
 def test_many_sources_meet_by_a_salted_join(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     want = sorted((str(r["doc_id"]), r["copy"]) for r in mixing.mix(df).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
     assert sorted((str(r["doc_id"]), r["copy"]) for r in mixing.mix(df).collect()) == want
+
+
+def test_what_is_broadcast_is_bounded_by_its_numbers(spark, monkeypatch):
+    """One rare source beside a large one has a long distribution: it counts, not the sources."""
+    df = spark.createDataFrame([(1, "a" * 100_000, "rare", "")] + [(i, "b", "large", "") for i in range(2, 3001)], SCHEMA)
+    weights = {"rare": 1.0, "large": 1.0}
+    rate, numbers = mixing.rates(df, weights=weights)
+    assert rate.count() == 2 and 1500 < numbers < 2500
+    want = sorted((r["doc_id"], r["copy"]) for r in mixing.mix(df, weights=weights).select("doc_id", "copy").collect())
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 1000)
+    other = mixing.mix(df, weights=weights)
+    assert "BroadcastHashJoin" not in other._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["doc_id"], r["copy"]) for r in other.select("doc_id", "copy").collect()) == want
