@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -89,33 +90,44 @@ def absolute_text(chain: list[tuple[str, str]]) -> str | None:
     return out
 
 
-def render(queries: DataFrame) -> DataFrame:
-    """``request_id, tree, json`` of selector queries. A request's queries are as many as its
-    step's code has, whatever the page; each request is rendered by itself."""
+def _of_requests(queries: DataFrame, columns: list[str], run: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``run`` gives for the queries of each request. A request's queries are as
+    many as its step's code has, whatever the page; they are brought together in the JVM, and
+    batches of requests go through Python."""
     ship(queries.sparkSession)
+    whole = queries.groupBy("request_id").agg(F.collect_list(F.struct(*columns)).alias("q"))
+    kinds = T.StructType.fromDDL(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(k, *row) for k, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in run(q)]
+            columns = list(zip(*made, strict=True)) if made else [[]] * (len(kinds) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["request_id", *kinds.names])
+
+    return whole.mapInArrow(rows, T.StructType([queries.schema["request_id"], *kinds.fields]))
+
+
+def render(queries: DataFrame) -> DataFrame:
+    """``request_id, tree, json`` of selector queries."""
     n, least, most = F.col("match_count"), F.col("expected_min"), F.col("expected_max")
     rows = queries.withColumn("line", line(n, least, most, F.col("selector"), F.col("description")))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = json.loads(pdf.to_json(orient="records"))
-        return pd.DataFrame({"request_id": [key[0]], "tree": ["\n".join(tree_lines(own))], "json": [json.dumps(query_dicts(own), ensure_ascii=False)]})
+    def run(own: list[dict]) -> Iterable[tuple]:
+        yield "\n".join(tree_lines(own)), json.dumps(query_dicts(own), ensure_ascii=False)
 
-    return rows.groupBy("request_id").applyInPandas(run, "request_id STRING, tree STRING, json STRING")
+    return _of_requests(rows, [c for c in rows.columns if c != "request_id"], run, "tree STRING, json STRING")
 
 
 def absolute_selectors(queries: DataFrame) -> DataFrame:
     """``request_id, element_id, absolute_selector`` of each query."""
-    ship(queries.sparkSession)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {r.element_id: r for r in pdf.itertuples()}
-        out = []
-        for r in pdf.itertuples():
+    def run(own: list[dict]) -> Iterable[tuple]:
+        by = {r["element_id"]: r for r in own}
+        for r in own:
             chain, at = [], r
             while at is not None:
-                chain.append((at.selector_type, at.selector))
-                at = by.get(at.parent_element_id)
-            out.append((key[0], r.element_id, absolute_text(chain[::-1])))
-        return pd.DataFrame(out, columns=["request_id", "element_id", "absolute_selector"])
+                chain.append((at["selector_type"], at["selector"]))
+                at = by.get(at["parent_element_id"])
+            yield r["element_id"], absolute_text(chain[::-1])
 
-    return queries.groupBy("request_id").applyInPandas(run, "request_id STRING, element_id STRING, absolute_selector STRING")
+    return _of_requests(queries, ["element_id", "parent_element_id", "selector", "selector_type"], run, "element_id STRING, absolute_selector STRING")

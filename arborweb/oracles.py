@@ -107,6 +107,24 @@ SQL = {
         UNION ALL SELECT o_orderkey, 'by_number', 'template', greatest(o_orderkey, 1) || '-' || (o_orderkey + 2) || '-3', row_number() OVER (ORDER BY o_orderkey) - 1, NULL FROM o WHERE k IN (3, 4)
         UNION ALL SELECT o_orderkey, CASE WHEN k = 6 THEN 'by_number' WHEN k = 8 AND o_orderkey % 2 = 0 THEN 'by_name' ELSE 'by_day' END, 'error', NULL, NULL,
             CASE k WHEN 5 THEN 'day date_from_datetime_parsing' WHEN 6 THEN 'numbers value_error' WHEN 7 THEN '__root__ json_invalid' ELSE CASE WHEN o_orderkey % 2 = 0 THEN '__root__ unknown_entry' ELSE 'more extra_forbidden' END END FROM o WHERE k > 4""",
+    "form_overrides": "SELECT c_custkey::VARCHAR AS parent_id, 'k=' || c_custkey || '&k=two&m=only&t=kept&new=n' AS body FROM customer",
+    "link_contracts": f"""WITH n AS (SELECT page_id, page_id % 6 AS k, CASE WHEN page_id % 6 = 2 THEN 0 ELSE len({_HREFS}) END AS n FROM pages), c AS (SELECT 'StructureError' AS class, * FROM n)
+        SELECT page_id, class, 'links' AS description, n::BIGINT AS actual_count FROM c WHERE n < 1 OR n > 5 UNION ALL SELECT page_id, class, 'links missing href', 1 FROM c WHERE k = 1 AND n > 1""",
+    "incidental_body": """SELECT event_id, 'json' AS spec FROM events WHERE event_id % 7 <> 0 AND event_id % 2 = 0 AND event_id % 5 = 3 AND event_type = 'error'
+        UNION ALL SELECT event_id, 'form' FROM events WHERE event_id % 7 <> 0 AND event_id % 2 = 1 AND user_id = 7 AND event_type = 'error'
+        UNION ALL SELECT event_id, 'text' FROM events WHERE event_id % 7 <> 0 AND event_id % 2 = 1 AND user_id::VARCHAR LIKE '1%'""",
+    "permanent_chain": """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'custkey: ' || c_custkey || ', nation: ' || n_name || ', place: customer' ELSE 'nation: ' || n_name || ', place: nation' END || ', region: own' AS headers
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "observer_json": f"""SELECT page_id::VARCHAR AS request_id, '//nav' AS selector, len(t)::VARCHAR AS items, 'xpath' AS link_type, t[1] AS sample, 'selector_match_2' AS up, CASE WHEN page_id % 10 <> 0 THEN '5' END AS most FROM (SELECT page_id, {_TEXTS} AS t FROM pages)""",
+    "failure_actions": """WITH e AS (SELECT event_id, event_type, event_id % 10 AS k, event_id % 3 + 1 AS attempt FROM events WHERE event_id % 10 < 9)
+        SELECT event_id::VARCHAR AS request_id, ['DataFormatError', 'PersistentHTTPError', 'HTTPAssumptionError', 'TimeoutError_', 'IncidentalError', 'SkipRequest', 'HaltRun', 'StructureError', 'ValueError'][k + 1] AS error_class,
+        CASE WHEN k IN (2, 3) AND attempt < 3 THEN 'retry' WHEN k = 5 THEN 'skip' WHEN k = 6 THEN 'halt' WHEN k = 7 AND attempt < 2 THEN 'await' ELSE 'error' END AS action,
+        CASE k WHEN 0 THEN 'MenuItem: label: String should have at least 4 characters, path: Field required, size: Field required' WHEN 1 THEN 'gone' WHEN 2 THEN 'odd status' WHEN 3 THEN 'slow' WHEN 4 THEN 'two captures'
+            WHEN 5 THEN 'not this' WHEN 6 THEN 'stop' WHEN 7 THEN 'HTML structure mismatch for ''text'': expected at least 1, found 0' ELSE event_type END AS said FROM e""",
+    "nested_records": """WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) - 1 AS i, l_quantity > 45 AS bad FROM lineitem),
+        b AS (SELECT l_orderkey, list('lines.' || i || '.quantity less_than_equal') AS bad FROM l WHERE bad GROUP BY 1),
+        e AS (SELECT o_orderkey, list_sort(list_concat(CASE WHEN o_orderkey % 11 = 0 THEN ['day date_from_datetime_parsing'] ELSE [] END, coalesce(bad, []))) AS errors FROM orders LEFT JOIN b ON o_orderkey = l_orderkey)
+        SELECT o_orderkey, len(errors) = 0 AS valid, len(errors)::BIGINT AS n_errors, array_to_string(errors, ',') AS found FROM e""",
     "step_catalog": """SELECT 'CustomerSite' AS scraper, 'parse_form' AS name, 3::BIGINT AS priority, 'utf-8' AS encoding, '["page", "response"]' AS wants""",
     "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 16 = id) SELECT id AS o_orderkey FROM r""",
     "crawl_deep": """WITH RECURSIVE r AS (SELECT 0::BIGINT AS id UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 2 = id) SELECT id AS o_orderkey FROM r""",

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import date
+from typing import Literal
 
 from pydantic import BaseModel, Field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import errors
 from .functions import identity, urls
 from .operators import contracts, forms, http, incidental, links, observe, rates, requests, speculate, validate
 from .plans import parsers, registry
@@ -160,9 +162,69 @@ def q_form_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("parent_id", "method", "url", F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&").alias("body"), "dedup_key")
 
 
+def q_form_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of boxes and a multiple select as lists of values, some of them overridden by place."""
+    c = table(spark, sf_dir, "customer")
+    html = F.format_string(
+        "<form id='g' method='post'><input type='checkbox' name='k' value='%s' checked><input type='checkbox' name='k' value='no'><input type='checkbox' name='k' value='%s' checked>"
+        "<select name='m' multiple><option selected>%s</option><option>no</option><option selected value='last'>x</option></select><input name='t' value='kept'><button>Go</button></form>",
+        F.col("c_custkey").cast("string"),
+        F.col("c_nationkey").cast("string"),
+        F.col("c_mktsegment"),
+    )
+    pages = c.select(F.col("c_custkey").alias("page_id"), F.lit("http://forms.example.org/").alias("url"), html.alias("html"))
+    nodes = stored(dom.shred(pages, tags={"form", *forms.CONTROLS, "option"}, content={"option", "textarea"}))
+    r = forms.submit(forms.find_forms(nodes, Selector.css("form#g")), "next", data={"k": [None, "two", None], "m": ["only"], "new": "n"})
+    return r.select("parent_id", F.array_join(F.transform("data", lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&").alias("body"))
+
+
 # requests
 
 
+def q_link_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with links enough, too few, too many, or one without a target."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id") % 6
+    # the second link loses its target; or the menu goes
+    html = F.when(k == 1, F.regexp_replace("html", '(?s)^(.*?<a href=.*?)<a href="[^"]*"', "$1<a")).when(k == 2, F.regexp_replace("html", "(?s)<nav>.*</nav>", "")).otherwise(F.col("html"))
+    pages = p.select("page_id", "url", html.alias("html"))
+    found = stored(links.find_links(pages, ANCHORS))
+    return links.link_violations(pages, found, ANCHORS, "links", 1, 5).select("page_id", "class", "description", "actual_count")
+
+
+def q_incidental_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured requests by header and body: JSON that holds another, or a form with its pairs."""
+    e = table(spark, sf_dir, "events")
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    as_json = F.format_string('{"a\\"b": {"n": [%s, {"u": "%s"}]}, "more": null}', (k % 5).cast("string"), user)
+    as_form = F.concat(F.lit("n=3&u="), user, F.lit("&empty="))
+    body = F.when(k % 7 == 0, F.lit(None)).when(k % 2 == 0, as_json).otherwise(as_form)
+    rows = e.select("event_id", F.lit("http://x/").alias("url"), F.lit("post").alias("method"), F.lit("XHR").alias("resource_type"), F.create_map(F.lit("X-Kind"), F.col("event_type"), F.lit("Accept"), F.lit("*")).alias("headers"), body.cast("binary").alias("body"))
+    json_spec = incidental.Match(method="POST", resource_type="xhr", header_contains={"x-kind": "error"}, body_contains={'a"b': {"n": [3]}})
+    form_spec = incidental.Match(header_contains={"X-KIND": "error", "accept": "*"}, body_contains={"n": "3", "u": "7"})
+    text_spec = incidental.Match(body_contains="u=1")
+    out = None
+    for name, spec in (("json", json_spec), ("form", form_spec), ("text", text_spec)):
+        found = incidental.matches(rows, spec).select("event_id", F.lit(name).alias("spec"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def q_permanent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of a chain of requests: a region's, a nation's over it, a customer's over both."""
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+
+    def said(**headers: Column) -> Column:
+        return F.to_json(F.struct(F.struct(*[v.alias(k) for k, v in headers.items()]).alias("headers")))
+
+    up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", requests.merge_permanent(said(region=F.col("r_name"), place=F.lit("region")), said(nation=F.col("n_name"), place=F.lit("nation"))).alias("up"))
+    own = F.when(F.col("c_custkey") % 3 > 0, said(place=F.lit("customer"), custkey=F.col("c_custkey").cast("string")))
+    met = c.join(up, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("permanent", requests.merge_permanent(F.col("up"), own))
+    sent = requests.with_permanent(F.col("permanent"), "headers", F.create_map(F.lit("region"), F.lit("own")))
+    line = F.array_join(F.array_sort(F.transform(F.map_entries(sent), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), ", ")
+    return met.select("c_custkey", line.alias("headers"))
+
+
 def q_dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", identity.bare_key(F.lit("GET"), F.col("url")).alias("dedup_key"))
 
@@ -438,10 +500,81 @@ def q_observer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.render(registry.queries_of(_menus(spark, sf_dir))).select("request_id", "tree")
 
 
+def q_observer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested queries of each page as JSON: what a reader finds in it."""
+    told = observe.render(registry.queries_of(_menus(spark, sf_dir)))
+    item = "$[0].children[0]"
+    paths = {"selector": "$[0].selector", "items": f"{item}.match_count", "link_type": f"{item}.children[0].selector_type", "sample": f"{item}.children[0].sample_elements[0]", "up": f"{item}.children[0].parent_element_id", "most": "$[1].expected_max"}
+    return told.select("request_id", *[F.get_json_object("json", p).alias(n) for n, p in paths.items()])
+
+
 def q_absolute_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.absolute_selectors(registry.queries_of(_menus(spark, sf_dir)))
 
 
+class FailingSite(registry.Scraper):
+    """Breaks in every way that a step may, by the number of the request."""
+
+    @registry.step(auto_await_timeout=2.0)
+    def read(self, response, text):
+        k = int(response["request_id"]) % 10
+        if k == 0:
+            validate.Deferred(MenuItem, "u", label="x").confirm()
+        if k == 1:
+            raise errors.PersistentHTTPError("gone")
+        if k == 2:
+            raise errors.HTTPAssumptionError("odd status")
+        if k == 3:
+            raise errors.TimeoutError_("slow")
+        if k == 4:
+            raise errors.IncidentalError("two captures", "u", {"found": 2})
+        if k == 5:
+            raise errors.SkipRequest("not this")
+        if k == 6:
+            raise errors.HaltRun("stop")
+        if k == 7:
+            raise errors.StructureError("//p", "xpath", "text", 1, None, 0, "u")
+        if k == 8:
+            raise ValueError(text)
+        yield registry.Data(text)
+
+
+def q_failure_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks in a step, by class, and what is done about it at a first, second and third attempt."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("request_id"), F.lit(200).alias("status_code"), F.col("event_type").alias("text"))
+    done = stored(registry.run_step(e, FailingSite, "read"))
+    tried = (F.col("request_id").cast("long") % 3 + 1).cast("int")
+    rows = done.withColumns({"attempt": tried, "waited": tried.cast("double")})
+    acted = registry.actions(rows, FailingSite.read._step, attempt="attempt", waited="waited")
+    return rows.join(acted, "request_id").select("request_id", "error_class", "action", F.split("error", "\n")[0].alias("said"))
+
+
+class Line(BaseModel):
+    number: int = Field(gt=0)
+    quantity: float = Field(le=45)
+    flag: Literal["A", "N", "R"]
+
+
+class Order(BaseModel):
+    key: int
+    status: Literal["F", "O", "P"]
+    day: date
+    lines: list[Line]
+
+
+def q_nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as nested records, held against a model: what does not fit, and where."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    each = F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    below = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(each)).alias("lines"))
+    day = F.when(F.col("o_orderkey") % 11 == 0, "no day").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    record = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), day.alias("day"), F.coalesce("lines", F.array().cast("array<struct<number: int, quantity: double, flag: string>>")).alias("lines")))
+    rows = o.join(below, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", record.alias("data"))
+    done = validate.validate_model(rows, Order)
+    where = F.array_join(F.array_sort(F.transform("errors", lambda e: F.concat(e["loc"], F.lit(" "), e["type"]))), ",")
+    return done.select("o_orderkey", "valid", F.size("errors").cast("long").alias("n_errors"), where.alias("found"))
+
+
 class MenuItem(BaseModel):
     """A menu entry of moderate length."""
 
@@ -627,7 +760,7 @@ NAMES = (
     "links", "links_absolute", "link_requests", "page_title", "count_contract", "tag_histogram", "nested_query", "css_query", "positional", "attribute_strings", "scalar_query",
     "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
-    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table",
+    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table", "form_overrides", "link_contracts", "incidental_body", "permanent_chain", "observer_json", "failure_actions", "nested_records",
     "schema_json", "step_catalog", "crawl", "crawl_deep", "crawl_retries", "crawl_probing", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
 )
 
