@@ -113,6 +113,8 @@ SQL = {
     "incidental_body": """SELECT event_id, 'json' AS spec FROM events WHERE event_id % 7 <> 0 AND event_id % 2 = 0 AND event_id % 5 = 3 AND event_type = 'error'
         UNION ALL SELECT event_id, 'form' FROM events WHERE event_id % 7 <> 0 AND event_id % 2 = 1 AND user_id = 7 AND event_type = 'error'
         UNION ALL SELECT event_id, 'text' FROM events WHERE event_id % 7 <> 0 AND event_id % 2 = 1 AND user_id::VARCHAR LIKE '1%'""",
+    "spec_table": """SELECT s_suppkey::VARCHAR AS spec_id, page_id FROM supplier JOIN pages ON url LIKE '%.example.' || ['com', 'net', 'org'][s_suppkey % 3 + 1] || '/' || ['en', 'de', 'fr', 'es'][s_suppkey % 4 + 1] || '/' || s_nationkey || '%'
+        AND (s_suppkey % 2 = 1 OR regexp_matches(url, '[?&]utm_source=feed(&|#|$)'))""",
     "permanent_chain": """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'custkey: ' || c_custkey || ', nation: ' || n_name || ', place: customer' ELSE 'nation: ' || n_name || ', place: nation' END || ', region: own' AS headers
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "observer_json": f"""SELECT page_id::VARCHAR AS request_id, '//nav' AS selector, len(t)::VARCHAR AS items, 'xpath' AS link_type, t[1] AS sample, 'selector_match_2' AS up, CASE WHEN page_id % 10 <> 0 THEN '5' END AS most FROM (SELECT page_id, {_TEXTS} AS t FROM pages)""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import errors
 from .functions import identity, urls
-from .operators import contracts, forms, http, incidental, links, observe, rates, requests, speculate, validate
+from .operators import contracts, forms, http, incidental, links, observe, rates, requests, specs, speculate, validate
 from .plans import parsers, registry
 from .plans.frontier import Probing, Retry, crawl
 from .plans.grammar import Selector
@@ -210,6 +210,17 @@ def q_incidental_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def q_spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spec for each supplier, by glob or by glob and query, joined to the URLs of all pages."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    glob = F.concat(F.lit("*.example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (k % 3 + 1).cast("int")), F.lit("/"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (k % 4 + 1).cast("int")), F.lit("/"), F.col("s_nationkey").cast("string"), F.lit("*"))
+    none = F.lit(None).cast("string")
+    query = F.when(k % 2 == 0, F.create_map(F.lit("utm_source"), F.lit("feed")))
+    of = s.select(k.cast("string").alias("spec_id"), glob.alias("url"), none.alias("method"), none.alias("resource_type"), query.alias("query"), F.lit(None).cast("map<string,string>").alias("headers"), none.alias("body_text"), none.alias("body_json"))
+    captured = table(spark, sf_dir, "pages").select("page_id", "url", none.alias("method"), none.alias("resource_type"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("binary").alias("body"))
+    return specs.matches(captured, of).select("spec_id", "page_id")
+
+
 def q_permanent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of a chain of requests: a region's, a nation's over it, a customer's over both."""
     r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
@@ -760,7 +771,7 @@ NAMES = (
     "links", "links_absolute", "link_requests", "page_title", "count_contract", "tag_histogram", "nested_query", "css_query", "positional", "attribute_strings", "scalar_query",
     "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
-    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table", "form_overrides", "link_contracts", "incidental_body", "permanent_chain", "observer_json", "failure_actions", "nested_records",
+    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table", "form_overrides", "link_contracts", "incidental_body", "spec_table", "permanent_chain", "observer_json", "failure_actions", "nested_records",
     "schema_json", "step_catalog", "crawl", "crawl_deep", "crawl_retries", "crawl_probing", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
 )
 
