@@ -5,11 +5,13 @@ from. An axis is a join on the page and an interval; attribute tests are filters
 reach the scan; positions are row numbers in document order. A selector that starts at
 the document and has one step is a filter, without any join.
 
-Every join has the page as its key, so no plan is ever a nested loop over the corpus.
+Every join has the page as its key, so no plan is ever a nested loop over the corpus; axes that
+compare places have blocks of them as well, so none is one over a large page either.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,18 @@ from ..errors import ConfigError
 from .grammar import Binary, Call, Literal, Path, Selector, Step, Union, numeric, own_attribute, positional, read, simplify
 
 NODE_COLUMNS = ("pre", "size", "level", "parent", "tag", "attrs", "text", "tail", "content", "inner")
+#: Places of a page that are joined together: a page of fewer elements is one block.
+BLOCK = 4096
+#: For the axes that compare places: whether the nodes span places and the contexts are points among
+#: them, or the other way round; the span (first, last) and the point, of ``pre`` and ``size``.
+SPANS = {
+    "descendant": (False, lambda pre, size: (pre, pre + size), lambda pre, size: pre),
+    "descendant-or-self": (False, lambda pre, size: (pre, pre + size), lambda pre, size: pre),
+    "ancestor": (True, lambda pre, size: (pre, pre + size), lambda pre, size: pre),
+    "ancestor-or-self": (True, lambda pre, size: (pre, pre + size), lambda pre, size: pre),
+    "following": (True, lambda pre, size: (F.lit(0), pre), lambda pre, size: pre + size),
+    "preceding": (False, lambda pre, size: (F.lit(0), pre), lambda pre, size: pre + size),
+}
 REVERSE = ("ancestor", "ancestor-or-self", "preceding", "preceding-sibling", "parent")
 #: Contexts of a query that starts at the document.
 DOCUMENT = -1
@@ -69,6 +83,8 @@ class Query:
         if step.axis == "self":
             return now.filter(self.test(step)).withColumn("step", F.col("pre"))
         c = now.select(F.col(self.key).alias("c_page"), "ctx", *[F.col(x).alias(f"c_{x}") for x in ("pre", "size", "parent")])
+        if not any(numeric(e) or positional(e) for e in step.where):
+            c = self.furthest(c, step.axis)
         n = self.nodes.filter(self.test(step))
         on = {
             "child": F.col("parent") == F.col("c_pre"),
@@ -82,9 +98,26 @@ class Query:
             "following-sibling": (F.col("parent") == F.col("c_parent")) & (F.col("pre") > F.col("c_pre")),
             "preceding-sibling": (F.col("parent") == F.col("c_parent")) & (F.col("pre") < F.col("c_pre")),
         }[step.axis]
+        if step.axis in SPANS:
+            n, c = blocks(n, c, *SPANS[step.axis])
+            on = on & (F.col("n_block") == F.col("c_block"))
         met = n.join(c, (F.col(self.key) == F.col("c_page")) & on)
         return met.select(self.key, "ctx", F.col("c_pre").alias("step"), *self.columns)
 
+    def furthest(self, c: DataFrame, axis: str) -> DataFrame:
+        """The rows of each context that reach all that any of its rows reach: what follows one of
+        them follows the first to end, what comes before one comes before the last to begin."""
+        row, of = F.struct("c_pre", "c_size", "c_parent"), ["c_page", "ctx"]
+        best = {
+            "following": (of, F.min_by(row, F.col("c_pre") + F.col("c_size"))),
+            "preceding": (of, F.max_by(row, F.col("c_pre"))),
+            "following-sibling": ([*of, "c_parent"], F.min_by(row, F.col("c_pre"))),
+            "preceding-sibling": ([*of, "c_parent"], F.max_by(row, F.col("c_pre"))),
+        }.get(axis)
+        if best is None:
+            return c
+        return c.groupBy(*best[0]).agg(best[1].alias("r")).select("c_page", "ctx", "r.*")
+
     def once(self, rows: DataFrame) -> DataFrame:
         """A node counts once for each context."""
         return rows.dropDuplicates([self.key, "ctx", "pre"]).select(self.key, "ctx", *self.columns)
@@ -183,7 +216,8 @@ class Query:
         if step.axis == "child":
             on = F.col("owner") == F.col("c_pre")
         elif step.axis in ("descendant", "descendant-or-self"):
-            on = (F.col("owner") >= F.col("c_pre")) & (F.col("owner") <= F.col("c_pre") + F.col("c_size"))
+            rows, c = blocks(rows, c, False, lambda pre, size: (pre, pre + size), lambda owner, _: owner, "owner")
+            on = (F.col("owner") >= F.col("c_pre")) & (F.col("owner") <= F.col("c_pre") + F.col("c_size")) & (F.col("n_block") == F.col("c_block"))
         else:
             raise ConfigError(f"no text on the {step.axis} axis")
         return rows.join(c, (F.col("t_page") == F.col(self.key)) & on).select(self.key, "ctx", "ord", "value").dropDuplicates([self.key, "ctx", "ord"])
@@ -349,6 +383,25 @@ class Query:
         raise ConfigError("a literal is needed here")
 
 
+def blocks(n: DataFrame, c: DataFrame, nodes_span: bool, span: Callable[[Column, Column], tuple[Column, Column]], point: Callable[[Column, Column], Column], place: str = "pre") -> tuple[DataFrame, DataFrame]:
+    """Nodes with ``n_block`` and contexts with ``c_block``: a row of the side that spans places for
+    each block of ``BLOCK`` places it touches, a row of the other for the block of its point. Of a
+    pair whose point lies in the span, exactly one pair of rows is in the same block, so a
+    join by page and block finds each once, and a page of any size is dealt over its blocks."""
+    own = (F.col(place), F.col("size") if "size" in n.columns else F.lit(0))
+    other = (F.col("c_pre"), F.col("c_size"))
+
+    def touched(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / BLOCK).cast("int"), F.floor(last / BLOCK).cast("int")))
+
+    def block(at: Column) -> Column:
+        return F.floor(at / BLOCK).cast("int")
+
+    if nodes_span:
+        return n.withColumn("n_block", touched(*span(*own))), c.withColumn("c_block", block(point(*other)))
+    return n.withColumn("n_block", block(point(*own))), c.withColumn("c_block", touched(*span(*other)))
+
+
 def absolute(p: Path) -> bool:
     """Whether a path starts at the document, whatever its context."""
     return p.start == "root" or (isinstance(p.start, Union) and all(absolute(x) for x in p.start.paths))

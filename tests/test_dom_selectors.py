@@ -221,3 +221,37 @@ def test_contents_of_many_elements():
     every = list(range(len(t.tag)))
     got = t.contents(every)
     assert all(got[k] == t.content(k) for k in every[:20]) and got[every[-1]] == "x"
+
+
+@pytest.mark.parametrize("block", [2, 7, 4096])
+def test_axes_by_blocks_agree_with_one_tree(spark, block, monkeypatch):
+    """Every axis over pages cut into small blocks, against the selectors on one tree."""
+    from arborweb.plans import treequery, treewalk
+
+    monkeypatch.setattr(treequery, "BLOCK", block)
+    html = "<body>" + "".join(f"<div id=d{k}><p>a<b>x{k}</b><i><b>y</b>t</i></p><ul><li>1<li>2<b>z</b></ul></div>" for k in range(6)) + "<p><b>end</b></p></body>"
+    nodes = dom.shred(spark.createDataFrame([(1, "u", html)], "page_id LONG, url STRING, html STRING"), content=None).cache()
+    tree = dom.parse(html)
+    for text in ("//p//b", "//b/ancestor::div", "//b/ancestor-or-self::*", "//i/following::b", "//i/preceding::b", "//li/following-sibling::li", "//div/preceding-sibling::div", "//div[3]/following::p[1]", "//li[2]/preceding::b[2]", "//div[.//b='x3']//b", "//b/ancestor::*[2]", "//div/following-sibling::div[1]", "//p/descendant-or-self::*"):
+        s = Selector.xpath(text)
+        got = [r["pre"] for r in treequery.query(nodes, s).orderBy("pre").collect()]
+        assert got == sorted(treewalk.find(tree, 0, s)), text
+    own = [r["value"] for r in treequery.query_strings(nodes, Selector.xpath("//p//text()")).orderBy("pos").collect()]
+    assert own == treewalk.find_strings(tree, 0, Selector.xpath("//p//text()"))
+    nodes.unpersist()
+
+
+def test_a_page_of_a_hundred_thousand_elements(spark, tmp_path):
+    """Each axis in seconds, however many elements one page has."""
+    import time
+
+    from arborweb.plans import treequery
+
+    n = 33_000
+    pages = spark.createDataFrame([(1, "u", "<body>" + "<div><p><a>t</a></p></div>" * n + "</body>")], "page_id LONG, url STRING, html STRING")
+    dom.shred(pages).write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    for text, want in (("//div//a", n), ("//a/ancestor::div", n), ("//p/following::a", n - 1), ("//p/preceding::a", n - 1), ("//div/following-sibling::div", n - 1), ("//body//p//a", n)):
+        began = time.perf_counter()
+        assert treequery.query(nodes, Selector.xpath(text)).count() == want
+        assert time.perf_counter() - began < 60, text
