@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..operators import speculate
-from ..operators.requests import effective_priority, first_of_key, next_batch
+from ..operators.requests import effective_priority, first_of_key, next_batch, reseed_points
 from ..storage import commit_text, read_text, run_dir, stored, written
 from .visited import BITS, VisitedSet
 
-#: What the crawl adds to each request: a name of its own, which attempt this is, the seconds it
-#: has waited for its page so far, and the probe that it is, if it is one.
-OWN = "crawl_id STRING, attempt INT, waited DOUBLE, probe STRUCT<entry: STRING, param_index: INT, n: BIGINT>"
-OWN_COLUMNS = ("crawl_id", "attempt", "waited", "probe")
+#: What the crawl adds to each request: a name of its own, that of the request which led to it (null
+#: if no round said so), which attempt this is, the seconds it has waited for its page so far,
+#: and the probe that it is, if it is one.
+OWN = "crawl_id STRING, led_by STRING, attempt INT, waited DOUBLE, probe STRUCT<entry: STRING, param_index: INT, n: BIGINT>"
+OWN_COLUMNS = ("crawl_id", "led_by", "attempt", "waited", "probe")
 #: What a round says about a request that it sent.
 ACTIONS = ("step", "retry", "await", "skip", "halt", "error", "failed_probe")
 OUTCOMES = "crawl_id STRING, dedup_key STRING, attempt INT, action STRING, decision STRING, reason STRING"
@@ -135,7 +136,8 @@ def crawl(
     ``fetch`` turns requests into responses; ``run`` turns those into (results, requests, errors)
     or, to be acted on, (results, requests, errors, outcomes): ``crawl_id``, ``action`` (of
     ``ACTIONS``), and if there are any ``wait`` (seconds) and ``reason``. Requests have at least
-    ``dedup_key, skip_dedup, priority, seq``; those sent have ``OWN`` as well. ``batch`` requests are
+    ``dedup_key, skip_dedup, priority, seq``; those sent have ``OWN`` as well, and those that ``run``
+    gives may say in ``led_by`` which of them they come from (for ``reseed``). ``batch`` requests are
     sent in a round, the best by priority first; by default all. ``visited`` (dedup_key) are keys of
     another run. ``folder`` holds the run's tables, in a store that all executors share: a run
     that is there already goes on where it was. By default a folder of the application, gone
@@ -154,6 +156,36 @@ def crawl(
     return it.told(state)
 
 
+def below(tree: DataFrame, points: DataFrame) -> DataFrame:
+    """``crawl_id`` of the ``points`` and of all below them in a tree (request_id, parent_id). Each round
+    doubles the reach of every request, so a chain of n takes log n joins; a circle ends with them."""
+    marked = points.select(F.col("crawl_id").alias("request_id"), F.lit(True).alias("hit"))
+    up = tree.select("request_id", F.col("parent_id").alias("above")).join(marked, "request_id", "left").select("request_id", "above", F.coalesce("hit", F.lit(False)).alias("hit"))
+    most, reach = tree.count(), 1
+    while True:
+        up = stored(up.withColumn("above", F.when(~F.col("hit"), F.col("above"))))
+        if reach > most or up.filter("above is not null").isEmpty():
+            return up.filter("hit").select(F.col("request_id").alias("crawl_id"))
+        other = up.select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("hit").alias("found"))
+        up = up.join(other, "above", "left").select("request_id", F.col("next").alias("above"), (F.col("hit") | F.coalesce("found", F.lit(False))).alias("hit"))
+        reach *= 2
+
+
+def reseed(seeds: DataFrame, folder: str, *, failed: DataFrame | None = None, filter_bits: int = BITS) -> int:
+    """Takes back what failed in the run in ``folder``, so that ``crawl`` with that folder does it
+    again: for each of ``failed`` (crawl_id; by default those decided ``error``) the nearest request
+    above it, itself included, that may be sent again (``reseedable`` of the requests: true
+    yes, false never, null asks the one above; without the column all may); everything below
+    those is withdrawn, its results, errors, outcomes and what waits, and the keys that no other
+    request has are visited no more. How many are sent again. ``seeds`` are those of the run, of
+    which only the columns count."""
+    it = _Run(seeds, lambda r: r, lambda r: (), None, folder, Retry(), None, time.time, time.sleep, filter_bits)
+    state = it.last()
+    if state is None:
+        raise ConfigError(f"there is no run in {folder}")
+    return it.reseeded(state, failed)[1].count()
+
+
 class _Run:
     def __init__(self, seeds: DataFrame, fetch: Callable, run: Callable, batch: int | None, folder: str, retry: Retry, probing: Probing | None, clock: Callable[[], float], sleep: Callable[[float], None], bits: int):
         self.spark: SparkSession = seeds.sparkSession
@@ -189,11 +221,11 @@ class _Run:
     def begin(self, visited: DataFrame | None) -> _State:
         at = self.attempt(0)
         seen = VisitedSet(self.spark, bits=self.bits)
-        tables: dict[str, list[str]] = {"visited": [], "results": [], "errors": [], "outcomes": [], "finished": []}
+        tables: dict[str, list[str]] = {"visited": [], "sent": [], "results": [], "errors": [], "outcomes": [], "finished": [], "withdrawn": []}
         if visited is not None:
             seen = seen.add(visited, f"{at}/visited", f"{at}/filter")
         templates = None
-        first = self.fresh(stored(self.seeds.select(*self.columns)), seen, 0)[0]
+        first = self.fresh(stored(self.led(self.seeds)), seen, 0)[0]
         if self.probing is not None:
             of = self.probing.templates
             asked = F.greatest(F.col("soft_max") - F.col("min"), F.lit(0))
@@ -202,15 +234,18 @@ class _Run:
         frontier = written(first, f"{at}/frontier")
         return self.commit(_State(0, f"{at}/frontier", frontier.count(), tables | {"visited": list(seen.segments)}, {}, seen.filter, {}, templates, None, None, []))
 
+    def led(self, requests: DataFrame) -> DataFrame:
+        return requests.select(*self.columns, (F.col("led_by") if "led_by" in requests.columns else F.lit(None)).cast("string").alias("led_by"))
+
     def fresh(self, more: DataFrame, seen: VisitedSet, k: int, besides: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
         """New requests with their names: the first of each key that was not sent. Those that skip
         deduplication, and those without a key, all stay."""
         free = F.col("dedup_key").isNull() | F.coalesce(F.col("skip_dedup"), F.lit(False))
         keyed = first_of_key(more.filter(~free))
         if besides is not None:
-            keyed = keyed.join(besides.select("dedup_key"), "dedup_key", "left_anti").select(*self.columns)
+            keyed = keyed.join(besides.select("dedup_key"), "dedup_key", "left_anti").select(*more.columns)
         new, said = seen.unseen(keyed)
-        rows = new.select(*self.columns).unionByName(more.filter(free))
+        rows = new.select(*more.columns).unionByName(more.filter(free))
         return rows.select("*", *self.named(k, "n"), F.expr("CAST(NULL AS STRUCT<entry: STRING, param_index: INT, n: BIGINT>)").alias("probe")), said
 
     def named(self, k: int, kind: str) -> list[Column]:
@@ -245,7 +280,7 @@ class _Run:
             self.spark,
             lambda: seen.add(sent.filter((F.col("attempt") == 1) & ~F.coalesce("skip_dedup", F.lit(False))), f"{at}/visited", f"{at}/filter"),
             lambda: self.decided(said[0] if said else None, sent, f"{at}/outcomes"),
-            lambda: stored(more.select(*self.columns)),
+            lambda: stored(self.led(more)),
             lambda: written(found, f"{at}/results"),
             lambda: written(bad, f"{at}/errors"),
         )
@@ -262,7 +297,8 @@ class _Run:
         for other in (probes, rest):
             following = following if other is None else following.unionByName(other)
         frontier = written(following, f"{at}/frontier")
-        tables = {n: [*p, f"{at}/{n}"] for n, p in state.tables.items() if n != "finished"} | {"finished": [*state.tables["finished"], *([finished] if finished else [])]}
+        added = {n: f"{at}/{n}" for n in ("visited", "results", "errors", "outcomes")} | {"sent": state.frontier if sent is queue else f"{at}/sent"} | ({"finished": finished} if finished else {})
+        tables = {n: [*p, *([added[n]] if n in added else [])] for n, p in state.tables.items()}
         done = _State(k + 1, f"{at}/frontier", frontier.count(), tables, dict(state.merged), seen.filter, waiting, templates, answers, None if halted is None else halted["reason"] or "halted", [*state.told, {"round": k, **counts}])
         return self.commit(self.compacted(done, seen, at))
 
@@ -338,7 +374,7 @@ class _Run:
 
     def as_probes(self, windows: DataFrame, k: int) -> DataFrame:
         asked = self.probing.requests(windows)
-        return asked.select(*self.columns, *self.named(k, "p"), F.struct(F.col("entry").cast("string").alias("entry"), F.col("param_index").cast("int").alias("param_index"), F.col("n").cast("bigint").alias("n")).alias("probe"))
+        return asked.select(*self.columns, F.lit(None).cast("string").alias("led_by"), *self.named(k, "p"), F.struct(F.col("entry").cast("string").alias("entry"), F.col("param_index").cast("int").alias("param_index"), F.col("n").cast("bigint").alias("n")).alias("probe"))
 
     # storage
 
@@ -364,16 +400,59 @@ class _Run:
         schema = self.spark.read.parquet(paths[0]).schema
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def kept(self, name: str, state: _State) -> DataFrame | None:
+        """All rows of a table, but those of requests that were withdrawn."""
+        rows, gone = self.gathered(state.tables[name]), state.tables["withdrawn"]
+        if rows is None or not gone or "crawl_id" not in rows.columns:
+            return rows
+        return rows.join(self.gathered(gone), "crawl_id", "left_anti").select(*rows.columns)
+
+    # reseeding
+
+    def reseeded(self, state: _State, failed: DataFrame | None) -> tuple[_State, DataFrame]:
+        """(the state with the subtrees below the reseed points of ``failed`` taken back, those points)."""
+        k, at = state.round + 1, self.attempt(state.round + 1)
+        if state.tables["results"] and "crawl_id" not in self.gathered(state.tables["results"]).columns:
+            raise ConfigError("results need the crawl_id of their request to be withdrawn")
+        live = self.kept("sent", state)
+        log = stored(live.groupBy("crawl_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in live.columns if c != "crawl_id"]), "attempt").alias("r")).select("crawl_id", "r.*").select(*live.columns))
+        if failed is None:
+            failed = self.kept("outcomes", state).filter("decision = 'error'").select("crawl_id").distinct()
+        marks = F.col("reseedable") if "reseedable" in log.columns else F.lit(True)
+        tree = log.select(F.col("crawl_id").alias("request_id"), F.col("led_by").alias("parent_id"), marks.alias("reseedable"))
+        points = stored(reseed_points(tree, failed.select(F.col("crawl_id").alias("request_id"))).select(F.col("reseed_id").alias("crawl_id")).filter("crawl_id is not null").distinct())
+        gone = written(below(tree, points), f"{at}/withdrawn")
+        again = log.join(points, "crawl_id")
+        # of points below one another the highest is enough: the others are found again from it
+        up = again.join(gone.select(F.col("crawl_id").alias("led_by"), F.lit(True).alias("_within")), "led_by", "left").filter("_within is null")
+        first = up.select(*log.columns).withColumns({"attempt": F.lit(1), "waited": F.lit(0.0), "crawl_id": F.concat(F.col("crawl_id"), F.lit(f"/{k}"))})
+        frontier = written(first.unionByName(self.read(state.frontier, self.schema).join(gone.select(F.col("crawl_id").alias("led_by")), "led_by", "left_anti").select(*first.columns)), f"{at}/frontier")
+        # keys that only withdrawn requests had are no longer visited
+        named = log.filter(~F.coalesce("skip_dedup", F.lit(False)))
+        lost = named.join(gone, "crawl_id").select("dedup_key").distinct()
+        others = named.join(gone, "crawl_id", "left_anti").select("dedup_key").distinct()
+        forgotten = lost.join(others, "dedup_key", "left_anti")
+        keys = VisitedSet(self.spark, tuple(state.tables["visited"])).keys().select("dedup_key").distinct().join(forgotten, "dedup_key", "left_anti")
+        seen = VisitedSet(self.spark, bits=self.bits).add(keys, f"{at}/visited", f"{at}/filter")
+        waiting: dict[str, list[str]] = {}
+        for due, paths in state.waiting.items():
+            rows = reduce(DataFrame.unionByName, [self.read(p, self.schema) for p in paths])
+            written(rows.join(gone, "crawl_id", "left_anti").select(*rows.columns), f"{at}/waiting/{due}")
+            waiting[due] = [f"{at}/waiting/{due}"]
+        tables = state.tables | {"visited": list(seen.segments), "withdrawn": [*state.tables["withdrawn"], f"{at}/withdrawn"]}
+        done = _State(k, f"{at}/frontier", frontier.count(), tables, state.merged | {"visited": 0}, seen.filter, waiting, state.templates, state.answers, None, [*state.told, {"round": state.round, "withdrawn": gone.count()}])
+        return self.commit(done), points
+
     def told(self, state: _State) -> Crawl:
-        outcomes = self.gathered(state.tables["outcomes"])
+        outcomes, results, errors = (self.kept(n, state) for n in ("outcomes", "results", "errors"))
         names = [x.split()[0] for x in OUTCOMES.split(", ")]
         waiting = [self.read(p, self.schema) for paths in state.waiting.values() for p in paths]
         over = [self.read(p, TEMPLATES) for p in state.tables["finished"]]
         states = reduce(DataFrame.unionByName, [x.withColumn("done", F.lit(True)) for x in over] + [self.read(state.templates, TEMPLATES).withColumn("done", F.lit(False))])
         return Crawl(
             VisitedSet(self.spark, tuple(state.tables["visited"])).keys().select("dedup_key"),
-            self.gathered(state.tables["results"]),
-            self.gathered(state.tables["errors"]),
+            results,
+            errors,
             self.read(state.frontier, self.schema).select(*self.columns),
             state.round,
             self.spark.createDataFrame([], OUTCOMES) if outcomes is None else outcomes.select(*names),

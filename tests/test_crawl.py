@@ -213,3 +213,35 @@ def test_names_that_the_crawl_adds(spark):
     with pytest.raises(ConfigError):
         crawl(rows(spark, [1]).withColumn("attempt", F.lit(1)), lambda r: r, nothing)
     assert crawl(rows(spark, []), lambda r: r, nothing).results is None
+
+
+def test_a_failed_subtree_is_taken_back_and_run_again(spark, tmp_path):
+    """A tree in which pages below 2 are broken at first; after reseeding the run is as one that never
+    failed."""
+    broken = [True]
+
+    def run(got):
+        # n links to 2n + 1 and 2n + 2, and to the root; pages of 13 and 14 fail at first, and 5 gives wrong links
+        bad = F.col("n").isin(13, 14) if broken[0] else F.lit(False)
+        wrong = (F.col("n") == 5) & F.lit(broken[0])
+        to = F.array(F.col("n") * 2 + 1 + F.when(wrong, 100).otherwise(0), F.col("n") * 2 + 2, F.lit(0).cast("long"))
+        more = got.filter(~bad & (F.col("n") < 15)).select(F.col("crawl_id").alias("led_by"), F.explode(to).alias("n"))
+        may = F.when(F.col("n") == 2, True).when(F.col("n") < 2, False)
+        more = more.select("led_by", may.alias("reseedable"), F.col("n").alias("seq"), "n", F.concat(F.lit("k"), F.col("n").cast("string")).alias("dedup_key"), F.lit(False).alias("skip_dedup"), F.lit(None).cast("int").alias("priority"))
+        said = got.select("crawl_id", F.when(bad, "error").otherwise("step").alias("action"))
+        return got.filter(~bad).select("crawl_id", "n"), more, got.filter(bad).select("crawl_id", "n"), said
+
+    seeds = rows(spark, [0]).withColumn("reseedable", F.lit(False))
+    folder = str(tmp_path / "run")
+    first = crawl(seeds, lambda r: r, run, folder=folder)
+    assert first.errors.count() == 2 and 111 in {r["n"] for r in first.results.collect()}
+    assert frontier.reseed(seeds, folder) == 1
+    broken[0] = False
+    again = crawl(seeds, lambda r: r, run, folder=folder)
+    clean = crawl(seeds, lambda r: r, run)
+    told = [[sorted(r[c] for r in t.collect()) for t, c in ((d.results, "n"), (d.errors, "n"), (d.visited, "dedup_key"), (d.outcomes, "dedup_key"))] for d in (again, clean)]
+    assert told[0] == told[1] and again.errors.count() == 0 and again.left.count() == 0
+    # nothing failed since: nothing is taken back
+    assert frontier.reseed(seeds, folder) == 0
+    with pytest.raises(ConfigError):
+        frontier.reseed(seeds, str(tmp_path / "none"))
