@@ -99,7 +99,8 @@ def long_groups(word: str) -> Iterator[tuple[int, str]]:
     changed word is told from the sums of the parts around the change."""
     code = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     size = len(code)
-    draw = np.random.default_rng(62).integers(0, 1 << 63, (2, size), np.uint64) * np.uint64(2) + np.uint64(1)
+    # two odd numbers for each place, the same however long the word
+    draw = np.random.default_rng(62).integers(0, 1 << 63, (size, 2), np.uint64).T * np.uint64(2) + np.uint64(1)
     term = code * draw
     before = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(term, 1)], 1)
     whole = before[:, -1:]
