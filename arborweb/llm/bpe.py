@@ -7,8 +7,9 @@ bytes and joins the bytes before any UTF-8 is read, so characters that are split
 over several ids come back whole.
 
 Defined results: a null or empty text has no ids, and decodes to no bytes. Repeated
-rows and ids are handled row by row. Columns other than the key and the text are
-not read.
+rows and ids are handled row by row. Texts of any length are coded whole. Columns other
+than the key and the text are not read, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ prediction, so a result depends on the document alone.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. Ties
 go to the language that sorts first. If no row can be learned from, every text is
-``und``. Prediction reads the text only, never the label, source or id.
+``und``. Prediction reads the text only, never the label, source or id. Repeated rows are
+judged each by itself, and alike; in the sample they count once. Texts of any length are
+read whole, segment by segment. Other columns are not read, whatever their names; ``keep``
+hands them on. An empty table gives an empty result.
 """
 
 from __future__ import annotations

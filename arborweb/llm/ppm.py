@@ -28,7 +28,9 @@ not use it.
 
 Defined results: A-Z are lower-cased; words are runs of bytes other than space and
 U+0009 to U+000D; a null text is empty and has the end token only. Without training
-documents a byte's probability is 1/255. Repeated rows and ids are scored row by row.
+documents a byte's probability is 1/255. Repeated rows and ids are scored row by row. Texts
+of any length are scored whole. Columns other than the key and the text are not read,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

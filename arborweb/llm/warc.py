@@ -19,7 +19,8 @@ either are ``no_response``. Of responses at the same second the greatest record_
 counts. A revisit without an earlier response is ``no_response``, one without a
 validator in common ``no_validator``, one whose validators differ ``mismatch``; these
 three keep their own headers and have no payload. Repeated revisits give repeated
-rows. Extra columns are not read.
+rows. Extra columns are not read, whatever their names; values of any length are carried
+whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
