@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -52,34 +53,72 @@ def admit_all(requests: DataFrame, rates: list[tuple[int, float]], *, keys: list
     """``requests`` with ``admitted``: for each (limit, seconds) of ``rates``, at most ``limit`` of
     the same keys in any ``seconds``; those refused do not count, those that ``bypass`` the
     rates always pass and count not. A request without a time is in no window, so no rate
-    can tell: ``admitted`` is null. ``ties`` order requests of one instant.
-
-    Admission depends on each earlier one, so the requests of a key are read in order, as
-    columns; of all that went before, only the times of the last ``limit`` are held. A key
-    is one task's work, which is what a limit on that key means: it lets through
-    ``limit`` in so many seconds, however many ask.
+    can tell: ``admitted`` is null, or true with ``bypass``. ``ties`` order requests of one instant.
+
+    Admission depends on each earlier one, but only as far back as the longest window, and
+    where no window held more requests than its limit, all of them passed. So the time of a
+    key is cut into blocks of that length, and wherever every request of a block passes for
+    sure, what follows it starts anew with that block as its history (``stretches``). Stretches
+    are read each in order, as columns; of all that went before, only the last ``limit`` times
+    are held. A key of any size is spread over as many tasks as it has stretches; one whose
+    limits are exceeded in every block is one stretch, as all that it lets through hangs
+    together. The requests are read twice: store them first if they are dear to make.
     """
     if not rates or any(n < 1 or s <= 0 for n, s in rates):
         raise ValueError("a rate is a positive number in a positive time")
     ship(requests.sparkSession)
     time, key, free = F.unix_micros(F.col(at).cast("timestamp")), F.to_json(F.struct(*keys)), F.coalesce(F.col(bypass), F.lit(False)) if bypass else F.lit(False)
-    marked = requests.select(F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("row"), key.alias("key"), time.alias("time"), free.alias("free"), *[F.col(t).alias(f"tie{k}") for k, t in enumerate(ties)])
-    ordered = marked.repartition("key").sortWithinPartitions("key", "time", *[f"tie{k}" for k in range(len(ties))]).select("row", "key", "time", "free")
+    tied = [f"tie{k}" for k in range(len(ties))]
+    marked = requests.select(F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("row"), key.alias("key"), time.alias("time"), free.alias("free"), *[F.col(t).alias(k) for k, t in zip(tied, ties, strict=True)])
+    spans = [(n, math.ceil(s * 1_000_000)) for n, s in rates]
+    width = max(s for _, s in spans)
+    timed = marked.filter("time is not null").withColumn("block", F.floor(F.col("time") / width).cast("long"))
+    goals = F.array(F.struct(F.col("stretch"), F.lit(False).alias("before")), F.when(F.col("serves").isNotNull() & ~F.col("free"), F.struct(F.col("serves").alias("stretch"), F.lit(True).alias("before"))))
+    dealt = timed.join(stretches(timed.filter(~F.col("free")).select("key", "time"), spans, timed.select("key", "block").distinct()), ["key", "block"])
+    each = dealt.withColumn("goal", F.explode(F.array_compact(goals))).select(F.when(~F.col("goal.before"), F.col("row")).alias("row"), "key", "time", "free", F.col("goal.stretch").alias("stretch"), *tied)
+    ordered = each.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "time", *tied).select("row", "key", "time", "free", "stretch")
     longest = max(n for n, _ in rates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passed = None, deque(maxlen=longest)
         for batch in batches:
-            said = []
-            for key, t, free in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if key != now:
-                    now, passed = key, deque(maxlen=longest)
+            said, shown = [], batch.column(0).is_valid()
+            for key, t, free, stretch, asks in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), shown.to_pylist(), strict=True):
+                if (key, stretch) != now:
+                    now, passed = (key, stretch), deque(maxlen=longest)
                 # of a rate's last admissions, the one ``limit`` back must lie a full window ago
-                ok = True if free else None if t is None else all(len(passed) < n or passed[-n] <= t - s * 1e6 for n, s in rates)
+                ok = not asks or free or all(len(passed) < n or passed[-n] <= t - s for n, s in spans)
                 if ok and not free:
                     passed.append(t)
                 said.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.bool_())], names=["row", "admitted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(shown), pa.array(said, pa.bool_()).filter(shown)], names=["row", "admitted"])
 
     schema = T.StructType([T.StructField("row", requests.schema), T.StructField("admitted", T.BooleanType())])
-    return ordered.mapInArrow(run, schema).select("row.*", "admitted")
+    never = marked.filter("time is null").select("row", F.when(F.col("free"), True).alias("admitted"))
+    return ordered.mapInArrow(run, schema).unionByName(never).select("row.*", "admitted")
+
+
+def stretches(requests: DataFrame, spans: list[tuple[int, int]], blocks: DataFrame) -> DataFrame:
+    """For each ``key, block`` of ``blocks``: ``stretch``, the block that its stretch starts with,
+    and ``serves``, the stretch that it is the history of, if it is one's. Blocks are as long
+    as the longest of ``spans`` (limit, microseconds); ``requests`` (key, time) are those that count.
+
+    A block passes for sure if none of its requests has more than ``limit`` in the window that
+    ends with it, those at its own instant included. Requests are counted by instant before
+    they are shuffled, and windows are dealt over blocks as ``window_counts`` does; the order of
+    a key's blocks takes one row for each block, however many requests it has.
+    """
+    width = max(s for _, s in spans)
+    block = F.floor(F.col("time") / width).cast("long")
+    instants = requests.groupBy("key", "time").agg(F.count(F.lit(1)).alias("n")).withColumn("block", block)
+    both = instants.withColumn("shown", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+    over = F.lit(False)
+    for limit, span in spans:
+        over |= F.sum("n").over(Window.partitionBy("key", "shown").orderBy("time").rangeBetween(-(span - 1), 0)) > limit
+    full = both.withColumn("over", over).filter("shown = block").groupBy("key", "block").agg(F.bool_or("over").alias("over"))
+    # a block of requests that do not count passes for sure
+    known = blocks.join(full, ["key", "block"], "left").withColumn("over", F.coalesce("over", F.lit(False)))
+    order = Window.partitionBy("key").orderBy("block")
+    begins = F.coalesce((F.lag("block").over(order) < F.col("block") - 1) | ~F.lag("over").over(order), F.lit(True))
+    serves = F.when(~F.col("over") & (F.lead("block").over(order) == F.col("block") + 1), F.col("block") + 1)
+    return known.withColumns({"begins": begins, "serves": serves}).withColumn("stretch", F.last(F.when(F.col("begins"), F.col("block")), ignorenulls=True).over(order)).select("key", "block", "stretch", "serves")

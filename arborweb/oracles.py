@@ -144,6 +144,12 @@ SQL = {
             CASE WHEN r.older IS NULL OR r.older <= e.t - 3600000000 THEN r.newer ELSE r.older END, CASE WHEN r.older IS NULL OR r.older <= e.t - 3600000000 THEN e.t ELSE r.newer END
         FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
         SELECT event_id, admitted FROM r""",
+    "rate_stretches": """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE event_id % 9 <> 0),
+        r AS (SELECT event_id, event_type, n, true AS admitted, [t] AS passed FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.event_type, e.n, coalesce(r.passed[-2] <= e.t - 1800000000, true) AND coalesce(r.passed[-5] <= e.t - 7200000000, true),
+            CASE WHEN coalesce(r.passed[-2] <= e.t - 1800000000, true) AND coalesce(r.passed[-5] <= e.t - 7200000000, true) THEN list_append(r.passed, e.t)[-5:] ELSE r.passed END
+        FROM r JOIN e ON e.event_type = r.event_type AND e.n = r.n + 1)
+        SELECT event_id, admitted FROM r UNION ALL SELECT event_id, true FROM events WHERE event_id % 9 = 0""",
     "reseed_points": "SELECT conv_id || '/' || turn AS failed_id, conv_id || '/' || (turn - turn % 3) AS reseed_id FROM conversations WHERE role = 'assistant'",
     "speculative_requests": "SELECT '/s/' || s_suppkey AS url, true AS is_speculative, 'by_number' AS entry, s_suppkey AS n FROM supplier",
     "deferred_fields": "SELECT s_suppkey, 'captcha=solved&id=' || s_suppkey AS body FROM supplier",

@@ -323,6 +323,12 @@ def q_rate_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.admit(e, 2, 3600, keys=["user_id"], ties=("event_id",)).select("event_id", "admitted")
 
 
+def q_rate_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few keys with all of the events: two rates at once, some events past both, each key spread by its stretches."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 9 == 0).alias("first_class"))
+    return rates.admit_all(e, [(2, 1800), (5, 7200)], keys=["event_type"], bypass="first_class", ties=("event_id",)).select("event_id", "admitted")
+
+
 def q_split_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _form_pages(spark, sf_dir)
     given = pages.select(F.col("page_id").cast("string").alias("request_id"), F.lit(200).alias("status_code"), F.col("html").alias("text"), "url")
@@ -772,7 +778,7 @@ NAMES = (
     "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
     "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table", "form_overrides", "link_contracts", "incidental_body", "spec_table", "permanent_chain", "observer_json", "failure_actions", "nested_records",
-    "schema_json", "step_catalog", "crawl", "crawl_deep", "crawl_retries", "crawl_probing", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "split_outputs",
+    "schema_json", "step_catalog", "crawl", "crawl_deep", "crawl_retries", "crawl_probing", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "rate_stretches", "split_outputs",
 )
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 from dataclasses import dataclass
 from datetime import date, datetime, time
 from decimal import Decimal
@@ -153,6 +154,30 @@ def test_rates(spark):
     assert [r["n_window"] for r in n] == [1, 2, 3, 3, 4, 1]
 
 
+def test_one_key_is_spread_over_its_stretches(spark):
+    draw = random.Random(5)
+    times, t = [], 0
+    for k in range(1500):
+        t += draw.choice([0, 1, 3, 10, 40, 90, 200]) if k % 300 < 200 else draw.choice([0, 1, 2])
+        times.append(t)
+    free = [draw.random() < 0.1 for _ in times]
+    spans = [(2, 30), (5, 100)]
+    want, passed = {}, []
+    for k, (t, past) in enumerate(zip(times, free, strict=True)):
+        want[k] = past or all(len(passed) < n or passed[-n] <= t - s for n, s in spans)
+        if want[k] and not past:
+            passed.append(t)
+    rows = [(k, None, datetime.fromtimestamp(1000 + t), f) for k, (t, f) in enumerate(zip(times, free, strict=True))]
+    df = spark.createDataFrame([*rows, (-1, None, None, False), (-2, None, None, True)], "k INT, site STRING, ts TIMESTAMP, vip BOOLEAN").repartition(3)
+    got = {r["k"]: r["admitted"] for r in rates.admit_all(df, spans, keys=["site"], bypass="vip", ties=("k",)).collect()}
+    assert got == {**want, -1: None, -2: True} and len(set(want.values())) == 2
+    keyed = df.filter("ts is not null").select(F.lit("x").alias("key"), F.unix_micros("ts").alias("time"), F.col("vip"))
+    blocks = keyed.select("key", F.floor(F.col("time") / 100_000_000).cast("long").alias("block")).distinct()
+    dealt = rates.stretches(keyed.filter("not vip").select("key", "time"), [(n, s * 1_000_000) for n, s in spans], blocks)
+    assert dealt.select("stretch").distinct().count() > 20
+    assert rates.admit_all(df.limit(0), spans, keys=["site"]).count() == 0
+
+
 def test_observation(spark):
     m = spark.createDataFrame([("r", "//a", i, f"  t {i}\n" + "x" * (200 if i == 1 else 0)) for i in range(6)] + [("r", "//b", 0, None)], "request_id STRING, selector STRING, seq INT, text STRING")
     got = {r["selector"]: r for r in observe.roll_up(m, ["request_id", "selector"]).collect()}
