@@ -127,6 +127,26 @@ SQL = {
         b AS (SELECT l_orderkey, list('lines.' || i || '.quantity less_than_equal') AS bad FROM l WHERE bad GROUP BY 1),
         e AS (SELECT o_orderkey, list_sort(list_concat(CASE WHEN o_orderkey % 11 = 0 THEN ['day date_from_datetime_parsing'] ELSE [] END, coalesce(bad, []))) AS errors FROM orders LEFT JOIN b ON o_orderkey = l_orderkey)
         SELECT o_orderkey, len(errors) = 0 AS valid, len(errors)::BIGINT AS n_errors, array_to_string(errors, ',') AS found FROM e""",
+    "nested_columns": """WITH l AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) - 1 AS i FROM lineitem),
+        b AS (SELECT l_orderkey, list('lines.' || i || '.quantity less_than_equal') FILTER (l_quantity > 45) AS bad, count(*) AS n, max(l_quantity) AS most FROM l GROUP BY 1),
+        e AS (SELECT *, list_sort(list_concat(CASE WHEN o_orderkey % 11 = 0 THEN ['day date_from_datetime_parsing'] ELSE [] END, coalesce(bad, []))) AS errors FROM orders LEFT JOIN b ON o_orderkey = l_orderkey)
+        SELECT o_orderkey, len(errors) = 0 AS valid, array_to_string(errors, ',') AS found, CASE WHEN len(errors) = 0 THEN o_orderkey END AS key,
+            CASE WHEN len(errors) = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN len(errors) = 0 THEN coalesce(n, 0) END AS n_lines, CASE WHEN len(errors) = 0 THEN most END AS most FROM e""",
+    "stream_retries": """WITH RECURSIVE e AS (SELECT user_id AS u, epoch_us(ts::TIMESTAMP) // 1000 AS t, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS kind FROM events),
+        o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY t, kind) AS n FROM e),
+        r AS (SELECT DISTINCT u, 0::BIGINT AS n, NULL::BIGINT AS attempts, NULL::BIGINT AS due, NULL::BIGINT AS last, false AS done, NULL::BIGINT AS again, NULL::BIGINT AS again_at, NULL::BIGINT AS said, NULL::BIGINT AS said_at, false AS gave_up FROM o
+        UNION ALL SELECT u, n, CASE WHEN fresh THEN 1 ELSE a END, CASE WHEN retry THEN t + 3600000 * (1 << (a - 1)) ELSE d END, CASE WHEN fresh OR heard THEN t ELSE l END,
+            CASE WHEN fresh THEN false WHEN heard THEN NOT retry ELSE f END, again, again_at, CASE WHEN fresh THEN 1 WHEN heard AND kind = 2 AND NOT retry THEN a END, t, NOT fresh
+        FROM (SELECT *, kind = 0 AND a IS NULL AS fresh, kind > 0 AND a IS NOT NULL AND NOT f AND d IS NULL AS heard, kind = 2 AND a IS NOT NULL AND NOT f AND d IS NULL AND a <= 2 AS retry
+            FROM (SELECT *, CASE WHEN old THEN NULL ELSE a1 END AS a, d1 AS d, l1 AS l, f1 AND NOT old AS f
+                FROM (SELECT *, coalesce(a1 IS NOT NULL AND d1 IS NULL AND t - l1 > 86400000, false) AS old
+                    FROM (SELECT o.u, o.n, o.t, o.kind, coalesce(due <= o.t, false) AS fell, CASE WHEN fell THEN attempts + 1 ELSE attempts END AS a1, CASE WHEN fell THEN NULL ELSE due END AS d1,
+                        CASE WHEN fell THEN due ELSE last END AS l1, done AS f1, CASE WHEN fell THEN attempts + 1 END AS again, due AS again_at FROM r JOIN o ON o.u = r.u AND o.n = r.n + 1))))),
+        ends AS (SELECT arg_max(attempts, n) AS attempts, max(n) AS n, u FROM r GROUP BY u),
+        late AS (SELECT r.* FROM r JOIN ends ON r.u = ends.u AND r.n = ends.n WHERE due <= (SELECT max(t) - 3600000 FROM o))
+        SELECT u::VARCHAR AS dedup_key, 'send' AS decision, again AS attempt, again_at AS ms FROM r WHERE again IS NOT NULL
+        UNION ALL SELECT u::VARCHAR, CASE WHEN gave_up THEN 'give up' ELSE 'send' END, said, said_at FROM r WHERE said IS NOT NULL
+        UNION ALL SELECT u::VARCHAR, 'send', attempts + 1, due FROM late""",
     "step_catalog": """SELECT 'CustomerSite' AS scraper, 'parse_form' AS name, 3::BIGINT AS priority, 'utf-8' AS encoding, '["page", "response"]' AS wants""",
     "crawl": """WITH RECURSIVE r AS (SELECT min(o_orderkey) AS id FROM orders UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 16 = id) SELECT id AS o_orderkey FROM r""",
     "crawl_deep": """WITH RECURSIVE r AS (SELECT 0::BIGINT AS id UNION SELECT o_orderkey FROM r JOIN orders ON o_orderkey > 0 AND (o_orderkey - 1) // 2 = id) SELECT id AS o_orderkey FROM r""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import errors
 from .functions import identity, urls
 from .operators import contracts, forms, http, incidental, links, observe, rates, requests, specs, speculate, validate
-from .plans import parsers, registry
+from .plans import parsers, records, registry
 from .plans.frontier import Probing, Retry, crawl
 from .plans.grammar import Selector
 from .plans.treequery import query, query_strings, scalar
@@ -566,6 +566,18 @@ def q_failure_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(acted, "request_id").select("request_id", "error_class", "action", F.split("error", "\n")[0].alias("said"))
 
 
+def q_stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of requests and outcomes: users are sent once, again after errors, and forgotten after a day."""
+    from .streaming.retries import rocksdb, stream_sends
+
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "ok").otherwise("request")
+    e = stored(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("dedup_key"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind")))
+    source = spark.readStream.schema(e.schema).parquet(e.inputFiles()[0].rsplit("/", 1)[0])
+    with rocksdb(spark):
+        sends = streamed(stream_sends(source, retries=2, delay=3600, keep=86400, late="1 hour"))
+    return sends.select("dedup_key", "decision", F.col("attempt").cast("long").alias("attempt"), F.unix_millis("at").alias("ms"))
+
+
 class Line(BaseModel):
     number: int = Field(gt=0)
     quantity: float = Field(le=45)
@@ -592,6 +604,27 @@ def q_nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("o_orderkey", "valid", F.size("errors").cast("long").alias("n_errors"), where.alias("found"))
 
 
+def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as JSON, one in eleven with a day that is none, one in thirteen with a key in quotes."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    each = F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    below = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(each)).alias("lines"))
+    day = F.when(F.col("o_orderkey") % 11 == 0, "no day").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    key = F.when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('"'))).otherwise(F.col("o_orderkey").cast("string"))
+    rest = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), day.alias("day"), F.coalesce("lines", F.array().cast("array<struct<number: int, quantity: double, flag: string>>")).alias("lines")))
+    rows = o.join(below, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", F.concat(F.lit('{"key":'), key, F.lit(","), F.substr(rest, F.lit(2))).alias("data"))
+
+
+def q_nested_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines held against a model that is compiled to columns: what does not fit, and
+    of what does the typed record. Texts that the model would convert go to the model itself."""
+    done = records.validate_nested(_order_records(spark, sf_dir), Order)
+    where = F.array_join(F.array_sort(F.transform("errors", lambda e: F.concat(e["loc"], F.lit(" "), e["type"]))), ",")
+    most = F.array_max(F.transform("record.lines", lambda x: x["quantity"]))
+    return done.select("o_orderkey", "valid", where.alias("found"), F.col("record.key").alias("key"), F.date_format("record.day", "yyyy-MM-dd").alias("day"), F.size("record.lines").cast("long").alias("n_lines"), most.alias("most"))
+
+
 class MenuItem(BaseModel):
     """A menu entry of moderate length."""
 
@@ -777,7 +810,7 @@ NAMES = (
     "links", "links_absolute", "link_requests", "page_title", "count_contract", "tag_histogram", "nested_query", "css_query", "positional", "attribute_strings", "scalar_query",
     "union_query", "page_errors", "step_errors", "spec_loop", "inner_html", "preceding_count", "native_xpath", "form_fields", "form_submit", "dedup_key", "frontier_dedup", "priority_topk", "resolve_requests", "ancestor_depth",
     "archive_decisions", "accum_chain", "requote", "via_roundtrip", "http_class", "outcomes", "incidental_glob", "incidental_cardinality", "json_contains", "rate_window",
-    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table", "form_overrides", "link_contracts", "incidental_body", "spec_table", "permanent_chain", "observer_json", "failure_actions", "nested_records",
+    "validate_rows", "decode_text", "spec_stop", "spec_seeds", "speculation_stream", "frontier_stream", "observer_rollup", "observer_tree", "absolute_selector", "run_step", "parser_records", "seed_table", "form_overrides", "link_contracts", "incidental_body", "spec_table", "permanent_chain", "observer_json", "failure_actions", "nested_records", "nested_columns", "stream_retries",
     "schema_json", "step_catalog", "crawl", "crawl_deep", "crawl_retries", "crawl_probing", "reseed_points", "speculative_requests", "deferred_fields", "default_headers", "json_api_join", "rate_admit", "rate_stretches", "split_outputs",
 )
 
