@@ -16,6 +16,10 @@ stand in those pages; a name they lack says nothing.
 
 Scripts, styles and the like, whose content is no text of the page, are not read.
 
+A part of a page that is called nothing but comment, reply, social, login and the like is taken for
+what it says, in an article too; a table, figure or quotation of such a name, and a compound with
+a word that pages do not use for their parts, is text if it stands in text.
+
 Defined results: null, empty or tag-only HTML has an empty text. An unclosed element
 ends where its parent does, an unclosed tag or comment at the end of the page, and an
 undecodable character reference stays as it is. ``<br>`` is white space inside a
@@ -63,6 +67,8 @@ ROLES = frozenset("head nav header footer aside form fieldset button select opti
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose id is an anchor to jump to, not the name of a part of the page.
 ANCHORS = frozenset("section p pre li dt dd blockquote figure table".split()) | HEADINGS
+#: Elements that hold pieces of text of a kind, whatever they are called.
+PIECES = frozenset("figure table pre blockquote dl".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table td th body html article section div".split())
@@ -133,8 +139,11 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
 def features(name: str, attrs: str) -> tuple[str, ...]:
     """What an element says about the words in it: its name, if HTML gives it a role, and for each
     name in class, id and role the last word of it that is not about layout, as compounds
-    name a kind of their last word. Ids of ``ANCHORS`` and names on inline elements and
-    headings are told apart; html, body and main say nothing by their names."""
+    name a kind of their last word. A compound says its last word once more, and whether it is
+    made of words of pages (``site-header``, ``post-comments``) or not (``market-share``); one of
+    ``PIECES`` says it once more as well. Ids of ``ANCHORS`` and names on
+    inline elements, headings and ``PIECES`` are told apart; html, body and main say nothing
+    by their names."""
     said = {f"element:{name}"} if name in ROLES else set()
     if not attrs or name in ("html", "body"):
         return tuple(said)
@@ -151,6 +160,12 @@ def features(name: str, attrs: str) -> tuple[str, ...]:
                 named = [w for w in words if w not in LAYOUT]
                 if named:
                     said.add(f"{kind}:{named[-1]}")
+                if named and name in PIECES:
+                    said.add(f"piece:{named[-1]}")
+                elif len(named) > 1 and kind == "name":
+                    said.add(f"compound:{named[-1]}")
+                    if named[-1] in BEFORE and not BEFORE.isdisjoint(named[:-1]):
+                        said.add("compound:words of pages")
     return tuple(sorted(said))
 
 
@@ -402,6 +417,11 @@ AROUND = """ad ads advert adverts advertisement advertising sponsor sponsored pr
     share sharing social buttons related recommended recommendations toolbar pagination pager login search
     contentinfo complementary copyright imprint""".split()
 WITHIN = "post entry article story text main lead intro abstract summary chapter caption code note quote table figure heading title paragraph".split()
+#: Words of ``AROUND`` that mean other things as well: a share of a market, the alert of a price.
+SENSES = "share alert reply notice header footer menu search banner comment related social login sharing advertisement".split()
+#: Words that say of a compound that it is a part of the page.
+OFTEN = "site page blog web post article entry main user reader social comment".split()
+BEFORE = frozenset([*AROUND, *WITHIN, *OFTEN])
 ON_WORDS = "comment keyword string number name highlight term math".split()
 
 
@@ -420,9 +440,15 @@ def labelled(pages: int = PAGES, seed: int = 42) -> list[str]:
         return "<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>" if tag else " ".join(each)
 
     def called(name: str) -> str:
-        name = draw.choice([name, name, f"site-{name}", f"{name}-{draw.choice(sorted(LAYOUT))}", f"page{name.title()}"])
+        before = draw.choice([draw.choice(OFTEN), draw.choice(sorted(BEFORE))])
+        name = draw.choice([name, name, f"{before}-{name}", f"{name}-{draw.choice(sorted(LAYOUT))}", f"{before}{name.title()}"])
         return f'{draw.choice(["class", "class", "id"])}="{name}"'
 
+    def unlike() -> str:
+        """A compound of a word that pages do not use for their parts."""
+        name = "".join(draw.choice("bdfgklmnprst") + draw.choice("aeiou") for _ in range(draw.randint(2, 4)))
+        return f'class="{name}-{draw.choice(SENSES)}"'
+
     def filling() -> str:
         return draw.choice([lambda: links(2, 8, "ul"), lambda: links(2, 6), lambda: f"<p>{words(2, 40)}</p>", lambda: words(1, 30), lambda: f"<h3>{words(1, 4)}</h3><p>{words(2, 20)}</p>{links(1, 4, 'ul', 8)}", lambda: f"<ul><li>{words(2, 9)}</li><li>{words(2, 9)}</li></ul>"])()
 
@@ -433,13 +459,15 @@ def labelled(pages: int = PAGES, seed: int = 42) -> list[str]:
             return f"<{name}>{filling()}</{name}>"
         if kind < 0.8 or not bare:
             name = draw.choice(AROUND)
-            tag = draw.choice(["div", "div", "section", "ul", "p", "span"])
+            tag = draw.choice(["div", "div", "section", "ul", "p", "span", "table"])
+            if tag == "table" and name in SENSES:
+                tag = "div"
             where = f'role="{name}"' if name in ("navigation", "banner", "contentinfo", "complementary", "search") else called(name)
-            return draw.choice([f"<{tag} {where}>{filling() if tag in ('div', 'section') else words(1, 20)}</{tag}>", f"<div hidden>{words(1, 20)}</div>", f"<div {where}>{filling()}</div>", f"<div {where}>{filling()}</div>"])
+            return draw.choice([f"<{tag} {where}>{filling() if tag in ('div', 'section') else f'<tr><td>{links(1, 6)}</td></tr>' if tag == 'table' else words(1, 20)}</{tag}>", f"<div hidden>{words(1, 20)}</div>", f"<div {where}>{filling()}</div>", f"<div {where}>{filling()}</div>"])
         return draw.choice([f"<div>{links(2, 6)}</div>", f"<p>{links(2, 5)}</p>", f"<div>{words(1, 4)}</div>", f"<div>{words(1, 3)} {links(1, 3)}</div>"])
 
     def block() -> str:
-        one = draw.choice(["p", "p", "p", "p", "list", "links", "quote", "table", "code", "figure", "box", "heading", "section", "terms", "lines", "nested"])
+        one = draw.choice(["p", "p", "p", "p", "list", "links", "quote", "table", "code", "figure", "box", "heading", "section", "terms", "lines", "nested", "unlike", "piece"])
         if one == "p":
             return f"<p>{words(3, 80)} <a href='/'>{words(1, 6)}</a> <em>{words(1, 3)}</em> {words(0, 30)}</p>"
         if one == "list":
@@ -458,6 +486,12 @@ def labelled(pages: int = PAGES, seed: int = 42) -> list[str]:
             return f"<div {called(draw.choice(WITHIN))}><p>{words(3, 40)}</p></div>"
         if one == "lines":
             return "".join(f"<div>{words(1, 12)}</div>" for _ in range(draw.randint(2, 5)))
+        if one == "unlike":
+            tag = draw.choice(["div", "div", "p", "section"])
+            return f"<{tag} {unlike()}>{words(1, 20)}</{tag}>"
+        if one == "piece":
+            name = f'class="{draw.choice(SENSES)}"'
+            return draw.choice([f"<figure {name}><img src='i'><figcaption>{words(2, 12)}</figcaption></figure>", f"<table {name}><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>", f"<blockquote {name}>{words(3, 20)}</blockquote>", f"<pre {name}>{words(2, 12)}</pre>"])
         if one == "nested":
             return f"<div><div><p>{words(3, 40)}</p></div><div>{words(1, 20)}<br>{words(1, 20)}</div></div>"
         if one == "heading":

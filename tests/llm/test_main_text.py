@@ -89,6 +89,21 @@ def test_anchors_are_no_hints(page):
     assert M.extract(page) == NAMED[page]
 
 
+OTHER_SENSES = ["div class='market-share'", "p class='price-alert'", "section class='court-reply'", "div id='dinner-menu'", "div class='warrantNotice'", "table class='related'", "figure class='banner'", "blockquote class='comment'", "pre class='login'"]
+PARTS = ["div class='post-comments'", "div class='site-notice'", "div class='entry-footer'", "ul class='social-share'", "div class='reader-comments'", "div class='comment'", "table class='sidebar'", "div class='articleShare'"]
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div>{}</div>", "<main>{}</main>"])
+def test_words_of_pages_in_other_senses_are_text(frame):
+    for opened in OTHER_SENSES:
+        inner = "<tr><td>Words of the inner part here.</td></tr>" if opened.startswith("table") else "Words of the inner part here."
+        page = f"<nav><a href=/>Home</a></nav>{frame.format(f'<h1>Title</h1><p>The first paragraph of the text.</p><{opened}>{inner}</{opened.split()[0]}><p>More at the end of it.</p>')}<footer>foot</footer>"
+        assert M.extract(page) == "Title\nThe first paragraph of the text.\nWords of the inner part here.\nMore at the end of it.", opened
+    for opened in PARTS:
+        page = f"<nav><a href=/>Home</a></nav>{frame.format(f'<h1>Title</h1><p>The first paragraph of the text.</p><{opened}>Words of another kind</{opened.split()[0]}><p>More at the end of it.</p>')}<footer>foot</footer>"
+        assert M.extract(page) == "Title\nThe first paragraph of the text.\nMore at the end of it.", opened
+
+
 def test_text_beside_teasers_is_kept():
     text = "".join(f"<p>Paragraph {i} of the long text.</p>" for i in range(20))
     page = f"<div class='post'><h1>T</h1>{text}</div><article class='card'><a href=/a>Other</a> teaser</article>"
