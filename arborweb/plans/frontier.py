@@ -9,6 +9,9 @@ Each round writes its tables into a folder of its own attempt, and counts once i
 appears in the run's folder. That happens as a whole or not at all, and only once for each
 number: a run that was killed anywhere is taken up from its last manifest by the same call,
 and of two drivers on one folder one goes on, the other gets ``RunConflict``.
+
+What grows with a run is joined by shuffles (``merge``): by their size as compressed files, tables
+of millions of keys would be broadcast, once or more a round, through the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -203,7 +206,11 @@ class _Run:
         k, found = 0, None
         while (text := read_text(self.spark, self.manifest(k))) is not None:
             k, found = k + 1, text
-        return None if found is None else _State(**json.loads(found))
+        if found is None:
+            return None
+        state = _State(**json.loads(found))
+        # a filter of an earlier version has its bits elsewhere: it is made anew from the keys
+        return state if state.filter is None or state.filter.endswith("/bitmaps") else replace(state, filter=None)
 
     def commit(self, state: _State) -> _State:
         if not commit_text(self.spark, self.manifest(state.round), json.dumps(vars(state))):
@@ -223,7 +230,7 @@ class _Run:
         seen = VisitedSet(self.spark, bits=self.bits)
         tables: dict[str, list[str]] = {"visited": [], "sent": [], "results": [], "errors": [], "outcomes": [], "finished": [], "withdrawn": []}
         if visited is not None:
-            seen = seen.add(visited, f"{at}/visited", f"{at}/filter")
+            seen = seen.add(visited, f"{at}/visited", f"{at}/bitmaps")
         templates = None
         first = self.fresh(stored(self.led(self.seeds)), seen, 0)[0]
         if self.probing is not None:
@@ -243,7 +250,7 @@ class _Run:
         free = F.col("dedup_key").isNull() | F.coalesce(F.col("skip_dedup"), F.lit(False))
         keyed = first_of_key(more.filter(~free))
         if besides is not None:
-            keyed = keyed.join(besides.select("dedup_key"), "dedup_key", "left_anti").select(*more.columns)
+            keyed = keyed.join(besides.select("dedup_key").hint("merge"), "dedup_key", "left_anti").select(*more.columns)
         new, said = seen.unseen(keyed)
         rows = new.select(*more.columns).unionByName(more.filter(free))
         return rows.select("*", *self.named(k, "n"), F.expr("CAST(NULL AS STRUCT<entry: STRING, param_index: INT, n: BIGINT>)").alias("probe")), said
@@ -271,14 +278,14 @@ class _Run:
         if self.batch is not None or due:
             sent = written(queue if self.batch is None else next_batch(queue, self.batch), f"{at}/sent")
         if self.batch is not None:
-            rest = queue.join(sent.select("crawl_id"), "crawl_id", "left_anti").select(*queue.columns)
+            rest = queue.join(sent.select("crawl_id").hint("merge"), "crawl_id", "left_anti").select(*queue.columns)
 
         seen = VisitedSet(self.spark, tuple(state.tables["visited"]), state.filter, self.bits)
         found, more, bad, *said = self.run(self.fetch(sent))
         # none of these needs another
         seen, outcomes, more, _, _ = together(
             self.spark,
-            lambda: seen.add(sent.filter((F.col("attempt") == 1) & ~F.coalesce("skip_dedup", F.lit(False))), f"{at}/visited", f"{at}/filter"),
+            lambda: seen.add(sent.filter((F.col("attempt") == 1) & ~F.coalesce("skip_dedup", F.lit(False))), f"{at}/visited", f"{at}/bitmaps"),
             lambda: self.decided(said[0] if said else None, sent, f"{at}/outcomes"),
             lambda: stored(self.led(more)),
             lambda: written(found, f"{at}/results"),
@@ -310,7 +317,7 @@ class _Run:
             rows = own.withColumns({"action": F.lit("step"), "wait": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")})
         else:
             extra = [F.col("wait").cast("double").alias("wait") if "wait" in said.columns else F.lit(None).cast("double").alias("wait"), F.col("reason").cast("string").alias("reason") if "reason" in said.columns else F.lit(None).cast("string").alias("reason")]
-            rows = own.join(said.select("crawl_id", "action", *extra), "crawl_id", "left").withColumn("action", F.coalesce("action", F.lit("lost")))
+            rows = own.join(said.select("crawl_id", "action", *extra).hint("merge"), "crawl_id", "left").withColumn("action", F.coalesce("action", F.lit("lost")))
         again = (F.col("action") == "retry") & (F.col("attempt") < self.retry.attempts)
         waits = (F.col("action") == "await") & (F.col("waited") + self.retry.interval <= self.retry.patience)
         kept = F.col("action").isin("step", "skip", "halt", "failed_probe")
@@ -323,7 +330,7 @@ class _Run:
         wait = F.when(F.col("decision") == "await", F.lit(self.retry.interval)).otherwise(F.coalesce("wait", backoff))
         again = outcomes.filter("decision IN ('retry', 'await')").select("crawl_id", "decision", F.ceil((F.lit(now) + wait) / self.retry.width).cast("bigint").alias("due_bucket"))
         awaits = F.col("decision") == "await"
-        rows = sent.join(again, "crawl_id").withColumns({"attempt": F.when(awaits, F.col("attempt")).otherwise(F.col("attempt") + 1), "waited": F.when(awaits, F.col("waited") + self.retry.interval).otherwise(F.lit(0.0))})
+        rows = sent.join(again.hint("merge"), "crawl_id").withColumns({"attempt": F.when(awaits, F.col("attempt")).otherwise(F.col("attempt") + 1), "waited": F.when(awaits, F.col("waited") + self.retry.interval).otherwise(F.lit(0.0))})
         rows.select(*sent.columns, "due_bucket").write.mode("overwrite").partitionBy("due_bucket").parquet(f"{at}/waiting")
         out = {b: list(p) for b, p in before.items() if b not in due}
         # as many as there are buckets within the longest wait
@@ -339,13 +346,13 @@ class _Run:
         now = self.read(state.templates, TEMPLATES)
         keys = ["entry", "param_index"]
         ended = outcomes.filter("decision NOT IN ('retry', 'await')").select("crawl_id", (F.col("decision") == "step").alias("ok"))
-        fresh = sent.filter("probe is not null").select("crawl_id", "probe.*").join(ended, "crawl_id").select(*keys, "n", "ok")
+        fresh = sent.filter("probe is not null").select("crawl_id", "probe.*").join(ended.hint("merge"), "crawl_id").select(*keys, "n", "ok")
         answers = written(self.read(state.answers, ANSWERS).unionByName(fresh), f"{at}/probed")
-        whole = now.join(answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got")), keys, "left").select(*keys, (F.coalesce("_got", F.lit(0)) >= F.col("asked")).alias("_whole"))
-        answered = answers.join(whole.filter("_whole").select(*keys), keys)
+        whole = now.join(answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got")).hint("merge"), keys, "left").select(*keys, (F.coalesce("_got", F.lit(0)) >= F.col("asked")).alias("_whole"))
+        answered = answers.join(whole.filter("_whole").select(*keys).hint("merge"), keys)
         moved = speculate.advanced(now, answered)
-        same = now.join(moved.select(*keys), keys, "left_anti").select(*now.columns)
-        open_ = answers.join(whole.filter("_whole").select(*keys), keys, "left_anti").select(*answers.columns)
+        same = now.join(moved.select(*keys).hint("merge"), keys, "left_anti").select(*now.columns)
+        open_ = answers.join(whole.filter("_whole").select(*keys).hint("merge"), keys, "left_anti").select(*answers.columns)
         over = F.col("consecutive_failures") >= F.col("gap")
         moved = stored(moved)
         left = F.greatest(F.col("gap") - F.col("consecutive_failures"), F.lit(1)).cast("bigint")
@@ -368,7 +375,7 @@ class _Run:
         written(states, f"{at}/templates")
         windows = states.select("entry", "param_index", F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.col("asked") - 1)).alias("n"))
         probes = stored(self.as_probes(windows, k))
-        keyed = first.join(probes.filter("dedup_key is not null").select("dedup_key").distinct().withColumn("_probe", F.lit(True)), "dedup_key", "left")
+        keyed = first.join(probes.filter("dedup_key is not null").select("dedup_key").distinct().withColumn("_probe", F.lit(True)).hint("merge"), "dedup_key", "left")
         kept = keyed.filter(F.col("_probe").isNull() | F.coalesce("skip_dedup", F.lit(False)))
         return kept.select(*first.columns).unionByName(probes), f"{at}/templates"
 
@@ -433,7 +440,7 @@ class _Run:
         others = named.join(gone, "crawl_id", "left_anti").select("dedup_key").distinct()
         forgotten = lost.join(others, "dedup_key", "left_anti")
         keys = VisitedSet(self.spark, tuple(state.tables["visited"])).keys().select("dedup_key").distinct().join(forgotten, "dedup_key", "left_anti")
-        seen = VisitedSet(self.spark, bits=self.bits).add(keys, f"{at}/visited", f"{at}/filter")
+        seen = VisitedSet(self.spark, bits=self.bits).add(keys, f"{at}/visited", f"{at}/bitmaps")
         waiting: dict[str, list[str]] = {}
         for due, paths in state.waiting.items():
             rows = reduce(DataFrame.unionByName, [self.read(p, self.schema) for p in paths])

@@ -4,7 +4,8 @@ Keys lie in segments, sorted by ranges of their hash. A Bloom
 filter of fixed size, kept as a table of bitmaps, is asked first: keys it has never seen are
 new for sure. Only for those that it lets through the ranges they fall in are read, and the
 answer is exact. A set that outgrows its filter lets more keys through to the exact
-test; no answer changes.
+test; no answer changes. All bits of a key lie in one bitmap, so keys meet the filter by one
+shuffled join, and nothing of it passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from ..storage import stored
 
 #: Ranges of the keys' hashes.
 BUCKETS = 32
-#: Bits of the filter (8 MB as bitmaps), and how many a key sets.
-BITS, HASHES = 1 << 26, 4
+#: Bits of the filter (8 MB as bitmaps), and how many a key sets; bits of one bitmap, as Spark makes them.
+BITS, HASHES, BITMAP = 1 << 26, 4, 1 << 15
 FILTER = "word BIGINT, bits BINARY"
 SEGMENT = "dedup_key STRING, bucket INT"
 
@@ -30,10 +31,16 @@ def bucket(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - (BUCKETS - 1).bit_length()).cast("int")
 
 
+def _word(key: Column, bits: int) -> Column:
+    """The bitmap that a key's bits lie in: ranges of the same hash as ``bucket``, so that a segment's
+    tasks meet few of them each."""
+    return F.floor(F.shiftrightunsigned(F.xxhash64(key), 33) * max(1, bits // BITMAP) / (1 << 31)).cast("bigint")
+
+
 def _places(key: Column, bits: int) -> list[Column]:
-    """The bits that a key sets, from 1."""
+    """The bits that a key sets in its bitmap, from 0."""
     a, b = F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))
-    return [F.pmod(F.try_add(F.shiftright(a, 1), F.shiftright(b, 3) * k), F.lit(bits)) + 1 for k in range(HASHES)]
+    return [F.pmod(F.try_add(F.shiftright(a, 1), F.shiftright(b, 3) * k), F.lit(min(bits, BITMAP))).cast("int") for k in range(HASHES)]
 
 
 @dataclass(frozen=True)
@@ -59,9 +66,10 @@ class VisitedSet:
         filter to ``filter``."""
         own = keys.filter("dedup_key is not null").select("dedup_key", bucket(F.col("dedup_key")).alias("bucket"))
         self.laid(own, segment)
-        added = self.spark.read.schema(SEGMENT).parquet(segment)
-        places = added.select(F.explode(F.array(*_places(F.col("dedup_key"), self.bits))).alias("p"))
-        bitmaps = places.groupBy(F.bitmap_bucket_number("p").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        # a filter is missing where an earlier version of this package made the set
+        added = self.spark.read.schema(SEGMENT).parquet(*([] if self.filter else self.segments), segment)
+        places = added.select(_word(F.col("dedup_key"), self.bits).alias("word"), F.explode(F.array(*_places(F.col("dedup_key"), self.bits))).alias("p"))
+        bitmaps = places.groupBy("word").agg(F.bitmap_construct_agg("p").alias("bits"))
         if self.filter:
             before = self.spark.read.schema(FILTER).parquet(self.filter)
             bitmaps = before.unionByName(bitmaps).groupBy("word").agg(F.bitmap_or_agg("bits").alias("bits"))
@@ -77,19 +85,18 @@ class VisitedSet:
         return VisitedSet(self.spark, (*self.segments[:since], segment), self.filter, self.bits)
 
     def asked(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``maybe``: False for keys that are new for sure. The filter is broadcast:
-        at most ``bits`` bits."""
+        """``rows`` with ``maybe``: False for keys that are new for sure."""
         if self.filter is None:
-            return rows.withColumn("maybe", F.lit(False))
-        table = self.spark.read.schema(FILTER).parquet(self.filter)
-        columns = rows.columns
-        for k, place in enumerate(_places(F.col("dedup_key"), self.bits)):
-            words = F.broadcast(table.select(F.col("word").alias(f"_word{k}"), F.col("bits").alias(f"_bits{k}")))
-            at = F.bitmap_bit_position(place)
-            byte = F.conv(F.hex(F.substring(F.col(f"_bits{k}"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            met = rows.join(words, F.bitmap_bucket_number(place) == F.col(f"_word{k}"), "left")
-            rows = met.withColumn(f"_set{k}", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(f"_word{k}", f"_bits{k}")
-        return rows.withColumn("maybe", reduce(Column.__and__, [F.col(f"_set{k}") for k in range(HASHES)])).select(*columns, "maybe")
+            return rows.withColumn("maybe", F.lit(bool(self.segments)))
+        table = self.spark.read.schema(FILTER).parquet(self.filter).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+        # never broadcast: sparse bitmaps are small as files, and not in the driver
+        met = rows.withColumn("_word", _word(F.col("dedup_key"), self.bits)).join(table.hint("merge"), "_word", "left")
+
+        def is_set(place: Column) -> Column:
+            byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+        return met.withColumn("maybe", reduce(Column.__and__, [is_set(p) for p in _places(F.col("dedup_key"), self.bits)])).select(*rows.columns, "maybe")
 
     def unseen(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         """(the ``rows`` whose key is new, counts: how many keys were ``asked`` for, how many the
@@ -103,5 +110,5 @@ class VisitedSet:
         new = flagged
         if hit:
             there = self.keys(hit)
-            new = flagged.filter("not coalesce(maybe, false)").unionByName(flagged.filter("maybe").join(there, ["bucket", "dedup_key"], "left_anti").select(*flagged.columns))
+            new = flagged.filter("not coalesce(maybe, false)").unionByName(flagged.filter("maybe").join(there.hint("merge"), ["bucket", "dedup_key"], "left_anti").select(*flagged.columns))
         return new.select(*rows.columns), said

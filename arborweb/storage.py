@@ -129,6 +129,13 @@ def spooled(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` spooled by ``keys``, in their order, for a table that is joined by them again and
+    again: only what meets it is shuffled, and it is never broadcast, however small it looks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spooled(df.repartition(parts, *keys).sortWithinPartitions(*keys)).hint("merge")
+
+
 def stored(df: DataFrame, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read back: the lineage is cut, and a lost executor costs
     no recomputation of what stands above. With ``rows``, at most how many there are, it is

@@ -245,3 +245,16 @@ def test_a_failed_subtree_is_taken_back_and_run_again(spark, tmp_path):
     assert frontier.reseed(seeds, folder) == 0
     with pytest.raises(ConfigError):
         frontier.reseed(seeds, str(tmp_path / "none"))
+
+
+def test_the_filter_is_never_broadcast(spark, tmp_path):
+    """Four broadcasts of its bitmaps a round filled the driver."""
+    keys = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("dedup_key"))
+    seen = VisitedSet(spark).add(spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("dedup_key")), f"{tmp_path}/s", f"{tmp_path}/f")
+    plan = seen.asked(keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    # a set made before its filter's layout changed has none: all keys are tested exactly, and the next filter has all
+    old = VisitedSet(spark, seen.segments)
+    assert old.unseen(keys)[0].count() == seen.unseen(keys)[0].count() == 1000
+    again = old.add(keys.limit(0), f"{tmp_path}/s2", f"{tmp_path}/f2")
+    assert again.asked(keys).filter("maybe").count() >= 1000 and again.unseen(keys)[0].count() == 1000
