@@ -64,7 +64,7 @@ def stops(outcomes: DataFrame, gap: int, keys: list[str]) -> DataFrame:
     rows = failures_beyond(outcomes, keys)
     stop = rows.groupBy(*keys).agg(F.min(F.when(F.col("beyond") >= gap, F.col("n"))).alias("stop_n"))
     # successes after the stop are never probed
-    kept = rows.join(stop, keys).filter(F.col("stop_n").isNull() | (F.col("n") <= F.col("stop_n")))
+    kept = rows.join(stop.hint("merge"), keys).filter(F.col("stop_n").isNull() | (F.col("n") <= F.col("stop_n")))
     return kept.groupBy(*keys, "stop_n").agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("highest_success"))
 
 
@@ -73,8 +73,8 @@ def state(outcomes: DataFrame, of: DataFrame) -> DataFrame:
     ``highest_success, consecutive_failures, next_n, done``."""
     keys = ["entry", "param_index"]
     high = outcomes.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("highest_success"), F.max("n").alias("last"))
-    after = outcomes.join(high, keys).groupBy(*keys).agg(F.count_if(~F.col("ok") & (F.col("n") > F.coalesce("highest_success", F.lit(0)))).alias("consecutive_failures"))
-    met = of.join(high, keys, "left").join(after, keys, "left").withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0)))
+    after = outcomes.join(high.hint("merge"), keys).groupBy(*keys).agg(F.count_if(~F.col("ok") & (F.col("n") > F.coalesce("highest_success", F.lit(0)))).alias("consecutive_failures"))
+    met = of.join(high.hint("merge"), keys, "left").join(after.hint("merge"), keys, "left").withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0)))
     nxt = F.greatest(F.coalesce(F.col("last") + 1, F.col("min")), F.when(F.col("last").isNull(), F.col("min")).otherwise(F.col("soft_max")))
     done = (F.col("consecutive_failures") >= F.col("gap")) & (nxt >= F.col("soft_max"))
     return met.select(*keys, "highest_success", "consecutive_failures", nxt.alias("next_n"), done.alias("done"), "gap")
@@ -89,11 +89,12 @@ def next_probes(now: DataFrame) -> DataFrame:
 def advanced(now: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Templates with their state (``highest_success, consecutive_failures, next_n``) after one
     more window of ``outcomes``, which has an outcome for each number from ``next_n`` on to
-    its last. Only the window is looked at, however much was probed before."""
+    its last. Only the window is looked at, however much was probed before. Joined by shuffles:
+    the states of all templates, broadcast in each round, would pass through the driver."""
     keys = ["entry", "param_index"]
     window = outcomes.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("_high"), F.max("n").alias("_last"), F.count(F.lit(1)).alias("_n"))
     failed = F.when(F.col("_high").isNull(), F.col("consecutive_failures") + F.col("_n")).otherwise(F.col("_last") - F.col("_high"))
-    met = now.join(window, keys).withColumns({"highest_success": F.coalesce("_high", "highest_success"), "consecutive_failures": failed, "next_n": F.col("_last") + 1})
+    met = now.join(window.hint("merge"), keys).withColumns({"highest_success": F.coalesce("_high", "highest_success"), "consecutive_failures": failed, "next_n": F.col("_last") + 1})
     return met.select(*now.columns)
 
 
