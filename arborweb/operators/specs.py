@@ -6,8 +6,9 @@ A spec is a row, with the meaning of ``incidental.Match``: ``spec_id``, a glob `
 
 Each spec is filed under one key that all it matches must have: a query parameter, a header, a
 stretch of the letters that its glob spells out, its kind or method; only a spec that
-has none of these is held against every capture. A capture has all its keys, so an equality
-join finds the few specs worth testing, and one predicate decides, the same for all.
+has none of these is held against every capture. Of several such keys a spec is filed under the
+one that fewest specs have, and specs that test the same are tested once. A capture has all its
+keys, so an equality join finds the few specs worth testing, and one predicate decides, the same for all.
 """
 
 from __future__ import annotations
@@ -120,6 +121,23 @@ def filed(specs: DataFrame) -> DataFrame:
     return rows.withColumn("key", key).drop("_stretch")
 
 
+def filed_apart(specs: DataFrame) -> DataFrame:
+    """``filed``, but of all query parameters, headers and stretches of letters that a spec's matches must
+    have, ``key`` is the one that fewest of ``specs`` have: what all have (a site's name, a campaign)
+    would hold each of them against each capture. ``spec_id`` names a row."""
+    none = F.expr("cast(array() as array<string>)")
+    stretch = series_udf(_stretch, T.StringType())(F.col("url"))
+    grams = F.when(F.length("_stretch") >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(F.length("_stretch") - GRAM + 1, F.lit(1))), lambda k: F.concat(F.lit("u:"), F.substr(F.col("_stretch"), k, F.lit(GRAM)))))
+    query = F.transform(F.array_sort(F.map_entries("query")), lambda e: F.concat(F.lit("q:"), e["key"], F.lit("="), e["value"]))
+    headers = F.transform(F.array_sort(_lowered(F.col("headers"))), lambda e: F.concat(F.lit("h:"), e["k"], F.lit("="), e["v"]))
+    all_ = F.array_compact(F.array_distinct(F.concat(F.array("key"), *[F.coalesce(x, none) for x in (query, headers, grams)])))
+    rows = filed(specs)
+    may = rows.withColumn("_stretch", stretch).filter(F.substring("key", 1, 2).isin("q:", "h:", "u:")).select("spec_id", F.posexplode(all_).alias("_at", "_key"))
+    n = may.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    best = may.join(n, "_key").groupBy("spec_id").agg(F.min_by("_key", F.struct("_n", "_at")).alias("_best"))
+    return rows.join(best, "spec_id", "left").withColumn("key", F.coalesce("_best", "key")).drop("_best")
+
+
 def _keys(url: Column, method: Column, kind: Column, headers: Column) -> Column:
     """All keys under which a spec may be filed that a capture meets."""
     none = F.expr("cast(array() as array<string>)")
@@ -130,6 +148,12 @@ def _keys(url: Column, method: Column, kind: Column, headers: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(plain, F.coalesce(grams, none), F.coalesce(query, none), F.coalesce(named, none)), lambda k: k.isNotNull()))
 
 
+def _same() -> Column:
+    """A name for all that a spec tests."""
+    each = {c: F.array_sort(F.map_entries(c)) if c in ("query", "headers") else F.col(c) for c in TESTED}
+    return F.sha2(F.to_json(F.struct(*[v.alias(c) for c, v in each.items()])), 256)
+
+
 def _test(s: str, c: str) -> Column:
     """Whether capture ``c`` is as spec ``s`` says; both name struct columns."""
 
@@ -162,11 +186,14 @@ def matches(captured: DataFrame, specs: DataFrame) -> DataFrame:
     """``spec_id`` and the columns of ``captured`` (url, method, resource_type, headers, body among
     them), a row for each capture that a spec fits. Invalid specs fit nothing (``invalid``)."""
     columns = captured.columns
-    good = specs.join(invalid(specs).select("spec_id"), "spec_id", "left_anti")
-    of = filed(good).select("key", F.struct("spec_id", *TESTED, "pattern").alias("_spec"))
+    good = specs.join(invalid(specs).select("spec_id"), "spec_id", "left_anti").withColumn("_same", _same())
+    # specs that test the same are one until they have met their captures
+    tests = good.dropDuplicates(["_same"]).select(F.col("_same").alias("spec_id"), *TESTED)
+    of = filed_apart(tests).select("key", F.struct("spec_id", *TESTED, "pattern").alias("_spec"))
     own = captured.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_capture"))
     keyed = own.withColumn("key", F.explode(_keys(F.col("_capture.url"), F.col("_capture.method"), F.col("_capture.resource_type"), F.col("_capture.headers"))))
-    return keyed.join(of, "key").filter(_test("_spec", "_capture")).select(F.col("_spec.spec_id").alias("spec_id"), "_capture.*")
+    met = keyed.join(of, "key").filter(_test("_spec", "_capture")).select(F.col("_spec.spec_id").alias("_same"), "_capture")
+    return met.join(good.select("_same", "spec_id"), "_same").select("spec_id", "_capture.*")
 
 
 def claims(requests: DataFrame, captured: DataFrame, specs: DataFrame, *, samples: int = 5) -> DataFrame:

@@ -23,3 +23,15 @@ def test_states_of_templates_are_never_broadcast(spark):
     moved = speculate.advanced(of, outcomes)
     assert "Broadcast" not in plan(moved)
     assert [(r["highest_success"], r["consecutive_failures"], r["next_n"]) for r in moved.collect()] == [(1, 1, 3)]
+
+
+def test_specs_with_much_in_common_are_filed_apart(spark):
+    """Sixty globs of one site with one campaign were all held against each capture."""
+    from arborweb.operators import specs
+
+    rows = [(f"s{k}", f"*.example.com/en/{k % 30:02}*", None, None, {"utm_source": "feed"}, None, None, None) for k in range(60)]
+    table = spark.createDataFrame(rows, specs.SPEC)
+    keys = [r["key"] for r in specs.filed_apart(table).collect()]
+    assert len(set(keys)) == 30 and all(k.startswith("u:") for k in keys)
+    captured = spark.createDataFrame([(n, f"http://a.example.com/en/{n:02}?utm_source=feed", None, None, None, None) for n in range(20)], "n INT, url STRING, method STRING, resource_type STRING, headers MAP<STRING, STRING>, body BINARY")
+    assert sorted((r["spec_id"], r["n"]) for r in specs.matches(captured, table).collect()) == sorted((f"s{k}", k % 30) for k in range(60) if k % 30 < 20)
