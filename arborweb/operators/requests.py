@@ -214,9 +214,11 @@ def resolve_deferred(requests: DataFrame, resolvers: dict[str, Callable]) -> Dat
 
 def archive_decisions(requests: DataFrame, archive: DataFrame) -> DataFrame:
     """``request_id, download, file_url`` of archive requests: a file that ``archive`` (url,
-    file_url) has is used again, any other is downloaded."""
-    files = archive.groupBy("url").agg(F.min("file_url").alias("file_url"))
-    return requests.filter("archive").join(files, "url", "left").select("request_id", F.col("file_url").isNull().alias("download"), "file_url")
+    file_url) has is used again, any other is downloaded. Where both have a ``dedup_key``, that
+    says whether a file is the request's own: of one URL there may be several files."""
+    key = "dedup_key" if "dedup_key" in requests.columns and "dedup_key" in archive.columns else "url"
+    files = archive.groupBy(key).agg(F.min("file_url").alias("file_url"))
+    return requests.filter("archive").join(files, key, "left").select("request_id", F.col("file_url").isNull().alias("download"), "file_url")
 
 
 def chains(requests: DataFrame) -> DataFrame:

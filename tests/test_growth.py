@@ -35,3 +35,13 @@ def test_specs_with_much_in_common_are_filed_apart(spark):
     assert len(set(keys)) == 30 and all(k.startswith("u:") for k in keys)
     captured = spark.createDataFrame([(n, f"http://a.example.com/en/{n:02}?utm_source=feed", None, None, None, None) for n in range(20)], "n INT, url STRING, method STRING, resource_type STRING, headers MAP<STRING, STRING>, body BINARY")
     assert sorted((r["spec_id"], r["n"]) for r in specs.matches(captured, table).collect()) == sorted((f"s{k}", k % 30) for k in range(60) if k % 30 < 20)
+
+
+def test_files_of_pages_with_one_url(spark, tmp_path):
+    """A page took the file of another page with its URL, against the SQL."""
+    pages = spark.createDataFrame([(k, f"http://x/{k // 4}" if k else None) for k in range(24)], "page_id LONG, url STRING")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, queries.q_archive_decisions(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT request_id, download, file_url FROM ({oracles.SQL['archive_decisions']})").fetchall())
