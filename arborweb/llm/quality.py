@@ -19,6 +19,7 @@ key and the text are not read, whatever their names; ``keep`` hands them on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, utf8
+from .common import map_arrow, slices, stored, utf8
 
 BUCKETS = 1 << 16
 SYMBOLS = "#*$%&|<>"
@@ -149,71 +150,97 @@ COLUMNS = T.StructType(
 _ARROW = [(f.name, {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.dataType.simpleString()]) for f in COLUMNS]
 
 
-def labelled(labels: DataFrame, *, most: int = 20_000, key: str = "doc_id", quality: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Ids of trusted and of poor documents, at most ``most`` of each, chosen by a hash of
-    the id. An id with labels of both kinds counts as poor."""
+def labelled(labels: DataFrame, *, key: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """``k, good, half`` of every labelled id; trusted ones are halved by a hash of the id. An id with
+    labels of both kinds counts as poor."""
     each = labels.filter(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(key).cast("long").alias("k")).agg(F.min(quality).alias("q"))
-    out = []
-    for good in (True, False):
-        rows = each.filter((F.col("q") > 0) == good).orderBy(F.xxhash64("k"), "k").limit(most).select("k").collect()
-        out.append(np.array(sorted(r["k"] for r in rows), np.int64))
-    return out[0], out[1]
+    return each.select("k", (F.col("q") > 0).alias("good"), F.pmod(F.xxhash64("k"), F.lit(2)).cast("int").alias("half"))
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    """Keys as integers; a null key matches no label."""
-    return np.array([-1 << 63 if k is None else k for k in column.to_pylist()], np.int64)
+#: Scores as whole numbers of the same order, and the digits of a rank's search: one table of counts a digit.
+_DIGIT, _DIGITS = 16, 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, smoothing: float = 1.0, spare: float = 0.002, key: str = "doc_id", text: str = "text") -> Rules:
+def _ordered(scores: np.ndarray) -> np.ndarray:
+    bits = scores.astype(np.float64).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def _score(ordered: int) -> float:
+    bits = np.int64(ordered)
+    return float((bits if bits >= 0 else bits ^ np.int64((1 << 63) - 1)).view(np.float64))
+
+
+def at_rank(rows: DataFrame, place: int) -> float:
+    """The score at a place from 0 in the order of ``rows`` (ordered), exactly: digit by digit, each by counts of
+    at most 2^16 values, however many rows there are."""
+    found = 0
+    for k in range(_DIGITS):
+        down = 64 - _DIGIT * (k + 1)
+        # the first digit has the sign
+        digit = F.shiftright("ordered", down) if k == 0 else F.shiftright("ordered", down).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+        here = rows if k == 0 else rows.filter(F.shiftright("ordered", down + _DIGIT) == found)
+        for r in sorted(here.groupBy(digit.alias("d")).count().collect(), key=lambda r: r["d"]):
+            if place < r["count"]:
+                found = r["d"] if k == 0 else (found << _DIGIT) | r["d"]
+                break
+            place -= r["count"]
+    return _score(found)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, smoothing: float = 1.0, spare: float = 0.002, key: str = "doc_id", text: str = "text") -> Rules:
     """Count both multinomials and choose the threshold.
 
-    The raw counts are over every document; the trusted ones over every other id of the
-    labelled sample of at most ``most`` ids (``labelled``). The rest of the sample
-    calibrates the threshold: scores of documents that were counted would be too high to
+    The raw counts are over every document; the trusted ones over one half of all trusted ids
+    (``labelled``). The other half and all poor ones
+    calibrate the threshold: scores of documents that were counted would be too high to
     compare with. Among those that pass the base rule, the threshold leaves a share ``spare`` of the trusted scores below it; if the poor ones,
-    but for such a share, all lie lower still, it is midway in the gap. Only ``BUCKETS``
-    counts and the scores of the sample reach the driver.
+    but for such a share, all lie lower still, it is midway in the gap. Labelled documents meet
+    their labels in a join. Only ``BUCKETS`` counts and the counts of ``at_rank`` reach the driver.
     """
-    good, poor = labelled(labels, most=most, key=key)
-    if not len(good):
+    marks = labelled(labels, key=key)
+    halves = sorted(r["half"] for r in marks.filter("good").select("half").distinct().collect())
+    if not halves:
         return Rules()
     spark = docs.sparkSession
-    target, good = good[::2], good[1::2]
-    ids = spark.sparkContext.broadcast((target, good, poor))
     pairs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    counted = F.col("good") & (F.col("half") == halves[0])
+    mine = stored(pairs.join(marks.select("k", "good", counted.alias("counted")), "k").select("t", "good", "counted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, raw, trusted = Words(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        words, n = Words(), np.zeros(BUCKETS, np.int64)
         for batch in slices(batches):
-            numbers, hashes = words.number([utf8(t) for t in batch.column(1).to_pylist()])
-            b, owner = buckets(numbers, hashes)
-            raw += np.bincount(b, minlength=BUCKETS)
-            trusted += np.bincount(b[np.isin(_ids(batch.column(0)), ids.value[0])[owner]], minlength=BUCKETS)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(seen, pa.int32()), "raw": raw[seen], "trusted": trusted[seen]})
-
-    counts = map_arrow(pairs, count, T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("raw", T.LongType()), T.StructField("trusted", T.LongType())]))
-    raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect():
-        raw[r["bucket"]], trusted[r["bucket"]] = r["raw"], r["trusted"]
+            n += np.bincount(buckets(*words.number([utf8(t) for t in batch.column(0).to_pylist()]))[0], minlength=BUCKETS)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(seen, pa.int32()), "n": n[seen]})
+
+    def counts(texts: DataFrame) -> np.ndarray:
+        n = np.zeros(BUCKETS)
+        for r in map_arrow(texts, count, T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            n[r["bucket"]] = r["n"]
+        return n
+
+    trusted = counts(mine.filter("counted").select("t"))
     if not trusted.sum():
         return Rules()
+    raw = counts(pairs.select("t"))
     ratio = np.log((trusted + smoothing) / (trusted.sum() + smoothing * BUCKETS)) - np.log((raw + smoothing) / (raw.sum() + smoothing * BUCKETS))
     rules = spark.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Rules(rules.value)
-        both = np.concatenate(ids.value[1:])
         for batch in slices(batches):
-            batch = batch.filter(pa.array(np.isin(k := _ids(batch.column(0)), both)))
-            if batch.num_rows:
-                said = judge.judge(batch.column(1).to_pylist())
-                k = _ids(batch.column(0))
-                yield pa.RecordBatch.from_pydict({"good": np.isin(k, ids.value[1]), "failed": said["base_failed"], "score": said["score"]})
-
-    rows = map_arrow(pairs, score, T.StructType([T.StructField("good", T.BooleanType()), T.StructField("failed", T.BooleanType()), T.StructField("score", T.DoubleType())])).filter("not failed").select("good", "score").collect()
-    return Rules(ratio, threshold([r["score"] for r in rows if r["good"]], [r["score"] for r in rows if not r["good"]], spare))
+            said = judge.judge(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_pydict({"good": batch.column(1), "failed": said["base_failed"], "ordered": _ordered(np.array(said["score"], np.float64))})
+
+    kinds = T.StructType([T.StructField("good", T.BooleanType()), T.StructField("failed", T.BooleanType()), T.StructField("ordered", T.LongType())])
+    rows = stored(map_arrow(mine.filter("not counted").select("t", "good"), score, kinds).filter("not failed").select("good", "ordered"))
+    n = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
+    if not n.get(True):
+        return Rules(ratio)
+    least = at_rank(rows.filter("good"), math.floor(spare * (n[True] - 1)))
+    most = at_rank(rows.filter("not good"), math.ceil((1 - spare) * (n[False] - 1))) if n.get(False) else least
+    return Rules(ratio, (least + min(least, most)) / 2)
 
 
 def threshold(good: list[float], poor: list[float], spare: float) -> float:
