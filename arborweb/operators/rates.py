@@ -6,6 +6,7 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def admit_all(requests: DataFrame, rates: list[tuple[int, float]], *, keys: list
     key is cut into blocks of that length, and wherever every request of a block passes for
     sure, what follows it starts anew with that block as its history (``stretches``). Stretches
     are read each in order, as columns; of all that went before, only the last ``limit`` times
-    are held. A key of any size is spread over as many tasks as it has stretches; one whose
+    are held, and what is refused between two admissions is passed over by a binary search. A key of any size is spread over as many tasks as it has stretches; one whose
     limits are exceeded in every block is one stretch, as all that it lets through hangs
     together. The requests are read twice: store them first if they are dear to make.
     """
@@ -82,15 +83,32 @@ def admit_all(requests: DataFrame, rates: list[tuple[int, float]], *, keys: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passed = None, deque(maxlen=longest)
         for batch in batches:
-            said, shown = [], batch.column(0).is_valid()
-            for key, t, free, stretch, asks in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), shown.to_pylist(), strict=True):
-                if (key, stretch) != now:
-                    now, passed = (key, stretch), deque(maxlen=longest)
-                # of a rate's last admissions, the one ``limit`` back must lie a full window ago
-                ok = not asks or free or all(len(passed) < n or passed[-n] <= t - s for n, s in spans)
-                if ok and not free:
-                    passed.append(t)
-                said.append(ok)
+            shown = batch.column(0).is_valid()
+            keys, stretch = batch.column(1).dictionary_encode().indices.to_numpy(), batch.column(4).to_numpy()
+            times, free, asks = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), shown.to_numpy(zero_copy_only=False)
+            said = free | ~asks
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (stretch[1:] != stretch[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(times)], strict=True):
+                if lo == hi:
+                    continue
+                if (mine := (batch.column(1)[lo].as_py(), int(stretch[lo]))) != now:
+                    now, passed = mine, deque(maxlen=longest)
+                # what serves as history was let through; it comes before all that asks
+                first = lo + int(np.searchsorted(asks[lo:hi], True))
+                passed.extend(times[max(lo, first - longest) : first].tolist())
+                waits = first + np.flatnonzero(~free[first:hi])
+                due, at = times[waits], 0
+                while True:
+                    # of a rate's last admissions, the one ``limit`` back must lie a full window ago:
+                    # all before that instant are refused at once
+                    least = [passed[-n] + s for n, s in spans if len(passed) >= n]
+                    if least:
+                        at += int(np.searchsorted(due[at:], max(least)))
+                    if at >= len(due):
+                        break
+                    said[waits[at]] = True
+                    passed.append(int(due[at]))
+                    at += 1
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(shown), pa.array(said, pa.bool_()).filter(shown)], names=["row", "admitted"])
 
     schema = T.StructType([T.StructField("row", requests.schema), T.StructField("admitted", T.BooleanType())])
