@@ -221,6 +221,24 @@ def archive_decisions(requests: DataFrame, archive: DataFrame) -> DataFrame:
     return requests.filter("archive").join(files, key, "left").select("request_id", F.col("file_url").isNull().alias("download"), "file_url")
 
 
+#: An ancestor of one row in so many or more is known to all tasks: at most as many are.
+HOT = 1000
+
+
+def met_above(up: DataFrame, other: DataFrame) -> DataFrame:
+    """``up`` joined to what ``other`` has for its ``above``, one row each, if anything. In the end all rows
+    of a tree have its root above them, so the ancestors of many (at most ``HOT``) are broadcast, and
+    their rows stay where they are; the rest, none of them hot, is shuffled. Inputs are read
+    more than once."""
+    n = up.count()
+    many = up.filter("above is not null").groupBy("above").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT >= max(n, HOT * HOT))
+    hot = stored(many.select("above", F.lit(True).alias("_hot")).join(other, "above", "left"))
+    near = up.join(F.broadcast(hot), "above", "left")
+    columns = near.drop("_hot").columns
+    far = near.filter("_hot is null and above is not null").select(*up.columns).join(other.hint("merge"), "above", "left")
+    return near.filter("_hot is not null or above is null").select(*columns).unionByName(far.select(*columns))
+
+
 def chains(requests: DataFrame) -> DataFrame:
     """``request_id, depth, root_id`` by following parents. Each round doubles the reach of
     every row, so a chain of n requests takes log n joins. Where parents run in a circle
@@ -229,7 +247,7 @@ def chains(requests: DataFrame) -> DataFrame:
     most, reach = up.count(), 1
     while True:
         other = up.filter("above is not null").select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
-        met = stored(up.join(other, "above", "left"))
+        met = stored(met_above(up, other))
         if reach > most or met.filter("next is not null").isEmpty():
             break
         up = met.select("request_id", F.coalesce("next", "above").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
@@ -252,7 +270,7 @@ def reseed_points(requests: DataFrame, failed: DataFrame) -> DataFrame:
         if reach > most or up.filter("above is not null").isEmpty():
             break
         other = up.select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("reseed_id").alias("found"))
-        up = up.join(other, "above", "left").select("request_id", F.col("next").alias("above"), F.coalesce("reseed_id", "found").alias("reseed_id"))
+        up = met_above(up, other).select("request_id", F.col("next").alias("above"), F.coalesce("reseed_id", "found").alias("reseed_id"))
         reach *= 2
     found = failed.select(F.col("request_id").alias("failed_id")).join(up.withColumnRenamed("request_id", "failed_id"), "failed_id", "left")
     circle = F.when(F.col("above").isNotNull(), F.lit("the parents run in a circle"))

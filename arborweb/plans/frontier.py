@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..operators import speculate
-from ..operators.requests import effective_priority, first_of_key, next_batch, reseed_points
+from ..operators.requests import effective_priority, first_of_key, met_above, next_batch, reseed_points
 from ..storage import commit_text, read_text, run_dir, stored, written
 from .visited import BITS, VisitedSet
 
@@ -170,7 +170,7 @@ def below(tree: DataFrame, points: DataFrame) -> DataFrame:
         if reach > most or up.filter("above is not null").isEmpty():
             return up.filter("hit").select(F.col("request_id").alias("crawl_id"))
         other = up.select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("hit").alias("found"))
-        up = up.join(other, "above", "left").select("request_id", F.col("next").alias("above"), (F.col("hit") | F.coalesce("found", F.lit(False))).alias("hit"))
+        up = met_above(up, other).select("request_id", F.col("next").alias("above"), (F.col("hit") | F.coalesce("found", F.lit(False))).alias("hit"))
         reach *= 2
 
 
