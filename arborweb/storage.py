@@ -129,6 +129,13 @@ def spooled(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over tasks evenly, for rows that are few bytes as read but much work: a row group of
+    a file is one task's, and may hold a million of them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` spooled by ``keys``, in their order, for a table that is joined by them again and
     again: only what meets it is shuffled, and it is never broadcast, however small it looks."""

@@ -45,3 +45,50 @@ def test_files_of_pages_with_one_url(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(con.execute(f"SELECT request_id, download, file_url FROM ({oracles.SQL['archive_decisions']})").fetchall())
+
+
+def test_pages_of_small_rows_are_dealt_over_tasks(spark):
+    """One row group was one task's, whatever work its rows are."""
+    assert queries._form_pages(spark, SF).rdd.getNumPartitions() >= 4
+
+
+def test_a_key_past_its_rates_is_passed_over(spark, tmp_path):
+    """A row each was read for all that is refused; many keys, free rows, batches and ties as the plain rule has them."""
+    import random
+    from datetime import datetime, timezone
+
+    from arborweb.operators import rates
+
+    draw = random.Random(4)
+    rows = sorted((draw.choice("ab"), draw.randrange(90), draw.random() < 0.2, k) for k in range(900))
+    df = spark.createDataFrame([(k, datetime.fromtimestamp(t, timezone.utc), f, i) for k, t, f, i in rows], "k STRING, ts TIMESTAMP, free BOOLEAN, i INT")
+    limits = [(2, 3), (5, 20)]
+    want = {}
+    for key in "ab":
+        passed = []
+        for _, t, free, i in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[3])):
+            want[i] = free or all(len(passed) < n or passed[-n] <= t - s for n, s in limits)
+            if want[i] and not free:
+                passed.append(t)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", was):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = rates.admit_all(df, limits, keys=["k"], bypass="free", ties=("i",))
+            assert {r["i"]: r["admitted"] for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_rows_of_one_root_stay_where_they_are(spark, monkeypatch):
+    """All rows of a tree met its root in one task."""
+    from arborweb.operators import requests
+
+    monkeypatch.setattr(requests, "HOT", 10)
+    rows = spark.range(3000).selectExpr("id AS request_id", "CASE WHEN id > 0 THEN 0L END AS parent_id")
+    up = rows.select("request_id", F.col("parent_id").alias("above"), F.lit(1).alias("depth"))
+    other = up.filter("above is not null").select(F.col("request_id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
+    met = requests.met_above(up, other)
+    assert "BroadcastHashJoin" in plan(met) and met.count() == 3000 and met.filter("next is null").count() == 3000
+    deep = spark.range(3000).selectExpr("id AS request_id", "CASE WHEN id > 0 THEN greatest(id - 2900, 0) END AS parent_id")
+    assert requests.chains(deep).filter("root_id <> 0 OR depth < 0 OR depth > 40").isEmpty()
