@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.visited import bitmaps, let_through
 from .common import map_arrow, slices, stored, utf8
 
 BUCKETS = 1 << 16
@@ -157,6 +158,15 @@ def labelled(labels: DataFrame, *, key: str = "doc_id", quality: str = "quality"
     return each.select("k", (F.col("q") > 0).alias("good"), F.pmod(F.xxhash64("k"), F.lit(2)).cast("int").alias("half"))
 
 
+def marked(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``pairs`` (k, t) joined to ``marks`` by ``k``, in a shuffle of few texts beside those with a mark: a filter
+    of all marked ids (8 MB at most, broadcast) is asked first. A filter that is full lets more through;
+    the join decides."""
+    maybe = let_through(pairs, F.broadcast(bitmaps(marks, F.col("k"))), F.col("k")).filter("maybe").drop("maybe")
+    # never broadcast: labels grow with the documents
+    return maybe.join(marks.hint("merge"), "k")
+
+
 #: Scores as whole numbers of the same order, and the digits of a rank's search: one table of counts a digit.
 _DIGIT, _DIGITS = 16, 4
 
@@ -196,16 +206,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, smoothing: float = 1.0, spare: fl
     calibrate the threshold: scores of documents that were counted would be too high to
     compare with. Among those that pass the base rule, the threshold leaves a share ``spare`` of the trusted scores below it; if the poor ones,
     but for such a share, all lie lower still, it is midway in the gap. Labelled documents meet
-    their labels in a join. Only ``BUCKETS`` counts and the counts of ``at_rank`` reach the driver.
+    their labels in a join (``marked``). Only ``BUCKETS`` counts and the counts of ``at_rank`` reach the driver.
     """
-    marks = labelled(labels, key=key)
+    marks = stored(labelled(labels, key=key))
     halves = sorted(r["half"] for r in marks.filter("good").select("half").distinct().collect())
     if not halves:
         return Rules()
     spark = docs.sparkSession
     pairs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     counted = F.col("good") & (F.col("half") == halves[0])
-    mine = stored(pairs.join(marks.select("k", "good", counted.alias("counted")), "k").select("t", "good", "counted"))
+    mine = stored(marked(pairs, marks.select("k", "good", counted.alias("counted"))).select("t", "good", "counted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = Words(), np.zeros(BUCKETS, np.int64)

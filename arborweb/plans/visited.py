@@ -43,6 +43,24 @@ def _places(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.try_add(F.shiftright(a, 1), F.shiftright(b, 3) * k), F.lit(min(bits, BITMAP))).cast("int") for k in range(HASHES)]
 
 
+def bitmaps(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
+    """``word, bits``: the filter of the keys, at most ``bits`` whatever there are."""
+    places = keys.select(_word(key, bits).alias("word"), F.explode(F.array(*_places(key, bits))).alias("p"))
+    return places.groupBy("word").agg(F.bitmap_construct_agg("p").alias("bits"))
+
+
+def let_through(rows: DataFrame, table: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
+    """``rows`` with ``maybe``: False for keys that are not in the filter ``table`` for sure. The caller
+    says by a hint how rows and bitmaps meet."""
+    met = rows.withColumn("_word", _word(key, bits)).join(table.withColumnsRenamed({"word": "_word", "bits": "_bits"}), "_word", "left")
+
+    def is_set(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+    return met.withColumn("maybe", reduce(Column.__and__, [is_set(p) for p in _places(key, bits)])).select(*rows.columns, "maybe")
+
+
 @dataclass(frozen=True)
 class VisitedSet:
     """``segments`` are paths of tables, ``filter`` is the path of the filter's table, None while
@@ -68,12 +86,11 @@ class VisitedSet:
         self.laid(own, segment)
         # a filter is missing where an earlier version of this package made the set
         added = self.spark.read.schema(SEGMENT).parquet(*([] if self.filter else self.segments), segment)
-        places = added.select(_word(F.col("dedup_key"), self.bits).alias("word"), F.explode(F.array(*_places(F.col("dedup_key"), self.bits))).alias("p"))
-        bitmaps = places.groupBy("word").agg(F.bitmap_construct_agg("p").alias("bits"))
+        made = bitmaps(added, F.col("dedup_key"), self.bits)
         if self.filter:
             before = self.spark.read.schema(FILTER).parquet(self.filter)
-            bitmaps = before.unionByName(bitmaps).groupBy("word").agg(F.bitmap_or_agg("bits").alias("bits"))
-        bitmaps.write.mode("overwrite").parquet(filter)
+            made = before.unionByName(made).groupBy("word").agg(F.bitmap_or_agg("bits").alias("bits"))
+        made.write.mode("overwrite").parquet(filter)
         return VisitedSet(self.spark, (*self.segments, segment), filter, self.bits)
 
     def laid(self, rows: DataFrame, segment: str) -> None:
@@ -88,15 +105,8 @@ class VisitedSet:
         """``rows`` with ``maybe``: False for keys that are new for sure."""
         if self.filter is None:
             return rows.withColumn("maybe", F.lit(bool(self.segments)))
-        table = self.spark.read.schema(FILTER).parquet(self.filter).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
         # never broadcast: sparse bitmaps are small as files, and not in the driver
-        met = rows.withColumn("_word", _word(F.col("dedup_key"), self.bits)).join(table.hint("merge"), "_word", "left")
-
-        def is_set(place: Column) -> Column:
-            byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-
-        return met.withColumn("maybe", reduce(Column.__and__, [is_set(p) for p in _places(F.col("dedup_key"), self.bits)])).select(*rows.columns, "maybe")
+        return let_through(rows, self.spark.read.schema(FILTER).parquet(self.filter).hint("merge"), F.col("dedup_key"), self.bits)
 
     def unseen(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         """(the ``rows`` whose key is new, counts: how many keys were ``asked`` for, how many the

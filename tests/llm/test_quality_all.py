@@ -28,3 +28,22 @@ def test_ranks_are_exact(spark):
     rows = spark.createDataFrame([(int(k),) for k in quality._ordered(scores)], "ordered LONG")
     got = [quality.at_rank(rows, k) for k in (0, 3, 500, 1000)]
     assert got == [float(np.sort(scores)[k]) for k in (0, 3, 500, 1000)]
+
+
+def test_texts_without_a_label_are_not_shuffled(spark, monkeypatch):
+    """All texts were, to meet labels too many to broadcast."""
+    seen = []
+    real = quality.let_through
+
+    def counted(*given):
+        seen.append(real(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(quality, "let_through", counted)
+    pairs = spark.range(5000).selectExpr("nullif(id % 4000, 7) AS k", "concat('t', id) AS t")
+    marks = spark.range(0, 40_000, 100).selectExpr("id AS k", "id % 200 = 0 AS good", "false AS counted")
+    got = quality.marked(pairs, marks)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.join(marks, "k").collect()))
+    assert 50 <= seen[0].filter("maybe").count() < 100
