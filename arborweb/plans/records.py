@@ -11,14 +11,21 @@ whole number written 5.0), checks by code of its own (validators, odd types, pat
 what no variant holds (malformed JSON, numbers past 64 bits, half surrogates) is odd: such a record,
 and no other, is given to the model itself, in Arrow batches. So results are the model's for
 every record, and Python sees only those that need it.
+
+Most records need no rule a value: the type of the whole variant says that each value is of the kind
+that is asked for, one cast reads them all, and only limits are tested (``_typed``). The rules above
+are for the others.
 """
 
 from __future__ import annotations
 
+import re
 import types as kinds
 import typing
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,8 +59,14 @@ def validate_nested(records: DataFrame, model: type[BaseModel], *, data: str = "
         return pd.DataFrame({"data": [t for t, _ in told], "errors": [e for _, e in told]})
 
     text = F.coalesce(F.nullif(F.col(data), F.lit("")), F.lit("{}"))
-    checked, odd, told = unused(records.columns, "checked", "odd", "told")
-    judged = records.withColumn(checked, seen(F.try_parse_json(text)))
+    checked, odd, told, parsed, cast = unused(records.columns, "checked", "odd", "told", "parsed", "cast")
+    judged = records.withColumn(parsed, F.try_parse_json(text))
+    typed = _typed_model(model, ()) if _plain(model) else None
+    if typed is None:
+        judged = judged.withColumn(checked, seen(F.col(parsed)))
+    else:
+        judged = judged.withColumn(cast, typed.cast(F.col(parsed)))
+        judged = judged.withColumn(checked, typed.judged(kind, F.col(cast), seen(F.col(parsed))))
     judged = judged.withColumn(odd, F.coalesce(F.col(f"{checked}.odd"), F.lit(True)) | text.rlike(_HALF))
     # only odd records leave the JVM: a Python function is run on all rows, whatever stands around it
     asked = judged.withColumn(told, itself(F.when(F.col(odd), text)))
@@ -76,6 +89,98 @@ def compiled(model: type[BaseModel]) -> Callable[[Column], Column]:
     return lambda v: F.when(F.try_variant_get(v, "$", "map<string, variant>").isNotNull(), rules(v))
 
 
+@dataclass(frozen=True)
+class _Typed:
+    """A kind's rules over values that were cast to it at once: ``shape`` is a pattern of the variant's type,
+    ``read`` the type to cast to; the rules decide where ``fits`` is true. ``broken`` (whether a limit is;
+    None without limits) and ``errors`` hold where it is."""
+
+    shape: str
+    read: str
+    fits: Callable[[Column], Column]
+    broken: Callable[[Column], Column] | None
+    errors: Callable[[Column], Column]
+    value: Callable[[Column], Column]
+
+    def cast(self, v: Column) -> Column:
+        """A variant's value, null for one of another shape."""
+        return F.when(F.schema_of_variant(v).rlike(rf"\A{self.shape}\z"), F.try_variant_get(v, "$", self.read))
+
+    def judged(self, of: T.DataType, x: Column, other: Column) -> Column:
+        """The result for a value that was cast, ``other`` where that does not fit."""
+        fast = _result(of, self.errors(x) if self.broken else _none(), F.lit(False), self.value(x))
+        return F.when(F.coalesce(self.fits(x), F.lit(False)), fast).otherwise(other)
+
+
+def _typed(kind: object, limits: list, within: tuple[type, ...]) -> _Typed | None:
+    """The rules of a type over cast values, None for one that has none. The type of a list is that of all
+    its items together, where nulls and fields that some leave out do not show: they are null when cast,
+    and fit nothing."""
+    origin, inner = typing.get_origin(kind), typing.get_args(kind)
+    if origin is typing.Annotated:
+        return _typed(inner[0], [*inner[1:], *limits], within)
+    if origin is list and len(inner) == 1 and not limits:
+        item = _typed(inner[0], [], within)
+        if item is None:
+            return None
+        broken = item.broken and (lambda x: F.exists(x, item.broken))
+        each = lambda x: F.flatten(F.transform(x, lambda e, k: F.when(item.broken(e), _below(k.cast("string"), item.errors(e))).otherwise(_none())))
+        return _Typed(f"ARRAY<(?:VOID|{item.shape})>", f"array<{item.read}>", lambda x: x.isNotNull() & F.forall(x, lambda e: F.coalesce(item.fits(e), F.lit(False))), broken, lambda x: F.when(broken(x), each(x)).otherwise(_none()), lambda x: F.transform(x, item.value))
+    if isinstance(kind, type) and hasattr(kind, "model_fields"):
+        return None if limits else _typed_model(kind, within)
+    if origin is typing.Literal and all(type(x) is str for x in inner) and not limits:
+        return _typed_scalar(kind, [], "STRING", "string", lambda x: x.isin(*inner))
+    if kind is str:
+        return _typed_scalar(kind, limits, "STRING", "string", lambda x: x.isNotNull())
+    if kind is int:
+        return _typed_scalar(kind, limits, "BIGINT", "bigint", lambda x: x.isNotNull())
+    if kind is float:
+        return _typed_scalar(kind, limits, r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\))", "double", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    if kind is bool:
+        return _typed_scalar(kind, limits, "BOOLEAN", "boolean", lambda x: x.isNotNull())
+    if kind is date:
+        return _typed_scalar(kind, limits, "STRING", "string", _day, lambda x: F.try_to_date(x, "yyyy-MM-dd"))
+    return None
+
+
+def _typed_scalar(kind: object, limits: list, shape: str, read: str, fits: Callable[[Column], Column], value: Callable[[Column], Column] = lambda x: x) -> _Typed | None:
+    try:
+        tests = [_limit(kind, x) for x in limits]
+    except (ConfigError, TypeError, ValueError):
+        return None
+    if None in tests:
+        return None
+    if not tests:
+        return _Typed(shape, read, fits, None, lambda x: _none(), value)
+    said = lambda x: F.filter(F.array(*[F.when(test(x), error) for test, error in tests]), lambda e: e.isNotNull())
+    # past two limits: as in ``_scalar``
+    few = fits if len(tests) == 1 else lambda x: fits(x) & (F.size(said(x)) < 2)
+    return _Typed(shape, read, few, lambda x: _any([test(x) for test, _ in tests]), said, value)
+
+
+def _typed_model(model: type[BaseModel], within: tuple[type, ...]) -> _Typed | None:
+    if model in within or not _plain(model) or not model.model_fields:
+        return None
+    fields = {name: _typed(f.annotation, f.metadata, (*within, model)) for name, f in model.model_fields.items()}
+    if not all(fields.values()):
+        return None
+    shape = ", ".join(f"{re.escape(n)}: {fields[n].shape}" for n in sorted(fields))
+    read = ", ".join(f"`{n}`: {t.read}" for n, t in fields.items())
+    limited = {n: t for n, t in fields.items() if t.broken}
+
+    def fits(x: Column) -> Column:
+        return reduce(Column.__and__, [F.coalesce(t.fits(x[n]), F.lit(False)) for n, t in fields.items()])
+
+    def errors(x: Column) -> Column:
+        return F.flatten(F.array(_none(), *[_below(F.lit(n), t.errors(x[n])) for n, t in limited.items()]))
+
+    return _Typed(f"OBJECT<{shape}>", f"struct<{read}>", fits, (lambda x: _any([t.broken(x[n]) for n, t in limited.items()])) if limited else None, errors, lambda x: F.struct(*[t.value(x[n]).alias(n) for n, t in fields.items()]))
+
+
+def _day(x: Column) -> Column:
+    return x.rlike(r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_date(x, "yyyy-MM-dd").isNotNull()
+
+
 def _let(value: Column, make: Callable[[Column], Column]) -> Column:
     """``make`` of a value that is computed once, however often it is named."""
     return F.element_at(F.transform(F.array(value), make), 1)
@@ -188,8 +293,7 @@ def _kind(kind: object, limits: list, within: tuple[type, ...]) -> Callable[[Col
     if kind is bool:
         return _scalar(kind, limits, lambda t, x: t == "BOOLEAN", lambda t, x: _one_of(t, "STRING", "BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "boolean", None)
     if kind is date:
-        day = lambda x: x.rlike(r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_date(x, "yyyy-MM-dd").isNotNull()
-        return _scalar(kind, limits, lambda t, x: (t == "STRING") & day(x), lambda t, x: _one_of(t, "STRING", "BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "string", [], T.DateType())
+        return _scalar(kind, limits, lambda t, x: (t == "STRING") & _day(x), lambda t, x: _one_of(t, "STRING", "BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "string", [], T.DateType())
     return _odd(kind)
 
 

@@ -92,3 +92,53 @@ def test_code_of_a_model_is_run(spark):
     df = spark.createDataFrame([(1, '{"key": 1, "tag": "x"}'), (2, '{"key": 1, "tag": "y"}'), (3, '{"tag": "x"}')], "k INT, data STRING")
     assert told(records.validate_nested(df, Coded)) == told(validate.validate_model(df, Coded))
     assert records.odd_records(df, Coded).count() == 3
+
+
+class Line(BaseModel):
+    number: int = Field(gt=0)
+    share: float = Field(le=50)
+
+
+class Plain(BaseModel):
+    key: int
+    state: Literal["a", "b"]
+    day: date
+    on: bool
+    name: str = Field(min_length=2, max_length=4)
+    lines: list[Line]
+    rates: list[list[float]]
+
+
+def test_plain_records_need_no_rule_a_value(spark, monkeypatch):
+    """A rule was run for each value of each record: the rules are here of another model, and still all is
+    right, as plain records do not ask them."""
+    draw = random.Random(8)
+
+    def line():
+        return {"share": draw.choice([1, 2.5, 50, 51, 1e20, 60.25]), "number": draw.randint(0, 3)}
+
+    def record():
+        return {"on": draw.random() < 0.5, "lines": [line() for _ in range(draw.randint(0, 4))], "name": draw.choice(["x", "xy", "toolong"]), "rates": draw.choice([[], [[]], [[1, 2.5], []]]), "key": draw.randint(0, 9), "day": "2024-02-29", "state": draw.choice("ab")}
+
+    def spoilt(r):
+        at, what = draw.choice([(r, k) for k in r] + [(x, k) for x in r["lines"] for k in x] + [(r["rates"], k) for k in range(len(r["rates"]))]), draw.choice([*SCALARS, ...])
+        where, k = at
+        if what is ... and isinstance(where, dict):
+            del where[k]
+        else:
+            where[k] = None if what is ... else what
+        return r | ({"more": 1} if draw.random() < 0.1 else {})
+
+    plain, odd = [record() for _ in range(200)], [spoilt(record()) for _ in range(600)]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(map(json.dumps, rows))), "k INT, data STRING").repartition(4)
+    for rows in (plain, odd):
+        df = frame(rows)
+        got, want = records.validate_nested(df, Plain), validate.validate_model(df, Plain)
+        assert told(got) == told(want)
+        for r in [r for r in got.collect() if r["valid"]]:
+            own = Plain.model_validate(rows[r["k"]])
+            whole = r["record"].asDict(True)
+            assert whole == own.model_dump() or abs(own.key) >= 2**63
+    monkeypatch.setattr(records, "compiled", lambda model: records._odd(model))
+    monkeypatch.setattr(records, "check", lambda model, text: (None, []))
+    assert {k: e for k, (_, e) in told(records.validate_nested(frame(plain), Plain)).items()} == {k: e for k, (_, e) in told(validate.validate_model(frame(plain), Plain)).items()}
