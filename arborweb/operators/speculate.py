@@ -86,16 +86,26 @@ def next_probes(now: DataFrame) -> DataFrame:
     return now.filter(~F.col("done") & (left > 0)).select("entry", "param_index", F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.greatest(left, F.lit(1)) - 1)).alias("n"))
 
 
-def advanced(now: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Templates with their state (``highest_success, consecutive_failures, next_n``) after one
-    more window of ``outcomes``, which has an outcome for each number from ``next_n`` on to
-    its last. Only the window is looked at, however much was probed before. Joined by shuffles:
-    the states of all templates, broadcast in each round, would pass through the driver."""
+def with_windows(now: DataFrame, outcomes: DataFrame, how: str = "inner") -> DataFrame:
+    """Templates with what one more window of ``outcomes`` said: ``_n`` outcomes, the number ``_last`` and the
+    highest success ``_high``. Joined by shuffles: the states of all templates, broadcast in each
+    round, would pass through the driver."""
     keys = ["entry", "param_index"]
     window = outcomes.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("_high"), F.max("n").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return now.join(window.hint("merge"), keys, how)
+
+
+def after_window() -> dict[str, Column]:
+    """The states of ``with_windows`` after their window."""
     failed = F.when(F.col("_high").isNull(), F.col("consecutive_failures") + F.col("_n")).otherwise(F.col("_last") - F.col("_high"))
-    met = now.join(window.hint("merge"), keys).withColumns({"highest_success": F.coalesce("_high", "highest_success"), "consecutive_failures": failed, "next_n": F.col("_last") + 1})
-    return met.select(*now.columns)
+    return {"highest_success": F.coalesce("_high", "highest_success"), "consecutive_failures": failed, "next_n": F.col("_last") + 1}
+
+
+def advanced(now: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Templates with their state (``highest_success, consecutive_failures, next_n``) after one
+    more window of ``outcomes``, which has an outcome for each number from ``next_n`` on to
+    its last. Only the window is looked at, however much was probed before."""
+    return with_windows(now, outcomes).withColumns(after_window()).select(*now.columns)
 
 
 def probe(of: DataFrame, outcomes_of: Callable[[DataFrame], DataFrame], *, rounds: int = 1000) -> DataFrame:

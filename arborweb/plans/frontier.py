@@ -232,7 +232,9 @@ class _Run:
         if visited is not None:
             seen = seen.add(visited, f"{at}/visited", f"{at}/bitmaps")
         templates = None
-        first = self.fresh(stored(self.led(self.seeds)), seen, 0)[0]
+        seeds = stored(self.led(self.seeds))
+        flagged, _, hit = seen.flagged(self.keyed(seeds))
+        first = self.fresh(seeds, seen.without(flagged, hit), 0)
         if self.probing is not None:
             of = self.probing.templates
             asked = F.greatest(F.col("soft_max") - F.col("min"), F.lit(0))
@@ -244,16 +246,15 @@ class _Run:
     def led(self, requests: DataFrame) -> DataFrame:
         return requests.select(*self.columns, (F.col("led_by") if "led_by" in requests.columns else F.lit(None)).cast("string").alias("led_by"))
 
-    def fresh(self, more: DataFrame, seen: VisitedSet, k: int, besides: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
-        """New requests with their names: the first of each key that was not sent. Those that skip
-        deduplication, and those without a key, all stay."""
-        free = F.col("dedup_key").isNull() | F.coalesce(F.col("skip_dedup"), F.lit(False))
-        keyed = first_of_key(more.filter(~free))
-        if besides is not None:
-            keyed = keyed.join(besides.select("dedup_key").hint("merge"), "dedup_key", "left_anti").select(*more.columns)
-        new, said = seen.unseen(keyed)
-        rows = new.select(*more.columns).unionByName(more.filter(free))
-        return rows.select("*", *self.named(k, "n"), F.expr("CAST(NULL AS STRUCT<entry: STRING, param_index: INT, n: BIGINT>)").alias("probe")), said
+    def keyed(self, more: DataFrame) -> DataFrame:
+        """The first request of each key, of those that have one and do not skip deduplication."""
+        return first_of_key(more.filter(~_free()))
+
+    def fresh(self, more: DataFrame, new: DataFrame, k: int) -> DataFrame:
+        """New requests with their names: those of ``new`` keys, and all that have none or skip
+        deduplication."""
+        rows = new.select(*more.columns).unionByName(more.filter(_free()))
+        return rows.select("*", *self.named(k, "n"), F.expr("CAST(NULL AS STRUCT<entry: STRING, param_index: INT, n: BIGINT>)").alias("probe"))
 
     def named(self, k: int, kind: str) -> list[Column]:
         return [F.concat(F.lit(f"{k}{kind}"), F.monotonically_increasing_id().cast("string")).alias("crawl_id"), F.lit(1).alias("attempt"), F.lit(0.0).alias("waited")]
@@ -291,40 +292,53 @@ class _Run:
             lambda: written(found, f"{at}/results"),
             lambda: written(bad, f"{at}/errors"),
         )
-        halted = outcomes.filter("decision = 'halt'").select("reason").first() if said else None
-        waiting = self.delayed(outcomes, sent, state.waiting, due, now, at) if said else {b: p for b, p in state.waiting.items() if b not in due}
-
-        probes, templates, answers, finished = None, state.templates, state.answers, None
-        if self.probing is not None and state.templates:
-            probes, templates, answers, finished = self.probed(state, outcomes, sent, at, k + 1)
+        kept = {b: p for b, p in state.waiting.items() if b not in due}
+        probing = self.probing is not None and state.templates
+        # nor of these
+        (halted, waiting), (flagged, counts, hit), probed = together(
+            self.spark,
+            lambda: self.settled(outcomes, sent, kept, now, at) if said else (None, kept),
+            lambda: seen.flagged(self.keyed(more)),
+            lambda: self.probed(state, outcomes, at, k + 1) if probing else (None, state.templates, state.answers, None),
+        )
+        probes, templates, answers, finished = probed
         # keys that the next frontier has already
         taken = [x.select("dedup_key") for x in (probes, None if rest is None else rest.filter("not coalesce(skip_dedup, false)")) if x is not None]
-        besides = reduce(DataFrame.unionByName, taken) if taken else None
-        following, counts = self.fresh(more, seen, k + 1, besides)
+        following = self.fresh(more, seen.without(flagged, hit, reduce(DataFrame.unionByName, taken) if taken else None), k + 1)
         for other in (probes, rest):
             following = following if other is None else following.unionByName(other)
         frontier = written(following, f"{at}/frontier")
         added = {n: f"{at}/{n}" for n in ("visited", "results", "errors", "outcomes")} | {"sent": state.frontier if sent is queue else f"{at}/sent"} | ({"finished": finished} if finished else {})
         tables = {n: [*p, *([added[n]] if n in added else [])] for n, p in state.tables.items()}
-        done = _State(k + 1, f"{at}/frontier", frontier.count(), tables, dict(state.merged), seen.filter, waiting, templates, answers, None if halted is None else halted["reason"] or "halted", [*state.told, {"round": k, **counts}])
+        done = _State(k + 1, f"{at}/frontier", frontier.count(), tables, dict(state.merged), seen.filter, waiting, templates, answers, halted, [*state.told, {"round": k, **counts}])
         return self.commit(self.compacted(done, seen, at))
 
     def decided(self, said: DataFrame | None, sent: DataFrame, path: str) -> DataFrame:
         """What is done about each request sent: an action that may not be repeated any more is an
         ``error``. Requests that nothing was said of count as ``lost``."""
-        own = sent.select("crawl_id", "dedup_key", "attempt", "waited", F.col("probe").isNotNull().alias("is_probe"))
+        own = sent.select("crawl_id", "dedup_key", "attempt", "waited", "probe")
         if said is None:
             rows = own.withColumns({"action": F.lit("step"), "wait": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")})
         else:
             extra = [F.col("wait").cast("double").alias("wait") if "wait" in said.columns else F.lit(None).cast("double").alias("wait"), F.col("reason").cast("string").alias("reason") if "reason" in said.columns else F.lit(None).cast("string").alias("reason")]
-            rows = own.join(said.select("crawl_id", "action", *extra).hint("merge"), "crawl_id", "left").withColumn("action", F.coalesce("action", F.lit("lost")))
+            # the names of a round begin alike: sorted by them alone, rows would be compared letter by letter
+            own, said = (x.withColumn("_hash", F.xxhash64("crawl_id")) for x in (own, said.select("crawl_id", "action", *extra)))
+            rows = own.join(said.hint("merge"), ["_hash", "crawl_id"], "left").drop("_hash").withColumn("action", F.coalesce("action", F.lit("lost")))
         again = (F.col("action") == "retry") & (F.col("attempt") < self.retry.attempts)
         waits = (F.col("action") == "await") & (F.col("waited") + self.retry.interval <= self.retry.patience)
         kept = F.col("action").isin("step", "skip", "halt", "failed_probe")
-        decision = F.when(kept, F.col("action")).when(again, "retry").when(waits, "await").otherwise(F.when(F.col("is_probe"), "failed_probe").otherwise("error"))
+        decision = F.when(kept, F.col("action")).when(again, "retry").when(waits, "await").otherwise(F.when(F.col("probe").isNotNull(), "failed_probe").otherwise("error"))
         return written(rows.withColumn("decision", decision), path)
 
-    def delayed(self, outcomes: DataFrame, sent: DataFrame, before: dict[str, list[str]], due: list[str], now: float, at: str) -> dict[str, list[str]]:
+    def settled(self, outcomes: DataFrame, sent: DataFrame, before: dict[str, list[str]], now: float, at: str) -> tuple[str | None, dict[str, list[str]]]:
+        """(why the run is halted, if it is, what waits after the round, by bucket)."""
+        said = outcomes.filter("decision IN ('halt', 'retry', 'await')")
+        if said.isEmpty():
+            return None, before
+        halted = said.filter("decision = 'halt'").select("reason").first()
+        return None if halted is None else halted["reason"] or "halted", self.delayed(outcomes, sent, before, now, at)
+
+    def delayed(self, outcomes: DataFrame, sent: DataFrame, before: dict[str, list[str]], now: float, at: str) -> dict[str, list[str]]:
         """What waits after the round, by bucket: the rows of each are written to their own folder."""
         backoff = F.least(F.lit(self.retry.longest), self.retry.base * F.pow(F.lit(self.retry.factor), F.col("attempt") - 1))
         wait = F.when(F.col("decision") == "await", F.lit(self.retry.interval)).otherwise(F.coalesce("wait", backoff))
@@ -332,7 +346,7 @@ class _Run:
         awaits = F.col("decision") == "await"
         rows = sent.join(again.hint("merge"), "crawl_id").withColumns({"attempt": F.when(awaits, F.col("attempt")).otherwise(F.col("attempt") + 1), "waited": F.when(awaits, F.col("waited") + self.retry.interval).otherwise(F.lit(0.0))})
         rows.select(*sent.columns, "due_bucket").write.mode("overwrite").partitionBy("due_bucket").parquet(f"{at}/waiting")
-        out = {b: list(p) for b, p in before.items() if b not in due}
+        out = {b: list(p) for b, p in before.items()}
         # as many as there are buckets within the longest wait
         for r in again.select("due_bucket").distinct().collect():
             out.setdefault(str(r["due_bucket"]), []).append(f"{at}/waiting/due_bucket={r['due_bucket']}")
@@ -340,32 +354,37 @@ class _Run:
 
     # templates
 
-    def probed(self, state: _State, outcomes: DataFrame, sent: DataFrame, at: str, k: int) -> tuple[DataFrame | None, str | None, str | None, str | None]:
+    def probed(self, state: _State, outcomes: DataFrame, at: str, k: int) -> tuple[DataFrame | None, str | None, str | None, str | None]:
         """(next probes, path of the templates that go on, path of the answers to windows that are
-        not complete, path of the templates that ended in this round)."""
+        not complete, path of the templates that ended in this round). Answers are counted once, and
+        meet their templates once."""
         now = self.read(state.templates, TEMPLATES)
         keys = ["entry", "param_index"]
-        ended = outcomes.filter("decision NOT IN ('retry', 'await')").select("crawl_id", (F.col("decision") == "step").alias("ok"))
-        fresh = sent.filter("probe is not null").select("crawl_id", "probe.*").join(ended.hint("merge"), "crawl_id").select(*keys, "n", "ok")
-        answers = written(self.read(state.answers, ANSWERS).unionByName(fresh), f"{at}/probed")
-        whole = now.join(answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got")).hint("merge"), keys, "left").select(*keys, (F.coalesce("_got", F.lit(0)) >= F.col("asked")).alias("_whole"))
-        answered = answers.join(whole.filter("_whole").select(*keys).hint("merge"), keys)
-        moved = speculate.advanced(now, answered)
-        same = now.join(moved.select(*keys).hint("merge"), keys, "left_anti").select(*now.columns)
-        open_ = answers.join(whole.filter("_whole").select(*keys).hint("merge"), keys, "left_anti").select(*answers.columns)
-        over = F.col("consecutive_failures") >= F.col("gap")
-        moved = stored(moved)
+        fresh = outcomes.filter("probe IS NOT NULL AND decision NOT IN ('retry', 'await')").select("probe.*", (F.col("decision") == "step").alias("ok"))
+        answers = self.read(state.answers, ANSWERS).unionByName(fresh) if state.answers else fresh
+        whole = F.coalesce("_n", F.lit(0)) >= F.col("asked")
+        met = speculate.with_windows(now, answers, "left").withColumns({"_whole": whole, "_open": ~whole & F.col("_n").isNotNull()})
+        moved = met.withColumns({c: F.when(F.col("_whole"), v).otherwise(F.col(c)) for c, v in speculate.after_window().items()})
         left = F.greatest(F.col("gap") - F.col("consecutive_failures"), F.lit(1)).cast("bigint")
-        ahead = moved.filter(~over).withColumn("asked", left)
-        windows = ahead.select(*keys, F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.col("asked") - 1)).alias("n"))
-        states, probes, _, _ = together(
+        over = F.col("_whole") & (F.col("consecutive_failures") >= F.col("gap"))
+        moved = stored(moved.withColumns({"asked": F.when(F.col("_whole"), left).otherwise(F.col("asked")), "_over": over}).select(*now.columns, "_whole", "_open", "_over"))
+        windows = moved.filter("_whole AND NOT _over").select(*keys, F.explode(F.sequence(F.col("next_n"), F.col("next_n") + F.col("asked") - 1)).alias("n"))
+
+        def unanswered() -> str | None:
+            open_ = moved.filter("_open").select(*keys)
+            if open_.isEmpty():
+                return None
+            written(answers.join(open_.hint("merge"), keys).select(*answers.columns), f"{at}/answers")
+            return f"{at}/answers"
+
+        going, probes, open_, _ = together(
             self.spark,
-            lambda: written(ahead.unionByName(same), f"{at}/templates"),
+            lambda: not written(moved.filter("NOT _over").select(*now.columns), f"{at}/templates").isEmpty(),
             lambda: stored(self.as_probes(windows, k)),
-            lambda: written(open_, f"{at}/answers"),
-            lambda: written(moved.filter(over), f"{at}/finished"),
+            unanswered,
+            lambda: written(moved.filter("_over").select(*now.columns), f"{at}/finished"),
         )
-        return probes, None if states.isEmpty() else f"{at}/templates", f"{at}/answers", f"{at}/finished"
+        return probes, f"{at}/templates" if going else None, open_, f"{at}/finished"
 
     def next_windows(self, first: DataFrame, start: DataFrame, at: str, k: int) -> tuple[DataFrame, str]:
         """The frontier with the first probes, and the path of the templates. One without first
@@ -477,6 +496,11 @@ def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
 
 
+def _free() -> Column:
+    """Requests that are sent whatever was: those without a key, and those that skip deduplication."""
+    return F.col("dedup_key").isNull() | F.coalesce(F.col("skip_dedup"), F.lit(False))
+
+
 def _parts(ddl: str) -> list[str]:
     """The columns of a schema's text, split at commas that stand in no brackets."""
     out, depth = [""], 0

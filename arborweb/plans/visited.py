@@ -3,8 +3,8 @@
 Keys lie in segments, sorted by ranges of their hash. A Bloom
 filter of fixed size, kept as a table of bitmaps, is asked first: keys it has never seen are
 new for sure. Only for those that it lets through the ranges they fall in are read, and the
-answer is exact. A set that outgrows its filter lets more keys through to the exact
-test; no answer changes. All bits of a key lie in one bitmap, so keys meet the filter by one
+answer is exact. A set that outgrows its filter gives it up: all keys go to the exact test; no
+answer changes. All bits of a key lie in one bitmap, so keys meet the filter by one
 shuffled join, and nothing of it passes through the driver.
 """
 
@@ -22,6 +22,8 @@ from ..storage import stored
 BUCKETS = 32
 #: Bits of the filter (8 MB as bitmaps), and how many a key sets; bits of one bitmap, as Spark makes them.
 BITS, HASHES, BITMAP = 1 << 26, 4, 1 << 15
+#: With a key for so many bits or fewer, the filter would let more than half of all new keys through.
+LEAST = 2
 FILTER = "word BIGINT, bits BINARY"
 SEGMENT = "dedup_key STRING, bucket INT"
 
@@ -64,7 +66,7 @@ def let_through(rows: DataFrame, table: DataFrame, key: Column, bits: int = BITS
 @dataclass(frozen=True)
 class VisitedSet:
     """``segments`` are paths of tables, ``filter`` is the path of the filter's table, None while
-    there is none."""
+    there is none, and once the keys are too many for it."""
 
     spark: SparkSession
     segments: tuple[str, ...] = ()
@@ -81,9 +83,13 @@ class VisitedSet:
 
     def add(self, keys: DataFrame, segment: str, filter: str) -> VisitedSet:
         """The set with ``keys`` (dedup_key; nulls name none) written to ``segment``, and a new
-        filter to ``filter``."""
+        filter to ``filter``, unless the keys are too many for it."""
         own = keys.filter("dedup_key is not null").select("dedup_key", bucket(F.col("dedup_key")).alias("bucket"))
         self.laid(own, segment)
+        whole = VisitedSet(self.spark, (*self.segments, segment), None, self.bits)
+        # from the files' footers
+        if whole.keys().count() * LEAST > self.bits:
+            return whole
         # a filter is missing where an earlier version of this package made the set
         added = self.spark.read.schema(SEGMENT).parquet(*([] if self.filter else self.segments), segment)
         made = bitmaps(added, F.col("dedup_key"), self.bits)
@@ -108,17 +114,33 @@ class VisitedSet:
         # never broadcast: sparse bitmaps are small as files, and not in the driver
         return let_through(rows, self.spark.read.schema(FILTER).parquet(self.filter).hint("merge"), F.col("dedup_key"), self.bits)
 
-    def unseen(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-        """(the ``rows`` whose key is new, counts: how many keys were ``asked`` for, how many the
-        filter let through as ``maybe``, and how many ``buckets`` were read for them). Rows
-        without a key are new."""
-        flagged = stored(self.asked(rows.withColumn("bucket", bucket(F.col("dedup_key")))))
+    def flagged(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int], list[int]]:
+        """(``rows`` stored with ``maybe``, counts: how many keys were ``asked`` for, how many the
+        filter let through as ``maybe``, and how many ``buckets`` are to be read for them, those
+        buckets)."""
+        rows = stored(self.asked(rows.withColumn("bucket", bucket(F.col("dedup_key")))))
         # a row for each bucket
-        found = {r["bucket"]: r for r in flagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("maybe").alias("maybe")).collect()}
+        found = {r["bucket"]: r for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("maybe").alias("maybe")).collect()}
         hit = [b for b, r in found.items() if b is not None and r["maybe"]]
         said = {"asked": sum(r["n"] for r in found.values()), "maybe": sum(r["maybe"] for r in found.values()), "buckets": len(hit)}
-        new = flagged
-        if hit:
-            there = self.keys(hit)
-            new = flagged.filter("not coalesce(maybe, false)").unionByName(flagged.filter("maybe").join(there.hint("merge"), ["bucket", "dedup_key"], "left_anti").select(*flagged.columns))
-        return new.select(*rows.columns), said
+        return rows.drop("bucket"), said, hit
+
+    def without(self, flagged: DataFrame, hit: list[int], besides: DataFrame | None = None) -> DataFrame:
+        """The rows of ``flagged`` whose key is neither in the buckets ``hit`` nor among ``besides``
+        (dedup_key). Rows without a key are new."""
+        # joined by the key alone: a bucket before it would be all that the sort's prefixes hold
+        taken = [] if besides is None else [besides.select("dedup_key")]
+        if not hit:
+            parts = [(flagged, taken)]
+        elif self.filter is None:
+            parts = [(flagged, [self.keys(hit).select("dedup_key"), *taken])]
+        else:
+            parts = [(flagged.filter("not coalesce(maybe, false)"), taken), (flagged.filter("maybe"), [self.keys(hit).select("dedup_key"), *taken])]
+        # each part is shuffled once
+        new = [rows.join(reduce(DataFrame.unionByName, known).hint("merge"), "dedup_key", "left_anti").select(*rows.columns) if known else rows for rows, known in parts]
+        return reduce(DataFrame.unionByName, new).drop("maybe")
+
+    def unseen(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+        """(the ``rows`` whose key is new, the counts of ``flagged``)."""
+        flagged, said, hit = self.flagged(rows)
+        return self.without(flagged, hit).select(*rows.columns), said

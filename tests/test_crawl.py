@@ -258,3 +258,43 @@ def test_the_filter_is_never_broadcast(spark, tmp_path):
     assert old.unseen(keys)[0].count() == seen.unseen(keys)[0].count() == 1000
     again = old.add(keys.limit(0), f"{tmp_path}/s2", f"{tmp_path}/f2")
     assert again.asked(keys).filter("maybe").count() >= 1000 and again.unseen(keys)[0].count() == 1000
+
+
+def test_a_round_of_probes_does_each_thing_once(spark, tmp_path):
+    """Answers were shuffled anew for each of five tables, and all that was sent for retries that nobody asked for."""
+    of = spark.createDataFrame([(f"e{k}", 0, 1, 4, 3) for k in range(20)], "entry STRING, param_index INT, min BIGINT, soft_max BIGINT, gap INT")
+    rest = (F.col("n").alias("seq"), F.lit(False).alias("skip_dedup"), F.lit(None).cast("int").alias("priority"))
+
+    def probes(windows):
+        return windows.select("entry", "param_index", "n", F.concat_ws("/", "entry", "n").alias("dedup_key"), *rest)
+
+    def run(got):
+        said = got.select("crawl_id", F.when(F.col("n") <= F.substring("probe.entry", 2, 2).cast("int"), "step").otherwise("failed_probe").alias("action"))
+        return got.select("n"), got.filter("false").drop("crawl_id", "led_by", "attempt", "waited", "probe"), got.select("n").filter("false"), said
+
+    sc, folder = spark.sparkContext, str(tmp_path / "run")
+    seeds = probes(spark.createDataFrame([], "entry STRING, param_index INT, n BIGINT")).drop("entry", "param_index")
+    sc.setJobGroup("probes", "")
+    try:
+        done = crawl(seeds, lambda r: r, run, probing=Probing(of, probes), folder=folder)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["entry"]: r["highest_success"] for r in done.templates.collect()} == {f"e{k}": k or None for k in range(20)}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("probes"))
+    assert jobs / done.rounds < 40, (jobs, done.rounds)
+    assert not glob.glob(f"{folder}/round=*/*/waiting") and done.waiting.count() == 0
+
+
+def test_a_filter_of_too_many_keys_is_given_up(spark, tmp_path):
+    """It was asked in every round, though it let all keys through."""
+
+    def keys(a, b):
+        return spark.range(a, b).select(F.sha2(F.col("id").cast("string"), 256).alias("dedup_key"))
+
+    seen = VisitedSet(spark, bits=1024).add(keys(0, 500), f"{tmp_path}/s0", f"{tmp_path}/f0")
+    assert seen.filter is not None
+    seen = seen.add(keys(500, 600), f"{tmp_path}/s1", f"{tmp_path}/f1").add(keys(600, 700), f"{tmp_path}/s2", f"{tmp_path}/f2")
+    assert seen.filter is None
+    flagged, said, hit = seen.flagged(keys(650, 800))
+    assert said["maybe"] == said["asked"] == 150
+    assert seen.without(flagged, hit).count() == 100 and seen.without(flagged, hit, keys(790, 900)).count() == 90
