@@ -298,3 +298,12 @@ def test_a_filter_of_too_many_keys_is_given_up(spark, tmp_path):
     flagged, said, hit = seen.flagged(keys(650, 800))
     assert said["maybe"] == said["asked"] == 150
     assert seen.without(flagged, hit).count() == 100 and seen.without(flagged, hit, keys(790, 900)).count() == 90
+
+
+def test_visited_keys_are_sorted_by_the_key_alone(spark, tmp_path):
+    """Sorted by their bucket first, keys of one bucket were compared letter by letter."""
+    keys = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("dedup_key"))
+    seen = VisitedSet(spark, bits=64).add(keys, f"{tmp_path}/s", f"{tmp_path}/f")
+    new = seen.unseen(keys.unionByName(spark.createDataFrame([("k",)], "dedup_key STRING")))[0]
+    joins = [line for line in new._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+    assert joins and not any("bucket" in line for line in joins) and [r["dedup_key"] for r in new.collect()] == ["k"]
