@@ -43,6 +43,8 @@ OWN_COLUMNS = ("crawl_id", "led_by", "attempt", "waited", "probe")
 #: What a round says about a request that it sent.
 ACTIONS = ("step", "retry", "await", "skip", "halt", "error", "failed_probe")
 OUTCOMES = "crawl_id STRING, dedup_key STRING, attempt INT, action STRING, decision STRING, reason STRING"
+#: Those columns of outcomes that stand in the requests.
+STEPPED = "crawl_id STRING, dedup_key STRING, attempt INT"
 TEMPLATES = "entry STRING, param_index INT, gap INT, highest_success BIGINT, consecutive_failures BIGINT, next_n BIGINT, asked BIGINT"
 ANSWERS = "entry STRING, param_index INT, n BIGINT, ok BOOLEAN"
 #: Rounds whose small tables are written as one.
@@ -209,6 +211,8 @@ class _Run:
         if found is None:
             return None
         state = _State(**json.loads(found))
+        # a run of an earlier version wrote the outcomes of all rounds
+        state.tables.setdefault("stepped", [])
         # a filter of an earlier version has its bits elsewhere: it is made anew from the keys
         return state if state.filter is None or state.filter.endswith("/bitmaps") else replace(state, filter=None)
 
@@ -228,7 +232,7 @@ class _Run:
     def begin(self, visited: DataFrame | None) -> _State:
         at = self.attempt(0)
         seen = VisitedSet(self.spark, bits=self.bits)
-        tables: dict[str, list[str]] = {"visited": [], "sent": [], "results": [], "errors": [], "outcomes": [], "finished": [], "withdrawn": []}
+        tables: dict[str, list[str]] = {"visited": [], "sent": [], "results": [], "errors": [], "outcomes": [], "stepped": [], "finished": [], "withdrawn": []}
         if visited is not None:
             seen = seen.add(visited, f"{at}/visited", f"{at}/bitmaps")
         templates = None
@@ -287,7 +291,7 @@ class _Run:
         seen, outcomes, more, _, _ = together(
             self.spark,
             lambda: seen.add(sent.filter((F.col("attempt") == 1) & ~F.coalesce("skip_dedup", F.lit(False))), f"{at}/visited", f"{at}/bitmaps"),
-            lambda: self.decided(said[0] if said else None, sent, f"{at}/outcomes"),
+            lambda: written(self.decided(said[0], sent), f"{at}/outcomes") if said else self.decided(None, sent),
             lambda: stored(self.led(more)),
             lambda: written(found, f"{at}/results"),
             lambda: written(bad, f"{at}/errors"),
@@ -298,7 +302,7 @@ class _Run:
         (halted, waiting), (flagged, counts, hit), probed = together(
             self.spark,
             lambda: self.settled(outcomes, sent, kept, now, at) if said else (None, kept),
-            lambda: seen.flagged(self.keyed(more)),
+            lambda: seen.flagged(self.keyed(more), more.filter(~_free())),
             lambda: self.probed(state, outcomes, at, k + 1) if probing else (None, state.templates, state.answers, None),
         )
         probes, templates, answers, finished = probed
@@ -308,12 +312,14 @@ class _Run:
         for other in (probes, rest):
             following = following if other is None else following.unionByName(other)
         frontier = written(following, f"{at}/frontier")
-        added = {n: f"{at}/{n}" for n in ("visited", "results", "errors", "outcomes")} | {"sent": state.frontier if sent is queue else f"{at}/sent"} | ({"finished": finished} if finished else {})
+        log = state.frontier if sent is queue else f"{at}/sent"
+        # a round that says nothing has no outcomes but what it sent
+        added = {n: f"{at}/{n}" for n in ("visited", "results", "errors")} | {"sent": log} | ({"outcomes": f"{at}/outcomes"} if said else {"stepped": log}) | ({"finished": finished} if finished else {})
         tables = {n: [*p, *([added[n]] if n in added else [])] for n, p in state.tables.items()}
         done = _State(k + 1, f"{at}/frontier", frontier.count(), tables, dict(state.merged), seen.filter, waiting, templates, answers, halted, [*state.told, {"round": k, **counts}])
         return self.commit(self.compacted(done, seen, at))
 
-    def decided(self, said: DataFrame | None, sent: DataFrame, path: str) -> DataFrame:
+    def decided(self, said: DataFrame | None, sent: DataFrame) -> DataFrame:
         """What is done about each request sent: an action that may not be repeated any more is an
         ``error``. Requests that nothing was said of count as ``lost``."""
         own = sent.select("crawl_id", "dedup_key", "attempt", "waited", "probe")
@@ -328,7 +334,7 @@ class _Run:
         waits = (F.col("action") == "await") & (F.col("waited") + self.retry.interval <= self.retry.patience)
         kept = F.col("action").isin("step", "skip", "halt", "failed_probe")
         decision = F.when(kept, F.col("action")).when(again, "retry").when(waits, "await").otherwise(F.when(F.col("probe").isNotNull(), "failed_probe").otherwise("error"))
-        return written(rows.withColumn("decision", decision), path)
+        return rows.withColumn("decision", decision)
 
     def settled(self, outcomes: DataFrame, sent: DataFrame, before: dict[str, list[str]], now: float, at: str) -> tuple[str | None, dict[str, list[str]]]:
         """(why the run is halted, if it is, what waits after the round, by bucket)."""
@@ -414,7 +420,7 @@ class _Run:
             if name == "visited":
                 state.tables[name] = list(VisitedSet(self.spark, tuple(paths), seen.filter, self.bits).merged(done, f"{at}/merged/{name}").segments)
             else:
-                rows = self.gathered(paths[done:])
+                rows = self.stepped(paths[done:]) if name == "stepped" else self.gathered(paths[done:])
                 rows.hint("rebalance").write.mode("overwrite").parquet(f"{at}/merged/{name}")
                 state.tables[name] = [*paths[:done], f"{at}/merged/{name}"]
             state.merged[name] = done + 1
@@ -426,9 +432,23 @@ class _Run:
         schema = self.spark.read.parquet(paths[0]).schema
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def stepped(self, paths: list[str]) -> DataFrame | None:
+        """The columns of outcomes that requests have which were sent in rounds that said nothing."""
+        return self.spark.read.schema(STEPPED).parquet(*paths) if paths else None
+
+    def outcomes(self, state: _State) -> DataFrame:
+        """All outcomes, those of rounds that said nothing as well."""
+        names = [x.split()[0] for x in OUTCOMES.split(", ")]
+        said, rest = self.kept("outcomes", state), self.kept("stepped", state)
+        given = [] if said is None else [said.select(*names)]
+        if rest is not None:
+            step = F.lit("step")
+            given.append(rest.withColumns({"action": step, "decision": step, "reason": F.lit(None).cast("string")}).select(*names))
+        return reduce(DataFrame.unionByName, given) if given else self.spark.createDataFrame([], OUTCOMES)
+
     def kept(self, name: str, state: _State) -> DataFrame | None:
         """All rows of a table, but those of requests that were withdrawn."""
-        rows, gone = self.gathered(state.tables[name]), state.tables["withdrawn"]
+        rows, gone = (self.stepped if name == "stepped" else self.gathered)(state.tables[name]), state.tables["withdrawn"]
         if rows is None or not gone or "crawl_id" not in rows.columns:
             return rows
         return rows.join(self.gathered(gone), "crawl_id", "left_anti").select(*rows.columns)
@@ -443,7 +463,7 @@ class _Run:
         live = self.kept("sent", state)
         log = stored(live.groupBy("crawl_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in live.columns if c != "crawl_id"]), "attempt").alias("r")).select("crawl_id", "r.*").select(*live.columns))
         if failed is None:
-            failed = self.kept("outcomes", state).filter("decision = 'error'").select("crawl_id").distinct()
+            failed = self.outcomes(state).filter("decision = 'error'").select("crawl_id").distinct()
         marks = F.col("reseedable") if "reseedable" in log.columns else F.lit(True)
         tree = log.select(F.col("crawl_id").alias("request_id"), F.col("led_by").alias("parent_id"), marks.alias("reseedable"))
         points = stored(reseed_points(tree, failed.select(F.col("crawl_id").alias("request_id"))).select(F.col("reseed_id").alias("crawl_id")).filter("crawl_id is not null").distinct())
@@ -470,8 +490,7 @@ class _Run:
         return self.commit(done), points
 
     def told(self, state: _State) -> Crawl:
-        outcomes, results, errors = (self.kept(n, state) for n in ("outcomes", "results", "errors"))
-        names = [x.split()[0] for x in OUTCOMES.split(", ")]
+        results, errors = (self.kept(n, state) for n in ("results", "errors"))
         waiting = [self.read(p, self.schema) for paths in state.waiting.values() for p in paths]
         over = [self.read(p, TEMPLATES) for p in state.tables["finished"]]
         states = reduce(DataFrame.unionByName, [x.withColumn("done", F.lit(True)) for x in over] + [self.read(state.templates, TEMPLATES).withColumn("done", F.lit(False))])
@@ -481,7 +500,7 @@ class _Run:
             errors,
             self.read(state.frontier, self.schema).select(*self.columns),
             state.round,
-            self.spark.createDataFrame([], OUTCOMES) if outcomes is None else outcomes.select(*names),
+            self.outcomes(state),
             states.drop("asked"),
             reduce(DataFrame.unionByName, waiting) if waiting else self.spark.createDataFrame([], self.schema),
             state.halted,

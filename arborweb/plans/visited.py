@@ -30,7 +30,11 @@ SEGMENT = "dedup_key STRING, bucket INT"
 
 def bucket(key: Column) -> Column:
     """The range of hashes that a key lies in."""
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - (BUCKETS - 1).bit_length()).cast("int")
+    return _range(F.xxhash64(key))
+
+
+def _range(hash: Column) -> Column:
+    return F.shiftrightunsigned(hash, 64 - (BUCKETS - 1).bit_length()).cast("int")
 
 
 def _word(key: Column, bits: int) -> Column:
@@ -114,13 +118,19 @@ class VisitedSet:
         # never broadcast: sparse bitmaps are small as files, and not in the driver
         return let_through(rows, self.spark.read.schema(FILTER).parquet(self.filter).hint("merge"), F.col("dedup_key"), self.bits)
 
-    def flagged(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int], list[int]]:
-        """(``rows`` stored with ``maybe``, counts: how many keys were ``asked`` for, how many the
+    def flagged(self, rows: DataFrame, every: DataFrame | None = None) -> tuple[DataFrame, dict[str, int], list[int]]:
+        """(``rows`` with ``maybe``, counts: how many keys were ``asked`` for, how many the
         filter let through as ``maybe``, and how many ``buckets`` are to be read for them, those
-        buckets)."""
-        rows = stored(self.asked(rows.withColumn("bucket", bucket(F.col("dedup_key")))))
+        buckets). What a filter said is stored. Without one all keys are to be tested: they are counted by
+        their hash, in ``every`` (rows before duplicates went) if given, and ``rows`` are as they were."""
+        if self.filter is None:
+            rows = self.asked(rows)
+            keys = (rows if every is None else every).select(F.xxhash64("dedup_key").alias("hash")).distinct()
+            told = keys.select(_range(F.col("hash")).alias("bucket"), F.lit(bool(self.segments)).alias("maybe"))
+        else:
+            told = rows = stored(self.asked(rows.withColumn("bucket", bucket(F.col("dedup_key")))))
         # a row for each bucket
-        found = {r["bucket"]: r for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("maybe").alias("maybe")).collect()}
+        found = {r["bucket"]: r for r in told.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("maybe").alias("maybe")).collect()}
         hit = [b for b, r in found.items() if b is not None and r["maybe"]]
         said = {"asked": sum(r["n"] for r in found.values()), "maybe": sum(r["maybe"] for r in found.values()), "buckets": len(hit)}
         return rows.drop("bucket"), said, hit
@@ -142,5 +152,5 @@ class VisitedSet:
 
     def unseen(self, rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         """(the ``rows`` whose key is new, the counts of ``flagged``)."""
-        flagged, said, hit = self.flagged(rows)
+        flagged, said, hit = self.flagged(stored(rows) if self.filter is None else rows)
         return self.without(flagged, hit).select(*rows.columns), said

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -143,6 +144,19 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return spooled(df.repartition(parts, *keys).sortWithinPartitions(*keys)).hint("merge")
 
 
+def ranged(df: DataFrame, key: str) -> DataFrame:
+    """``df`` stored in the order of ``key``, for a table of which ranges are read (``met_in_range``)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, key).sortWithinPartitions(key))
+
+
+def met_in_range(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to a ``ranged`` table, of which only row groups between the least and the greatest
+    key of the rows are read. The rows are read more than once."""
+    least, most = rows.agg(F.min(key), F.max(key)).first()
+    return rows.join(table.filter(F.col(key).between(least, most)).hint("merge"), key)
+
+
 def stored(df: DataFrame, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read back: the lineage is cut, and a lost executor costs
     no recomputation of what stands above. With ``rows``, at most how many there are, it is

@@ -307,3 +307,56 @@ def test_visited_keys_are_sorted_by_the_key_alone(spark, tmp_path):
     new = seen.unseen(keys.unionByName(spark.createDataFrame([("k",)], "dedup_key STRING")))[0]
     joins = [line for line in new._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
     assert joins and not any("bucket" in line for line in joins) and [r["dedup_key"] for r in new.collect()] == ["k"]
+
+
+def test_a_set_without_a_filter_shuffles_its_rows_once(spark, tmp_path):
+    """They were written, read and shuffled again between losing their duplicates and meeting what was visited."""
+    from arborweb.operators.requests import first_of_key
+
+    keys = F.sha2((F.col("id") % 100).cast("string"), 256).alias("dedup_key")
+    more = spark.range(300).select(F.col("id").alias("seq"), keys)
+    seen = VisitedSet(spark, bits=64).add(spark.range(40).select(keys), f"{tmp_path}/s", f"{tmp_path}/f")
+    assert seen.filter is None
+    flagged, said, hit = seen.flagged(first_of_key(more))
+    new = seen.without(flagged, hit)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and plan.count("Exchange hashpartitioning") == 2
+    assert sorted(r["seq"] for r in new.collect()) == list(range(40, 100)) and said["asked"] == said["maybe"] == 100
+    assert seen.flagged(first_of_key(more), more)[1:] == (said, hit)
+
+
+def test_a_round_that_says_nothing_writes_no_outcomes(spark, tmp_path, monkeypatch):
+    """Every request was written once more, with its key, to say that it was sent."""
+    monkeypatch.setattr(frontier, "MERGED", 3)
+    folder = str(tmp_path / "run")
+
+    def run(got):
+        found = got.select("crawl_id", "n")
+        given = found, asked(got.filter("n < 6").select((F.col("n") + 1).alias("n"))), found.filter("false")
+        return (*given, got.select("crawl_id", F.lit("skip").alias("action"), F.lit("5").alias("reason"))) if got.filter("n = 5").count() else given
+
+    crawl(rows(spark, [1]), lambda r: r, run, folder=folder, rounds=0)
+    # as an earlier version would have begun it
+    real = frontier.read_text
+    monkeypatch.setattr(frontier, "read_text", lambda *given: (text := real(*given)) and text.replace('"stepped": [], ', ""))
+    done = crawl(rows(spark, [1]), lambda r: r, run, folder=folder)
+    assert len(glob.glob(f"{folder}/round=*/*/outcomes")) == 1
+    told = sorted((r["dedup_key"], r["attempt"], r["action"], r["decision"], r["reason"]) for r in done.outcomes.collect())
+    assert told == [(f"k{n}", 1, *(("skip", "skip", "5") if n == 5 else ("step", "step", None))) for n in range(1, 7)]
+    assert sorted(r["crawl_id"] for r in done.outcomes.collect()) == sorted(r["crawl_id"] for r in done.results.collect())
+    # of a run without any outcome nothing failed
+    assert frontier.reseed(rows(spark, [1]), folder) == 0
+
+
+def test_of_a_ranged_table_the_range_asked_for_is_read(spark):
+    """A round of one request read all pages."""
+    from arborweb.storage import met_in_range, ranged
+
+    table = ranged(spark.range(10_000).select(F.pmod(F.col("id") * 7, F.lit(10_000)).alias("id")), "id")
+    rows = spark.createDataFrame([(k,) for k in (20, 30, 30, 25_000)], "id LONG")
+    assert sorted(r["id"] for r in met_in_range(rows, table, "id").collect()) == [20, 30, 30]
+    met = met_in_range(rows.filter("id < 100"), table, "id")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,20), LessThanOrEqual(id,30)" in plan and "Broadcast" not in plan
+    assert sorted(r["id"] for r in met.collect()) == [20, 30, 30]
+    assert met_in_range(rows.filter("false"), table, "id").count() == 0
