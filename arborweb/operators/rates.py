@@ -122,17 +122,21 @@ def stretches(requests: DataFrame, spans: list[tuple[int, int]], blocks: DataFra
     as the longest of ``spans`` (limit, microseconds); ``requests`` (key, time) are those that count.
 
     A block passes for sure if none of its requests has more than ``limit`` in the window that
-    ends with it, those at its own instant included. Requests are counted by instant before
-    they are shuffled, and windows are dealt over blocks as ``window_counts`` does; the order of
-    a key's blocks takes one row for each block, however many requests it has.
+    ends with it, those at its own instant included: if the request ``limit`` before it, of its
+    block or the one before, lies a full window ago. That is one row looked up, however many
+    the window holds. Requests are counted by instant before they are shuffled, and of an
+    instant one more than the largest limit tells all; the order of a key's blocks takes one
+    row for each block, however many requests it has.
     """
     width = max(s for _, s in spans)
     block = F.floor(F.col("time") / width).cast("long")
     instants = requests.groupBy("key", "time").agg(F.count(F.lit(1)).alias("n")).withColumn("block", block)
-    both = instants.withColumn("shown", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    over = F.lit(False)
+    each = instants.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(max(n for n, _ in spans) + 1)))))
+    both = each.withColumn("shown", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+    over, line = F.lit(False), Window.partitionBy("key", "shown").orderBy("time")
     for limit, span in spans:
-        over |= F.sum("n").over(Window.partitionBy("key", "shown").orderBy("time").rangeBetween(-(span - 1), 0)) > limit
+        # no block has as many requests as Spark looks back at most
+        over |= F.coalesce(F.col("time") - F.lag("time", min(limit, 2**31 - 1)).over(line) < span, F.lit(False))
     full = both.withColumn("over", over).filter("shown = block").groupBy("key", "block").agg(F.bool_or("over").alias("over"))
     # a block of requests that do not count passes for sure
     known = blocks.join(full, ["key", "block"], "left").withColumn("over", F.coalesce("over", F.lit(False)))

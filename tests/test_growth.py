@@ -80,6 +80,30 @@ def test_a_key_past_its_rates_is_passed_over(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
 
 
+def test_windows_of_a_busy_key_are_looked_up(spark):
+    """Each instant summed its whole window anew, so a key's time grew with the square of its requests."""
+    import random
+
+    from arborweb.operators import rates
+
+    draw = random.Random(7)
+    rows = [(k, draw.choice(range(lo, lo + 20)) if k == "a" or lo % 60 else lo) for k in "abc" for lo in range(-400, 1200, 20) for _ in range(draw.choice((0, 1, 2, 2, 3, 9)))]
+    spans = [(2, 7), (3, 7), (6, 20)]
+    blocks = sorted({(k, t // 20) for k, t in rows} | {("a", 70), ("d", 0)})
+    over = {(k, t // 20) for k, t in rows if any(sum(x == k and t - s < u <= t for x, u in rows) > n for n, s in spans)}
+    want, stretch = [], None
+    for k, b in blocks:
+        if (k, b - 1) not in blocks or (k, b - 1) not in over:
+            stretch = b
+        want.append((k, b, stretch, b + 1 if (k, b) not in over and (k, b + 1) in blocks else None))
+    asked = spark.createDataFrame(rows, "key STRING, time LONG").repartition(3)
+    got = rates.stretches(asked, spans, spark.createDataFrame(blocks, "key STRING, block LONG"))
+    assert "RangeFrame, -" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == want and 0 < len(over) < len(blocks)
+    # a limit past what Spark looks back
+    assert rates.stretches(asked, [(10**12, 20)], asked.selectExpr("key", "floor(time / 20) AS block").distinct()).filter("stretch <> block").isEmpty()
+
+
 def test_rows_of_one_root_stay_where_they_are(spark, monkeypatch):
     """All rows of a tree met its root in one task."""
     from arborweb.operators import requests
